@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, language, quality, sharding
+from docspark.llm import chat, language, packing, quality, sharding
 from docspark.llm.scratch import table
 
 
@@ -34,6 +34,18 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def public_vocabulary() -> dict[str, str]:
+    """Where the public tokenizer's two files are, and the pattern of the second."""
+    import public_tokenizers
+
+    return {"json_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens along a Hilbert curve."""
+    return packing.pack(table(spark, sf_dir, "documents"), 2048, **public_vocabulary(), digest=True)
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 24 shards by the jump hash of doc_id."""
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), 24)

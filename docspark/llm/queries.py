@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, language, packing, quality, sharding
+from docspark.llm import chat, language, neardup, packing, quality, sharding
 from docspark.llm.scratch import table
 
 
@@ -52,6 +52,12 @@ def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by similarity 0.8 or more on 2-word shingles."""
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, language, neardup, packing, quality, sharding
+from docspark.llm import chat, language, neardup, packing, quality, sharding, suffix
 from docspark.llm.scratch import table
 
 
@@ -66,6 +66,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.add_language(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 200-byte strings that stand elsewhere too."""
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learnt from labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, decontaminate, language, neardup, packing, quality, sharding, suffix
+from docspark.llm import chat, decontaminate, fingerprints, language, neardup, packing, quality, sharding, suffix
 from docspark.llm.scratch import table
 
 
@@ -58,6 +58,11 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

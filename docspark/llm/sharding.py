@@ -6,9 +6,8 @@ kept, and when a shard is appended only the rows that move into it change place.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.llm import scratch
@@ -65,38 +64,43 @@ def place(df: DataFrame, key: str, shards: int, into: str = "shard", grown: str
     return df.drop("__jump")
 
 
-def number_slots(df: DataFrame, shard: str, key: str, tie: str, into: str = "slot") -> DataFrame:
-    """Number the rows of each shard without gaps from 0, in the order of ``key``, ``tie``.
+def block_of(df: DataFrame, key: str, tie: str, rows: int, most: int = MOST_BLOCKS) -> Column:
+    """A block number that follows the order of ``key`` (bigint, nulls first), about ``rows`` rows each.
 
-    No task gets a whole shard: rows fall into blocks by ranges of the key, each block is
-    numbered alone, and the counts of the blocks (at most MOST_BLOCKS * 65 rows a shard)
-    give its first number. A key so frequent that it fills a block is split by ranges of
-    ``tie``, an unsigned 32-bit value. ``df`` is read twice and should be a written table.
+    Bounds are quantiles of the key, ``most`` at most. A key so frequent that it is several
+    quantiles has blocks of its own, by ranges of ``tie``, an unsigned 32-bit value.
     """
-    from pyspark.sql import Window as W
-
     key_of = F.coalesce(F.col(key), F.lit(-(1 << 63)).cast("long"))
-    n = df.count()
-    blocks = max(1, min(MOST_BLOCKS, n // BLOCK_ROWS + 1))
+    blocks = max(1, min(most, df.count() // rows + 1))
     bounds: list[int] = []
     if blocks > 1:
         cuts = [i / blocks for i in range(1, blocks)]
         bounds = df.select(F.percentile_approx(key_of, cuts, 100 * blocks)).first()[0] or []
     hot = sorted({b for a, b in zip(bounds, bounds[1:]) if a == b})
     bounds = sorted(set(bounds))
-    block = F.lit(0).cast("long")
-    if bounds:
-        # binary search by halving: the expression grows with the bounds, its depth with their logarithm
-        def search(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo).cast("long")
-            mid = (lo + hi) // 2
-            return F.when(key_of <= bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
-
-        block = search(0, len(bounds)) * 65
+
+    # binary search by halving: the expression grows with the bounds, its depth with their logarithm
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo).cast("long")
+        mid = (lo + hi) // 2
+        return F.when(key_of <= bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    block = search(0, len(bounds)) * 65
     if hot:
         block = block + F.when(key_of.isin(hot), F.shiftright(F.col(tie), 26) + 1).otherwise(0)
-    df = df.withColumn("__block", block)
+    return block
+
+
+def number_slots(df: DataFrame, shard: str, key: str, tie: str, into: str = "slot") -> DataFrame:
+    """Number the rows of each shard without gaps from 0, in the order of ``key``, ``tie``.
+
+    No task gets a whole shard: rows fall into blocks by ranges of the key, each block is
+    numbered alone, and the counts of the blocks (at most MOST_BLOCKS * 65 rows a shard)
+    give its first number. A key so frequent that it fills a block is split by ranges of
+    ``tie``, an unsigned 32-bit value. ``df`` is read twice and should be a written table.
+    """
+    df = df.withColumn("__block", block_of(df, key, tie, BLOCK_ROWS))
     counts = df.groupBy(shard, "__block").count()
     before = counts.select(shard, "__block", (F.sum("count").over(W.partitionBy(shard).orderBy("__block")) - F.col("count")).alias("__before"))
     own = F.row_number().over(W.partitionBy(shard, "__block").orderBy(key, tie)) - 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, decontaminate, fingerprints, language, neardup, packing, quality, sharding, suffix
+from docspark.llm import chat, decontaminate, fingerprints, language, neardup, packing, quality, sharding, suffix, wordpiece
 from docspark.llm.scratch import table
 
 
@@ -46,6 +46,14 @@ def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), 2048, **public_vocabulary(), digest=True)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every document, in the public 32k vocabulary."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.add_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens")
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 24 shards by the jump hash of doc_id."""
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), 24)

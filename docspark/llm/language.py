@@ -17,8 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm import scratch
+from docspark.llm.words import buffer
+
 NGRAM = 4
 SLOTS = 1 << 20
+#: Bytes, and n-grams, that are worked on at a time.
+WINDOW, GATHERED = 1 << 19, 4_000_000
 HASHES = 3
 #: An n-gram is in a language's filter if at least this share of the language's n-grams are it. So each filter holds at most 1 / MIN_SHARE of them.
 MIN_SHARE = 1 / 40_000
@@ -32,20 +37,32 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams (as uint32) of all texts of a batch, and the first of each text.
+def windows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The folded bytes of some texts at a time, where each begins, and which text each is.
 
-    Texts are put in lower case; runs of other characters count as one space; null is empty.
+    Texts are put in lower case; null is empty. A text longer than WINDOW comes in pieces
+    that overlap by NGRAM - 1 bytes, so that each of its n-grams is in exactly one.
     """
-    low = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))
-    low = low.combine_chunks() if isinstance(low, pa.ChunkedArray) else low
-    raw = low.buffers()[2]
-    offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
-    if not raw or offsets[-1] == offsets[0]:
-        return np.empty(0, np.uint32), np.zeros(len(low) + 1, np.int64)
-    data = _FOLD[np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]]
-    starts = offsets - offsets[0]
+    data, starts = buffer(pc.utf8_lower(texts))
+    at = 0
+    while at < len(starts) - 1:
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + WINDOW, "right")) - 1)
+        end = min(end, len(starts) - 1)
+        lo, hi = int(starts[at]), int(starts[end])
+        if hi - lo <= WINDOW:
+            yield _FOLD[data[lo:hi]], starts[at : end + 1] - lo, np.arange(at, end)
+        else:
+            for i in range(lo, hi, WINDOW):
+                part = _FOLD[data[i : min(i + WINDOW + NGRAM - 1, hi)]]
+                yield part, np.array([0, len(part)]), np.array([at])
+        at = end
+
+
+def grams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams (as uint32) of the texts in a window, and the first of each. Runs of spaces count as one."""
     n = len(data)
+    if n < NGRAM:
+        return np.empty(0, np.uint32), np.zeros(len(starts), np.int64)
     code = np.zeros(n, np.uint32)
     for k in range(NGRAM):
         code <<= np.uint32(8)
@@ -57,7 +74,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         keep[: n - 1 - k] &= ~double[k:]
     for k in range(1, NGRAM):  # nor one that crosses the end of its text
         at = starts[1:] - k
-        keep[at[(at >= 0) & (at >= starts[:-1])]] = False
+        keep[at[at >= starts[:-1]]] = False
     seen = np.concatenate([[0], np.cumsum(keep)])
     return code[keep], seen[starts]
 
@@ -95,17 +112,18 @@ class Model:
         n, some = len(texts), np.array(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False), dtype=bool)
         if not self.languages:
             return np.full(n, -1), np.zeros(n)
-        code, first = grams(texts)
-        at = slots(code)
-        hit = self.masks[at[0]]
-        for s in at[1:]:
-            hit = hit & self.masks[s]
-        total = np.diff(first)
-        share = np.zeros((len(self.languages), n))
-        for i, false in enumerate(self.false_rate):
-            sums = np.concatenate([[0], np.cumsum((hit >> hit.dtype.type(i)) & hit.dtype.type(1), dtype=np.int64)])
-            count = sums[first[1:]] - sums[first[:-1]]
-            share[i] = np.maximum(count - total * false, 0) / (1 - false) / np.maximum(total, 1)
+        total, count = np.zeros(n, np.int64), np.zeros((len(self.languages), n), np.int64)
+        for data, starts, owners in windows(texts):
+            code, first = grams(data, starts)
+            hit = None
+            for s in slots(code):
+                hit = self.masks[s] if hit is None else hit & self.masks[s]
+            np.add.at(total, owners, np.diff(first))
+            for i in range(len(self.languages)):
+                sums = np.concatenate([[0], np.cumsum((hit >> hit.dtype.type(i)) & hit.dtype.type(1), dtype=np.int64)])
+                np.add.at(count[i], owners, sums[first[1:]] - sums[first[:-1]])
+        false = self.false_rate[:, None]
+        share = np.maximum(count - total * false, 0) / (1 - false) / np.maximum(total, 1)
         best = share.argmax(0)
         top = share[best, np.arange(n)]
         score = np.clip(top / np.maximum(share.sum(0), 1e-12), 0, 1)
@@ -123,20 +141,31 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     The driver gets at most 1 / MIN_SHARE n-grams of each language.
     """
 
+    def counted(names: list[str], gathered: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for name, codes in zip(names, gathered, strict=True):
+            if codes:
+                values, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code, first = grams(batch.column(0))
             each = batch.column(1).dictionary_encode()
             names, of = each.dictionary.to_pylist(), np.array(each.indices)
-            row = np.repeat(of, np.diff(first))
-            for i, name in enumerate(names):
-                values, n = np.unique(code[row == i], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            gathered: list[list[np.ndarray]] = [[] for _ in names]
+            held = 0
+            for data, starts, owners in windows(batch.column(0)):
+                code, first = grams(data, starts)
+                row = np.repeat(of[owners], np.diff(first))
+                for i in range(len(names)):
+                    gathered[i].append(code[row == i])
+                held += len(code)
+                if held > GATHERED:
+                    yield from counted(names, gathered)
+                    gathered, held = [[] for _ in names], 0
+            yield from counted(names, gathered)
 
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from docspark.llm import scratch
-
     counts = scratch.written(counts, "language-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # one row a language
     kept = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * MIN_SHARE).select("lang", "gram").toPandas()

@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docspark.plans import answers, corpus, retrieval, upkeep
+
+_PARTS = (retrieval, corpus, upkeep, answers)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["hybrid_retrieve"](spark, sf_dir)
+    return retrieval.hybrid_retrieve(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for part in _PARTS for k, q in part.SQL.items()}

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 
 from docspark.functions import dates
 from docspark.functions import text as X
-from docspark.functions.urls import content_hash, date_from_dashed_path
+from docspark.functions.dates import date_from_dashed_path
+from docspark.functions.urls import content_hash
 from docspark.settings import SOURCE_NAMES
 
 DOCUMENT = "document_id string, url_hash string, page_id string, original_url string, url string, canonical_url string, title string, subtitle string, author string, authors array<string>, date string, updated_date string, category string, section string, tags array<string>, breadcrumbs array<string>, language string, document_type string, source string, source_name string, source_type string, text string, text_length int, content_hash string, pdf_urls array<string>, pdf_url string, pdf_pages array<struct<page_number: int, text: string>>, discovery_method string, extraction_method string, scraped_at string, updated_at string"
@@ -33,11 +34,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFr
     return spark.read.schema(kind).option("mode", "DROPMALFORMED").json(path)
 
 
-def malformed_lines(spark: SparkSession, path: str, schema: str = DOCUMENT) -> int:
-    """How many lines ``read_jsonl`` skips."""
-    kind = T._parse_datatype_string(schema).add("_corrupt_record", T.StringType())
-    rows = spark.read.schema(kind).option("mode", "PERMISSIVE").json(path)
-    return rows.select("_corrupt_record", F.struct(*[c for c in rows.columns if c != "_corrupt_record"]).alias("r")).where("_corrupt_record is not null").count()
+def malformed_lines(spark: SparkSession, path: str) -> int:
+    """How many lines aren't JSON, which ``read_jsonl`` skips; blank lines don't count."""
+    return spark.read.text(path).where("trim(value) <> '' and try_parse_json(value) is null").count()
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -88,7 +87,8 @@ def with_pdf_pages(rows: DataFrame, pages: str = "pdf_pages") -> DataFrame:
 def enrich(docs: DataFrame) -> DataFrame:
     """Fill missing dates, authors and categories from the address and the text."""
     from docspark.functions.entities import author_from_text
-    from docspark.functions.urls import category_of, date_from_plain_path
+    from docspark.functions.dates import date_from_plain_path
+    from docspark.functions.urls import category_of
 
     url, text = F.col("url"), F.col("text")
     found = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, decontaminate, fingerprints, language, neardup, packing, quality, sharding, suffix, wordpiece
+from docspark.llm import chat, decontaminate, fingerprints, language, neardup, oracles, packing, quality, sharding, suffix, wordpiece
 from docspark.llm.scratch import table
 
 
@@ -134,4 +134,4 @@ FROM d LEFT JOIN word USING (r) LEFT JOIN item USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": _OP8_SQL}
+    return {"op1_chat_formatting": oracles.OP1, "op4_jump_sharding": oracles.OP4, "op5_minhash_neardup": oracles.OP5, "op8_decontamination": _OP8_SQL, "op9_suffix_dedup": oracles.OP9}

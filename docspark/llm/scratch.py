@@ -37,12 +37,24 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table written so far. Only for callers that no longer read them."""
+def made() -> int:
+    """How many tables have been written so far: a mark for ``release``."""
+    return len(_made)
+
+
+def taken(mark: int) -> list[str]:
+    """The tables written since ``mark``; the caller answers for them from now on."""
+    own = _made[mark:]
+    del _made[mark:]
+    return own
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables. Only for callers whose results no longer read them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -2,15 +2,18 @@
 
 1. Every text becomes its set of word shingles, a signature of HASHES minima and BANDS
    band keys. Equal sets are one node from here on, so exact copies cost nothing further.
-2. In each band bucket the nodes are paired with the least one only (the pivot).
+2. In each band bucket the nodes are paired with a pivot, PIVOTS times with another. A bucket
+   of up to PIVOTS + 1 nodes is done then, as is one whose nodes lie in one component.
 3. A pair's signatures are compared BATCH values at a time. With a uniform prior the
    similarity has a beta posterior; a pair is dropped as soon as the chance that it reaches
-   the threshold is below MISS. Survivors are checked on their full sets.
-4. Links are contracted to components. A bucket whose nodes lie in one component is done.
-   The others are compared tile by tile (TILE nodes against TILE nodes in one task, never
-   emitting all pairs): first each node's most similar survivors in other components, then
-   all survivors that are left. So no link between different components is lost, while
-   pairs inside a component are never formed.
+   the threshold is below MISS. Survivors are checked on their full sets, and links are
+   contracted to components, so pairs inside a component are never formed.
+4. In the buckets that are left, the nodes outside the largest component are compared with
+   all nodes, tile by tile (TILE against TILE in one task, never emitting all pairs): each
+   node's MOST most similar survivors are checked.
+5. A node that had more survivors lies in a dense group. There, the full sets are counted
+   against each other in tiles, and one link for each node and component goes out. So no
+   link between different components is lost.
 
 With 32 bands of 4 the chance that a pair at similarity 0.8 shares no bucket is 5e-8.
 """
@@ -29,14 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from docspark.llm import graph, scratch
-from docspark.llm.words import mix, shingle_sets
+from docspark.llm.words import mix, shingle_sets, slices
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 32
 #: The chance, at any one look, of dropping a pair whose similarity reaches the threshold.
 MISS = 1e-7
-TILE = 256
+TILE, MOST, PIVOTS = 1024, 4, 3
+#: Rows of tiles that one task gets together, and pairs that it compares at a time.
+TASK_ROWS, PAIRS = 20_000, 1 << 19
 #: Ids of candidate documents are broadcast up to this many; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _NO_ID = (1 << 63) - 1
@@ -66,8 +71,8 @@ def node_of(s: np.ndarray) -> int:
     """A 64-bit name of a set: equal sets have equal names."""
     if not len(s):
         return 0
-    both = np.bitwise_xor.reduce(mix(s)) ^ (mix(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64) * np.uint64(len(s)))
-    return int(mix(np.array([both]))[0].view(np.int64))
+    both = np.bitwise_xor.reduce(mix(s)) ^ mix(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
+    return int(mix(np.array([both]) + np.uint64(len(s)))[0].view(np.int64))
 
 
 def least_matches(compared: int, threshold: float, miss: float = MISS) -> int:
@@ -84,22 +89,23 @@ def least_matches(compared: int, threshold: float, miss: float = MISS) -> int:
     return compared
 
 
-def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``key, n, node, signature, bands`` of every document; ``n`` is the size of its set."""
+def signatures(docs: DataFrame, key: str, text: str, width: int, tie: str | None = None) -> DataFrame:
+    """``id, tie, n, node, signature, bands`` of every document; ``n`` is the size of its set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node, sig, band = [], [], [], []
-            for s in shingle_sets(batch.column(1), width):
+            for s in (s for part in slices(batch.column(1)) for s in shingle_sets(part, width)):
                 n.append(len(s))
                 node.append(node_of(s))
                 low = minima(s) if len(s) else None
                 sig.append(None if low is None else low.astype("<u2").tobytes())
                 band.append(None if low is None else bands(low))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["id", "n", "node", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["id", "tie", "n", "node", "signature", "bands"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(sign, "id long, n long, node long, signature binary, bands array<long>")
+    by = F.col(tie) if tie else F.lit(None)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), by.cast("string").alias("tie"))
+    return rows.mapInArrow(sign, "id long, tie string, n long, node long, signature binary, bands array<long>")
 
 
 def plausible(a: Column, b: Column, threshold: float) -> Column:
@@ -121,46 +127,110 @@ def plausible(a: Column, b: Column, threshold: float) -> Column:
     return test(a, b)
 
 
-def tiles(open_rows: DataFrame, threshold: float, most: int | None) -> DataFrame:
-    """Surviving pairs between components in open buckets (``band, node, component, n, signature``).
+def tiles(open_rows: DataFrame, threshold: float, most: int = MOST) -> DataFrame:
+    """``u, v, more``: surviving pairs between components in open buckets (``band, node, component, n, signature``).
 
-    A bucket of k nodes becomes ceil(k / TILE) tiles and each pair of tiles one group, so a
-    task holds 2 * TILE rows of a group whatever k is. ``most`` bounds the survivors of a
-    node in one group, the most similar first; None emits all.
+    The nodes outside a bucket's largest component (left) meet all its nodes (right). Both
+    sides are dealt into tiles of about TILE, and a task gets pairs of tiles, TASK_ROWS rows
+    or so at a time, whatever the bucket's size. ``most`` bounds the survivors of a left node
+    in one pair of tiles, the most similar first; ``more`` is the left node if it had more.
     """
     least = [least_matches(k, threshold) for k in range(BATCH, HASHES + 1, BATCH)]
-    sizes = open_rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    cut = open_rows.join(sizes, "band").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("tiles") - 1)
-    dealt = cut.withColumn("other", F.explode(others)).select("band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "component", "n", "signature")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        group = group.sort_values("node")
-        left, right = group[group["tile"] == i], group[group["tile"] == j]
-        u, v = (np.frombuffer(b"".join(g["signature"]), "<u2").reshape(-1, HASHES) for g in (left, right))
-        n, m = left["n"].to_numpy(), right["n"].to_numpy()
-        alive = left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-        if i == j:
-            alive &= np.triu(np.ones(alive.shape, bool), 1)
-        # the sizes alone bound the similarity from above
-        alive &= np.minimum(n[:, None], m[None, :]) >= threshold * np.maximum(n[:, None], m[None, :]) - 1e-9
-        x, y = np.nonzero(alive)
+    shares = open_rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
+    bulk = shares.groupBy("band").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all"))
+    bulk = bulk.select("band", F.col("top.component").alias("largest"), F.ceil((F.col("all") - F.col("top.k")) / TILE).cast("int").alias("lefts"), F.ceil(F.col("all") / TILE).cast("int").alias("rights"))
+    cut = open_rows.join(bulk, "band").withColumn("h", F.xxhash64("node", "band"))
+    outside = F.col("component") != F.col("largest")
+    left = cut.where(outside).select("*", F.lit(True).alias("is_left"), F.pmod("h", "lefts").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
+    right = cut.select("*", F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod("h", "rights").cast("int").alias("j"))
+    dealt = left.unionByName(right).select("band", "i", "j", "is_left", "node", "component", "n", "signature")
+    # the number of tasks follows from sums over the buckets alone
+    rows = bulk.agg(F.sum((F.col("lefts") + F.col("rights")) * TILE)).first()[0] or 0
+    small = open_rows.count() * 2
+    tasks = max(1, math.ceil(max(small, min(rows, small * 4)) / TASK_ROWS))
+
+    def survivors(x: np.ndarray, y: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count = np.zeros(len(x), np.int64)
         for k, need in enumerate(least):
             part = slice(k * BATCH, (k + 1) * BATCH)
-            for c in range(0, len(x), 1 << 16):
-                count[c : c + (1 << 16)] += (u[x[c : c + (1 << 16)], part] == v[y[c : c + (1 << 16)], part]).sum(1)
+            count += (sig[x, part] == sig[y, part]).sum(1)
             keep = count >= need
             x, y, count = x[keep], y[keep], count[keep]
-        out = pd.DataFrame({"u": left["node"].to_numpy()[x], "v": right["node"].to_numpy()[y], "count": count})
-        if most is not None:
-            out = out.sort_values(["count", "u", "v"], ascending=[False, True, True])
-            out = out[(out.groupby("u").cumcount() < most) | (out.groupby("v").cumcount() < most)]
-        return out[["u", "v"]]
+        return x, y, count
 
-    pairs = dealt.groupBy("band", "i", "j").applyInPandas(compare, "u long, v long")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["band", "i", "j", "is_left", "node"], kind="stable")
+        band, i, j, is_left, node, component, n = (group[c].to_numpy() for c in ("band", "i", "j", "is_left", "node", "component", "n"))
+        sig = np.frombuffer(b"".join(group["signature"]), "<u2").reshape(-1, HASHES)
+        new = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+        found: list[pd.DataFrame] = []
+
+        def look(xs: list[np.ndarray], ys: list[np.ndarray], tile: list[np.ndarray]) -> None:
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            x, y, count = survivors(x, y, sig)
+            found.append(pd.DataFrame({"tile": np.searchsorted(new, x, "right"), "left": node[x], "right": node[y], "count": count}))
+
+        xs, ys, held = [], [], 0
+        for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+            m = a + int(b - a - is_left[a:b].sum())  # right nodes come first
+            for c in range(m, b, max(1, PAIRS // max(m - a, 1))):
+                x = np.repeat(np.arange(c, min(b, c + max(1, PAIRS // max(m - a, 1)))), m - a)
+                y = np.tile(np.arange(a, m), len(x) // max(m - a, 1))
+                # the sizes alone bound the similarity from above
+                ok = (component[x] != component[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9)
+                xs.append(x[ok])
+                ys.append(y[ok])
+                held += int(ok.sum())
+                if held > PAIRS:
+                    look(xs, ys, [])
+                    xs, ys, held = [], [], 0
+        if xs:
+            look(xs, ys, [])
+        out = pd.concat(found) if found else pd.DataFrame({"tile": [], "left": [], "right": [], "count": []})
+        out["more"] = False
+        if len(out):
+            out = out.sort_values(["tile", "left", "count", "right"], ascending=[True, True, False, True])
+            by = out.groupby(["tile", "left"])
+            out["more"] = by["left"].transform("size") > most
+            out = out[by.cumcount() < most]
+        return pd.DataFrame({"u": np.minimum(out["left"], out["right"]), "v": np.maximum(out["left"], out["right"]), "more": np.where(out["more"], out["left"], None)}).astype({"u": "int64", "v": "int64"})
+
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("band", "i", "j"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(compare, "u long, v long, more long").distinct()
+
+
+def dense_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Exact links in dense groups (``group, node, component, left``), one for each left node and component at most.
+
+    Left nodes meet all nodes of their group, in tiles; shingles in common are counted for
+    a whole tile at a time.
+    """
+    sizes = groups.groupBy("group").agg(F.ceil(F.count_if("left") / TILE).cast("int").alias("lefts"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("rights")).where("lefts > 0")
+    cut = groups.join(sizes, "group").join(sets, "node").withColumn("h", F.xxhash64("node"))
+    left = cut.where("left").select("group", F.lit(True).alias("is_left"), "node", "component", "shingles", F.pmod("h", "lefts").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
+    right = cut.select("group", F.lit(False).alias("is_left"), "node", "component", "shingles", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod("h", "rights").cast("int").alias("j"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["is_left", "node"], kind="stable")
+        own = group["shingles"].to_numpy()
+        n = np.array([len(x) for x in own])
+        code = np.unique(np.concatenate(own), return_inverse=True)[1]
+        ends = np.cumsum(n)
+        m = int((~group["is_left"]).sum())  # right nodes come first
+        node, component = group["node"].to_numpy(), group["component"].to_numpy()
+        mark = np.zeros(int(code.max()) + 1, np.int32)
+        out = []
+        for k in range(m, len(node)):
+            mine = code[ends[k] - n[k] : ends[k]]
+            mark[mine] = 1
+            shared = np.add.reduceat(mark[code[: ends[m - 1]]], ends[:m] - n[:m])
+            mark[mine] = 0
+            linked = np.flatnonzero((100 * shared >= percent * (n[:m] + n[k] - shared)) & (component[:m] != component[k]))
+            _, at = np.unique(component[linked], return_index=True)
+            out.extend((node[k], node[j]) for j in linked[at])
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return left.unionByName(right).groupBy("group", "i", "j").applyInPandas(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 class Verifier:
@@ -169,17 +239,17 @@ class Verifier:
     def __init__(self, docs: DataFrame, named: DataFrame, nodes: DataFrame, key: str, text: str, width: int, percent: int):
         self.docs, self.named, self.nodes, self.key, self.text, self.width, self.percent = docs, named, nodes, key, text, width, percent
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """``node, shingles`` of every node in ``pairs``, each read from one of its documents."""
-        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``node, shingles`` of every wanted ``node``, each read from one of its documents."""
         ids = scratch.written(self.named.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "wanted")
         n = ids.count()
         width = self.width
 
         def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = shingle_sets(batch.column(0), width)
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.int64()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], ["node", "shingles"])
+                for part in slices(batch.column(0)):
+                    own = shingle_sets(part, width)
+                    yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.int64()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], ["node", "shingles"])
 
         distinct = ids.select("id").distinct()
         rows = self.docs.select(F.coalesce(F.col(self.key).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(self.text).alias("text"))
@@ -191,7 +261,7 @@ class Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``u, v`` whose sets are similar enough."""
         pairs = scratch.written(pairs, "pairs")
-        sets = self.sets(pairs)
+        sets = self.sets(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
         left = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
         both = left.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
@@ -199,51 +269,78 @@ class Verifier:
         return both.withColumn("shared", shared).where(100 * F.col("shared") >= self.percent * union).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``id, n_shingles, component_id, kept``, a row for each document.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, tie: str | None = None) -> DataFrame:
+    """``id, tie, n_shingles, component_id, kept``, a row for each document.
 
     Documents whose sets share at least ``percent`` hundredths of their union are linked;
     ``component_id`` is the least id reachable. Null and empty texts, and texts without
     words, have no shingles and are linked with nothing. Copies of a text, repeated rows
     too, are one node; a null id counts as the largest id and is null again in the result.
-    An empty table gives an empty result; other columns are ignored.
+    With ``tie`` (a column) only the rows of the least id that also have the least tie are
+    kept. An empty table gives an empty result; other columns are ignored.
     """
     threshold = percent / 100
-    rows = scratch.written(signatures(docs, key, text, width), "signatures")
-    named = rows.where("n > 0").select(F.coalesce("id", F.lit(_NO_ID)).alias("id"), "n", "node")
+    rows = scratch.written(signatures(docs, key, text, width, tie), "signatures")
+    named = rows.where("n > 0").select(F.coalesce("id", F.lit(_NO_ID)).alias("id"), "tie", "n", "node")
     nodes = scratch.written(rows.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "signature", "bands")]), "nodes")
     exact = Verifier(docs, named, nodes, key, text, width, percent)
 
     in_bands = nodes.select(F.explode("bands").alias("band"), "node")
-    pivots = in_bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("band", "pivot")
-    members = scratch.written(in_bands.join(pivots, "band"), "members")
-    links = scratch.written(_survivors(members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), nodes, threshold, exact), "links")
-    parts = scratch.written(graph.components(links), "parts")
-    tested: DataFrame | None = None
-    for most in (4, None):
-        placed = members.select("band", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
-        open_rows = placed.join(split, "band", "left_semi").join(nodes.select("node", "n", "signature"), "node")
-        pairs = tiles(open_rows, threshold, most)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = scratch.written(pairs, "tiles")
-        if pairs.isEmpty():
-            break
-        links = scratch.written(links.unionByName(exact.links(pairs)), "links")
-        parts = scratch.written(graph.components(links), "parts")
-        tested = pairs
-    least = named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).groupBy("component").agg(F.min("id").alias("component_id"))
-    whole = rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    shared = in_bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low <> top").select("band")
+    members = scratch.written(in_bands.join(shared, "band"), "members")
+    side = nodes.select("node", "n", "signature")
+    parts = scratch.written(members.limit(0).select("node", F.col("node").alias("component")), "parts")
+    tested = scratch.written(members.limit(0).select(F.col("node").alias("u"), F.col("node").alias("v")), "tested")
+    order = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))
+    last = None  # each bucket's pivot so far; the next one comes after it
+    for _ in range(PIVOTS):
+        placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if last is not None:
+            placed = placed.join(last, "band", "left")
+        ahead = F.lit(True) if last is None else F.col("last").isNull() | (order > F.col("last"))
+        pivots = placed.groupBy("band").agg(F.min(F.when(ahead, order)).alias("last"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b and last is not null").select("band", "last")
+        last = scratch.written(pivots, "pivots")
+        own = members.join(last, "band").where("node <> last.node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        own = own.join(parts.select(F.col("node").alias("p"), F.col("component").alias("pc")), F.col("last.node") == F.col("p"), "left").where(F.col("component") != F.coalesce("pc", "last.node"))
+        pairs = own.select(F.least("node", "last.node").alias("u"), F.greatest("node", "last.node").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+        pairs = scratch.written(pairs, "pairs")
+        parts = _joined(parts, scratch.written(exact.links(_plausible_pairs(pairs, side, threshold)), "links"))
+        tested = scratch.written(tested.unionByName(pairs), "tested")
+    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("k")).where(F.col("k") > PIVOTS + 1).where("a <> b").select("band")
+    open_rows = scratch.written(placed.join(split, "band", "left_semi").join(side, "node"), "open")
+    pairs = scratch.written(tiles(open_rows, threshold), "tiles")
+    parts = _joined(parts, scratch.written(exact.links(pairs.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")), "links"))
+    many = scratch.written(pairs.where("more is not null").select(F.col("more").alias("node")).distinct(), "dense")
+    if not many.isEmpty():
+        # buckets that hold such a node, put together where they overlap
+        near = open_rows.join(many, "node", "left_semi").select("band").distinct()
+        edges = scratch.written(open_rows.join(near, "band", "left_semi").select("band", "node"), "dense")
+        whole = graph.components(edges.select(F.col("band").alias("u"), F.col("node").alias("v"))).toDF("node", "group")
+        groups = edges.select("node").distinct().join(whole, "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        groups = scratch.written(groups.join(many.withColumn("left", F.lit(True)), "node", "left").withColumn("left", F.coalesce("left", F.lit(False))), "dense")
+        parts = _joined(parts, scratch.written(dense_links(groups, exact.sets(groups.select("node")), percent), "links"))
+    least = named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).groupBy("component").agg(F.min(F.struct("id", "tie")).alias("least"))
+    whole = rows.select("id", "tie", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
     found = whole.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least, "component", "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("component_id") < _NO_ID, F.col("component_id"))).otherwise(F.col("id"))
-    found = found.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return found.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("n") > 0, F.when(F.col("least.id") < _NO_ID, F.col("least.id"))).otherwise(F.col("id"))
+    kept = (F.col("n") == 0) | (F.coalesce("id", F.lit(_NO_ID)).eqNullSafe(F.col("least.id")) & F.col("tie").eqNullSafe(F.col("least.tie")))
+    return found.select("id", "tie", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
-def _survivors(pairs: DataFrame, nodes: DataFrame, threshold: float, exact: Verifier) -> DataFrame:
-    """Exact links among ``pairs`` after the size bound and the sequential test."""
-    side = nodes.select("node", "n", "signature")
+def _plausible_pairs(pairs: DataFrame, side: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that survive the size bound and the sequential test of their signatures."""
     both = pairs.join(side.toDF("v", "m", "y"), "v").join(side.toDF("u", "n", "x"), "u")
     both = both.where(F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)
-    return exact.links(both.where(plausible(F.col("x"), F.col("y"), threshold)).select("u", "v"))
+    return both.where(plausible(F.col("x"), F.col("y"), threshold)).select("u", "v")
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the components that a link touches are looked at."""
+    ends = links
+    for c in ("u", "v"):
+        ends = ends.join(parts.toDF(c, f"c{c}"), c, "left").withColumn(c, F.coalesce(f"c{c}", c)).drop(f"c{c}")
+    roots = graph.components(ends.select("u", "v").distinct()).toDF("component", "root")
+    known = parts.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    fresh = roots.join(parts.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("root").alias("component"))
+    return scratch.written(known.unionByName(fresh), "parts")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,18 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slices(texts: pa.Array, most: int = 2 * CHUNK) -> Iterator[pa.Array]:
+    """The texts of a batch a few at a time: as many as have ``most`` bytes together, or one that has more."""
+    if not len(texts):
+        return
+    _, starts = buffer(texts)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + most, "right")) - 1)
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, A-Z in lower case, and the first of each text."""
     data, starts = buffer(texts)

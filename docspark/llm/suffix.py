@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,28 +204,31 @@ def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of the runs of each text (columns: text, array of (run, total, start, windows))."""
-    for batch in batches:
-        data, starts = buffer(batch.column(0))
-        column = batch.column(1)
-        lists, rows = np.diff(column.offsets.to_numpy()), column.flatten()
-        run, total, start, n = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-        begin = start.astype(np.int64) + np.repeat(starts[:-1], lists)
-        length = n.astype(np.int64) + WIDTH - 1
-        ends = np.cumsum(length)
-        at = 0
-        while at < len(run):
-            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
-            own = np.concatenate([data[b : b + k] for b, k in zip(begin[at:end], length[at:end], strict=True)])
-            bounds = np.concatenate([[0], np.cumsum(length[at:end])])
-            of, first, m, core, piece, place = runs(own, bounds, FINE)
-            raw, flat = own.tobytes(), bounds[of]
-            left = [raw[a:b] for a, b in zip(flat + first, flat + place, strict=True)]
-            right = [raw[a:b] for a, b in zip(flat + place + FINE, flat + first + m + WIDTH - 1, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(run[at:end][of]), pa.array(total[at:end][of]), pa.array(first.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(m.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                ["run", "total", "at", "core", "piece", "windows", "left", "right"],
-            )
-            at = end
+    for whole in batches:
+        for row in range(0, whole.num_rows, 200):
+            batch = whole.slice(row, 200)
+            data, starts = buffer(batch.column(0))
+            column = batch.column(1)
+            rows = column.flatten()
+            lists = pc.list_value_length(column).to_numpy()
+            run, total, start, n = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            begin = start.astype(np.int64) + np.repeat(starts[:-1], lists)
+            length = n.astype(np.int64) + WIDTH - 1
+            ends = np.cumsum(length)
+            at = 0
+            while at < len(run):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+                own = np.concatenate([data[b : b + k] for b, k in zip(begin[at:end], length[at:end], strict=True)])
+                bounds = np.concatenate([[0], np.cumsum(length[at:end])])
+                of, first, m, core, piece, place = runs(own, bounds, FINE)
+                raw, flat = own.tobytes(), bounds[of]
+                left = [raw[a:b] for a, b in zip(flat + first, flat + place, strict=True)]
+                right = [raw[a:b] for a, b in zip(flat + place + FINE, flat + first + m + WIDTH - 1, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(run[at:end][of]), pa.array(total[at:end][of]), pa.array(first.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(m.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                    ["run", "total", "at", "core", "piece", "windows", "left", "right"],
+                )
+                at = end
 
 
 def _compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -290,28 +294,40 @@ def covered(docs: DataFrame, text: str) -> DataFrame:
     return both.withColumnRenamed("key", "__key")
 
 
-def _spans(n: int, found: list[dict]) -> np.ndarray:
+def _covers(found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The repeated strings of a batch's texts as arrays: the text, the first byte and the byte behind the last."""
+    runs_of = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+    run = found.flatten()
+    start, n = (run.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    pieces = run.field(2)
+    whole = pieces.is_null().to_numpy(zero_copy_only=False)
+    text, first, last = [runs_of[whole]], [start[whole]], [start[whole] + n[whole] + WIDTH - 1]
+    each = np.repeat(np.arange(len(run)), pc.fill_null(pc.list_value_length(pieces), 0).to_numpy())
+    piece = pieces.flatten()
+    at, m, bits = (piece.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+    for i in range(WIDTH - FINE + 1):
+        k = np.flatnonzero((i < m) & (bits >> i & 1 == 1))
+        text.append(runs_of[each[k]])
+        first.append(start[each[k]] + at[k] + i)
+        last.append(first[-1] + WIDTH)
+    return np.concatenate(text), np.concatenate(first), np.concatenate(last)
+
+
+def _spans(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The removed runs of a text of n bytes as rows (start, length)."""
     edge = np.zeros(n + 1, np.int64)
-    for run in found:
-        a = run["start"]
-        if run["pieces"] is None:
-            edge[a] += 1
-            edge[a + run["windows"] + WIDTH - 1] -= 1
-            continue
-        for p in run["pieces"]:
-            for i in range(p["windows"]):
-                if p["bits"] >> i & 1:
-                    edge[a + p["at"] + i] += 1
-                    edge[a + p["at"] + i + WIDTH] -= 1
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last, -1)
     inside = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
     turn = np.flatnonzero(inside[1:] != inside[:-1])
     return np.stack([turn[::2], turn[1::2] - turn[::2]], 1)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -> DataFrame:
     """``docs`` with ``spans`` (removed runs: start and length in bytes) and ``kept`` (the other bytes).
 
+    With ``as_text`` what is kept is a string: the rest of a character that a span cuts goes too.
+
     A byte goes if it is covered by a string of WIDTH bytes that also starts anywhere else,
     in the same text or another; matches never cross texts and are judged on the input. Null
     counts as empty; empty texts and texts below WIDTH bytes keep all; repeated rows are
@@ -319,24 +335,30 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column(batch.schema.names.index("found")).to_pylist()
-            texts = batch.column(batch.schema.names.index(text)).cast(pa.binary()).to_pylist()
-            spans, kept = [], []
-            for t, f in zip(texts, found, strict=True):
-                raw = t or b""
-                own = _spans(len(raw), f) if f else np.empty((0, 2), np.int64)
-                at, parts = 0, []
-                for s, n in own.tolist():
-                    parts.append(raw[at:s])
-                    at = s + n
-                parts.append(raw[at:])
-                spans.append([{"start": s, "length": n} for s, n in own.tolist()])
-                kept.append(b"".join(parts))
-            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name not in ("found", "__key")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(kept, pa.binary())], names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                owner, first, last = _covers(batch.column(batch.schema.names.index("found")))
+                order = np.argsort(owner, kind="stable")
+                owner, first, last = owner[order], first[order], last[order]
+                bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+                texts = batch.column(batch.schema.names.index(text)).cast(pa.binary())
+                spans, kept = [], []
+                for i, t in enumerate(texts):
+                    raw = t.as_py() or b""
+                    a, b = bounds[i], bounds[i + 1]
+                    own = _spans(len(raw), first[a:b], last[a:b]) if b > a else np.empty((0, 2), np.int64)
+                    done, parts = 0, []
+                    for s, n in own.tolist():
+                        parts.append(raw[done:s])
+                        done = s + n
+                    parts.append(raw[done:])
+                    spans.append([{"start": s, "length": n} for s, n in own.tolist()])
+                    kept.append("".join(p.decode("utf-8", "ignore") for p in parts) if as_text else b"".join(parts))
+                columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name not in ("found", "__key")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())], names)
 
     found = scratch.written(covered(docs, text), "covered", "zstd")
     names = [*docs.columns, "spans", "kept"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "spans array<struct<start: bigint, length: bigint>>", "kept binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "spans array<struct<start: bigint, length: bigint>>", f"kept {'string' if as_text else 'binary'}"])
     return _keyed(docs, text).join(found, "__key", "left").mapInArrow(cut, schema)

@@ -176,16 +176,64 @@ def is_garbage(tok: Column) -> Column:
     return tok.rlike(NOISE) | (tok.rlike(r"\p{L}") & odd)
 
 
+#: A token that can be garbage at all: it holds a noise character or two characters beyond ASCII.
+_SUSPECT = r"(?<!\S)(?=\S*" + NOISE + r"|\S*[^\x00-\x7F\s]\S*[^\x00-\x7F\s])\S+"
+
+
 def quality_score(c: Column) -> Column:
-    """1 for clean text down to 0 for noise: the lesser of the clean share of token characters and a noise penalty."""
-    tokens = F.array_remove(F.split(c, r"\s+"), "")
-    lengths = F.aggregate(tokens, F.struct(F.lit(0).alias("all"), F.lit(0).alias("bad")), lambda s, t: F.struct((s["all"] + F.length(t)).alias("all"), (s["bad"] + F.when(is_garbage(t), F.length(t)).otherwise(0)).alias("bad")))
-    pair = F.transform(F.array(lengths), lambda s: F.lit(1.0) - s["bad"] / F.greatest(s["all"], F.lit(1)))[0]
+    """1 for clean text down to 0 for noise: the lesser of the clean share of token characters and a noise penalty.
+
+    One pass of a pattern picks the few tokens that can be garbage; only they are looked at.
+    """
+    suspects = F.regexp_extract_all(c, F.lit(f"({_SUSPECT})"), F.lit(1))
+    bad = F.aggregate(suspects, F.lit(0), lambda n, t: n + F.when(is_garbage(t), F.length(t)).otherwise(0))
+    share = F.lit(1.0) - bad / F.greatest(F.length(F.regexp_replace(c, r"\s+", "")), F.lit(1))
     noise = F.length(c) - F.length(F.regexp_replace(c, NOISE, ""))
-    score = F.greatest(F.lit(0.0), F.least(pair, F.lit(1.0) - F.least(F.lit(1.0), noise * 4.0 / F.greatest(F.length(c), F.lit(1)))))
+    score = F.greatest(F.lit(0.0), F.least(share, F.lit(1.0) - F.least(F.lit(1.0), noise * 4.0 / F.greatest(F.length(c), F.lit(1)))))
     return F.when(F.coalesce(strip(c), F.lit("")) == "", F.lit(1.0)).otherwise(score)
 
 
+_NOISE_PY = re.compile(NOISE)
+_SUSPECT_PY = re.compile(_SUSPECT)
+
+
+def garbage(tok: str) -> bool:
+    """``is_garbage`` of one token."""
+    if _NOISE_PY.search(tok):
+        return True
+    foreign, run, longest = 0, 0, 0
+    for ch in tok:
+        foreign += ch > "\x7f"
+        run = run + 1 if ch > "\x7f" and ch.isalpha() else 0
+        longest = max(longest, run)
+    n = len(tok)
+    odd = longest >= 4 or n >= 5 and foreign >= n * 0.4 and not re.search("[aeiouAEIOU]", tok) or n >= 6 and foreign >= n * 0.5
+    return odd and any(ch.isalpha() for ch in tok)
+
+
+def quality(text: str) -> float:
+    """``quality_score`` of one text."""
+    if not text.strip():
+        return 1.0
+    bad = sum(len(t) for t in _SUSPECT_PY.findall(text) if garbage(t))
+    noise = len(_NOISE_PY.findall(text))
+    if not bad and not noise:
+        return 1.0
+    share = 1 - bad / max(1, sum(map(len, text.split())))
+    return max(0.0, min(share, 1 - min(1.0, noise * 4 / max(1, len(text)))))
+
+
+def whitespace_normalized(text: str) -> str:
+    """``normalize_whitespace`` of one text."""
+    text = re.sub(r" *\n *", "\n", re.sub("[ \t\xa0]+", " ", re.sub("\r\n?", "\n", text)))
+    return re.sub("\n{3,}", "\n\n", text).strip()
+
+
+def without_garbage(text: str) -> str:
+    """``clean_lines`` of one text: what is kept."""
+    return whitespace_normalized("\n".join(x for x in repair(text).split("\n") if not x.strip() or quality(x) >= 0.5))
+
+
 def clean_lines(c: Column) -> Column:
     """``struct(text, dropped)``: lines repaired, garbage lines taken out; blank lines stay."""
     lines = F.split(repaired(F.coalesce(c, F.lit(""))), "\n")

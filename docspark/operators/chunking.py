@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -82,15 +84,20 @@ def pack(units: list[str], size: int = DEFAULT.chunk_size, overlap: int = DEFAUL
     return packer.finish()
 
 
-def packed(units: Column, settings: Settings = DEFAULT) -> Column:
-    """``pack`` of an array of sentences."""
+def units_of(text: str) -> list[str]:
+    """``sentences`` of one text."""
+    return [s for s in (u.strip() for u in re.split(r"\n+|(?<=[.!?])\s+", re.sub("[ \t]+", " ", text))) if s]
+
+
+def packed(text: Column, settings: Settings = DEFAULT) -> Column:
+    """Pieces of a text with their quality: lines cleaned, sentences split and packed."""
     size, overlap, least = settings.chunk_size, settings.chunk_overlap, settings.chunk_min
 
-    @pandas_udf("array<string>")
+    @pandas_udf("array<struct<text: string, quality: double>>")
     def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda u: pack(list(u), size, overlap, least) if u is not None else None)
+        return rows.map(lambda t: [{"text": p, "quality": T.quality(p)} for p in pack(units_of(T.without_garbage(t)), size, overlap, least)] if isinstance(t, str) else [])
 
-    return run(units)
+    return run(text)
 
 
 def chunk_documents(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -104,9 +111,10 @@ def chunk_documents(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     body = F.struct(F.lit(None).cast("int").alias("page_number"), F.col("text").alias("text"))
     units = F.when(F.size("pdf_pages") > 0, F.col("pdf_pages")).otherwise(F.array(body)) if paged else F.array(body)
     rows = docs.withColumn("__unit", F.explode(units)).withColumns({"page_number": F.col("__unit.page_number"), "__text": T.clean_text(F.coalesce(F.col("__unit.text"), F.lit("")))})
-    rows = rows.where(F.col("__text") != "").withColumn("__text", T.clean_lines(F.col("__text"))["text"])
-    pieces = rows.select(*[c for c in docs.columns if c not in ("text", "pdf_pages")], "page_number", F.posexplode(packed(sentences(F.col("__text")), settings)).alias("chunk_index", "text"))
-    pieces = pieces.withColumn("quality", T.quality_score(F.col("text"))).where(F.col("quality") >= settings.quality_min)
+    rows = rows.where(F.col("__text") != "").withColumn("__pieces", packed(F.col("__text"), settings))
+    kept = [c for c in docs.columns if c not in ("text", "pdf_pages")]
+    pieces = rows.select(*kept, "page_number", F.posexplode("__pieces").alias("chunk_index", "__p")).select(*kept, "page_number", "chunk_index", "__p.text", "__p.quality")
+    pieces = pieces.where(F.col("quality") >= settings.quality_min)
     page = F.when(F.col("page_number").isNotNull(), F.concat(F.lit("_p"), F.col("page_number").cast("string"))).otherwise(F.lit(""))
     pieces = pieces.withColumn("chunk_id", F.concat(F.col("document_id").cast("string"), page, F.lit("_c"), F.col("chunk_index").cast("string")))
     fields = {c: F.col(c) for c in ("title", "subtitle", "author", "date", "updated_date", "category", "section", "document_type", "source_name") if c in docs.columns}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.functions.text import whitespace_tokens
@@ -25,7 +26,7 @@ class LexicalIndex:
         tokens = rows.select(F.col(key).alias("id"), whitespace_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
         lengths = tokens.select("id", "tokens", F.size("tokens").alias("dl"))
         postings = lengths.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
         return cls(postings, terms, stats)
 
@@ -53,12 +54,11 @@ class LexicalIndex:
         mean = weighted.agg(F.avg("idf").alias("mean"))
         chosen = weighted.join(F.broadcast(asked), "term").crossJoin(F.broadcast(mean))  # one row
         chosen = chosen.select("term", "qf", "avgdl", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-        hits = self.postings.join(F.broadcast(chosen), "term")  # as many rows as the query has words
+        # the filter reaches below the aggregation of the postings; the broadcast has as many rows as the query words
+        hits = self.postings.where(F.col("term").isin(list(dict.fromkeys(words)) or [""])).join(F.broadcast(chosen), "term")
         tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         scored = hits.groupBy("id").agg(F.sum(F.col("qf") * F.col("idf") * tf).alias("bm25_score"))
         best = scored.orderBy(F.desc("bm25_score"), "id").limit(k).where("bm25_score > 0")
-        from pyspark.sql import Window as W
-
         top = F.max("bm25_score").over(W.partitionBy())  # over k rows
         rank = F.row_number().over(W.orderBy(F.desc("bm25_score"), "id")) - 1
         return best.select("id", "bm25_score", F.round(F.col("bm25_score") / top, 4).alias("lexical_score"), rank.alias("rank"))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from docspark.operators import dense, lexical, retrieve
 from docspark.settings import DEFAULT
+from docspark.sources.tables import read_table
 
 QUERY = "with nicht avec under the that queda"
 K = 5
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    # texts are worth dealing out; narrow tables are read faster as they are
+    return read_table(spark, sf, name) if name in ("documents", "pages") else spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:

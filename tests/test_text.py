@@ -37,6 +37,14 @@ def test_quality(spark):
     assert r.text == "good line here\nmore" and len(r.dropped) == 1
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="abeé ØÙÚ\n\x01漢1.", max_size=30), min_size=1, max_size=20))
+def test_quality_is_the_same_in_python(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.q for r in rows.select(text.quality_score(F.col("t")).alias("q")).collect()]
+    assert [round(q, 9) for q in got] == [round(text.quality(t), 9) for t in texts]
+
+
 def test_tokens(spark):
     assert one(spark, "What is ATP? the big ATP", text.salient_tokens) == ["atp", "big", "atp"]
     assert one(spark, "A b,c", text.whitespace_tokens) == ["a", "b,c"]

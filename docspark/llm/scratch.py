@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docspark.sources.tables import read_table
+
 _made: list[str] = []
 _own: list[str] = []
 
@@ -59,4 +61,4 @@ def release(spark: SparkSession, paths: list[str]) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name) if name == "documents" else spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,6 +17,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows that aren't held out.
 
     The sample is, for each label, the first DICTIONARY_ROWS + CALIBRATION_ROWS rows by a
-    hash of doc_id: the same rows for any partitioning, and a bounded number for the driver.
+    hash of doc_id: the same rows for any partitioning, and a bounded number for the one task that fits.
     Rows with a null id, label or text aren't learnt from. Without enough labelled text of
     both kinds the score is the share of label 1 among the sample (0.5 if there is none).
     """
@@ -139,9 +140,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .where(F.col("text").isNotNull())
         .orderBy(*by_hash, "text", "quality")
         .limit(2 * bound)
-        .collect()
+        .select("text", "quality")
     )
-    return fit_texts([r.text for r in rows if r.quality == 1], [r.text for r in rows if r.quality == 0])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[int, list[str]] = {0: [], 1: []}
+        for batch in batches:
+            for t, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                texts[q].append(t)
+        m = fit_texts(texts[1], texts[0])
+        yield pa.RecordBatch.from_arrays([pa.array([m.good], pa.binary()), pa.array([m.bad], pa.binary()), pa.array([m.weights], pa.list_(pa.float64())), pa.array([m.prior])], ["good", "bad", "weights", "prior"])
+
+    # The bounded sample meets in one task, which sends back the model alone.
+    made = rows.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "quality").mapInArrow(learn, "good binary, bad binary, weights array<double>, prior double").first()
+    if made is None:
+        return Model(None, None, (), 0.5)
+    return Model(bytes(made.good) if made.good else None, bytes(made.bad) if made.bad else None, tuple(made.weights), made.prior)
 
 
 def add_score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:

@@ -44,7 +44,8 @@ class LexicalIndex:
         """``id, bm25_score, lexical_score, rank`` (from 0) of the best ``k`` with a score above 0.
 
         A term with a negative weight gets FLOOR times the mean weight of all terms. Terms of
-        the query count as often as they stand in it; ties go to the smaller id.
+        the query count as often as they stand in it. Scores are rounded, so that the order of
+        summation never decides; ties go to the smaller id.
         """
         spark = self.postings.sparkSession
         words = query.lower().split()
@@ -57,7 +58,7 @@ class LexicalIndex:
         # the filter reaches below the aggregation of the postings; the broadcast has as many rows as the query words
         hits = self.postings.where(F.col("term").isin(list(dict.fromkeys(words)) or [""])).join(F.broadcast(chosen), "term")
         tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        scored = hits.groupBy("id").agg(F.sum(F.col("qf") * F.col("idf") * tf).alias("bm25_score"))
+        scored = hits.groupBy("id").agg(F.round(F.sum(F.col("qf") * F.col("idf") * tf), 9).alias("bm25_score"))
         best = scored.orderBy(F.desc("bm25_score"), "id").limit(k).where("bm25_score > 0")
         top = F.max("bm25_score").over(W.partitionBy())  # over k rows
         rank = F.row_number().over(W.orderBy(F.desc("bm25_score"), "id")) - 1

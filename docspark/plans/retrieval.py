@@ -90,7 +90,7 @@ post AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unne
 idf AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY term), stats),
 floored AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf) ELSE idf END AS idf FROM idf),
 scored AS (
-  SELECT id, sum(qf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))) AS s
+  SELECT id, round(sum(qf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 9) AS s
   FROM post JOIN q USING (term) JOIN floored USING (term), stats GROUP BY id),
 lex AS (
   SELECT id, s AS bm25_score, round(s / max(s) OVER (), 4) AS lexical_score, row_number() OVER (ORDER BY s DESC, id) - 1 AS rank

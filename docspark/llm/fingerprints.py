@@ -22,6 +22,8 @@ from docspark.llm.sharding import block_of
 PARTS, PART = 4, 8
 #: Documents of a block of neighbours (their texts are sorted in one task).
 BLOCK_ROWS = 4000
+#: The first texts of all blocks are broadcast up to so many bytes; beyond, they are joined by a shuffle.
+MOST_BROADCAST_BYTES = 32 << 20
 _LOW31 = (1 << 31) - 1
 
 
@@ -139,7 +141,8 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     ahead = heads.select("block", F.coalesce(F.lead("head.text").over(turn), F.first("head.text").over(turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("ahead"))
     ahead = scratch.written(ahead, "heads")
     placed = rows.select("block", "id", "tie", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next"))
-    placed = placed.join(F.broadcast(ahead) if ahead.count() <= 5000 else ahead, "block", "left").withColumn("next", F.coalesce("next", "ahead"))
+    held = ahead.agg(F.sum(F.octet_length("ahead"))).first()[0] or 0
+    placed = placed.join(F.broadcast(ahead) if held <= MOST_BROADCAST_BYTES else ahead, "block", "left").withColumn("next", F.coalesce("next", "ahead"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))

@@ -25,6 +25,7 @@ def _tidy(stage: Stage) -> Stage:
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         scratch.release(spark, _left)
+        scratch.bound_batches(spark)
         mark = scratch.made()
         out = stage(spark, docs, sf_dir)
         _left.extend(scratch.taken(mark))

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -138,16 +137,16 @@ def tiles(open_rows: DataFrame, threshold: float, most: int = MOST) -> DataFrame
     least = [least_matches(k, threshold) for k in range(BATCH, HASHES + 1, BATCH)]
     shares = open_rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
     bulk = shares.groupBy("band").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all"))
-    bulk = bulk.select("band", F.col("top.component").alias("largest"), F.ceil((F.col("all") - F.col("top.k")) / TILE).cast("int").alias("lefts"), F.ceil(F.col("all") / TILE).cast("int").alias("rights"))
-    cut = open_rows.join(bulk, "band").withColumn("h", F.xxhash64("node", "band"))
+    outer = F.col("all") - F.col("top.k")
+    bulk = bulk.select("band", F.col("top.component").alias("largest"), outer.alias("outer"), "all", F.ceil(outer / TILE).cast("int").alias("lefts"), F.ceil(F.col("all") / TILE).cast("int").alias("rights"))
+    cut = open_rows.join(bulk.drop("outer", "all"), "band").withColumn("h", F.xxhash64("node", "band"))
     outside = F.col("component") != F.col("largest")
     left = cut.where(outside).select("*", F.lit(True).alias("is_left"), F.pmod("h", "lefts").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
     right = cut.select("*", F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod("h", "rights").cast("int").alias("j"))
     dealt = left.unionByName(right).select("band", "i", "j", "is_left", "node", "component", "n", "signature")
-    # the number of tasks follows from sums over the buckets alone
-    rows = bulk.agg(F.sum((F.col("lefts") + F.col("rights")) * TILE)).first()[0] or 0
-    small = open_rows.count() * 2
-    tasks = max(1, math.ceil(max(small, min(rows, small * 4)) / TASK_ROWS))
+    # the number of tasks follows from a sum over the buckets alone
+    rows = bulk.agg(F.sum(F.col("outer") * F.col("rights") + F.col("all") * F.col("lefts"))).first()[0] or 0
+    tasks = max(1, math.ceil(rows / TASK_ROWS))
 
     def survivors(x: np.ndarray, y: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count = np.zeros(len(x), np.int64)
@@ -165,7 +164,7 @@ def tiles(open_rows: DataFrame, threshold: float, most: int = MOST) -> DataFrame
         new = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
         found: list[pd.DataFrame] = []
 
-        def look(xs: list[np.ndarray], ys: list[np.ndarray], tile: list[np.ndarray]) -> None:
+        def look(xs: list[np.ndarray], ys: list[np.ndarray]) -> None:
             x, y = np.concatenate(xs), np.concatenate(ys)
             x, y, count = survivors(x, y, sig)
             found.append(pd.DataFrame({"tile": np.searchsorted(new, x, "right"), "left": node[x], "right": node[y], "count": count}))
@@ -182,10 +181,10 @@ def tiles(open_rows: DataFrame, threshold: float, most: int = MOST) -> DataFrame
                 ys.append(y[ok])
                 held += int(ok.sum())
                 if held > PAIRS:
-                    look(xs, ys, [])
+                    look(xs, ys)
                     xs, ys, held = [], [], 0
         if xs:
-            look(xs, ys, [])
+            look(xs, ys)
         out = pd.concat(found) if found else pd.DataFrame({"tile": [], "left": [], "right": [], "count": []})
         out["more"] = False
         if len(out):

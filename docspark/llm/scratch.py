@@ -8,6 +8,7 @@ and lineage ends at the written files.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docspark.sources.tables import read_table
 
+BATCH_BYTES = 4 << 20
+
 _made: list[str] = []
 _own: list[str] = []
 
@@ -30,11 +33,23 @@ def root(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch hold more than BATCH_BYTES: ten thousand rows may be long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(name) or "").rstrip("bB")
+    if not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the result has no lineage."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    if not _made:
+        atexit.unregister(_clean_up)
+        atexit.register(_clean_up, spark)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,5 +75,12 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def _clean_up(spark: SparkSession) -> None:
+    """When the driver's process ends in order, its tables go; a stopped session leaves them to the folder's owner."""
+    if spark.sparkContext._jsc is not None:
+        release(spark, _made)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return read_table(spark, sf_dir, name) if name == "documents" else spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import urls
-from docspark.operators import analytics, chunking, crawl, dense, merge, validate
+from docspark.operators import chunking, crawl, dense, merge, validate
 from docspark.plans.corpus import SQL as CORPUS_SQL
 from docspark.plans.retrieval import _t, corpus
 from docspark.streaming import state

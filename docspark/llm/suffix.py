@@ -259,10 +259,12 @@ def covered(docs: DataFrame, text: str) -> DataFrame:
     spark = docs.sparkSession
     texts = _keyed(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")), "text")
     seen = scratch.written(texts.where(F.octet_length("text") >= WIDTH).select("__key", "text").mapInArrow(_coarse, _RUN), "runs", "zstd")
-    groups = seen.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("a"), F.max("run").alias("b")).where("n > 1").select("minimizer", (F.col("a") != F.col("b")).alias("mixed"))
-    again = scratch.written(seen.join(groups, "minimizer"), "repeats", "zstd")
+    # each run with its count and, over its minimizer, the counts of all runs and of distinct ones
+    counts = seen.groupBy("minimizer", "run").agg(F.count(F.lit(1)).alias("total"))
+    groups = counts.groupBy("minimizer").agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("runs")).where("n > 1").select("minimizer", "runs")
+    again = scratch.written(seen.join(counts.join(groups, "minimizer"), ["minimizer", "run"]), "repeats", "zstd")
 
-    mixed = again.where("mixed").groupBy("run").agg(F.count(F.lit(1)).alias("total"), F.min(F.struct("key", "start", "windows")).alias("one"))
+    mixed = again.where("runs > 1").groupBy("run", "total").agg(F.min(F.struct("key", "start", "windows")).alias("one"))
     wanted = scratch.written(mixed.groupBy(F.col("one.key").alias("__key")).agg(F.collect_list(F.struct("run", "total", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"))).alias("wanted")), "wanted")
     few = wanted.count() <= MOST_BROADCAST // 16  # rows here hold lists
     pieces = texts.join(F.broadcast(wanted) if few else wanted, "__key").select("text", "wanted").mapInArrow(_fine, _PIECE)
@@ -285,11 +287,12 @@ def covered(docs: DataFrame, text: str) -> DataFrame:
     same = rest.groupBy("core", "ahead", "behind").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counted = rest.join(same, ["core", "ahead", "behind"]).groupBy("piece").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
     bits = full.unionByName(merged).unionByName(counted).groupBy("piece").agg(F.bit_or("bits").alias("bits"))
-    found = pieces.join(bits, "piece").groupBy("run").agg(F.collect_list(F.struct("at", "windows", "bits")).alias("pieces"))
+    found = pieces.where("total = 1").join(bits, "piece").groupBy("run").agg(F.collect_list(F.struct("at", "windows", "bits")).alias("pieces"))
     found = scratch.written(found, "found")
 
-    alone = again.where("not mixed").select("key", "start", "windows", F.lit(None).cast("array<struct<at: int, windows: int, bits: bigint>>").alias("pieces"))
-    some = again.where("mixed").join(found, "run").select("key", "start", "windows", "pieces")
+    # a run that stands several times is repeated whole; the others have what their pieces show
+    alone = again.where("total > 1").select("key", "start", "windows", F.lit(None).cast("array<struct<at: int, windows: int, bits: bigint>>").alias("pieces"))
+    some = again.where("total = 1 and runs > 1").join(found, "run").select("key", "start", "windows", "pieces")
     both = alone.unionByName(some).groupBy("key").agg(F.collect_set(F.struct("start", "windows", "pieces")).alias("found"))
     return both.withColumnRenamed("key", "__key")
 

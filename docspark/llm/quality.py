@@ -85,12 +85,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit_texts(good: list[str], bad: list[str]) -> Model:
-    """Fit on lists of texts; about two fifths of each (DICTIONARY_ROWS at most) build the dictionary."""
+def fit_texts(good: list[str], bad: list[str], usable: tuple[int, int] | None = None) -> Model:
+    """Fit on lists of texts; about two fifths of each (DICTIONARY_ROWS at most) build the dictionary.
+
+    ``usable`` counts the good and bad rows that the lists were drawn from, where these are bounded.
+    """
     import zstandard as z
 
-    n = len(good) + len(bad)
-    prior = len(good) / n if n else 0.5
+    n_good, n_bad = usable or (len(good), len(bad))
+    prior = n_good / (n_good + n_bad) if n_good + n_bad else 0.5
 
     def split(texts: list[str]) -> tuple[list[str], list[str]]:
         k = min(DICTIONARY_ROWS, len(texts) * 2 // 5)
@@ -114,7 +117,7 @@ def fit_texts(good: list[str], bad: list[str]) -> Model:
     y = np.array([1.0] * len(gc) + [0.0] * len(bc))
     w = logistic(x, y)
     # The calibration rows hold as many of each label as the bound lets in; put the labels' own share back.
-    w[0] += np.log(max(len(good), 1) / max(len(bad), 1)) - np.log(len(gc) / len(bc))
+    w[0] += np.log(max(n_good, 1) / max(n_bad, 1)) - np.log(len(gc) / len(bc))
     return Model(plain.good, plain.bad, tuple(map(float, w)), prior)
 
 
@@ -122,16 +125,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 5 == 0, F.lit(False))
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """Labelled ids to learn from: with a label, and not held out."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
+
+
+def label_counts(docs: DataFrame, labels: DataFrame) -> tuple[int, int]:
+    """How many good and bad labels with a text there are in all; ids are counted first, so repeated ids don't multiply rows."""
+    marks = usable_labels(labels).groupBy("doc_id").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    texts = docs.where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    r = marks.join(texts, "doc_id").agg(F.sum(F.col("good") * F.col("n")).alias("good"), F.sum(F.col("bad") * F.col("n")).alias("bad")).first()
+    return (r.good or 0, r.bad or 0) if r else (0, 0)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows that aren't held out.
 
     The sample is, for each label, the first DICTIONARY_ROWS + CALIBRATION_ROWS rows by a
     hash of doc_id: the same rows for any partitioning, and a bounded number for the one task that fits.
-    Rows with a null id, label or text aren't learnt from. Without enough labelled text of
-    both kinds the score is the share of label 1 among the sample (0.5 if there is none).
+    Rows with a null id, label or text aren't learnt from. The labels' own share, in the
+    intercept and as the score where there is too little labelled text of either kind (0.5 if
+    there is none), is counted over all of them and not over the sample.
     """
     bound = DICTIONARY_ROWS + CALIBRATION_ROWS
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    usable, counts = usable_labels(labels), label_counts(docs, labels)
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = usable.where("quality = 1").orderBy(*by_hash).limit(bound).unionByName(usable.where("quality = 0").orderBy(*by_hash).limit(bound))
     rows = (
@@ -148,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             for t, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 texts[q].append(t)
-        m = fit_texts(texts[1], texts[0])
+        m = fit_texts(texts[1], texts[0], counts)
         yield pa.RecordBatch.from_arrays([pa.array([m.good], pa.binary()), pa.array([m.bad], pa.binary()), pa.array([m.weights], pa.list_(pa.float64())), pa.array([m.prior])], ["good", "bad", "weights", "prior"])
 
     # The bounded sample meets in one task, which sends back the model alone.

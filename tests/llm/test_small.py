@@ -462,3 +462,27 @@ def test_quality(spark, odd, none):
     assert quality.add_score(none, model, into="q").count() == 0
     few = quality.fit(docs, marks.where("quality = 1").limit(3))
     assert few.good is None and {r.q for r in quality.add_score(docs.limit(5), few, into="q").collect()} == {few.prior}
+
+
+def test_prior_is_that_of_all_labels(spark, monkeypatch):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 6 == 0
+        w = ["".join(rng.choices("aeiounrst", k=rng.randrange(2, 8))) for _ in range(40)]
+        rows.append((i, " ".join(x.upper() + "!!" if bad and rng.random() < 0.1 else x for x in w)))
+        labels.append((i, 0 if bad else 1))
+    rows += [(7, "a second text"), (9000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([*labels, (9000, 0), (9001, 0), (None, 0)], "doc_id long, quality int")
+    learnt = [i for i, *_ in rows if i < 9000 and zlib.crc32(str(i).encode()) % 5]
+    want = (sum(i % 6 > 0 for i in learnt), sum(i % 6 == 0 for i in learnt))
+    assert quality.label_counts(docs, marks) == want
+    whole = quality.fit(docs, marks)
+    monkeypatch.setattr(quality, "DICTIONARY_ROWS", 40)
+    monkeypatch.setattr(quality, "CALIBRATION_ROWS", 60)
+    capped = quality.fit(docs, marks)
+    assert whole.prior == capped.prior == want[0] / sum(want)
+    # the sample holds both labels alike, so without the labels' own share the mean score is near a half
+    mean = quality.add_score(docs, capped).agg(F.avg("score")).first()[0]
+    assert abs(mean - capped.prior) < 0.1

@@ -21,8 +21,39 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", text.alias("answer"), F.array(source("a"), source("b"), source("c")).alias("sources"))
 
 
+def _whole_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer for every document, from all of its text: the second half with markers, over the first half as three sources."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    d = _t(spark, sf, "documents").select("doc_id", text.alias("text"), F.floor(F.length(text) / 2).cast("int").alias("half"))
+    third, i = F.floor(F.col("half") / 3).cast("int"), (F.col("doc_id") % 5).cast("int").cast("string")
+    said = F.substring("text", F.col("half") + 1, F.length("text"))
+    marked = F.concat(said, F.lit(" [Source "), i, F.lit("]. Then [source 2] , and [ Source 9 ] [Source "), i, F.lit("]."))
+    source = lambda s, start, n: F.struct(F.lit(s).alias("title"), F.substring("text", start, n).alias("text"))
+    sources = F.array(source("a", F.lit(1), third), source("b", third + 1, third), source("c", 2 * third + 1, F.col("half") - 2 * third))
+    return d.select("doc_id", F.when(F.col("doc_id") % 6 == 0, said).otherwise(marked).alias("answer"), sources.alias("sources"))
+
+
+def _parsed(answers: DataFrame) -> DataFrame:
+    numbers = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return answers.select("doc_id", numbers(grounding.cited(F.col("answer"))).alias("cited"), numbers(grounding.valid_citations(F.col("answer"), F.lit(3))).alias("valid"))
+
+
+def _verified(answers: DataFrame) -> DataFrame:
+    got = grounding.verify(answers)
+    return got.select("doc_id", "grounded", F.size("kept").cast("long").alias("kept"), F.col("dropped_uncited").cast("long").alias("dropped"), F.size(grounding.cited(F.col("answer"))).cast("long").alias("markers"))
+
+
+def _shown(answers: DataFrame) -> DataFrame:
+    shown = grounding.displayed_sources(F.col("answer"), F.col("sources"))
+    return answers.select("doc_id", F.array_join(F.transform(shown, lambda s: s["title"]), ",").alias("shown"))
+
+
 def citation_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return _answers(spark, sf).select("doc_id", F.array_join(grounding.cited(F.col("answer")).cast("array<string>"), ",").alias("cited"), F.array_join(grounding.valid_citations(F.col("answer"), F.lit(3)).cast("array<string>"), ",").alias("valid"))
+    return _parsed(_answers(spark, sf))
+
+
+def citation_parse_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(_whole_answers(spark, sf))
 
 
 def grounding_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,8 +62,11 @@ def grounding_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verify_citations(spark: SparkSession, sf: str) -> DataFrame:
-    got = grounding.verify(_answers(spark, sf))
-    return got.select("doc_id", "grounded", F.size("kept").cast("long").alias("kept"), F.col("dropped_uncited").cast("long").alias("dropped"), F.size(grounding.cited(F.col("answer"))).cast("long").alias("markers"))
+    return _verified(_answers(spark, sf))
+
+
+def verify_citations_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _verified(_whole_answers(spark, sf))
 
 
 def context_pack(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,8 +81,11 @@ def doc_text_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cited_sources(spark: SparkSession, sf: str) -> DataFrame:
-    shown = grounding.displayed_sources(F.col("answer"), F.col("sources"))
-    return _answers(spark, sf).select("doc_id", F.array_join(F.transform(shown, lambda s: s["title"]), ",").alias("shown"))
+    return _shown(_answers(spark, sf))
+
+
+def cited_sources_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(_whole_answers(spark, sf))
 
 
 def followup_fallback(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,6 +106,7 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (citation_parse, grounding_overlap, verify_citations, context_pack, doc_text_merge, cited_sources, followup_fallback, answer_contract, run_summary)}
+QUERIES |= {f.__name__: f for f in (citation_parse_whole, verify_citations_whole, cited_sources_whole)}
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: NOT list_contains(['" + "', '".join(X.GROUNDING_STOP) + "'], t)))"
 _A = """a AS (SELECT doc_id, text, CASE WHEN doc_id % 6 = 0 THEN [] WHEN doc_id % 5 = 2 THEN [2, 9] ELSE [doc_id % 5, 2, 9] END AS cited FROM documents WHERE doc_id % 2 = 0),
 v AS (SELECT *, list_filter(cited, lambda i: i BETWEEN 1 AND 3) AS valid FROM a)"""
@@ -92,3 +130,16 @@ b AS (SELECT u.conv_id, arg_max(text, turn) AS b FROM u JOIN q ON u.conv_id = q.
 SELECT conv_id, md5(CASE WHEN b IS NULL THEN q ELSE q || ' (regarding: ' || b || ')' END) AS resolved FROM q LEFT JOIN b USING (conv_id)""",
     "run_summary": "SELECT source, 3::BIGINT AS n FROM documents GROUP BY source",
 }
+
+# Every document and its whole text; the SQL above keeps to the even ids and to prefixes.
+_B = _A.replace(" WHERE doc_id % 2 = 0", "")
+_HALF = "CAST(length(coalesce(text, '')) // 2 AS BIGINT)"
+_FIRST, _SECOND = f"substr(coalesce(text, ''), 1, {_HALF})", f"substr(coalesce(text, ''), {_HALF} + 1)"
+_THIRDS = f"substr({_FIRST}, 1, {_HALF} // 3) || ' ' || substr({_FIRST}, {_HALF} // 3 + 1, {_HALF} // 3) || ' ' || substr({_FIRST}, 2 * ({_HALF} // 3) + 1)"
+SQL |= {
+    "citation_parse_whole": SQL["citation_parse"].replace(_A, _B),
+    "verify_citations_whole": "WITH " + _B + f""", o AS (SELECT v.*, {_TOK.format(_SECOND)} AS w, {_TOK.format(_THIRDS)} AS c FROM v),
+g AS (SELECT *, len(valid) > 0 OR (len(w) > 0 AND len(list_intersect(w, c))::DOUBLE / greatest(len(w), 1) >= 0.18) AS grounded FROM o)
+SELECT doc_id, grounded, CAST(CASE WHEN len(valid) > 0 THEN len(valid) WHEN grounded THEN 1 ELSE 0 END AS BIGINT) AS kept, CAST(3 - CASE WHEN len(valid) > 0 THEN len(valid) WHEN grounded THEN 1 ELSE 0 END AS BIGINT) AS dropped, CAST(len(valid) AS BIGINT) AS markers FROM g""",
+    "cited_sources_whole": SQL["cited_sources"].replace(_A, _B),
+}

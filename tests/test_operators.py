@@ -193,3 +193,18 @@ def test_commands():
 def test_index_stats(spark):
     rows = spark.createDataFrame([("a", "", 1), ("a", "x", 1), ("b", "x", 2)], "source string, category string, document_id int")
     assert {(r.source, r.category, r.chunks, r.documents) for r in analytics.index_stats(rows).collect()} == {("a", None, 2, 1), ("b", None, 1, 1), (None, "uncategorized", 1, 1), (None, "x", 2, 2), (None, None, 3, 2)}
+
+
+def test_answers_of_all_documents_and_whole_texts(spark, tmp_path):
+    from docspark.plans import catalog
+
+    # the shared words stand behind the first 12 words and the first 300 characters
+    early, late = " ".join(f"x{i}" for i in range(200)), " ".join(f"y{i}" for i in range(200))
+    shared = " ".join(f"s{i}" for i in range(150))
+    texts = {0: f"{early} {shared} {shared} {late}", 1: "short", 3: f"{early} {late}", 6: f"{early} {late}", 7: "", 12: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: {r.doc_id: r for r in catalog.queries()[n](spark, str(tmp_path)).collect()} for n in ("citation_parse_whole", "verify_citations_whole", "cited_sources_whole")}
+    assert all(set(rows) == set(texts) for rows in got.values())
+    assert {i: (r.cited, r.valid) for i, r in got["citation_parse_whole"].items()} == {0: ("", ""), 1: ("1,2,9", "1,2"), 3: ("3,2,9", "3,2"), 6: ("", ""), 7: ("2,9", "2"), 12: ("", "")}
+    assert {i: r.shown for i, r in got["cited_sources_whole"].items()} == {0: "a", 1: "a,b", 3: "c,b", 6: "a", 7: "b", 12: "a"}
+    assert {i: (r.grounded, r.kept, r.dropped) for i, r in got["verify_citations_whole"].items()} == {0: (True, 1, 2), 1: (True, 2, 1), 3: (True, 2, 1), 6: (False, 0, 3), 7: (True, 1, 2), 12: (False, 0, 3)}

@@ -25,9 +25,16 @@ def document_key(document_id: Column, title: Column, source: Column) -> Column:
 
 def merge_documents(hits: DataFrame, group: list[str], key: str, position: str, text: str, cap: int = DEFAULT.merge_cap) -> DataFrame:
     """One row for each document of a group, at its first position, with its distinct texts joined and capped."""
-    rows = hits.groupBy(*group, key).agg(F.min(position).alias(position), F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), T.strip(F.coalesce(F.col(text), F.lit(""))).alias("t")))).alias("all"))
-    texts = F.filter(F.array_distinct(F.transform("all", lambda x: x["t"])), lambda t: t != "")
-    return rows.select(*group, key, position, F.substring(F.array_join(texts, "\n\n"), 1, cap).alias(text))
+    # Whole texts are told apart, by a hash that is as good as the text; then only those that begin before the cap are gathered.
+    t = T.strip(F.coalesce(F.col(text), F.lit("")))
+    rows = hits.select(*group, key, F.col(position).alias("__p"), t.alias("__t"))
+    rows = rows.select(*group, key, "__p", F.sha2("__t", 256).alias("__h"), F.length("__t").alias("__n"), F.substring("__t", 1, cap).alias("__t"))
+    each = rows.groupBy(*group, key, "__h", "__n").agg(F.min(F.struct("__p", "__t")).alias("__m")).select(*group, key, "__h", "__n", "__m.*")
+    w = W.partitionBy(*group, key).orderBy("__p", "__t", "__h").rowsBetween(W.unboundedPreceding, -1)
+    taken = F.coalesce(F.sum(F.when(F.col("__n") > 0, F.col("__n") + 2)).over(w), F.lit(0))
+    shown = F.when((F.col("__n") > 0) & (F.col("__taken") < cap), F.struct("__p", "__t", "__h"))
+    both = each.withColumn("__taken", taken).groupBy(*group, key).agg(F.min("__p").alias(position), F.array_sort(F.collect_list(shown)).alias("__all"))
+    return both.select(*group, key, position, F.substring(F.array_join(F.transform("__all", lambda x: x["__t"]), "\n\n"), 1, cap).alias(text))
 
 
 def context_pack(blocks: DataFrame, group: list[str], position: str, text: str, budget: int = DEFAULT.max_context_chars) -> DataFrame:

@@ -61,6 +61,13 @@ def grounding_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.round(X.overlap_ratio(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
+def grounding_overlap_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of a text's first half that stands in its second."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = _t(spark, sf, "documents").select("doc_id", F.substring("text", F.lit(1), half).alias("a"), F.substring("text", half + 1, F.length("text")).alias("b"))
+    return rows.select("doc_id", F.round(X.overlap_ratio(F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))), 6).alias("overlap"))
+
+
 def verify_citations(spark: SparkSession, sf: str) -> DataFrame:
     return _verified(_answers(spark, sf))
 
@@ -80,6 +87,12 @@ def doc_text_merge(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("lang", "document", "position", F.md5("text").alias("text"))
 
 
+def doc_text_merge_whole(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _t(spark, sf, "documents").select("lang", (F.col("doc_id") % 20).alias("document"), F.col("doc_id").alias("position"), "text")
+    got = grounding.merge_documents(rows, ["lang"], "document", "position", "text")
+    return got.select("lang", "document", "position", F.md5("text").alias("text"))
+
+
 def cited_sources(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(_answers(spark, sf))
 
@@ -106,7 +119,7 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (citation_parse, grounding_overlap, verify_citations, context_pack, doc_text_merge, cited_sources, followup_fallback, answer_contract, run_summary)}
-QUERIES |= {f.__name__: f for f in (citation_parse_whole, verify_citations_whole, cited_sources_whole)}
+QUERIES |= {f.__name__: f for f in (citation_parse_whole, grounding_overlap_whole, doc_text_merge_whole, verify_citations_whole, cited_sources_whole)}
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: NOT list_contains(['" + "', '".join(X.GROUNDING_STOP) + "'], t)))"
 _A = """a AS (SELECT doc_id, text, CASE WHEN doc_id % 6 = 0 THEN [] WHEN doc_id % 5 = 2 THEN [2, 9] ELSE [doc_id % 5, 2, 9] END AS cited FROM documents WHERE doc_id % 2 = 0),
 v AS (SELECT *, list_filter(cited, lambda i: i BETWEEN 1 AND 3) AS valid FROM a)"""
@@ -141,5 +154,8 @@ SQL |= {
     "verify_citations_whole": "WITH " + _B + f""", o AS (SELECT v.*, {_TOK.format(_SECOND)} AS w, {_TOK.format(_THIRDS)} AS c FROM v),
 g AS (SELECT *, len(valid) > 0 OR (len(w) > 0 AND len(list_intersect(w, c))::DOUBLE / greatest(len(w), 1) >= 0.18) AS grounded FROM o)
 SELECT doc_id, grounded, CAST(CASE WHEN len(valid) > 0 THEN len(valid) WHEN grounded THEN 1 ELSE 0 END AS BIGINT) AS kept, CAST(3 - CASE WHEN len(valid) > 0 THEN len(valid) WHEN grounded THEN 1 ELSE 0 END AS BIGINT) AS dropped, CAST(len(valid) AS BIGINT) AS markers FROM g""",
+    "grounding_overlap_whole": f"""WITH t AS (SELECT doc_id, {_TOK.format(_FIRST)} AS a, {_TOK.format(_SECOND)} AS b FROM documents)
+SELECT doc_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(a) END, 6) AS overlap FROM t""",
+    "doc_text_merge_whole": SQL["doc_text_merge"].replace("substr(text, 1, 150)", "coalesce(text, '')"),
     "cited_sources_whole": SQL["cited_sources"].replace(_A, _B),
 }

@@ -3,7 +3,9 @@
 A layout is known by the hash of its nested field paths. The same fingerprint comes from
 a DataFrame's schema (a table of one layout) and from a JSON text (records of mixed
 layouts in one column), and it selects a declarative mapping: a schema to read and a SQL
-expression that gives ``array<struct<role, text>>``. Only SQL functions are used.
+expression that gives ``array<struct<role, text>>``. It is taken of the paths that a layout
+reads, so that further fields don't matter; of several layouts the one with most paths is
+chosen. Only SQL functions are used.
 """
 
 from __future__ import annotations
@@ -32,6 +34,44 @@ def fingerprint(kind: T.DataType) -> str:
     return hashlib.sha256(skeleton(kind).encode()).hexdigest()[:16]
 
 
+def relevant(kind: T.DataType, wanted: T.DataType) -> T.DataType:
+    """``kind`` without the fields that ``wanted`` hasn't."""
+    if isinstance(kind, T.StructType) and isinstance(wanted, T.StructType):
+        known = {f.name: f.dataType for f in wanted.fields}
+        return T.StructType([T.StructField(f.name, relevant(f.dataType, known[f.name])) for f in kind.fields if f.name in known])
+    if isinstance(kind, T.ArrayType) and isinstance(wanted, T.ArrayType):
+        return T.ArrayType(relevant(kind.elementType, wanted.elementType))
+    return kind
+
+
+def n_paths(kind: T.DataType) -> int:
+    if isinstance(kind, T.StructType):
+        return sum(1 + n_paths(f.dataType) for f in kind.fields)
+    return n_paths(kind.elementType) if isinstance(kind, T.ArrayType) else 0
+
+
+def json_skeleton(values: Column, wanted: T.DataType) -> Column:
+    """Skeleton of an array of variants, all read as one value, without the fields that ``wanted`` hasn't; null where there is no value."""
+    some = F.filter(values, lambda v: v.isNotNull())
+    kinds = F.transform(some, F.schema_of_variant)
+    if isinstance(wanted, T.StructType):
+        inner = lambda path: F.transform(some, lambda v: F.try_variant_get(v, path, "variant"))
+        fields = [F.concat(F.lit(f.name), json_skeleton(inner(f"$['{f.name}']"), f.dataType)) for f in sorted(wanted.fields, key=lambda f: f.name)]
+        found, opens = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit(">")), "OBJECT<"
+    elif isinstance(wanted, T.ArrayType):
+        items = F.flatten(F.transform(some, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))))
+        found, opens = F.concat(F.lit("["), F.coalesce(json_skeleton(items, wanted.elementType), F.lit("")), F.lit(">")), "ARRAY<"
+    else:
+        nested = F.exists(kinds, lambda k: k.startswith("OBJECT<") | k.startswith("ARRAY<"))
+        return F.when(F.size(some) > 0, F.when(nested, "?").otherwise(""))
+    return F.when(F.size(some) > 0, F.when(F.forall(kinds, lambda k: k.startswith(opens) | (k == "VOID")), found).otherwise("?"))
+
+
+def json_fingerprint_of(record: Column, wanted: T.DataType) -> Column:
+    """The fingerprint of one JSON text, of the paths in ``wanted`` alone."""
+    return F.substring(F.sha2(json_skeleton(F.array(F.try_parse_json(record)), wanted), 256), 1, 16)
+
+
 def json_fingerprint(record: Column) -> Column:
     """The fingerprint of one JSON text; null for a text that is not JSON."""
     s = F.schema_of_variant(F.try_parse_json(record))
@@ -47,10 +87,17 @@ class Layout:
     name: str
     schema: str
     turns: str
+    #: The fields that hold one turn a row together and put its turns in order; without, a row is a conversation.
+    key: str | None = None
+    order: str | None = None
+
+    @property
+    def kind(self) -> T.DataType:
+        return T._parse_datatype_string(self.schema)
 
     @property
     def fingerprint(self) -> str:
-        return fingerprint(T._parse_datatype_string(self.schema))
+        return fingerprint(self.kind)
 
 
 def _pair(ask: str, tell: str) -> str:
@@ -70,6 +117,14 @@ LAYOUTS = (
     Layout("system_dialog", "system string, dialog array<struct<user: string, assistant: string>>", f"concat(array(named_struct('role', 'system', 'text', r.system)), flatten(transform(r.dialog, d -> {_pair('d.user', 'd.assistant')})))"),
 )
 
+# Tables have these layouts besides. The roles of the first are canonical as they stand.
+TABLE_LAYOUTS = (
+    Layout("turn_rows", "conv_id long, turn long, role string, text string", "named_struct('role', r.role, 'text', r.text)", "conv_id", "turn"),
+    Layout("content_rows", "conv_id long, turn long, role string, content string", "named_struct('role', r.role, 'text', r.content)", "conv_id", "turn"),
+    Layout("from_value_rows", "conv_id long, turn long, `from` string, value string", "named_struct('role', r.`from`, 'text', r.value)", "conv_id", "turn"),
+    Layout("json_records", "record string", "r.record"),
+)
+
 # Names that other layouts give to the three roles.
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "chatgpt": "assistant"}
 
@@ -80,12 +135,49 @@ def record_turns(record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     Texts that are not JSON, or of an unknown layout, give null: callers see them and no
     row is dropped. A null text inside a known layout is an empty turn text when rendered.
     """
-    found, chosen = json_fingerprint(F.col(record)), F.lit(None).cast(TURNS)
-    for x in reversed(layouts):
+    chosen = F.lit(None).cast(TURNS)
+    for x in reversed(by_paths(layouts)):
         turns = F.expr(f"transform(array(from_json(`{record}`, '{x.schema}')), r -> {x.turns})[0]")
-        chosen = F.when(found == x.fingerprint, turns.cast(TURNS)).otherwise(chosen)
+        chosen = F.when(json_fingerprint_of(F.col(record), x.kind) == x.fingerprint, turns.cast(TURNS)).otherwise(chosen)
+    return canonical_roles(chosen)
+
+
+def by_paths(layouts: tuple[Layout, ...]) -> list[Layout]:
+    return sorted(layouts, key=lambda x: -n_paths(x.kind))
+
+
+def canonical_roles(turns: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv])
-    return F.transform(chosen, lambda t: F.struct(F.coalesce(F.try_element_at(names, F.lower(t["role"])), t["role"]).alias("role"), t["text"].alias("text")))
+    return F.transform(turns, lambda t: F.struct(F.coalesce(F.try_element_at(names, F.lower(t["role"])), t["role"]).alias("role"), t["text"].alias("text")))
+
+
+def table_layout(kind: T.StructType) -> Layout:
+    """The layout of a table, by the fingerprint of its schema."""
+    for x in by_paths((*TABLE_LAYOUTS, *LAYOUTS)):
+        if fingerprint(relevant(kind, x.kind)) == x.fingerprint:
+            return x
+    raise ValueError(f"no layout has the fields {skeleton(kind)}")
+
+
+def conversations(rows: DataFrame, key: str = "conv_id") -> DataFrame:
+    """``key`` and ``turns`` of every conversation of a table in any known layout.
+
+    A table of an unknown layout is refused; in a table of JSON records, the turns of one of
+    an unknown layout are null. Where a row is a conversation, ``key`` is null if the table has none.
+    """
+    x = table_layout(rows.schema)
+    if x.name == "json_records":
+        turns = record_turns("record")
+    else:
+        r = F.struct(*[F.col(f"`{f.name}`") for f in x.kind.fields])
+        turns = F.expr(f"transform(array(__r), r -> {x.turns})[0]")
+        rows = rows.withColumn("__r", r)
+    if x.order:
+        one = rows.select(F.col(x.key).alias(key), F.col(x.order).alias("__at"), turns.alias("__turn"))
+        got = gather_turns(one.select(key, "__at", "__turn.role", "__turn.text"), key, "__at")
+        return got if x.name == "turn_rows" else got.withColumn("turns", canonical_roles(F.col("turns")))
+    name = F.col(key) if key in rows.columns else F.lit(None).cast("long").alias(key)
+    return rows.select(name, (turns if x.name == "json_records" else canonical_roles(turns.cast(TURNS))).alias("turns"))
 
 
 # ---- the template ----------------------------------------------------------------------

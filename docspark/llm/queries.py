@@ -17,11 +17,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null roles and texts count as empty. An empty table leaves only the record.
     """
     rows = table(spark, sf_dir, "conversations")
-    turns = chat.gather_turns(rows, "conv_id", "turn")
+    turns = chat.conversations(rows)
     said = "</s>[INST] ok [/INST]"
     record = f'{{"messages": [{{"role": "user", "content": "{said}"}}, {{"role": "assistant", "content": "{said}"}}]}}'
-    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(record).alias("record")).select("conv_id", chat.record_turns("record").alias("turns"))
-    out = turns.unionByName(extra).select("conv_id", chat.render(F.col("turns")).alias("out")).select("conv_id", "out.formatted", "out.mask")
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(record).alias("record"))
+    out = turns.unionByName(chat.conversations(extra)).select("conv_id", chat.render(F.col("turns")).alias("out")).select("conv_id", "out.formatted", "out.mask")
     back = out.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("mask")).alias("loss"))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

@@ -486,3 +486,40 @@ def test_prior_is_that_of_all_labels(spark, monkeypatch):
     # the sample holds both labels alike, so without the labels' own share the mean score is near a half
     mean = quality.add_score(docs, capped).agg(F.avg("score")).first()[0]
     assert abs(mean - capped.prior) < 0.1
+
+
+# ---- layouts of tables, and further fields -------------------------------------------------
+
+
+def test_further_fields_keep_the_layout(spark):
+    import json
+
+    records = {
+        "messages": {"id": 7, "messages": [{"role": "user", "content": "q", "name": "n"}, {"content": "a", "role": "assistant"}], "meta": {"k": [1]}},
+        "pair": {"prompt": "q", "response": "a", "source": "web", "score": 0.5},
+        "most_paths": {"instruction": "q", "input": "", "output": "a", "id": None},
+        "nulls": {"prompt": "q", "completion": None, "id": 1},
+    }
+    rows = [(k, json.dumps(v)) for k, v in records.items()]
+    rows += [("nested", '{"prompt": {"x": 1}, "response": "a", "id": 1}'), ("less", '{"prompt": "q", "id": 1}'), ("empty", '{"messages": [], "id": 1}'), ("parts", '{"messages": [{"role": "user", "content": ["p"]}]}'), ("list", '[{"prompt": "q", "response": "a"}]')]
+    got = {r.name: r.t for r in spark.createDataFrame(rows, "name string, record string").select("name", chat.record_turns("record").alias("t")).collect()}
+    for k in ("messages", "pair", "most_paths"):
+        assert [(t.role, t.text) for t in got[k]] == [("user", "q"), ("assistant", "a")], k
+    assert [(t.role, t.text) for t in got["nulls"]] == [("user", "q"), ("assistant", None)]
+    assert all(got[k] is None for k in ("nested", "less", "empty", "parts", "list"))
+
+
+def test_tables_of_other_layouts(spark):
+    want = {1: [("user", "q"), ("assistant", "a")]}
+    tables = {
+        "turn_rows": spark.createDataFrame([(1, 1, "assistant", "a", 0.1), (1, 0, "user", "q", 0.2)], "conv_id long, turn int, role string, text string, score double"),
+        "from_value_rows": spark.createDataFrame([(1, 1, "gpt", "a"), (1, 0, "human", "q")], "conv_id long, turn int, `from` string, value string"),
+        "from_value": spark.createDataFrame([(1, [("human", "q", 1), ("gpt", "a", 2)])], "conv_id long, conversations array<struct<`from`: string, value: string, n: int>>"),
+        "prompt_response": spark.createDataFrame([(1, "q", "a", "web")], "conv_id long, prompt string, response string, source string"),
+        "json_records": spark.createDataFrame([(1, '{"prompt": "q", "response": "a", "id": 3}')], "conv_id long, record string"),
+    }
+    for name, df in tables.items():
+        assert chat.table_layout(df.schema).name == name
+        assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.conversations(df).collect()} == want, name
+    with pytest.raises(ValueError, match="no layout"):
+        chat.conversations(spark.createDataFrame([(1, "x")], "conv_id long, body string"))

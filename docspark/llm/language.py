@@ -27,7 +27,7 @@ WINDOW, GATHERED = 1 << 19, 4_000_000
 HASHES = 3
 #: An n-gram is in a language's filter if at least this share of the language's n-grams are it. So each filter holds at most 1 / MIN_SHARE of them.
 MIN_SHARE = 1 / 40_000
-MOST_LANGUAGES = 64
+WORD_BITS = 64
 UNKNOWN = "und"
 
 # Bytes of n-grams: ASCII letters in lower case and all other non-ASCII bytes stay, the rest are spaces.
@@ -90,6 +90,8 @@ def slots(code: np.ndarray) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
+    """``masks`` has one row of slots for every WORD_BITS languages."""
+
     languages: tuple[str, ...]
     masks: np.ndarray
     false_rate: np.ndarray
@@ -97,14 +99,12 @@ class Model:
     @staticmethod
     def of(found: list[tuple[str, np.ndarray]]) -> Model:
         """``found``: each language with its n-grams."""
-        if len(found) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-        kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(found) <= bits)
-        masks = np.zeros(SLOTS, kind)
+        kind = next((t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(found) <= bits), np.uint64)
+        masks = np.zeros((max(1, -(-len(found) // WORD_BITS)), SLOTS), kind)
         for i, (_, codes) in enumerate(found):
             for s in slots(codes):
-                masks[s] |= kind(1 << i)
-        fill = np.array([((masks >> kind(i)) & kind(1)).mean() for i in range(len(found))])
+                masks[i // WORD_BITS][s] |= kind(1 << i % WORD_BITS)
+        fill = np.array([((masks[i // WORD_BITS] >> kind(i % WORD_BITS)) & kind(1)).mean() for i in range(len(found))])
         return Model(tuple(x for x, _ in found), masks, fill**HASHES)
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +115,15 @@ class Model:
         total, count = np.zeros(n, np.int64), np.zeros((len(self.languages), n), np.int64)
         for data, starts, owners in windows(texts):
             code, first = grams(data, starts)
-            hit = None
-            for s in slots(code):
-                hit = self.masks[s] if hit is None else hit & self.masks[s]
+            places = slots(code)
             np.add.at(total, owners, np.diff(first))
-            for i in range(len(self.languages)):
-                sums = np.concatenate([[0], np.cumsum((hit >> hit.dtype.type(i)) & hit.dtype.type(1), dtype=np.int64)])
-                np.add.at(count[i], owners, sums[first[1:]] - sums[first[:-1]])
+            for k, mask in enumerate(self.masks):
+                hit = mask[places[0]]
+                for s in places[1:]:
+                    hit &= mask[s]
+                for i in range(k * WORD_BITS, min((k + 1) * WORD_BITS, len(self.languages))):
+                    sums = np.concatenate([[0], np.cumsum((hit >> hit.dtype.type(i % WORD_BITS)) & hit.dtype.type(1), dtype=np.int64)])
+                    np.add.at(count[i], owners, sums[first[1:]] - sums[first[:-1]])
         false = self.false_rate[:, None]
         share = np.maximum(count - total * false, 0) / (1 - false) / np.maximum(total, 1)
         best = share.argmax(0)

@@ -523,3 +523,18 @@ def test_tables_of_other_layouts(spark):
         assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.conversations(df).collect()} == want, name
     with pytest.raises(ValueError, match="no layout"):
         chat.conversations(spark.createDataFrame([(1, "x")], "conv_id long, body string"))
+
+
+def test_more_languages_than_bits_of_a_word():
+    rng = random.Random(4)
+    letters = [rng.sample("abcdefghijklmnopqrstuvwxyz", 8) for _ in range(130)]
+    said = [" ".join("".join(rng.choices(x, k=6)) for _ in range(300)) for x in letters]
+
+    def codes(text):
+        return np.unique(np.concatenate([language.grams(data, starts)[0] for data, starts, _ in language.windows(pa.array([text]))]))
+
+    model = language.Model.of([(f"l{i:03}", codes(x)) for i, x in enumerate(said)])
+    best, score = model.predict(pa.array(said))
+    assert best.tolist() == list(range(130)) and (score > 0).all()
+    few = language.Model.of([(f"l{i:03}", codes(x)) for i, x in enumerate(said[:64])])
+    assert few.predict(pa.array(said[:64]))[0].tolist() == list(range(64))

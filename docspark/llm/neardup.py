@@ -2,18 +2,17 @@
 
 1. Every text becomes its set of word shingles, a signature of HASHES minima and BANDS
    band keys. Equal sets are one node from here on, so exact copies cost nothing further.
-2. In each band bucket the nodes are paired with a pivot, PIVOTS times with another. A bucket
-   of up to PIVOTS + 1 nodes is done then, as is one whose nodes lie in one component.
+2. In each band bucket all nodes are paired with up to three pivots: the least name, the
+   greatest and the least by another hash (sums that are combined before the shuffle).
 3. A pair's signatures are compared BATCH values at a time. With a uniform prior the
    similarity has a beta posterior; a pair is dropped as soon as the chance that it reaches
    the threshold is below MISS. Survivors are checked on their full sets, and links are
-   contracted to components, so pairs inside a component are never formed.
-4. In the buckets that are left, the nodes outside the largest component are compared with
-   all nodes, tile by tile (TILE against TILE in one task, never emitting all pairs): each
-   node's MOST most similar survivors are checked.
-5. A node that had more survivors lies in a dense group. There, the full sets are counted
-   against each other in tiles, and one link for each node and component goes out. So no
-   link between different components is lost.
+   contracted to components.
+4. A bucket whose nodes then lie in one component, or were all paired, is done. In the others
+   the nodes outside the largest component are compared with all nodes, tile by tile, in the
+   same way: sizes, signatures batch by batch, then full sets. Tiles have a bounded weight, a
+   pair is looked at in the first band that it shares alone, and no pair leaves its task: one
+   link for each node and component does. So no link between components is lost.
 
 With 32 bands of 4 the chance that a pair at similarity 0.8 shares no bucket is 5e-8.
 """
@@ -38,12 +37,12 @@ HASHES = BANDS * ROWS
 BATCH = 32
 #: The chance, at any one look, of dropping a pair whose similarity reaches the threshold.
 MISS = 1e-7
-TILE, MOST, PIVOTS = 1024, 4, 3
-#: Rows of tiles that one task gets together, and pairs that it compares at a time.
-TASK_ROWS, PAIRS = 20_000, 1 << 19
-#: Ids of candidate documents are broadcast up to this many; beyond, they are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
-_NO_ID = (1 << 63) - 1
+#: Weight of a tile's nodes and of the tiles that a task gets together, in shingles (8 bytes each).
+TILE, TASK = 1 << 18, 1 << 19
+#: Pairs of a tile that are compared at a time.
+PAIRS = 1 << 18
+#: Ids of candidate documents (8 bytes each) are broadcast up to this many bytes; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 8 << 20
 
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
 _A = (_SEEDS[:HASHES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -97,8 +96,8 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, tie: str | None
             for s in (s for part in slices(batch.column(1)) for s in shingle_sets(part, width)):
                 n.append(len(s))
                 node.append(node_of(s))
-                low = minima(s) if len(s) else None
-                sig.append(None if low is None else low.astype("<u2").tobytes())
+                low = minima(s).astype("<u2") if len(s) else None  # bands are those of the shortened values
+                sig.append(None if low is None else low.tobytes())
                 band.append(None if low is None else bands(low))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["id", "tie", "n", "node", "signature", "bands"])
 
@@ -126,122 +125,107 @@ def plausible(a: Column, b: Column, threshold: float) -> Column:
     return test(a, b)
 
 
-def tiles(open_rows: DataFrame, threshold: float, most: int = MOST) -> DataFrame:
-    """``u, v, more``: surviving pairs between components in open buckets (``band, node, component, n, signature``).
+def first_band(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first band in which pairs of signatures agree; BANDS where none does."""
+    same = (x == y).reshape(-1, BANDS, ROWS).all(2)
+    return np.where(same.any(1), same.argmax(1), BANDS)
 
-    The nodes outside a bucket's largest component (left) meet all its nodes (right). Both
-    sides are dealt into tiles of about TILE, and a task gets pairs of tiles, TASK_ROWS rows
-    or so at a time, whatever the bucket's size. ``most`` bounds the survivors of a left node
-    in one pair of tiles, the most similar first; ``more`` is the left node if it had more.
-    """
+
+def tile_links(rows: pa.Table, threshold: float, percent: int) -> pa.Table:
+    """Links ``u, v`` of the tiles of a task: one at most for each left node and component of right nodes."""
     least = [least_matches(k, threshold) for k in range(BATCH, HASHES + 1, BATCH)]
-    shares = open_rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
-    bulk = shares.groupBy("band").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all"))
-    outer = F.col("all") - F.col("top.k")
-    bulk = bulk.select("band", F.col("top.component").alias("largest"), outer.alias("outer"), "all", F.ceil(outer / TILE).cast("int").alias("lefts"), F.ceil(F.col("all") / TILE).cast("int").alias("rights"))
-    cut = open_rows.join(bulk.drop("outer", "all"), "band").withColumn("h", F.xxhash64("node", "band"))
-    outside = F.col("component") != F.col("largest")
-    left = cut.where(outside).select("*", F.lit(True).alias("is_left"), F.pmod("h", "lefts").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
-    right = cut.select("*", F.lit(False).alias("is_left"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod("h", "rights").cast("int").alias("j"))
-    dealt = left.unionByName(right).select("band", "i", "j", "is_left", "node", "component", "n", "signature")
-    # the number of tasks follows from a sum over the buckets alone
-    rows = bulk.agg(F.sum(F.col("outer") * F.col("rights") + F.col("all") * F.col("lefts"))).first()[0] or 0
-    tasks = max(1, math.ceil(rows / TASK_ROWS))
-
-    def survivors(x: np.ndarray, y: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        count = np.zeros(len(x), np.int64)
-        for k, need in enumerate(least):
-            part = slice(k * BATCH, (k + 1) * BATCH)
-            count += (sig[x, part] == sig[y, part]).sum(1)
-            keep = count >= need
+    rows = rows.sort_by([(c, "ascending") for c in ("band", "i", "j", "is_left", "node")]).combine_chunks()
+    band, at, i, j, is_left, outside, node, component, n = (rows.column(c).to_numpy() for c in ("band", "at", "i", "j", "is_left", "outside", "node", "component", "n"))
+    sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(-1, HASHES)
+    sets = rows.column("shingles").combine_chunks()
+    sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+    flat, ends = sets.flatten().to_numpy(), np.cumsum(n)
+    own = lambda k: flat[ends[k] - n[k] : ends[k]]
+    new = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+    us, vs = [], []
+    for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+        m = a + int(b - a - is_left[a:b].sum())  # right nodes come first; in a bucket of one tile the left ones are among them
+        left = np.arange(m, b) if m < b else a + np.flatnonzero(outside[a:b])
+        mark: np.ndarray | None = None
+        step = max(1, PAIRS // max(m - a, 1))
+        for c in range(0, len(left), step):
+            x = np.repeat(left[c : c + step], m - a)
+            y = np.tile(np.arange(a, m), len(x) // max(m - a, 1))
+            # the sizes alone bound the similarity from above; of two left nodes in one tile, one looks
+            ok = (component[x] != component[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ~((m == b) & outside[y] & (y < x))
+            x, y = x[ok], y[ok]
+            count = np.zeros(len(x), np.int64)
+            for k, need in enumerate(least):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                count += (sig[x, part] == sig[y, part]).sum(1)
+                keep = count >= need
+                x, y, count = x[keep], y[keep], count[keep]
+            keep = first_band(sig[x], sig[y]) == at[x]
             x, y, count = x[keep], y[keep], count[keep]
-        return x, y, count
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["band", "i", "j", "is_left", "node"], kind="stable")
-        band, i, j, is_left, node, component, n = (group[c].to_numpy() for c in ("band", "i", "j", "is_left", "node", "component", "n"))
-        sig = np.frombuffer(b"".join(group["signature"]), "<u2").reshape(-1, HASHES)
-        new = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-        found: list[pd.DataFrame] = []
-
-        def look(xs: list[np.ndarray], ys: list[np.ndarray]) -> None:
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            x, y, count = survivors(x, y, sig)
-            found.append(pd.DataFrame({"tile": np.searchsorted(new, x, "right"), "left": node[x], "right": node[y], "count": count}))
-
-        xs, ys, held = [], [], 0
-        for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
-            m = a + int(b - a - is_left[a:b].sum())  # right nodes come first
-            for c in range(m, b, max(1, PAIRS // max(m - a, 1))):
-                x = np.repeat(np.arange(c, min(b, c + max(1, PAIRS // max(m - a, 1)))), m - a)
-                y = np.tile(np.arange(a, m), len(x) // max(m - a, 1))
-                # the sizes alone bound the similarity from above
-                ok = (component[x] != component[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9)
-                xs.append(x[ok])
-                ys.append(y[ok])
-                held += int(ok.sum())
-                if held > PAIRS:
-                    look(xs, ys)
-                    xs, ys, held = [], [], 0
-        if xs:
-            look(xs, ys)
-        out = pd.concat(found) if found else pd.DataFrame({"tile": [], "left": [], "right": [], "count": []})
-        out["more"] = False
-        if len(out):
-            out = out.sort_values(["tile", "left", "count", "right"], ascending=[True, True, False, True])
-            by = out.groupby(["tile", "left"])
-            out["more"] = by["left"].transform("size") > most
-            out = out[by.cumcount() < most]
-        return pd.DataFrame({"u": np.minimum(out["left"], out["right"]), "v": np.maximum(out["left"], out["right"]), "more": np.where(out["more"], out["left"], None)}).astype({"u": "int64", "v": "int64"})
-
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("band", "i", "j"), F.lit(tasks)))
-    return dealt.groupBy("task").applyInPandas(compare, "u long, v long, more long").distinct()
-
+            order = np.lexsort((-count, x))
+            x, y = x[order], y[order]
+            bounds = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.empty(0, np.int64)
+            for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                k, near = int(x[p]), y[p:q]
+                if q - p <= 8:
+                    shared = np.array([np.isin(own(k), own(r), assume_unique=True).sum() for r in near.tolist()])
+                else:  # many: count on all right nodes of the tile at once
+                    if mark is None:
+                        code = np.unique(flat[ends[a] - n[a] : ends[b - 1]], return_inverse=True)[1]
+                        mark, base = np.zeros(int(code.max()) + 1, np.int32), int(ends[a] - n[a])
+                    mine = code[ends[k] - n[k] - base : ends[k] - base]
+                    mark[mine] = 1
+                    shared = np.add.reduceat(mark[code[: ends[m - 1] - base]], ends[a:m] - n[a:m] - base)[near - a]
+                    mark[mine] = 0
+                near = near[100 * shared >= percent * (n[near] + n[k] - shared)]
+                _, one = np.unique(component[near], return_index=True)
+                us.extend([node[k]] * len(one))
+                vs.extend(node[near[one]])
+    u, v = np.array(us, np.int64), np.array(vs, np.int64)
+    return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+
+def tiles(open_rows: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links ``u, v`` between components in open buckets (``band, at, node, component, n, signature, shingles``).
 
-def dense_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact links in dense groups (``group, node, component, left``), one for each left node and component at most.
-
-    Left nodes meet all nodes of their group, in tiles; shingles in common are counted for
-    a whole tile at a time.
+    The nodes outside a bucket's largest component (left) meet all its nodes (right). Both
+    sides are dealt into tiles of about TILE, and a task gets pairs of tiles of TASK or so
+    together, whatever the bucket's size. Nodes of a bucket of one tile are sent once.
     """
-    sizes = groups.groupBy("group").agg(F.ceil(F.count_if("left") / TILE).cast("int").alias("lefts"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("rights")).where("lefts > 0")
-    cut = groups.join(sizes, "group").join(sets, "node").withColumn("h", F.xxhash64("node"))
-    left = cut.where("left").select("group", F.lit(True).alias("is_left"), "node", "component", "shingles", F.pmod("h", "lefts").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
-    right = cut.select("group", F.lit(False).alias("is_left"), "node", "component", "shingles", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), F.pmod("h", "rights").cast("int").alias("j"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["is_left", "node"], kind="stable")
-        own = group["shingles"].to_numpy()
-        n = np.array([len(x) for x in own])
-        code = np.unique(np.concatenate(own), return_inverse=True)[1]
-        ends = np.cumsum(n)
-        m = int((~group["is_left"]).sum())  # right nodes come first
-        node, component = group["node"].to_numpy(), group["component"].to_numpy()
-        mark = np.zeros(int(code.max()) + 1, np.int32)
-        out = []
-        for k in range(m, len(node)):
-            mine = code[ends[k] - n[k] : ends[k]]
-            mark[mine] = 1
-            shared = np.add.reduceat(mark[code[: ends[m - 1]]], ends[:m] - n[:m])
-            mark[mine] = 0
-            linked = np.flatnonzero((100 * shared >= percent * (n[:m] + n[k] - shared)) & (component[:m] != component[k]))
-            _, at = np.unique(component[linked], return_index=True)
-            out.extend((node[k], node[j]) for j in linked[at])
-        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
-
-    return left.unionByName(right).groupBy("group", "i", "j").applyInPandas(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    weight = F.col("n") + HASHES // 4
+    shares = open_rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"), F.sum(weight).alias("w"))
+    bulk = shares.groupBy("band").agg(F.max(F.struct("k", "component", "w")).alias("top"), F.sum("w").alias("all"))
+    outer = F.col("all") - F.col("top.w")
+    bulk = scratch.written(bulk.select("band", F.col("top.component").alias("largest"), outer.alias("outer"), "all", F.ceil(outer / TILE).cast("int").alias("lefts"), F.ceil(F.col("all") / TILE).cast("int").alias("rights")), "bulk")
+    # the number of tasks follows from a sum over the buckets alone
+    total = bulk.agg(F.sum(F.when(F.col("rights") == 1, F.col("all")).otherwise(F.col("outer") * F.col("rights") + F.col("all") * F.col("lefts")))).first()[0] or 0
+    tasks = max(1, math.ceil(total / TASK))
+    cut = open_rows.join(bulk.drop("outer", "all"), "band").withColumns({"h": F.xxhash64("node", "band"), "outside": F.col("component") != F.col("largest")})
+    # a right row goes to each tile of left rows, a left row to each tile of right rows
+    sides = F.array(F.lit(False), F.col("outside") & (F.col("rights") > 1))
+    spread = cut.select("*", F.explode(F.array_distinct(sides)).alias("is_left")).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_left"), F.col("rights")).otherwise(F.col("lefts")) - 1)))
+    i = F.when(F.col("is_left"), F.pmod("h", "lefts").cast("int")).otherwise(F.col("other"))
+    j = F.when(F.col("is_left"), F.col("other")).otherwise(F.pmod("h", "rights").cast("int"))
+    dealt = spread.select("band", "at", i.alias("i"), j.alias("j"), "is_left", "outside", "node", "component", "n", "signature", "shingles")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        return tile_links(rows, threshold, percent)
+
+    # pairs of tiles are dealt by hash before they are grouped, so that a task is a group
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("band", "i", "j"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInArrow(compare, "u long, v long").distinct()
 
 
 class Verifier:
     """Exact links among pairs of nodes, from the sets of the documents' whole texts."""
 
-    def __init__(self, docs: DataFrame, named: DataFrame, nodes: DataFrame, key: str, text: str, width: int, percent: int):
-        self.docs, self.named, self.nodes, self.key, self.text, self.width, self.percent = docs, named, nodes, key, text, width, percent
+    def __init__(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, width: int, percent: int):
+        self.docs, self.nodes, self.key, self.text, self.width, self.percent = docs, nodes, key, text, width, percent
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """``node, shingles`` of every wanted ``node``, each read from one of its documents."""
-        ids = scratch.written(self.named.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "wanted")
-        n = ids.count()
+        """``node, shingles`` of every wanted ``node`` (distinct), each read from one of its documents."""
+        ids = scratch.written(self.nodes.join(wanted, "node", "left_semi").select("node", "least.id"), "wanted")
+        small = 8 * ids.count() <= MOST_BROADCAST
         width = self.width
 
         def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,17 +234,17 @@ class Verifier:
                     own = shingle_sets(part, width)
                     yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.int64()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], ["node", "shingles"])
 
+        rows = self.docs.select(F.col(self.key).cast("long").alias("id"), F.col(self.text).alias("text"))
         distinct = ids.select("id").distinct()
-        rows = self.docs.select(F.coalesce(F.col(self.key).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(self.text).alias("text"))
-        rows = rows.join(F.broadcast(distinct) if n <= MOST_BROADCAST else distinct, "id", "left_semi")
+        rows = rows.join(F.broadcast(distinct) if small else distinct, rows["id"].eqNullSafe(distinct["id"]), "left_semi")
         found = rows.select("text").mapInArrow(shingle, "node long, shingles array<long>")
         # repeated ids may bring other nodes, or one node twice
-        return scratch.written(found.join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+        own = ids.select("node")
+        return scratch.written(found.join(F.broadcast(own) if small else own, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``u, v`` whose sets are similar enough."""
-        pairs = scratch.written(pairs, "pairs")
-        sets = self.sets(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
+        """The pairs ``u, v`` (a written table) whose sets are similar enough."""
+        sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         left = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
         both = left.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
@@ -268,63 +252,53 @@ class Verifier:
         return both.withColumn("shared", shared).where(100 * F.col("shared") >= self.percent * union).select("u", "v")
 
 
+def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    return members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, tie: str | None = None) -> DataFrame:
     """``id, tie, n_shingles, component_id, kept``, a row for each document.
 
     Documents whose sets share at least ``percent`` hundredths of their union are linked;
     ``component_id`` is the least id reachable. Null and empty texts, and texts without
     words, have no shingles and are linked with nothing. Copies of a text, repeated rows
-    too, are one node; a null id counts as the largest id and is null again in the result.
+    too, are one node; a null id comes after all others and stays null in the result.
     With ``tie`` (a column) only the rows of the least id that also have the least tie are
     kept. An empty table gives an empty result; other columns are ignored.
     """
     threshold = percent / 100
     rows = scratch.written(signatures(docs, key, text, width, tie), "signatures")
-    named = rows.where("n > 0").select(F.coalesce("id", F.lit(_NO_ID)).alias("id"), "tie", "n", "node")
-    nodes = scratch.written(rows.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "signature", "bands")]), "nodes")
-    exact = Verifier(docs, named, nodes, key, text, width, percent)
-
-    in_bands = nodes.select(F.explode("bands").alias("band"), "node")
-    shared = in_bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low <> top").select("band")
-    members = scratch.written(in_bands.join(shared, "band"), "members")
+    # nulls last: a struct compares its fields in order
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
+    nodes = scratch.written(rows.where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "signature", "bands")], F.min(name).alias("least")), "nodes")
+    exact = Verifier(docs, nodes, key, text, width, percent)
+
+    in_bands = nodes.select("node", F.posexplode("bands").alias("at", "band"))
+    third = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
+    pivots = in_bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("top"), third.alias("third"), F.count(F.lit(1)).alias("k")).where("low <> top")
+    members = scratch.written(in_bands.join(scratch.written(pivots, "pivots"), "band"), "members")
+    pairs = members.select("node", F.explode(F.array("low", "top", "third")).alias("p")).where("node <> p").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
     side = nodes.select("node", "n", "signature")
-    parts = scratch.written(members.limit(0).select("node", F.col("node").alias("component")), "parts")
-    tested = scratch.written(members.limit(0).select(F.col("node").alias("u"), F.col("node").alias("v")), "tested")
-    order = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))
-    last = None  # each bucket's pivot so far; the next one comes after it
-    for _ in range(PIVOTS):
-        placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if last is not None:
-            placed = placed.join(last, "band", "left")
-        ahead = F.lit(True) if last is None else F.col("last").isNull() | (order > F.col("last"))
-        pivots = placed.groupBy("band").agg(F.min(F.when(ahead, order)).alias("last"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b and last is not null").select("band", "last")
-        last = scratch.written(pivots, "pivots")
-        own = members.join(last, "band").where("node <> last.node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        own = own.join(parts.select(F.col("node").alias("p"), F.col("component").alias("pc")), F.col("last.node") == F.col("p"), "left").where(F.col("component") != F.coalesce("pc", "last.node"))
-        pairs = own.select(F.least("node", "last.node").alias("u"), F.greatest("node", "last.node").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-        pairs = scratch.written(pairs, "pairs")
-        parts = _joined(parts, scratch.written(exact.links(_plausible_pairs(pairs, side, threshold)), "links"))
-        tested = scratch.written(tested.unionByName(pairs), "tested")
-    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("k")).where(F.col("k") > PIVOTS + 1).where("a <> b").select("band")
-    open_rows = scratch.written(placed.join(split, "band", "left_semi").join(side, "node"), "open")
-    pairs = scratch.written(tiles(open_rows, threshold), "tiles")
-    parts = _joined(parts, scratch.written(exact.links(pairs.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")), "links"))
-    many = scratch.written(pairs.where("more is not null").select(F.col("more").alias("node")).distinct(), "dense")
-    if not many.isEmpty():
-        # buckets that hold such a node, put together where they overlap
-        near = open_rows.join(many, "node", "left_semi").select("band").distinct()
-        edges = scratch.written(open_rows.join(near, "band", "left_semi").select("band", "node"), "dense")
-        whole = graph.components(edges.select(F.col("band").alias("u"), F.col("node").alias("v"))).toDF("node", "group")
-        groups = edges.select("node").distinct().join(whole, "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        groups = scratch.written(groups.join(many.withColumn("left", F.lit(True)), "node", "left").withColumn("left", F.coalesce("left", F.lit(False))), "dense")
-        parts = _joined(parts, scratch.written(dense_links(groups, exact.sets(groups.select("node")), percent), "links"))
-    least = named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).groupBy("component").agg(F.min(F.struct("id", "tie")).alias("least"))
-    whole = rows.select("id", "tie", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    found = whole.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).join(least, "component", "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("least.id") < _NO_ID, F.col("least.id"))).otherwise(F.col("id"))
-    kept = (F.col("n") == 0) | (F.coalesce("id", F.lit(_NO_ID)).eqNullSafe(F.col("least.id")) & F.col("tie").eqNullSafe(F.col("least.tie")))
-    return found.select("id", "tie", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    links = scratch.written(exact.links(scratch.written(_plausible_pairs(pairs, side, threshold), "pairs")), "links")
+    parts = graph.components(links)
+
+    # a bucket is done if all its pairs hold a pivot
+    rest = F.col("k") - F.when((F.col("third") == F.col("low")) | (F.col("third") == F.col("top")), 2).otherwise(3)
+    placed = scratch.written(_placed(members.where(rest >= 2).select("band", "at", "node"), parts), "placed")
+    split = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
+    open_rows = scratch.written(placed.join(split, "band", "left_semi"), "open")
+    if not open_rows.isEmpty():
+        sets = exact.sets(open_rows.select("node").distinct())
+        full = scratch.written(tiles(open_rows.join(side, "node").join(sets, "node"), threshold, percent), "links")
+        parts = graph.components(links.unionByName(full))
+
+    of_parts = parts.join(nodes.select("node", "least"), "node")
+    heads = of_parts.groupBy("component").agg(F.min("least").alias("head"))
+    linked = of_parts.join(heads, "component").select("node", "head")
+    head = nodes.select("node", "least").join(linked, "node", "left").select("node", F.coalesce("head", "least").alias("head"))
+    found = rows.select("id", "tie", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(head, "node", "left")
+    kept = (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("head.id")) & F.col("tie").eqNullSafe(F.col("head.tie")))
+    return found.select("id", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head.id")).otherwise(F.col("id")).alias("component_id"), kept.alias("kept"))
 
 
 def _plausible_pairs(pairs: DataFrame, side: DataFrame, threshold: float) -> DataFrame:
@@ -332,14 +306,3 @@ def _plausible_pairs(pairs: DataFrame, side: DataFrame, threshold: float) -> Dat
     both = pairs.join(side.toDF("v", "m", "y"), "v").join(side.toDF("u", "n", "x"), "u")
     both = both.where(F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)
     return both.where(plausible(F.col("x"), F.col("y"), threshold)).select("u", "v")
-
-
-def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links: only the components that a link touches are looked at."""
-    ends = links
-    for c in ("u", "v"):
-        ends = ends.join(parts.toDF(c, f"c{c}"), c, "left").withColumn(c, F.coalesce(f"c{c}", c)).drop(f"c{c}")
-    roots = graph.components(ends.select("u", "v").distinct()).toDF("component", "root")
-    known = parts.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-    fresh = roots.join(parts.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("root").alias("component"))
-    return scratch.written(known.unionByName(fresh), "parts")

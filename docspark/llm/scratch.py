@@ -9,8 +9,10 @@ and lineage ends at the written files.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,15 +20,18 @@ from docspark.sources.tables import read_table
 
 BATCH_BYTES = 4 << 20
 
-_made: list[str] = []
+#: Written tables, each with a weak reference to what their plans read.
+_made: dict[str, Any] = {}
 _own: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder named by the session, or a local one where none is set."""
+    """The shared folder named by the session. Where none is set, a local one, which only a local session can share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="docspark-"))
         spark.sparkContext.setCheckpointDir(_own[0])
@@ -47,38 +52,57 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     bound_batches(spark)
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    # every plan over the table, derived ones too, holds this one object
+    index = back._jdf.queryExecution().analyzed().relation().location()
     if not _made:
         atexit.unregister(_clean_up)
         atexit.register(_clean_up, spark)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(index)
+    return back
 
 
-def made() -> int:
-    """How many tables have been written so far: a mark for ``release``."""
-    return len(_made)
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
 
 
-def taken(mark: int) -> list[str]:
-    """The tables written since ``mark``; the caller answers for them from now on."""
-    own = _made[mark:]
-    del _made[mark:]
-    return own
+def sweep(spark: SparkSession) -> None:
+    """Delete the written tables that no DataFrame reads any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _delete(spark, [path for path, index in _made.items() if index.get() is None])
 
 
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables. Only for callers whose results no longer read them."""
+def release(*tables: DataFrame) -> None:
+    """Delete written tables before their DataFrames go. Only for callers whose later plans no longer read them."""
+    for df in tables:
+        root_of = df._jdf.queryExecution().analyzed().relation().location().rootPaths().head().toString()
+        _delete(df.sparkSession, [path for path in _made if path.rsplit("/", 1)[1] == root_of.rsplit("/", 1)[1]])
+
+
+def tidy(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete these written tables, and let Spark's cleaner drop the shuffles of jobs that are over."""
+    release(*tables)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while paths:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+    for name in paths:
+        del _made[name]
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 
 def _clean_up(spark: SparkSession) -> None:
     """When the driver's process ends in order, its tables go; a stopped session leaves them to the folder's owner."""
     if spark.sparkContext._jsc is not None:
-        release(spark, _made)
+        _delete(spark, list(_made))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,20 +16,16 @@ from docspark.llm import decontaminate, neardup, packing, quality, scratch, suff
 from docspark.llm.queries import public_vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
 
 
 def _tidy(stage: Stage) -> Stage:
-    """Delete the tables of the stage before, whose result is written by now."""
+    """Before a stage begins, delete the tables that nothing reads any more: those of a stage whose result is written."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.release(spark, _left)
+        scratch.sweep(spark)
         scratch.bound_batches(spark)
-        mark = scratch.made()
-        out = stage(spark, docs, sf_dir)
-        _left.extend(scratch.taken(mark))
-        return out
+        return stage(spark, docs, sf_dir)
 
     return run_stage
 

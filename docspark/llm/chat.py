@@ -239,9 +239,18 @@ def parse(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    both = F.arrays_zip(pieces(formatted).alias("piece"), mask.alias("run"))
-    return F.array_join(F.transform(F.filter(both, lambda z: z["run"]["loss"]), lambda z: unescape(F.substring(z["piece"]["text"], F.lit(1), z["run"]["text"]))), "")
+    """All text under the loss mask, unescaped, in order.
+
+    The text is cut out by the mask's run lengths alone. A mask whose runs don't add up to
+    the turns of ``formatted``, one after another, is an error.
+    """
+    parts = F.filter(F.split(formatted, re.escape(OPEN)), lambda p: p != "")
+    both = F.arrays_zip(parts.alias("part"), mask.alias("run"))
+    inside = lambda z: z["run"]["before"] - len(OPEN)
+    behind = lambda z: F.substring(z["part"], inside(z) + z["run"]["text"] + 1, z["run"]["after"] + 1)
+    fits = (F.size(parts) == F.size(mask)) & F.forall(both, lambda z: (F.length(z["part"]) == inside(z) + z["run"]["text"] + z["run"]["after"]) & (F.substring(z["part"], inside(z), F.lit(1)) == "\n") & (behind(z) == CLOSE))
+    text = F.transform(F.filter(both, lambda z: z["run"]["loss"]), lambda z: unescape(F.substring(z["part"], inside(z) + 1, z["run"]["text"])))
+    return F.when(F.coalesce(fits, F.lit(True)), F.array_join(text, "")).otherwise(F.raise_error(F.lit("the mask does not fit the text")))
 
 
 def gather_turns(rows: DataFrame, key: str, order: str, role: str = "role", text: str = "text") -> DataFrame:

@@ -19,14 +19,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from docspark.llm import scratch
+
 BLOCK = 512
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
-#: The fit reads at most so many rows a label for the dictionary and for the calibration, and so many characters of each.
-DICTIONARY_ROWS, CALIBRATION_ROWS, SAMPLE_CHARS = 2000, 3000, 4096
+#: The fit reads at most so many rows a label for the dictionary and for the calibration, each with its whole text.
+DICTIONARY_ROWS, CALIBRATION_ROWS = 2000, 3000
 THRESHOLD = 0.3
 
 
@@ -85,40 +88,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit_texts(good: list[str], bad: list[str], usable: tuple[int, int] | None = None) -> Model:
-    """Fit on lists of texts; about two fifths of each (DICTIONARY_ROWS at most) build the dictionary.
-
-    ``usable`` counts the good and bad rows that the lists were drawn from, where these are bounded.
-    """
+def dictionary(texts: list[str]) -> bytes | None:
+    """A dictionary from all blocks of some texts; None where there is too little."""
     import zstandard as z
 
-    n_good, n_bad = usable or (len(good), len(bad))
-    prior = n_good / (n_good + n_bad) if n_good + n_bad else 0.5
-
-    def split(texts: list[str]) -> tuple[list[str], list[str]]:
-        k = min(DICTIONARY_ROWS, len(texts) * 2 // 5)
-        return texts[:k], texts[k : k + CALIBRATION_ROWS]
-
-    def dictionary(texts: list[str]) -> bytes | None:
-        blocks = [raw[i : i + BLOCK] for raw in (t.encode("utf-8", "replace") for t in texts) for i in range(0, len(raw), BLOCK)]
-        if len(blocks) < 8:
-            return None
-        try:
-            return z.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes()
-        except z.ZstdError:  # too little text to train on: the text itself is the dictionary
-            return b"".join(blocks)[-DICTIONARY_BYTES:]
-
-    (gd, gc), (bd, bc) = split(good), split(bad)
-    plain = Model(dictionary(gd), dictionary(bd), (), prior)
-    pair = plain.compressors()
-    if not pair or not gc or not bc:
-        return Model(None, None, (), prior)
-    x = np.array([features(t.encode("utf-8", "replace"), *pair) for t in gc + bc])
-    y = np.array([1.0] * len(gc) + [0.0] * len(bc))
-    w = logistic(x, y)
-    # The calibration rows hold as many of each label as the bound lets in; put the labels' own share back.
-    w[0] += np.log(max(n_good, 1) / max(n_bad, 1)) - np.log(len(gc) / len(bc))
-    return Model(plain.good, plain.bad, tuple(map(float, w)), prior)
+    blocks = [raw[i : i + BLOCK] for raw in (t.encode("utf-8", "replace") for t in texts) for i in range(0, len(raw), BLOCK)]
+    if len(blocks) < 8:
+        return None
+    try:
+        return z.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes()
+    except z.ZstdError:  # too little text to train on: the text itself is the dictionary
+        return b"".join(blocks)[-DICTIONARY_BYTES:]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -142,41 +122,62 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows that aren't held out.
 
     The sample is, for each label, the first DICTIONARY_ROWS + CALIBRATION_ROWS rows by a
-    hash of doc_id: the same rows for any partitioning, and a bounded number for the one task that fits.
+    hash of doc_id, with their whole texts: the same rows for any partitioning. About two
+    fifths of each label (DICTIONARY_ROWS at most) meet in the one task that trains the
+    dictionaries. The others are compressed where they are, and the driver calibrates on
+    their features alone, six numbers a row.
+
     Rows with a null id, label or text aren't learnt from. The labels' own share, in the
     intercept and as the score where there is too little labelled text of either kind (0.5 if
     there is none), is counted over all of them and not over the sample.
     """
     bound = DICTIONARY_ROWS + CALIBRATION_ROWS
-    usable, counts = usable_labels(labels), label_counts(docs, labels)
+    usable, (n_good, n_bad) = usable_labels(labels), label_counts(docs, labels)
+    prior = n_good / (n_good + n_bad) if n_good + n_bad else 0.5
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = usable.where("quality = 1").orderBy(*by_hash).limit(bound).unionByName(usable.where("quality = 0").orderBy(*by_hash).limit(bound))
-    rows = (
-        docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .join(F.broadcast(chosen), "doc_id")  # at most 2 * bound ids
-        .where(F.col("text").isNotNull())
-        .orderBy(*by_hash, "text", "quality")
-        .limit(2 * bound)
-        .select("text", "quality")
-    )
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())  # at most 2 * bound ids
+    place = F.row_number().over(W.partitionBy("quality").orderBy(*by_hash, "text"))
+    sample = scratch.written(rows.select("quality", "text", place.alias("place")).where(F.col("place") <= bound), "sample")
+    sizes = {r.quality: r.n for r in sample.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = {q: min(DICTIONARY_ROWS, sizes.get(q, 0) * 2 // 5) for q in (0, 1)}
+    trains = F.col("place") <= F.when(F.col("quality") == 1, share[1]).otherwise(share[0])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, list[str]] = {0: [], 1: []}
         for batch in batches:
-            for t, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for q, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 texts[q].append(t)
-        m = fit_texts(texts[1], texts[0], counts)
-        yield pa.RecordBatch.from_arrays([pa.array([m.good], pa.binary()), pa.array([m.bad], pa.binary()), pa.array([m.weights], pa.list_(pa.float64())), pa.array([m.prior])], ["good", "bad", "weights", "prior"])
+        yield pa.RecordBatch.from_arrays([pa.array([dictionary(texts[1])], pa.binary()), pa.array([dictionary(texts[0])], pa.binary())], ["good", "bad"])
 
-    # The bounded sample meets in one task, which sends back the model alone.
-    made = rows.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "quality").mapInArrow(learn, "good binary, bad binary, weights array<double>, prior double").first()
-    if made is None:
-        return Model(None, None, (), 0.5)
-    return Model(bytes(made.good) if made.good else None, bytes(made.bad) if made.bad else None, tuple(made.weights), made.prior)
+    made = sample.where(trains).repartition(1).sortWithinPartitions("quality", "place").select("quality", "text").mapInArrow(learn, "good binary, bad binary").first()
+    plain = Model(bytes(made.good) if made and made.good else None, bytes(made.bad) if made and made.bad else None, (), prior)
+    if not plain.good or not plain.bad:
+        return Model(None, None, (), prior)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = plain.compressors()
+        for batch in batches:
+            x = [features(t.encode("utf-8", "replace"), *pair) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["quality", "place", "x"])
+
+    # at most 2 * CALIBRATION_ROWS rows of six numbers
+    rest = sorted((r.quality, r.place, r.x) for r in sample.where(~trains).select("quality", "text", "place").mapInArrow(measure, "quality int, place int, x array<double>").collect())
+    y = np.array([float(q) for q, *_ in rest])
+    if not (0 < y.sum() < len(y)):
+        return Model(None, None, (), prior)
+    w = logistic(np.array([x for *_, x in rest]), y)
+    # The calibration rows hold as many of each label as the bound lets in; put the labels' own share back.
+    w[0] += np.log(max(n_good, 1) / max(n_bad, 1)) - np.log(y.sum() / (len(y) - y.sum()))
+    return Model(plain.good, plain.bad, tuple(map(float, w)), prior)
 
 
 def add_score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """Add the score of every whole text; null counts as empty, and both get a score."""
+    """Add the score of every whole text; null counts as empty, and both get a score.
+
+    Repeated rows are scored alike, an empty table stays empty, and a column that has the
+    name ``into`` already is replaced; all other columns stay.
+    """
 
     @pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

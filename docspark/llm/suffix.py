@@ -41,7 +41,7 @@ WIDTH, COARSE, FINE = 200, 100, 180
 #: Bytes hashed at a time (positions take 20 bits).
 CHUNK = 1 << 19
 #: Symbols of one task's strings, and the strings of one core that a task gets at most.
-TASK_SYMBOLS, MOST_STRINGS = 1_500_000, 20_000
+TASK_SYMBOLS, MOST_STRINGS = 250_000, 20_000
 SHARDS = 4
 #: Bytes of a table that is broadcast at most; a larger one is joined by a shuffle.
 MOST_BROADCAST = 8 << 20
@@ -299,7 +299,7 @@ def covered(docs: DataFrame, text: str) -> DataFrame:
     alone = totals.where("total = 1").select("minimizer").distinct()
     wanted = totals.join(alone, "minimizer", "left_semi").groupBy(F.col("one.key").alias("key"))
     wanted = scratch.written(wanted.agg(F.collect_list(F.struct("total", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"))).alias("wanted")), "wanted")
-    size = wanted.agg(F.sum(40 + 16 * F.size("wanted"))).first()[0] or 0
+    size = wanted.agg(F.sum(64 + 40 * F.size("wanted"))).first()[0] or 0
     # a text that several rows hold gives its pieces once
     pieces = once.join(_small(wanted, size), "key").select("key", "text", "wanted").mapInArrow(_fine, _PIECE)
     pieces = scratch.written(pieces.dropDuplicates(["key", "at"]), "pieces")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,67 +22,80 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, T.strip), lambda s: s != "")
 
 
-class Packer:
-    """Greedy packing of sentences under a soft limit, with a tail of whole sentences carried over."""
-
-    def __init__(self, size: int, overlap: int, least: int):
-        self.size, self.overlap, self.least = size, overlap, least
-        self.held: list[str] = []
-        self.used = 0
-        self.out: list[str] = []
-
-    def emit(self, piece: str, stripped: bool = False) -> None:
-        # the length of a piece that isn't stripped yet counts as it is
-        if len(piece) >= self.least:
-            piece = piece if stripped else piece.strip()
-            if not self.out or self.out[-1] != piece:
-                self.out.append(piece)
-
-    def close(self) -> None:
-        """Emit what is held and keep the longest tail of sentences within the overlap."""
-        self.emit(" ".join(self.held).strip(), stripped=True)
-        tail, room = [], self.overlap
-        while self.held and len(self.held[-1]) + 1 <= room:
-            room -= len(self.held[-1]) + 1
-            tail.append(self.held.pop())
-        self.held = tail[::-1]
-        self.used = self.overlap - room
-
-    def long(self, sentence: str) -> None:
-        """A sentence above the limit: full pieces of words go out, the rest is held."""
-        if self.held:
-            self.close()
-        piece = ""
-        for word in sentence.split(" "):
-            if len(piece) + len(word) + 1 > self.size:
-                self.emit(piece)
-                piece = word
-            else:
-                piece = f"{piece} {word}".strip()
-        if piece:
-            self.held.append(piece)
-            self.used = len(piece)  # the carried tail no longer counts
-
-    def add(self, sentence: str) -> None:
-        if len(sentence) > self.size:
-            self.long(sentence)
-            return
-        if self.held and self.used + len(sentence) + 1 > self.size:
-            self.close()
-        self.held.append(sentence)
-        self.used += len(sentence) + 1
-
-    def finish(self) -> list[str]:
-        if self.held:
-            self.emit(" ".join(self.held).strip(), stripped=True)
-        return self.out
+def _sums(parts: list[str]) -> np.ndarray:
+    """Where each part begins if one character stands behind each."""
+    return np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)])
+
+
+def _reach(sums: np.ndarray, begin: int, room: int) -> int:
+    """The end of the longest run of parts from ``begin`` that takes ``room`` at most."""
+    return int(np.searchsorted(sums, sums[begin] + room, "right")) - 1
+
+
+def by_words(sentence: str, size: int) -> list[str]:
+    """A sentence in runs of words of ``size`` characters at most; a longer word is a run of its own."""
+    words = sentence.split(" ")
+    sums, out, at = _sums(words), [], 0
+    while at < len(words):
+        end = max(at + 1, _reach(sums, at, size + 1))
+        out.append(" ".join(words[at:end]))
+        at = end
+    return out
 
 
 def pack(units: list[str], size: int = DEFAULT.chunk_size, overlap: int = DEFAULT.chunk_overlap, least: int = DEFAULT.chunk_min) -> list[str]:
-    packer = Packer(size, overlap, least)
-    for s in units:
-        packer.add(s)
-    return packer.finish()
+    """Chunks of whole sentences under a soft limit, each beginning with the last sentences of the one before.
+
+    A chunk is a range of units, so its end and the start of the next follow by binary
+    search in the sums of their lengths (a space behind each). It ends before the unit that
+    would make it longer than ``size``; the next one begins with the longest tail of units
+    that takes ``overlap`` at most, and always takes that unit. A sentence above the limit
+    ends the chunk before it; its full runs of words are chunks of their own, and the last
+    run is a unit behind the tail, from which the limit counts anew. Chunks below ``least``
+    and chunks equal to the one before are left out.
+    """
+    parts: list[str] = []
+    cuts: list[tuple[int, list[str]]] = []
+    for u in units:
+        if len(u) > size:
+            *full, u = by_words(u, size)
+            cuts.append((len(parts), full))
+        parts.append(u)
+    sums, out = _sums(parts), []
+
+    def give(length: int, chunk: str) -> None:
+        if length >= least and (not out or out[-1] != chunk):
+            out.append(chunk)
+
+    def give_range(a: int, b: int) -> None:
+        chunk = " ".join(parts[a:b]).strip()
+        give(len(chunk), chunk)
+
+    def tail(a: int, b: int) -> int:
+        return max(a, int(np.searchsorted(sums, sums[b] - overlap, "left")))
+
+    begin = end = 0
+    limit = size  # the sum that the chunk's end may reach
+    for stop, full in [*cuts, (len(parts), [])]:
+        must = begin == end  # the next unit goes in whatever its length
+        while end < stop:
+            end = min(stop, max(end + must, int(np.searchsorted(sums, limit, "right")) - 1))
+            must = False
+            if end < stop:
+                give_range(begin, end)
+                begin = tail(begin, end)
+                limit, must = sums[begin] + size, True
+        if stop < len(parts):
+            if begin < end:
+                give_range(begin, end)
+                begin = tail(begin, end)
+            for run in full:
+                give(len(run), run.strip())
+            end = stop + 1
+            limit = sums[stop] + 1 + size
+    if begin < end:
+        give_range(begin, end)
+    return out
 
 
 def units_of(text: str) -> list[str]:

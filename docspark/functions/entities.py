@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 from docspark.functions.text import strip
 
-# Titles before a name, words that say a question is about authorship, and words that are no names.
-HONORIFICS = "dr mr mrs ms prof professor shri smt sir".split()
-AUTHORSHIP = """author authors authored authoring write writes writing written wrote writer blog blogs article articles paper papers publish
-publishes published publication publications piece pieces essay essays report reports op-ed op-eds commentary""".split()
-NO_NAMES = """what who when where why which how tell about explain describe does did has have show list give find please this that these those
-their there policy report blogs article articles papers india indian world""".split()
-
-
-def person_names(query: str) -> list[str]:
-    """Candidate names in a query: runs of two or more capitalised words, and single long ones that aren't stop words."""
+# Titles before a name.
+HONORIFICS = "dr prof professor mr mrs ms shri smt".split()
+# Words that say a question is about what someone wrote.
+AUTHORSHIP = """written write writes wrote author authored authors publish published publication publications blog blogs
+article articles paper papers brief briefs report reports op-ed op-eds piece pieces work works contributed contribution
+contributions""".split()
+# Capitalised words of a question that are no names.
+NO_NAMES = "what which who where when why how does is are was were has have india indian".split()
+
+
+def person_names(query: str, no_names: tuple[str, ...] = ()) -> list[str]:
+    """Candidate names in a query: runs of two or more capitalised words, and single long ones that aren't stop words.
+
+    ``no_names`` are further words that are no names, such as that of the corpus' own institution.
+    """
+    stop = {*NO_NAMES, *(w.lower() for w in no_names)}
     words = [w.strip(".,;:!?\"()") for w in re.sub(r"['’]s\b", "", query).split()]
     out: list[str] = []
     run: list[str] = []
@@ -26,7 +32,7 @@ def person_names(query: str) -> list[str]:
         bare = w.rstrip(".")
         if bare.lower() in HONORIFICS:
             continue
-        if re.fullmatch(r"[A-Z][\w'-]*", bare) and bare.lower() not in NO_NAMES:
+        if re.fullmatch(r"[A-Z][\w'-]*", bare) and bare.lower() not in stop:
             run.append(bare)
             continue
         if len(run) >= 2 or run and len(run[0]) >= 5:

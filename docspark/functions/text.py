@@ -115,8 +115,11 @@ _SYMBOLS = "£©®°±½¼¾·»«¥¢§¶´¨¯¸¡¿²³¹µªº"
 _LETTERS = "éèëêáàâãåäæóòôöõøñíìïîúùüûçÿýÀÉÇÑÄÖÜÅÆØß"
 REPAIRS: dict[str, str] = {misread(c): c for c in _PUNCTUATION + _SYMBOLS + _LETTERS} | {misread(c, "latin-1"): c for c in _LOW_PUNCTUATION} | {"Â ": " ", "ï¿½": ""}
 _CERTAIN = sorted(REPAIRS, key=lambda k: (-len(k), k))
+# What an emoji leaves behind, and an "â" that stands alone for an apostrophe or a dash.
 _LEFT_OVER = r"ðŸ[^\sA-Za-z0-9]{0,4}"
-_LONE = r"â(?=(?:s|t|re|ll|ve|d|m)\b)|(?:(?<=\s)|^)â(?=\s|$)|â[�─-▟]+"
+_LONE_APOSTROPHE = r"â(?=(?:s|t|re|ll|ve|d|m)\b)"
+_LONE_DASH = r"(?:(?<=\s)|^)â(?=\s|$)|â[�─-▟]+"
+_LONE = f"{_LONE_APOSTROPHE}|{_LONE_DASH}"
 _BROKEN = re.compile("|".join(map(re.escape, _CERTAIN)) + "|ðŸ|�")
 _ANY_REPAIR = re.compile("|".join(map(re.escape, _CERTAIN)))
 
@@ -127,10 +130,14 @@ def is_broken(c: Column) -> Column:
     return F.coalesce(c.rlike(certain + "|ðŸ|�") | c.rlike(_LONE), F.lit(False))
 
 
+def broken(text: str) -> bool:
+    """``is_broken`` of one text."""
+    return bool(_BROKEN.search(text) or re.search(_LONE, text))
+
+
 def repair(text: str) -> str:
     """Repair misread characters; text without them is returned as it is."""
-    lone = lambda s: re.sub(r"(?:(?<=\s)|^)â(?=\s|$)|â[�─-▟]+", "–", re.sub(r"â(?=(?:s|t|re|ll|ve|d|m)\b)", "’", s))
-    if not (_BROKEN.search(text) or re.search(_LONE, text)):
+    if not broken(text):
         return text
     for _ in range(3):
         before, text = text, _ANY_REPAIR.sub(lambda m: REPAIRS[m[0]], text)
@@ -144,7 +151,8 @@ def repair(text: str) -> str:
                 text = whole
         if text == before:
             break
-    return lone(re.sub(_LEFT_OVER, "", text)).replace("�", "")
+    text = re.sub(_LONE_APOSTROPHE, "’", re.sub(_LEFT_OVER, "", text))
+    return re.sub(_LONE_DASH, "–", text).replace("�", "")
 
 
 def repaired(c: Column) -> Column:

@@ -134,35 +134,70 @@ def resolve(url: Column, base: Column) -> Column:
     return join(url, base)
 
 
-def _ordered(subject: Column, rules: list[tuple[str, str]], other: str) -> Column:
-    out = None
-    for pattern, label in rules:
-        hit = subject.rlike(pattern)
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(F.lit(other))
-
-
-# What a path says of a page, the first match counts.
+# Topics by what an address says, the first match counts; none is empty.
 CATEGORY_RULES = [
-    ("/(?:blogs?|posts?)/", "Blog"), ("/(?:opinion|op-?eds?|commentary)/", "Commentary"), ("/(?:research|papers?)/", "Research"), ("/reports?/", "Report"),
-    ("/(?:policy-)?briefs?/", "Brief"), ("/publications?/", "Publication"), ("/(?:news|press)/", "News"), ("/events?/", "Event"), ("/(?:courses?|education)/", "Education"),
-    ("/podcasts?/", "Podcast"), ("/videos?/", "Video"), ("/newsletters?/", "Newsletter"), ("/(?:faq|help|docs?)/", "Documentation"), ("/(?:about|contact|team)/", "About"),
+    (r"ai[-_\s]?governance|artificial[-_\s]?intelligence", "AI Governance"),
+    (r"geospat|gis|satellite|remote[-_\s]?sensing", "Geospatial"),
+    (r"semiconductor|chip|foundry", "Semiconductors"),
+    (r"indo[-_\s]?pacific|quad|asean", "Indo-Pacific"),
+    (r"china|pla|bri\b", "China Studies"),
+    (r"climate|environment|energy|lpg|oil|gas", "Energy & Climate"),
+    (r"defence|military|security|strateg", "Defence & Security"),
+    (r"space[-_\s]?policy|isro|launch", "Space Policy"),
+    (r"economy|trade|wto|finance|fiscal", "Economy & Trade"),
+    (r"cyber|digital|data|privacy", "Cyber & Digital"),
+    (r"health|pharma|pandemic", "Health"),
+    (r"education|school|skill", "Education"),
+    (r"nuclear|npt|disarma", "Nuclear Policy"),
+    (r"pakistan|border|kashmir", "South Asia"),
 ]
-SOURCE_TYPE_RULES = [("blog", "blog"), ("publication", "publication"), ("podcast", "podcast"), ("newsletter", "newsletter"), ("event", "event"), ("course", "course"), ("news", "news"), ("research", "research"), ("video", "video"), ("report", "report")]
-KIND_RULES = [
-    (r"\.pdf(?:$|[?])|\bpdf\b", "PDF"), ("policy.?brief", "Policy brief"), ("discussion", "Discussion paper"), ("working.?paper", "Working paper"), ("slide", "Slides"), ("report", "Report"), ("op-?ed|opinion", "Opinion"),
-    ("podcast", "Podcast"), ("video", "Video"), ("newsletter", "Newsletter"), ("event", "Event"), ("course", "Course"), ("news", "News"), ("blog", "Blog"), ("article|page", "Article"),
+# Source types in the order in which they are looked for.
+SOURCE_TYPES = "publication blog research commentary report paper brief policy playbook decision".split()
+# Kinds by the words that name them, the first match counts.
+KIND_WORDS = [
+    ("PDF", ["pdf"]),
+    ("Blog", ["blog"]),
+    ("Newsletter", ["newsletter"]),
+    ("Publication", ["publication", "discussion document", "issue brief", "monograph", "report", "brief", "working paper"]),
+    ("Podcast", ["podcast"]),
+    ("Video", ["video", "youtube"]),
+    ("Article", ["article", "commentary", "op-ed", "opinion", "in the news"]),
+    ("Event", ["event", "seminar", "webinar", "workshop", "conference"]),
+    ("Course", ["course", "graduate"]),
+    ("Playbook", ["playbook"]),
+    ("Decision", ["decision"]),
+    ("Insight", ["insight"]),
+    ("Idea", ["idea"]),
+    ("Note", ["note"]),
+    ("Research", ["research", "paper", "study"]),
 ]
 
 
 def category_of(url: Column) -> Column:
-    return _ordered(F.lower(F.concat(path(url), F.lit("/"))), CATEGORY_RULES, "General")
+    """The topic of an address; empty if no rule matches."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    return F.coalesce(*[F.when(low.rlike(pattern), label) for pattern, label in CATEGORY_RULES], F.lit(""))
 
 
 def source_type_of(url: Column, source: str = "website") -> Column:
-    return _ordered(F.lower(url), SOURCE_TYPE_RULES, "kb" if source == "commit_kb" else "page")
+    """The type that begins a path segment, or whose plural ends one; else ``page`` on a website and ``kb`` elsewhere."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    return F.coalesce(*[F.when(low.contains(f"/{t}") | low.contains(f"{t}s/"), t) for t in SOURCE_TYPES], F.lit("page" if source == "website" else "kb"))
 
 
-def kind_of(*fields: Column) -> Column:
-    """What a document is, from its type, category, section and address together."""
-    return _ordered(F.lower(F.concat_ws(" ", *fields)), KIND_RULES, "Other")
+def kind_of(url: Column, fields: tuple[Column, ...] = (), pdf: Column | None = None, source: Column | None = None, more: dict[str, list[str]] | None = None) -> Column:
+    """What a document is, for people: by the words in its type, category and section (``fields``) or at the start of a path segment.
+
+    ``pdf`` says that it is one whatever it is called. ``more`` adds words to kinds, such as
+    the names of a corpus' own series. Of what has no kind, pages of the source ``commit_kb`` are named apart.
+    """
+    words, low = F.lower(F.concat_ws(" ", *fields)) if fields else F.lit(""), F.lower(F.coalesce(url, F.lit("")))
+    rules = []
+    for label, known in KIND_WORDS:
+        hit = F.lit(False)
+        for w in [*known, *(more or {}).get(label, [])]:
+            hit = hit | words.contains(w) | low.contains(f"/{w}")
+        rules.append(F.when(hit, label))
+    other = F.when(source == "commit_kb", "Commit page").otherwise("Web page") if source is not None else F.lit("Web page")
+    certain = [F.when(pdf, "PDF")] if pdf is not None else []
+    return F.coalesce(*certain, *rules, other)

@@ -82,6 +82,8 @@ def test_dates(spark):
 def test_people(spark):
     assert entities.person_names("What has Dr Jane Smith written about trade?") == ["Jane Smith"]
     assert entities.person_names("what is trade policy?") == []
+    assert entities.person_names("Which Papers are from Lighthouse?", no_names=("Lighthouse",)) == ["Papers"]
+    assert entities.is_authorship_query("the works by her") and entities.is_authorship_query("contributions of hers") and not entities.is_authorship_query("essays by her")
     assert entities.is_authorship_query("Which articles did she write?") and not entities.is_authorship_query("Who is Jane Smith?")
     rows = spark.createDataFrame([("Jane Smith",), ("A. Jones, J. Smith",), ("Smithson",), (None,)], "a string")
     assert [r.m for r in rows.select(entities.author_matches(F.col("a"), ["Jane Smith"]).alias("m")).collect()] == [True, True, False, False]

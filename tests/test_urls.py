@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from docspark.functions import urls
@@ -31,4 +32,26 @@ def test_pages(spark):
     assert one(spark, "https://x.org/a/b", lambda c: urls.is_low_value(c, F.lit("t"), F.lit(10)))
     assert one(spark, "https://x.org/A.PDF?x=1", urls.is_pdf)
     assert one(spark, "../b", lambda c: urls.resolve(c, F.lit("https://x.org/a/c"))) == "https://x.org/b"
-    assert one(spark, "https://x.org/reports/2", urls.category_of) == "Report"
+
+
+@pytest.mark.parametrize(
+    ("url", "category", "source_type", "kind"),
+    [
+        ("https://x.org/semiconductor-chips/", "Semiconductors", "page", "Web page"),
+        ("https://x.org/playbook/1", "China Studies", "playbook", "Playbook"),
+        ("https://x.org/reports/2", "", "report", "Publication"),
+        ("https://x.org/Blogs/space-policy", "Space Policy", "blog", "Blog"),
+        ("https://x.org/about", "", "page", "Web page"),
+    ],
+)
+def test_rules_of_addresses(spark, url, category, source_type, kind):
+    assert (one(spark, url, urls.category_of), one(spark, url, urls.source_type_of), one(spark, url, urls.kind_of)) == (category, source_type, kind)
+
+
+def test_kinds(spark):
+    at = "https://x.org/a"
+    assert one(spark, at, lambda u: urls.kind_of(u, pdf=F.lit(True))) == "PDF"
+    assert one(spark, at, lambda u: urls.kind_of(u, (F.lit("Working Paper"), F.lit(None)))) == "Publication"
+    assert one(spark, at, lambda u: urls.kind_of(u, (F.lit("our series"),), more={"Podcast": ["our series"]})) == "Podcast"
+    assert one(spark, at, lambda u: urls.kind_of(u, source=F.lit("commit_kb"))) == "Commit page"
+    assert one(spark, at, lambda u: urls.source_type_of(u, "commit_kb")) == "kb" and one(spark, None, urls.category_of) == ""

@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import chunking, merge, validate
+from docspark.operators import chunking, dense, merge, validate
 from docspark.operators.answer import KnowledgeBase
 from docspark.operators.lexical import LexicalIndex
 from docspark.settings import DEFAULT, Settings
@@ -23,8 +23,11 @@ class Store:
     def update(self, delta: DataFrame, removed: DataFrame | None = None, key: str = "document_id", order: str = "updated_at") -> dict[str, Any]:
         """Merge documents into the current version and publish the result.
 
-        Nothing is published if the delta would take all documents away, if nothing changed,
-        or if the new tables have errors; the old version stays active then.
+        Only documents that the delta changes are chunked again, and only texts that have no
+        vector yet are embedded; the weights of the lexical index hang on all documents, so it
+        is built anew. Nothing is published if the delta would take all documents away, if
+        nothing changed, or if the new tables have errors: they are checked before they become
+        current, so the old version (or none) stays active then.
         """
         known = self.versions.current() is not None
         old = self.versions.table("documents") if known else delta.limit(0)
@@ -35,30 +38,66 @@ class Store:
         if merge.would_empty(old.count(), counts["total"]):
             return {"published": False, "reason": "the delta would remove every document", **counts}
         docs = merge.upsert(old, delta, key, order, gone)
-        chunks = chunking.chunk_documents(docs, self.settings)
-        chunks = chunking.first_of_each(chunks, ["chunk_hash"], [F.col(key), F.col("chunk_index")]).withColumn("id", F.col("chunk_id"))
-        kb = KnowledgeBase.build(chunks, self.settings.embedding_dim, settings=self.settings)
-        made = self.versions.publish({"documents": docs, "chunks": chunks, "postings": kb.index.postings, "terms": kb.index.terms, "stats": kb.index.stats, "vectors": kb.vectors})
-        report = self.validate()
-        if not validate.passed(report).first().ok:
-            if known:
-                self.versions.rollback()
-            return {"published": False, "reason": "validation failed", "version": made["version"], **counts}
-        return {"published": True, "version": made["version"], **counts}
+        touched = delta.select(key).unionByName(gone.select(key)).distinct()
+        fresh = chunking.chunk_documents(docs.join(touched, key, "left_semi"), self.settings)
+        pieces = fresh
+        if known:
+            kept = self.versions.table("pieces").join(touched, key, "left_anti")
+            pieces = kept.unionByName(fresh, allowMissingColumns=True)
+        chunks = chunking.first_of_each(pieces, ["chunk_hash"], [F.col(key), F.col("chunk_index")]).withColumn("id", F.col("chunk_id"))
+        staged = self.versions.stage({"documents": docs, "pieces": pieces, "chunks": chunks})["version"]
+        report = self.validate(staged)
+        failed = [r.asDict() for r in report.where("severity = 'error' and n > 0").collect()]  # a row a check
+        if failed:
+            self.versions.discard(staged)
+            return {"published": False, "reason": "validation failed", "checks": failed, **counts}
+        chunks = self.versions.table("chunks", staged)
+        cache = self.versions.table("vectors") if known else None
+        kb = KnowledgeBase.build(chunks, self.settings.embedding_dim, cache=cache, settings=self.settings)
+        index = kb.index.by_term()
+        self.versions.complete(staged, {"postings": index.postings, "terms": index.terms, "stats": index.stats, "vectors": kb.vectors})
+        self.versions.activate(staged)
+        return {"published": True, "version": staged, **counts}
 
-    def validate(self) -> DataFrame:
-        """The checks of the current version."""
-        have = {c: F.lit(None).cast("string") for c in ("url", "title", "author", "date", "source")}
+    def dedupe(self) -> dict[str, Any]:
+        """Publish the current documents with only the richest of each address."""
         docs = self.versions.table("documents")
+        col = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+        tags = F.size(F.coalesce(F.col("tags"), F.array())) if "tags" in docs.columns else F.lit(0)
+        is_html = ~F.lower(F.coalesce(col("source_type"), F.lit(""))).eqNullSafe("pdf")
+        rich = merge.richness(col("author"), col("date"), col("section"), tags, is_html, F.length(F.coalesce("text", F.lit(""))), col("updated_at"))
+        numbered = docs.withColumn("__at", F.xxhash64("document_id"))
+        kept = merge.collapse(numbered, merge.identity(col("url"), F.col("document_id")), rich, "__at")
+        gone = docs.join(kept.select("document_id"), "document_id", "left_anti").select("document_id")
+        return self.update(docs.limit(0), gone)
+
+    def append(self, chunks: DataFrame) -> dict[str, Any]:
+        """Add chunks (with ``chunk_id, chunk_hash, document_id, text``) that aren't there yet; nothing else changes but the index."""
+        known = self.versions.table("chunks")
+        fresh = chunking.first_of_each(dense.cache_misses(chunks, known.select("chunk_hash")), ["chunk_hash"], [F.col("chunk_id")]).withColumn("id", F.col("chunk_id"))
+        whole = known.unionByName(fresh, allowMissingColumns=True)
+        added = fresh.count()
+        if not added:
+            return {"published": False, "reason": "no changes", "added": 0}
+        kb = KnowledgeBase.build(whole, self.settings.embedding_dim, cache=self.versions.table("vectors"), settings=self.settings)
+        index = kb.index.by_term()
+        pieces = self.versions.table("pieces").unionByName(fresh.drop("id"), allowMissingColumns=True)
+        made = self.versions.publish({"chunks": whole, "pieces": pieces, "postings": index.postings, "terms": index.terms, "stats": index.stats, "vectors": kb.vectors})
+        return {"published": True, "version": made["version"], "added": added}
+
+    def validate(self, version: str | None = None) -> DataFrame:
+        """The checks of the current (or a given) version."""
+        have = {c: F.lit(None).cast("string") for c in ("url", "title", "author", "date", "source")}
+        docs = self.versions.table("documents", version)
         docs = docs.withColumns({c: v for c, v in have.items() if c not in docs.columns})
-        chunks = self.versions.table("chunks")
+        chunks = self.versions.table("chunks", version)
         chunks = chunks if "title" in chunks.columns else chunks.withColumn("title", F.lit(None).cast("string"))
         return validate.validate(docs, chunks, settings=self.settings)
 
     def open(self) -> KnowledgeBase:
         """The current version, looked up anew: a publish elsewhere shows at the next call."""
         t = self.versions.table
-        return KnowledgeBase(t("chunks"), LexicalIndex(t("postings"), t("terms"), t("stats")), t("vectors"), self.settings.embedding_dim, settings=self.settings)
+        return KnowledgeBase(t("chunks"), LexicalIndex(t("postings"), t("terms"), t("stats")), t("vectors"), self.settings.embedding_dim, settings=self.settings, version=self.versions.current() or "")
 
     def status(self) -> dict[str, Any]:
         return {"ready": self.versions.current() is not None, "manifest": self.versions.manifest(), "versions": self.versions.list()}

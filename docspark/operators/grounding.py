@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from docspark.functions import text as T
 from docspark.settings import DEFAULT, Settings
 
+# The marker of a source in an answer, and the format that some titles end in.
 MARKER = r"(?i)\[\s*Source\s*(\d+)\s*\]"
+FORMAT_SUFFIX = r"(?i)\s*\[(?:pdf|html?)\]\s*$"
+# What a marker that goes leaves behind: several spaces, and space before a stop.
+GAPS = ((r"[ \t]{2,}", " "), (r"\s+(?=[.,;:])", ""))
 
 
 def document_key(document_id: Column, title: Column, source: Column) -> Column:
     """A document's identity: its id, else its title (without a format suffix) and source."""
-    bare = F.lower(F.regexp_replace(F.regexp_replace(T.strip(F.coalesce(title, F.lit(""))), r"(?i)\s*\[(?:pdf|html?)\]\s*$", ""), r"\s+", " "))
+    named = F.regexp_replace(T.strip(F.coalesce(title, F.lit(""))), FORMAT_SUFFIX, "")
+    bare = F.lower(F.regexp_replace(named, r"\s+", " "))
     by_title = F.concat(F.lit("t:"), bare, F.lit("|"), F.lower(T.strip(F.coalesce(source, F.lit("")))))
     return F.coalesce(F.concat(F.lit("id:"), T.blank_to_null(document_id.cast("string"))), by_title)
 
@@ -63,9 +64,20 @@ def source_header(fields: dict[str, Column], number: Column) -> Column:
     return F.concat_ws(" | ", *parts)
 
 
+def numbered_blocks(sources: DataFrame, position: str, text: str, fields: dict[str, Column]) -> DataFrame:
+    """``sources`` with ``block``: the line that names a source, by its place in the order, above its text."""
+    number = F.row_number().over(W.orderBy(position))  # over the few sources of one answer
+    return sources.withColumn("block", F.concat(source_header(fields, number), F.lit("\n"), F.col(text)))
+
+
+def _numbers(answer: Column) -> Column:
+    """The number in each marker; null where it is too large for a source."""
+    return F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(MARKER), F.lit(1)), lambda x: x.try_cast("int"))
+
+
 def cited(answer: Column) -> Column:
     """The distinct source numbers of an answer in the order of their first marker."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(MARKER), F.lit(1)), lambda x: x.cast("int")))
+    return F.array_distinct(F.array_compact(_numbers(answer)))
 
 
 def valid_citations(answer: Column, n: Column) -> Column:
@@ -74,17 +86,13 @@ def valid_citations(answer: Column, n: Column) -> Column:
 
 def renumbered(answer: Column, order: Column) -> Column:
     """Markers by their place in ``order``; markers outside it are taken out, with the spaces they leave."""
-
-    @pandas_udf("string")
-    def rewrite(texts: pd.Series, orders: pd.Series) -> pd.Series:
-        def one(text: str, known: list[int]) -> str:
-            place = {int(v): i for i, v in enumerate(known, 1)}
-            out = re.sub(MARKER, lambda m: f"[Source {place[int(m[1])]}]" if int(m[1]) in place else "", text)
-            return re.sub(r"\s+([.,;:])", r"\1", re.sub(r"[ \t]{2,}", " ", out)).strip()
-
-        return pd.Series([one(t, list(o)) if isinstance(t, str) else t for t, o in zip(texts, orders)])
-
-    return rewrite(answer, order)
+    between = F.split(answer, MARKER, -1)
+    places = F.transform(_numbers(answer), lambda n: F.array_position(order, n))
+    marker = lambda k: F.when(k > 0, F.concat(F.lit("[Source "), k.cast("string"), F.lit("]"))).otherwise("")
+    out = F.array_join(F.zip_with(between, places, lambda text, k: F.concat(text, F.coalesce(marker(k), F.lit("")))), "")
+    for gap, by in GAPS:
+        out = F.regexp_replace(out, gap, by)
+    return T.strip(out)
 
 
 def verify(answers: DataFrame, answer: str = "answer", sources: str = "sources", settings: Settings = DEFAULT) -> DataFrame:
@@ -108,8 +116,3 @@ def displayed_sources(visible: Column, sources: Column) -> Column:
     """The sources that the visible text cites; without a marker the first one."""
     order = F.filter(cited(visible), lambda i: (i >= 1) & (i <= F.size(sources)))
     return F.when(F.size(order) > 0, F.transform(order, lambda i: F.element_at(sources, i))).otherwise(F.slice(sources, 1, 1))
-
-
-def bullets(answer: Column, most: int = 4) -> Column:
-    """The first key points of an answer's Markdown."""
-    return F.slice(F.transform(F.regexp_extract_all(answer, F.lit(r"(?m)^\s*(?:[-*•]|\d+\.)\s+(.+)$"), F.lit(1)), T.strip), 1, most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Tables of a corpus: ``postings(term, id, tf, dl)``, ``terms(term, df)`` and one row of ``stats``."""
+    """Tables of a corpus: ``postings(term, id, tf, dl)``, ``terms(term, df)`` and one row of ``stats(n, avgdl, mean_idf)``."""
 
     postings: DataFrame
     terms: DataFrame
@@ -27,12 +27,21 @@ class LexicalIndex:
         lengths = tokens.select("id", "tokens", F.size("tokens").alias("dl"))
         postings = lengths.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
         terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        return cls(postings, terms, stats)
+        sizes = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+        mean = terms.crossJoin(F.broadcast(sizes)).agg(F.avg(cls.weight()).alias("mean_idf"))
+        return cls(postings, terms, sizes.crossJoin(F.broadcast(mean)))
+
+    @staticmethod
+    def weight() -> Column:
+        return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+    def by_term(self) -> LexicalIndex:
+        """The index with its postings laid out by term, so that a query on the written table reads few files."""
+        return LexicalIndex(self.postings.repartitionByRange("term").sortWithinPartitions("term"), self.terms, self.stats)
 
     def save(self, path: str) -> None:
-        """Write the tables; postings are laid out by term, so a query reads few files."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """Write the tables, the postings by term."""
+        self.by_term().postings.write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -40,23 +49,25 @@ class LexicalIndex:
     def load(cls, spark, path: str) -> LexicalIndex:
         return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")])
 
-    def search(self, query: str, k: int) -> DataFrame:
+    def search(self, query: str, k: int, among: DataFrame | None = None) -> DataFrame:
         """``id, bm25_score, lexical_score, rank`` (from 0) of the best ``k`` with a score above 0.
 
         A term with a negative weight gets FLOOR times the mean weight of all terms. Terms of
-        the query count as often as they stand in it. Scores are rounded, so that the order of
+        the query count as often as they stand in it. Only the ids of ``among`` are ranked, if
+        given; weights stay those of the whole corpus. Scores are rounded, so that the order of
         summation never decides; ties go to the smaller id.
         """
         spark = self.postings.sparkSession
         words = query.lower().split()
-        asked = spark.createDataFrame([(w, words.count(w)) for w in dict.fromkeys(words)] or [("", 0)], "term string, qf int")
-        weight = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        weighted = self.terms.crossJoin(F.broadcast(self.stats)).withColumn("idf", weight)  # stats is one row
-        mean = weighted.agg(F.avg("idf").alias("mean"))
-        chosen = weighted.join(F.broadcast(asked), "term").crossJoin(F.broadcast(mean))  # one row
-        chosen = chosen.select("term", "qf", "avgdl", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+        asked_words = dict.fromkeys(words)
+        asked = spark.createDataFrame([(w, words.count(w)) for w in asked_words] or [("", 0)], "term string, qf int")
+        known = self.terms.where(F.col("term").isin(list(asked_words) or [""])).join(F.broadcast(asked), "term")
+        chosen = known.crossJoin(F.broadcast(self.stats)).withColumn("idf", self.weight())  # stats is one row
+        chosen = chosen.select("term", "qf", "avgdl", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
         # the filter reaches below the aggregation of the postings; the broadcast has as many rows as the query words
-        hits = self.postings.where(F.col("term").isin(list(dict.fromkeys(words)) or [""])).join(F.broadcast(chosen), "term")
+        hits = self.postings.where(F.col("term").isin(list(asked_words) or [""])).join(F.broadcast(chosen), "term")
+        if among is not None:
+            hits = hits.join(among.select("id"), "id", "left_semi")
         tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         scored = hits.groupBy("id").agg(F.round(F.sum(F.col("qf") * F.col("idf") * tf), 9).alias("bm25_score"))
         best = scored.orderBy(F.desc("bm25_score"), "id").limit(k).where("bm25_score > 0")

@@ -30,9 +30,19 @@ def collapse(docs: DataFrame, by: Column, rich: Column, order: str) -> DataFrame
 
 
 def upsert(existing: DataFrame, delta: DataFrame, key: str, order: str, removed: DataFrame | None = None) -> DataFrame:
-    """``existing`` with the delta's rows in place of those with their key, the last of a repeated key, and without the removed keys."""
-    last = delta.groupBy(key).agg(F.max_by(F.struct(*[c for c in delta.columns if c != key]), F.col(order)).alias("__r")).select(key, "__r.*")
-    merged = existing.join(delta.select(key).distinct(), key, "left_anti").unionByName(last.select(*existing.columns))
+    """``existing`` with the delta's rows in place of those with their key, and without the removed keys.
+
+    Of a repeated key the row that is last in ``order`` counts. A row of the delta that comes
+    before the existing one in ``order`` is late and changes nothing; of equals the delta's counts.
+    Nulls come first.
+    """
+    by = F.struct(F.col(order).isNotNull(), F.col(order))
+    last = delta.groupBy(key).agg(F.max_by(F.struct(*[c for c in delta.columns if c != key]), by).alias("__r")).select(key, "__r.*")
+    if order in existing.columns:
+        # of the existing rows only keys and order travel
+        old = existing.select(key, F.struct(F.col(order).isNotNull(), F.col(order)).alias("__old"))
+        last = last.join(old, key, "left").where(F.col("__old").isNull() | (by >= F.col("__old"))).drop("__old")
+    merged = existing.join(last.select(key), key, "left_anti").unionByName(last.select(*existing.columns))
     return merged if removed is None else merged.join(removed.select(key).distinct(), key, "left_anti")
 
 

@@ -26,7 +26,7 @@ def _report(row: DataFrame, checks: list[tuple[str, str]]) -> DataFrame:
 
 
 def validate(docs: DataFrame, chunks: DataFrame, local_sources: tuple[str, ...] = ("local", "staff_handbook"), settings: Settings = DEFAULT) -> DataFrame:
-    """All checks: one pass over each table, one aggregation for each kind of duplicate, one anti-join for orphans.
+    """All checks: one aggregation over each table, one more for each kind of duplicate (each reads its own columns alone), one anti-join for orphans.
 
     ``docs``: ``document_id, url, title, author, date, source, text``; ``chunks``:
     ``chunk_id, document_id, title, text, meta_header, chunk_hash``.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import dates, urls
@@ -87,10 +87,17 @@ def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "orders").select("o_orderkey", dates.parse_date(raw).alias("parsed"))
 
 
+def _typed_url() -> Column:
+    """A page's address with a path segment of its number put in."""
+    segments = ("semiconductor-chips", "playbook", "blogs", "ai-governance/briefs", "news", "decisions", "issue", "podcasts/energy", "x", "studies/data")
+    word = F.element_at(F.array(*[F.lit(x) for x in segments]), (F.col("page_id") % 10 + 1).cast("int"))
+    return F.concat(F.col("url"), F.lit("/"), word, F.lit("/"), F.col("page_id").cast("string"))
+
+
 def category_rules(spark: SparkSession, sf: str) -> DataFrame:
-    word = F.element_at(F.array(*[F.lit(x) for x in ("blogs", "research", "reports", "news", "events", "podcasts", "x")]), (F.col("page_id") % 7 + 1).cast("int"))
-    u = F.concat(F.lit("https://example.org/"), word, F.lit("/p"), F.col("page_id").cast("string"))
-    return _pages(spark, sf).select("page_id", urls.category_of(u).alias("category"), urls.source_type_of(u).alias("source_type"), urls.kind_of(u).alias("kind"))
+    """Topic, source type and kind by addresses."""
+    u = _typed_url()
+    return _pages(spark, sf).select("page_id", urls.category_of(u).alias("category"), urls.source_type_of(u).alias("source_type"), urls.kind_of(u, pdf=urls.is_pdf(F.col("url"))).alias("kind"))
 
 
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +109,7 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).select("chunk_id", "document_id", "chunk_index", F.length("text").alias("chars"), "chunk_hash", F.round("quality", 6).alias("quality"))
+    return _chunks(spark, sf).select("chunk_id", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("text").cast("long").alias("chars"), "chunk_hash", F.round("quality", 6).alias("quality"))
 
 
 def chunk_dedupe(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,9 +133,9 @@ def html_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_title(spark: SparkSession, sf: str) -> DataFrame:
-    """Plain fields of pages by the same parser; entities are left as they are in neither."""
+    """Title and language of pages."""
     got = html.extract(_pages(spark, sf))
-    return got.select("page_id", F.col("page.lang").alias("lang"))
+    return got.select("page_id", "page.title", F.col("page.lang").alias("lang"))
 
 
 # ---- analytics ---------------------------------------------------------------------------
@@ -139,7 +146,8 @@ def by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def by_category_top12(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.counts(_t(spark, sf, "documents"), "source", most=12)
+    pages = _pages(spark, sf).select(urls.category_of(_typed_url()).alias("category"))
+    return analytics.counts(pages, "category", most=12)
 
 
 def composition(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,14 +245,25 @@ OR regexp_matches({_TRIM.format(_TITLE)}, '{urls.LANDING_TITLE}') AS low_value F
     "date_from_url": """SELECT o_orderkey, CASE WHEN year(e) BETWEEN 2000 AND 2035 THEN strftime(e, '%Y-%m-%d') ELSE '' END AS dashed, CASE WHEN year(o_orderdate) BETWEEN 2000 AND 2035 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS plain
 FROM (SELECT *, CAST(o_orderdate AS DATE) + INTERVAL 96 MONTH AS e FROM orders)""",
     "parse_dates": """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 5 THEN strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') WHEN 6 THEN strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') WHEN 7 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS parsed FROM orders""",
-    "category_rules": """SELECT page_id, ['Blog', 'Research', 'Report', 'News', 'Event', 'Podcast', 'General'][page_id % 7 + 1] AS category, ['blog', 'research', 'report', 'news', 'event', 'podcast', 'page'][page_id % 7 + 1] AS source_type,
-['Blog', 'Other', 'Report', 'News', 'Event', 'Podcast', 'Other'][page_id % 7 + 1] AS kind FROM pages""",
+    "category_rules": r"""
+WITH u AS (SELECT page_id, lower(url) LIKE '%.pdf%' AND lower(split_part(url, '?', 1)) LIKE '%.pdf' AS pdf, lower(url || '/' || ['semiconductor-chips', 'playbook', 'blogs', 'ai-governance/briefs', 'news', 'decisions', 'issue', 'podcasts/energy', 'x', 'studies/data'][page_id % 10 + 1] || '/' || page_id) AS u FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(u, 'ai[-_\s]?governance|artificial[-_\s]?intelligence') THEN 'AI Governance' WHEN regexp_matches(u, 'geospat|gis|satellite|remote[-_\s]?sensing') THEN 'Geospatial'
+ WHEN regexp_matches(u, 'semiconductor|chip|foundry') THEN 'Semiconductors' WHEN regexp_matches(u, 'indo[-_\s]?pacific|quad|asean') THEN 'Indo-Pacific' WHEN regexp_matches(u, 'china|pla|bri\b') THEN 'China Studies'
+ WHEN regexp_matches(u, 'climate|environment|energy|lpg|oil|gas') THEN 'Energy & Climate' WHEN regexp_matches(u, 'defence|military|security|strateg') THEN 'Defence & Security' WHEN regexp_matches(u, 'space[-_\s]?policy|isro|launch') THEN 'Space Policy'
+ WHEN regexp_matches(u, 'economy|trade|wto|finance|fiscal') THEN 'Economy & Trade' WHEN regexp_matches(u, 'cyber|digital|data|privacy') THEN 'Cyber & Digital' WHEN regexp_matches(u, 'health|pharma|pandemic') THEN 'Health'
+ WHEN regexp_matches(u, 'education|school|skill') THEN 'Education' WHEN regexp_matches(u, 'nuclear|npt|disarma') THEN 'Nuclear Policy' WHEN regexp_matches(u, 'pakistan|border|kashmir') THEN 'South Asia' ELSE '' END AS category,
+CASE WHEN regexp_matches(u, '/publication|publications/') THEN 'publication' WHEN regexp_matches(u, '/blog|blogs/') THEN 'blog' WHEN regexp_matches(u, '/research|researchs/') THEN 'research' WHEN regexp_matches(u, '/commentary|commentarys/') THEN 'commentary'
+ WHEN regexp_matches(u, '/report|reports/') THEN 'report' WHEN regexp_matches(u, '/paper|papers/') THEN 'paper' WHEN regexp_matches(u, '/brief|briefs/') THEN 'brief' WHEN regexp_matches(u, '/policy|policys/') THEN 'policy'
+ WHEN regexp_matches(u, '/playbook|playbooks/') THEN 'playbook' WHEN regexp_matches(u, '/decision|decisions/') THEN 'decision' ELSE 'page' END AS source_type,
+CASE WHEN pdf OR regexp_matches(u, '/pdf') THEN 'PDF' WHEN regexp_matches(u, '/blog') THEN 'Blog' WHEN regexp_matches(u, '/newsletter') THEN 'Newsletter' WHEN regexp_matches(u, '/(publication|discussion document|issue brief|monograph|report|brief|working paper)') THEN 'Publication'
+ WHEN regexp_matches(u, '/podcast') THEN 'Podcast' WHEN regexp_matches(u, '/(video|youtube)') THEN 'Video' WHEN regexp_matches(u, '/(article|commentary|op-ed|opinion|in the news)') THEN 'Article' WHEN regexp_matches(u, '/(event|seminar|webinar|workshop|conference)') THEN 'Event'
+ WHEN regexp_matches(u, '/(course|graduate)') THEN 'Course' WHEN regexp_matches(u, '/playbook') THEN 'Playbook' WHEN regexp_matches(u, '/decision') THEN 'Decision' WHEN regexp_matches(u, '/insight') THEN 'Insight' WHEN regexp_matches(u, '/idea') THEN 'Idea'
+ WHEN regexp_matches(u, '/note') THEN 'Note' WHEN regexp_matches(u, '/(research|paper|study)') THEN 'Research' ELSE 'Web page' END AS kind FROM u""",
     "sentence_split": """SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '([.!?])\\s+', E'\\\\1\\n', 'g'), '\\n+'), lambda s: trim(s, E' \\t\\n\\r') <> '')) AS BIGINT) AS sentences FROM documents""",
     "line_dedupe": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 p AS (SELECT doc_id, line, pos, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l) SELECT doc_id, count(*) AS lines FROM p WHERE line IS DISTINCT FROM before GROUP BY doc_id""",
-    "html_title": "SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages",
+    "html_title": f"""SELECT page_id, coalesce(nullif(replace({_TRIM.format("regexp_extract(html, '<h1>([^<]*)', 1)")}, '&amp;', '&'), ''), nullif(replace({_TRIM.format("regexp_extract(html, '<title>([^<]*)', 1)")}, '&amp;', '&'), ''), url) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""",
     "by_source": "SELECT source, count(*) AS n FROM documents GROUP BY source",
-    "by_category_top12": "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 12",
     "composition": "SELECT source, lang, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)",
     "index_stats": """SELECT source, category, count(*) AS chunks, count(DISTINCT d) AS documents, CAST(grouping(source, category) AS INTEGER) AS level
 FROM (SELECT source, CASE WHEN doc_id % 5 > 0 THEN lang ELSE 'uncategorized' END AS category, doc_id % 97 AS d FROM documents) GROUP BY GROUPING SETS ((source), (category), ())""",
@@ -259,3 +278,28 @@ CAST(count_if(value > 30) AS BIGINT) AS conf_high, CAST(count_if(value <= 30 AND
     "recent_no_evidence": "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 6",
     "json_props": "SELECT event_type, CAST(sum(k) AS BIGINT) AS k, CAST(count_if(k > 50) AS BIGINT) AS high FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
 }
+SQL["by_category_top12"] = "SELECT category, count(*) AS n FROM (" + SQL["category_rules"].strip() + ") GROUP BY category ORDER BY n DESC, category LIMIT 12"
+
+# Chunks by a fold over the sentences: s is a sentence, f ends a chunk before one that is too long, p is a full run of its words, r the last run.
+_JOIN = "array_to_string(a.h, ' ')"
+_DONE = f"CASE WHEN len(a.h) > 0 AND length({_JOIN}) >= 200 AND (len(a.o) = 0 OR a.o[-1] <> {_JOIN}) THEN list_append(a.o, {_JOIN}) ELSE a.o END"
+_TAIL = "list_slice(a.h, coalesce(list_min(list_filter(range(1, len(a.h) + 1), lambda j: list_sum(list_transform(list_slice(a.h, j, len(a.h)), lambda x: length(x) + 1)) <= 150)), len(a.h) + 1), len(a.h))"
+_LEFT = f"CAST(coalesce(list_sum(list_transform({_TAIL}, lambda x: length(x) + 1)), 0) AS BIGINT)"
+_STEP = f"""CASE WHEN e.k = 's' AND len(a.h) > 0 AND a.u + length(e.t) + 1 > 1200 THEN {{'h': list_append({_TAIL}, e.t), 'u': {_LEFT} + length(e.t) + 1, 'o': {_DONE}}}
+WHEN e.k = 's' THEN {{'h': list_append(a.h, e.t), 'u': a.u + length(e.t) + 1, 'o': a.o}} WHEN e.k = 'f' THEN {{'h': {_TAIL}, 'u': {_LEFT}, 'o': {_DONE}}}
+WHEN e.k = 'p' THEN {{'h': a.h, 'u': a.u, 'o': CASE WHEN length(e.t) >= 200 AND (len(a.o) = 0 OR a.o[-1] <> trim(e.t)) THEN list_append(a.o, trim(e.t)) ELSE a.o END}}
+ELSE {{'h': list_append(a.h, e.t), 'u': CAST(length(e.t) AS BIGINT), 'o': a.o}} END"""
+_CHUNKS = f"""
+c0 AS (SELECT doc_id, source, {_TRIM.format(_TITLE)} AS title, {_CLEAN} AS text FROM documents), c1 AS (SELECT doc_id, source, title, {_NORM} AS text FROM c0),
+c2 AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '([.!?])\\s+', E'\\\\1\\n', 'g'), '\\n+'), lambda s: {_TRIM.format('s')}), lambda s: s <> '') AS s FROM c1 WHERE text <> ''),
+c3 AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS pos FROM c2),
+c4 AS (SELECT doc_id, pos, s, CASE WHEN length(s) > 1200 THEN list_reduce(string_split(s, ' '), lambda a, w: CASE WHEN length(a.p) + length(w) + 1 > 1200 THEN {{'o': list_append(a.o, a.p), 'p': w}} ELSE {{'o': a.o, 'p': trim(a.p || ' ' || w)}} END, {{'o': []::VARCHAR[], 'p': ''}}) END AS f FROM c3),
+c5 AS (SELECT doc_id, flatten(list(CASE WHEN f IS NULL THEN [{{'k': 's', 't': s}}] ELSE list_concat(list_concat([{{'k': 'f', 't': ''}}], list_transform(f.o, lambda q: {{'k': 'p', 't': q}})), [{{'k': 'r', 't': f.p}}]) END ORDER BY pos)) AS ev FROM c4 GROUP BY doc_id),
+c6 AS (SELECT doc_id, list_reduce(ev, lambda a, e: {_STEP}, {{'h': []::VARCHAR[], 'u': 0::BIGINT, 'o': []::VARCHAR[]}}) AS a FROM c5),
+c7 AS (SELECT doc_id, {_DONE} AS o FROM c6), c8 AS (SELECT doc_id, unnest(o) AS text, generate_subscripts(o, 1) - 1 AS i FROM c7),
+ch AS (SELECT doc_id || '_c' || i AS chunk_id, c8.doc_id AS document_id, i AS chunk_index, c8.text, source, substr(sha256(concat_ws(chr(10) || chr(10), CASE WHEN title <> '' AND lower(title) <> 'untitled' THEN 'Title: ' || title END, c8.text)), 1, 24) AS chunk_hash FROM c8 JOIN c1 USING (doc_id)),
+"""
+_SCORED = SQL["quality_score"].strip().removeprefix("WITH ").replace("documents", "ch").replace("doc_id", "chunk_id").replace("SELECT chunk_id, round(", ", q AS (SELECT chunk_id, document_id, chunk_index, ch.text, source, chunk_hash, round(", 1) + ")"
+SQL["chunk_documents"] = "WITH " + _CHUNKS.strip() + "\n" + _SCORED + " SELECT chunk_id, document_id, chunk_index, length(text) AS chars, chunk_hash, quality FROM q WHERE quality >= 0.5"
+SQL["chunk_dedupe"] = "WITH " + _CHUNKS.strip() + "\n" + _SCORED + " SELECT chunk_id, document_id, chunk_hash FROM q WHERE quality >= 0.5 QUALIFY row_number() OVER (PARTITION BY chunk_hash ORDER BY document_id, chunk_index) = 1"
+SQL["chunk_stats"] = "WITH " + _CHUNKS.strip() + "\n" + _SCORED + " SELECT count(*) AS total, count(*) FILTER (lower(source) = 'commit_kb') AS commit, avg(length(text)) AS avg_chars, CAST(max(length(text)) AS BIGINT) AS max_chars FROM q WHERE quality >= 0.5"

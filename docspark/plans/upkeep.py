@@ -15,10 +15,14 @@ from docspark.streaming import state
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that executors see too."""
+    """A new folder that executors see too; a local one only for a local session."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp()}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -127,12 +131,12 @@ def orphan_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def version_retention(spark: SparkSession, sf: str) -> DataFrame:
-    """Which of a list of versions (here: days with events) are kept: the newest five and the active one."""
-    from pyspark.sql import Window as W
+    """Which of a list of versions (here: days with events, 31 at most) stay: the newest five and the active one."""
+    from docspark.sources.versions import retained
 
-    days = _t(spark, sf, "events").select(F.date_format("ts", "yyyyMMdd").alias("version")).distinct()
-    n = F.row_number().over(W.orderBy(F.desc("version")))
-    return days.withColumn("n", n).select("version", ((F.col("n") <= 5) | (F.col("version") == "20240103")).alias("kept"))
+    days = [r.version for r in _t(spark, sf, "events").select(F.date_format("ts", "yyyyMMdd").alias("version")).distinct().collect()]
+    stay, gone = retained(days, "20240103", 5)
+    return spark.createDataFrame([(v, True) for v in stay] + [(v, False) for v in gone], "version string, kept boolean")
 
 
 # ---- streams -----------------------------------------------------------------------------

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from docspark.functions import dates
 from docspark.functions import text as X
@@ -69,13 +69,33 @@ def normalize(raw: DataFrame, source: str = "local", prefix: str = "doc", order:
         F.coalesce("__category", F.lit("")).alias("category"), F.coalesce("__document_type", F.lit("")).alias("document_type"), src.alias("source"), F.coalesce(F.try_element_at(names, F.lower(src)), src).alias("source_name"),
         text.alias("text"), F.length(text).alias("text_length"), content_hash(text).alias("content_hash"), *([F.col(order).alias("__order")] if order else []),
     ).where("text <> ''")
-    by = [F.col("__order")] if order else [F.col("content_hash"), F.col("url")]
     # only records without an id are numbered
     known, missing = docs.where("document_id is not null"), docs.where("document_id is null")
-    numbered = missing.withColumn("document_id", F.concat(F.lit(f"{prefix}_"), F.lpad(F.row_number().over(W.orderBy(*by)).cast("string"), 4, "0")))
-    return known.unionByName(numbered).drop("__order")
+    rank = _numbered(missing, [F.col("__order")] if order else [F.col("content_hash"), F.col("url")], order is not None)
+    named = rank.withColumn("document_id", F.concat(F.lit(f"{prefix}_"), F.when(F.col("__n") < 10_000, F.lpad(F.col("__n").cast("string"), 4, "0")).otherwise(F.col("__n").cast("string"))))
+    return known.unionByName(named.drop("__n")).drop("__order")
 
 
+def _numbered(rows: DataFrame, by: list[Column], given: bool, blocks: int = 256) -> DataFrame:
+    """``rows`` with ``__n``, their place from 1 in the order of ``by``.
+
+    No task gets all rows: they fall into blocks that follow the order, each is numbered
+    alone, and the counts of the blocks before (``blocks`` rows for numbers, as many as there are
+    beginnings of two characters for text) are added.
+    """
+    first = by[0]
+    kind = dict(rows.dtypes)["__order"] if given else "string"
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp") or kind.startswith("decimal"):
+        value = F.unix_date(first).cast("double") if kind == "date" else first.cast("double")
+        cuts = rows.select(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] or []
+        block = F.when(value.isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x < value)) if cuts else F.lit(0))
+    else:
+        block = F.coalesce(F.substring(first.cast("string"), 1, 2), F.lit(""))
+    placed = rows.withColumn("__block", block)
+    sizes = placed.groupBy("__block").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__block", (F.sum("n").over(W.orderBy("__block")) - F.col("n")).alias("__before"))
+    own = F.row_number().over(W.partitionBy("__block").orderBy(*by))
+    return placed.withColumn("__own", own).join(before, "__block").withColumn("__n", F.col("__own") + F.col("__before")).drop("__block", "__own", "__before")
 
 
 def with_pdf_pages(rows: DataFrame, pages: str = "pdf_pages") -> DataFrame:

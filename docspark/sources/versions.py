@@ -16,6 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from docspark.settings import DEFAULT
 
 
+def retained(versions: list[str], current: str | None, keep: int = DEFAULT.snapshots_kept) -> tuple[list[str], list[str]]:
+    """Of some versions those that stay and those that go: the newest ``keep`` stay, and the current one."""
+    newest = sorted(versions, reverse=True)
+    stay = [v for i, v in enumerate(newest) if i < keep or v == current]
+    return stay, [v for v in newest if v not in stay]
+
+
 class Versions:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -47,18 +54,44 @@ class Versions:
         stream.close()
         return text
 
-    def publish(self, tables: dict[str, DataFrame], extra: dict[str, Any] | None = None) -> dict[str, Any]:
-        """Write a new version and make it current. A failure before the end leaves the old one active."""
+    def stage(self, tables: dict[str, DataFrame], extra: dict[str, Any] | None = None) -> dict[str, Any]:
+        """Write a new version without making it current. Tables of the current version that aren't given are taken over as they stand."""
+        before = self.manifest() or {}
+        at = {name: before.get("at", {}).get(name, before["version"]) for name in before.get("tables", [])}
         now = datetime.now(timezone.utc)
         version = f"{now:%Y%m%dT%H%M%S}{now.microsecond // 1000:03d}Z-{uuid.uuid4().hex[:8]}"
-        counts = {}
+        counts = {name: n for name, n in before.get("counts", {}).items() if name in at}
+        manifest = {"schema": 1, "version": version, "built_at": f"{now:%Y-%m-%dT%H:%M:%SZ}", "counts": counts, "tables": sorted(at), "at": at, **(extra or {})}
+        return self._filled(manifest, tables)
+
+    def complete(self, version: str, tables: dict[str, DataFrame]) -> dict[str, Any]:
+        """Write further tables into a version that isn't current yet."""
+        return self._filled(self.manifest(version) or {"version": version}, tables)
+
+    def _filled(self, manifest: dict[str, Any], tables: dict[str, DataFrame]) -> dict[str, Any]:
+        version = manifest["version"]
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/versions/{version}/{name}")
-            counts[name] = self.spark.read.parquet(f"{self.root}/versions/{version}/{name}").count()
-        manifest = {"schema": 1, "version": version, "built_at": f"{now:%Y-%m-%dT%H:%M:%SZ}", "counts": counts, "tables": sorted(tables), **(extra or {})}
+            path = f"{self.root}/versions/{version}/{name}"
+            df.write.parquet(path)
+            manifest["counts"][name], manifest["at"][name] = self.spark.read.parquet(path).count(), version
+        manifest["tables"] = sorted(manifest["at"])
         self._write(json.dumps(manifest), "manifests", version)
+        return manifest
+
+    def activate(self, version: str) -> None:
         self._write(version, "current")
         self.prune()
+
+    def discard(self, version: str) -> None:
+        """Delete a version that isn't current."""
+        if version != self.current():
+            self._fs().delete(self._path("manifests", version), False)
+            self._fs().delete(self._path("versions", version), True)
+
+    def publish(self, tables: dict[str, DataFrame], extra: dict[str, Any] | None = None) -> dict[str, Any]:
+        """Write a new version and make it current. A failure before the end leaves the old one active."""
+        manifest = self.stage(tables, extra)
+        self.activate(manifest["version"])
         return manifest
 
     def current(self) -> str | None:
@@ -76,7 +109,9 @@ class Versions:
 
     def table(self, name: str, version: str | None = None) -> DataFrame:
         """A table of the current (or a given) version; the manifest is read anew each time."""
-        return self.spark.read.parquet(f"{self.root}/versions/{version or self.current()}/{name}")
+        version = version or self.current()
+        at = (self.manifest(version) or {}).get("at", {}).get(name, version)
+        return self.spark.read.parquet(f"{self.root}/versions/{at}/{name}")
 
     def rollback(self, version: str | None = None) -> dict[str, Any]:
         """Make an older version current: the one given, or the newest before the current."""
@@ -89,10 +124,18 @@ class Versions:
         return {**(self.manifest(target) or {}), "rolled_back_from": now}
 
     def prune(self, keep: int = DEFAULT.snapshots_kept) -> list[str]:
-        """Delete all but the newest ``keep`` versions; the current one stays."""
-        gone = [v for v in self.list()[keep:] if v != self.current()]
-        fs = self._fs()
+        """Delete all but the newest ``keep`` versions; the current one stays, and so do tables that a kept version has taken over."""
+        known, now, fs = self.list(), self.current(), self._fs()
+        stay, gone = retained(known, now, keep)
+        used = {(at, name) for v in stay for name, at in (self.manifest(v) or {}).get("at", {}).items()}
         for v in gone:
             fs.delete(self._path("manifests", v), False)
-            fs.delete(self._path("versions", v), True)
+        names = lambda *at: [s.getPath().getName() for s in fs.listStatus(self._path(*at))]
+        # a folder behind the current version may be in the making
+        for v in [v for v in names("versions") if now and v < now and v not in stay]:
+            for name in names("versions", v):
+                if (v, name) not in used:
+                    fs.delete(self._path("versions", v, name), True)
+            if not any(at == v for at, _ in used):
+                fs.delete(self._path("versions", v), True)
         return gone

@@ -23,13 +23,15 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
 
 
 def upsert_into(versions: Versions, name: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A batch handler that merges rows into a versioned table. A batch that comes again changes nothing: the same rows replace themselves."""
+    """A batch handler that merges rows into a versioned table; other tables of the store stay as they are.
+
+    A batch that comes again changes nothing: the same rows replace themselves. Rows that
+    come late, after a newer one of their key, change nothing either.
+    """
 
     def handle(batch: DataFrame, _: int) -> None:
-        if versions.current():
-            versions.publish({name: upsert(versions.table(name), batch, key, order)})
-        else:
-            versions.publish({name: upsert(batch.limit(0), batch, key, order)})
+        known = name in (versions.manifest() or {}).get("tables", [])
+        versions.publish({name: upsert(versions.table(name) if known else batch.limit(0), batch, key, order)})
 
     return handle
 

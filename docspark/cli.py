@@ -1,10 +1,13 @@
-"""Command line: ``python -m docspark.cli ROOT update FILE | validate | ask QUESTION | search QUESTION | status | rollback``."""
+"""Command line: ``python -m docspark.cli ROOT update FILE | dedupe | validate | ask QUESTION | search QUESTION | status | runs | rollback | package TARGET | install SOURCE | refresh SOURCE``."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from collections.abc import Callable
+from datetime import datetime, timezone
+from typing import Any
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,19 @@ from pyspark.sql import functions as F
 from docspark.kb import Store
 from docspark.operators import validate
 from docspark.settings import Settings
-from docspark.sources import jsonl
+from docspark.sources import jsonl, runs
+
+
+def logged(store: Store, root: str, change: Callable[[], dict[str, Any]]) -> dict[str, Any]:
+    """A change of the store by one run at a time, with a row in the log of runs."""
+    with runs.Lock(store.spark, root) as held:
+        if not held:
+            return {"published": False, "reason": "another run holds the lock"}
+        began = f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
+        out = change()
+        known = {k: out[k] for k in ("added", "updated", "removed", "total", "version") if out.get(k) is not None}
+        runs.record(store.spark, root, started_at=began, finished_at=f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}", status="published" if out["published"] else "kept", message=out.get("reason"), **known)
+        return out
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -30,6 +45,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         q.add_argument("--source")
         q.add_argument("--length", default="normal", choices=["short", "normal", "detailed"])
     sub.add_parser("status")
+    sub.add_parser("runs", help="the latest updates")
+    sub.add_parser("dedupe", help="keep the richest document of each address and publish")
+    for name, what in (("package", "copy the current version to a folder"), ("install", "take over a packaged version"), ("refresh", "take it over if it is newer")):
+        sub.add_parser(name, help=what).add_argument("folder")
     back = sub.add_parser("rollback")
     back.add_argument("--version")
     a = p.parse_args(args)
@@ -39,8 +58,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     code = 0
     if a.do == "update":
         docs = jsonl.normalize(jsonl.read_jsonl(store.spark, a.file), a.source)
-        out = store.update(docs.withColumn("updated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")))
+        out = logged(store, a.root, lambda: store.update(docs.withColumn("updated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))))
         code = int(not out["published"] and out["reason"] != "no changes")
+    elif a.do == "dedupe":
+        out = logged(store, a.root, store.dedupe)
+    elif a.do == "runs":
+        out = [r.asDict() for r in runs.history(store.spark, a.root).collect()]
+    elif a.do in ("package", "install"):
+        out = {"package": runs.package, "install": runs.install}[a.do](store.versions, a.folder)
+    elif a.do == "refresh":
+        out = {"installed": runs.refresh(store.versions, a.folder)}
     elif a.do == "validate":
         report = store.validate()
         verdict = validate.passed(report).first()

@@ -51,6 +51,17 @@ def chunk_summary(chunks: DataFrame, source: str = "source", text: str = "text")
     return chunks.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.lower(source) == "commit_kb").alias("commit"), F.coalesce(F.avg(n), F.lit(0.0)).alias("avg_chars"), F.coalesce(F.max(n), F.lit(0)).cast("long").alias("max_chars"))
 
 
+def chunks_by_source(chunks: DataFrame, source: str = "source") -> DataFrame:
+    """Chunks of each source; a blank one is unknown."""
+    return counts(chunks.select(F.lower(F.coalesce(blank_to_null(F.col(source)), F.lit("unknown"))).alias("source")), "source")
+
+
+def top_categories(log: DataFrame, most: int = 6) -> DataFrame:
+    """The categories that answers of a query log were most often about."""
+    known = log.select(blank_to_null(F.col("top_category")).alias("category")).where("category is not null")
+    return counts(known, "category", most=most)
+
+
 def explore(df: DataFrame, text: str | None = None, where: Column | None = None, order: str = "document_id", page: int = 1, size: int = 100) -> DataFrame:
     """One page of documents whose title or text contains a phrase (as it is, case apart)."""
     out = df if where is None else df.where(where)

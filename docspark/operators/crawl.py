@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions.urls import canonical, should_follow, should_keep
+from docspark.settings import DEFAULT, Settings
+from docspark.sources import html
+
 #: Outcomes that count as seen: a page that failed or was forbidden may still exist.
 SEEN = ("ok", "not_modified", "error", "robots")
 
@@ -93,3 +99,38 @@ def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     hit = rows.join(rules, "host", "left").where(F.col("prefix").isNull() | F.expr("startswith(path, prefix)"))
     best = hit.groupBy("url").agg(F.max_by("allow", F.struct(F.length("prefix"), F.col("allow").cast("int"))).alias("allow"))
     return rows.select("url").join(best, "url", "left").select("url", F.coalesce("allow", F.lit(True)).alias("allowed"))
+
+
+@dataclass(frozen=True)
+class Run:
+    """What a crawl run leaves: documents that are new or changed, addresses whose documents go, the state, and a row of counts."""
+
+    documents: DataFrame
+    removed: DataFrame
+    state: DataFrame
+    counts: DataFrame
+
+
+def run(fetches: DataFrame, state: DataFrame, seeds: DataFrame, hosts: list[str], now: str, source: str = "website", robots: DataFrame | None = None, exclude: tuple[str, ...] = (), incremental: bool = True, settings: Settings = DEFAULT) -> Run:
+    """One crawl of a site over its fetch log (``url, status, html``): follow, fetch, extract, compare, remove.
+
+    Pages are reached from the seeds over internal links that may be followed, within the
+    settings' depth and number of pages; what the rules of robots files forbid counts as seen
+    but gives no document. ``state`` is that of ``next_state``.
+    """
+    at = fetches.withColumn("url", canonical(F.col("url"))).dropDuplicates(["url"])
+    pages = at.where("status = 'ok'")
+    edges = html.links(pages).where(should_follow(F.col("dst"), hosts, list(exclude)))
+    starts = seeds.select(canonical(F.col("url")).alias("url")).distinct()
+    reached = frontier(edges, starts, settings.crawl_max_depth, settings.crawl_max_pages)
+    capped = reached.count() >= settings.crawl_max_pages
+    seen = at.join(reached.select("url"), "url", "left_semi")
+    if robots is not None:
+        seen = seen.join(allowed(seen.select("url"), robots), "url").withColumn("status", F.when(F.col("allowed"), F.col("status")).otherwise("robots")).drop("allowed")
+    docs = html.documents(seen.where("status = 'ok'"), source, settings.min_evidence_chars).where(should_keep(F.col("url"), list(exclude)))
+    hashed = seen.select("url", "status").join(docs.select("url", "content_hash"), "url", "left")
+    changes = classify(hashed, state)
+    gone = removals(state, hashed, incremental, capped).unionByName(changes.where("change in ('gone', 'demoted')").join(state.select("url"), "url", "left_semi").select("url")).distinct()
+    fresh = docs.join(changes.where("change in ('added', 'updated')").select("url"), "url", "left_semi")
+    counts = changes.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    return Run(fresh, gone, next_state(state, changes, gone, now), counts)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import answers, corpus, retrieval, upkeep
+from docspark.plans import answers, corpus, retrieval, surfaces, upkeep
 
-_PARTS = (retrieval, corpus, upkeep, answers)
+_PARTS = (retrieval, corpus, upkeep, answers, surfaces)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

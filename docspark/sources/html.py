@@ -10,12 +10,12 @@ from typing import Any
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import text as X
 from docspark.functions.dates import parse_date
-from docspark.functions.urls import canonical, content_hash, url_hash
+from docspark.functions.urls import canonical, content_hash, is_internal, url_hash
 
 PAGE = "title string, h1 string, lang string, text string, author string, date string, updated_date string, section string, description string, tags array<string>, breadcrumbs array<string>, canonical_url string, links array<string>, pdf_urls array<string>"
 _SKIP = {"script", "style", "noscript", "template", "svg", "form", "iframe"}
@@ -167,13 +167,37 @@ def documents(pages: DataFrame, source: str = "website", least: int = 200) -> Da
     ).where(F.col("text_length") >= least)
 
 
+def keep_raw(pages: DataFrame, path: str, run: str) -> None:
+    """Append fetched pages as they are to an audit table, a folder for each run."""
+    pages.select(url_hash(F.col("url")).alias("url_hash"), "url", "html").write.mode("append").parquet(f"{path.rstrip('/')}/run={run}")
+
+
 def links(pages: DataFrame) -> DataFrame:
     """``src, dst``: canonical addresses of a page and of what it links to."""
     return extract(pages).select(canonical(F.col("url")).alias("src"), F.explode("page.links").alias("to")).select("src", canonical(F.col("to")).alias("dst")).distinct()
 
 
+def sitemap_walk(files: DataFrame, roots: list[str], hosts: list[str], depth: int = 4) -> DataFrame:
+    """``url`` of all internal pages in some sitemaps and the sitemaps that they name, ``depth`` levels down.
+
+    ``files``: ``url, xml`` of the sitemaps that were fetched. Each is read once; the loop ends
+    with the levels, of which there are few.
+    """
+    listed = files.select(F.col("url").alias("sitemap"), "xml")
+    each = listed.select("sitemap", F.explode(_listed("xml")).alias("s")).select("sitemap", "s.url", "s.is_index")
+    spark = files.sparkSession
+    known = level = spark.createDataFrame([(u,) for u in roots], "sitemap string").distinct()
+    for _ in range(depth):
+        level = level.join(each.where("is_index"), "sitemap").select(F.col("url").alias("sitemap")).distinct().join(known, "sitemap", "left_anti")
+        known = known.unionByName(level)
+    return each.where("not is_index").join(known.distinct(), "sitemap", "left_semi").where(is_internal(F.col("url"), hosts)).select("url").distinct()
+
+
+def _listed(column: str) -> Column:
+    where = lambda outer: F.expr(f"xpath(regexp_replace({column}, ' xmlns(:[a-z]+)?=\"[^\"]*\"', ''), '//{outer}/loc/text()')")
+    return F.concat(F.transform(where("url"), lambda u: F.struct(F.trim(u).alias("url"), F.lit(False).alias("is_index"))), F.transform(where("sitemap"), lambda u: F.struct(F.trim(u).alias("url"), F.lit(True).alias("is_index"))))
+
+
 def sitemap_urls(xml: DataFrame, column: str = "xml") -> DataFrame:
     """Addresses in sitemaps and sitemap indexes, with whether they are sitemaps themselves."""
-    where = lambda outer: F.expr(f"xpath(regexp_replace({column}, ' xmlns(:[a-z]+)?=\"[^\"]*\"', ''), '//{outer}/loc/text()')")
-    both = F.concat(F.transform(where("url"), lambda u: F.struct(F.trim(u).alias("url"), F.lit(False).alias("is_index"))), F.transform(where("sitemap"), lambda u: F.struct(F.trim(u).alias("url"), F.lit(True).alias("is_index"))))
-    return xml.select(F.explode(both).alias("s")).select("s.*").distinct()
+    return xml.select(F.explode(_listed(column)).alias("s")).select("s.*").distinct()

@@ -205,24 +205,24 @@ def test_answers_of_all_documents_and_whole_texts(spark, tmp_path):
     shared = " ".join(f"s{i}" for i in range(150))
     texts = {0: f"{early} {shared} {shared} {late}", 1: "short", 3: f"{early} {late}", 6: f"{early} {late}", 7: "", 12: None}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {n: {r.doc_id: r for r in catalog.queries()[n](spark, str(tmp_path)).collect()} for n in ("citation_parse_whole", "verify_citations_whole", "cited_sources_whole")}
+    got = {n: {r.doc_id: r for r in catalog.queries()[n](spark, str(tmp_path)).collect()} for n in ("citation_parse", "verify_citations", "cited_sources")}
     assert all(set(rows) == set(texts) for rows in got.values())
-    assert {i: (r.cited, r.valid) for i, r in got["citation_parse_whole"].items()} == {0: ("", ""), 1: ("1,2,9", "1,2"), 3: ("3,2,9", "3,2"), 6: ("", ""), 7: ("2,9", "2"), 12: ("", "")}
-    assert {i: r.shown for i, r in got["cited_sources_whole"].items()} == {0: "a", 1: "a,b", 3: "c,b", 6: "a", 7: "b", 12: "a"}
-    assert {i: (r.grounded, r.kept, r.dropped) for i, r in got["verify_citations_whole"].items()} == {0: (True, 1, 2), 1: (True, 2, 1), 3: (True, 2, 1), 6: (False, 0, 3), 7: (True, 1, 2), 12: (False, 0, 3)}
+    assert {i: (r.cited, r.valid) for i, r in got["citation_parse"].items()} == {0: ("", ""), 1: ("1,2,9", "1,2"), 3: ("3,2,9", "3,2"), 6: ("", ""), 7: ("2,9", "2"), 12: ("", "")}
+    assert {i: r.shown for i, r in got["cited_sources"].items()} == {0: "a", 1: "a,b", 3: "c,b", 6: "a", 7: "b", 12: "a"}
+    assert {i: (r.grounded, r.kept, r.dropped) for i, r in got["verify_citations"].items()} == {0: (True, 1, 2), 1: (True, 2, 1), 3: (True, 2, 1), 6: (False, 0, 3), 7: (True, 1, 2), 12: (False, 0, 3)}
 
 
 def test_merge_and_overlap_of_whole_texts(spark, tmp_path):
     from docspark.plans import catalog
 
     same = "w " * 100  # two texts that part behind 150 characters, their copy, one longer than the cap, and one that none reaches
-    texts = {0: same + "one", 20: same + "two", 40: same + "one", 1: "v " * 3000, 21: "late", 2: None, 22: " \n"}
+    texts = {0: same + "one", 2: same + "two", 4: same + "one", 8: "v " * 3000, 9: "late", 16: None, 17: " \n"}
     spark.createDataFrame([(i, "en", t) for i, t in texts.items()], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = catalog.queries()
-    got = {r.document: (r.position, r.text) for r in found["doc_text_merge_whole"](spark, str(tmp_path)).collect()}
-    want = {0: (0, f"{same}one\n\n{same}two"), 1: (1, ("v " * 3000)[:4000]), 2: (2, "")}
+    got = {r.document: (r.position, r.text) for r in found["doc_text_merge"](spark, str(tmp_path)).collect()}
+    want = {0: (0, f"{same}one\n\n{same}two"), 1: (8, ("v " * 3000)[:4000]), 2: (16, "")}
     assert got == {k: (p, hashlib.md5(t.encode()).hexdigest()) for k, (p, t) in want.items()}
 
     head, tail = [f"a{i}" for i in range(100, 400)], [f"b{i}" for i in range(100, 325)] + [f"a{i}" for i in range(100, 175)]
     spark.createDataFrame([(1, f"{' '.join(head)} {' '.join(tail)}"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/o/documents.parquet")
-    assert {r.doc_id: r.overlap for r in found["grounding_overlap_whole"](spark, f"{tmp_path}/o").collect()} == {1: 0.25, 2: 0.0, 3: 0.0}
+    assert {r.doc_id: r.overlap for r in found["grounding_overlap"](spark, f"{tmp_path}/o").collect()} == {1: 0.25, 2: 0.0, 3: 0.0}

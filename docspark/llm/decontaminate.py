@@ -101,8 +101,8 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str, item_id: str, item
     return spans.join(named, "key").select("key", union["n"].alias("n_hit"), "items")
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 13) -> DataFrame:
-    """``docs`` with ``n_words, n_hit, items, contaminated``.
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 13, into: tuple[str, str, str, str] = ("n_words", "n_hit", "items", "contaminated")) -> DataFrame:
+    """``docs`` with ``n_words, n_hit, items, contaminated`` (or the names ``into``).
 
     A document word inside any occurrence of a window is hit; a document is contaminated if
     it has hit words and they are a twentieth of its words or more. Null and empty texts have
@@ -114,7 +114,8 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     key, hit, ids = (scratch.fresh(docs, c) for c in ("__key", "__hit", "__items"))
     size = found.agg(F.sum(64 + 24 * F.size("items"))).first()[0] or 0
     hits = found.select(F.col("key").alias(key), F.col("n_hit").alias(hit), F.col("items").alias(ids))
-    out = docs.withColumns({key: _key(F.col(text)), "n_words": F.size(words(F.col(text))).cast("long")})
+    n_words, n_hit, of, flag = into
+    out = docs.withColumns({key: _key(F.col(text)), n_words: F.size(words(F.col(text))).cast("long")})
     out = out.join(_side(hits, size), key, "left").drop(key)
-    out = out.withColumns({"n_hit": F.coalesce(hit, F.lit(0).cast("long")), "items": F.coalesce(ids, F.array().cast("array<string>"))}).drop(hit, ids)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    out = out.withColumns({n_hit: F.coalesce(hit, F.lit(0).cast("long")), of: F.coalesce(ids, F.array().cast("array<string>"))}).drop(hit, ids)
+    return out.withColumn(flag, (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words)))

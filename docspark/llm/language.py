@@ -174,10 +174,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model.of([(name, np.sort(x["gram"].to_numpy()).astype(np.uint32)) for name, x in sorted(kept.groupby("lang"))])
 
 
-def add_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Keep the columns of ``docs`` and add ``lang_pred`` and ``score``; every row stays.
+def add_language(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Keep the columns of ``docs`` and add ``lang_pred`` and ``score`` (or the names ``into``); every row stays, repeated ones too.
 
-    A null text, or one without a letter, is UNKNOWN with score 0.
+    A null text, or one without a letter, is UNKNOWN with score 0. Of languages that share
+    the greatest count the first by name is given; so is it, with score 0, to a text with
+    letters none of whose n-grams is known, or that is too short for one. A column that has
+    one of the two names already is replaced. An empty table stays empty.
     """
     from pyspark.sql.functions import arrow_udf
 
@@ -187,4 +190,5 @@ def add_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
         names = pa.array([*model.languages, UNKNOWN], pa.string())
         return pa.StructArray.from_arrays([names.take(pa.array(np.where(best < 0, len(model.languages), best))), pa.array(score)], ["lang_pred", "score"])
 
-    return docs.withColumn("__lang", predict(F.col(text))).withColumns({"lang_pred": F.col("__lang.lang_pred"), "score": F.col("__lang.score")}).drop("__lang")
+    both = scratch.fresh(docs, "__lang")
+    return docs.withColumn(both, predict(F.col(text))).withColumns({into[0]: F.col(both)["lang_pred"], into[1]: F.col(both)["score"]}).drop(both)

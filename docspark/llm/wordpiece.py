@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm import scratch
+
 MARK = "▁"
 #: Characters of distinct words that advance together, and words above which a word goes alone.
 TOGETHER, LONG = 1 << 20, 200
@@ -185,11 +187,13 @@ def count_texts(texts: pa.Array, machine: Automaton) -> tuple[np.ndarray, np.nda
     return words[first[1:]] - words[first[:-1]], total[first[1:]] - total[first[:-1]]
 
 
-def add_counts(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """Keep the columns of ``docs`` and add ``n_words`` and ``n_tokens``.
+def add_counts(docs: DataFrame, model_path: str, text: str = "text", into: tuple[str, str] = ("n_words", "n_tokens")) -> DataFrame:
+    """Keep the columns of ``docs`` and add ``n_words`` and ``n_tokens`` (or the names ``into``).
 
     Null, empty and blank texts have none of either. Nothing is shuffled: every row is
-    counted where it is read, and a text of any length is counted whole.
+    counted where it is read, repeated rows each for itself, and a text of any length is
+    counted whole. A column that has one of the two names already is replaced; an empty
+    table stays empty.
     """
     from pyspark.sql.functions import arrow_udf
 
@@ -200,4 +204,5 @@ def add_counts(docs: DataFrame, model_path: str, text: str = "text") -> DataFram
             words, tokens = count_texts(texts, machine)
             yield pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["n_words", "n_tokens"])
 
-    return docs.withColumn("__count", count(F.col(text))).withColumns({"n_words": F.col("__count.n_words"), "n_tokens": F.col("__count.n_tokens")}).drop("__count")
+    both = scratch.fresh(docs, "__count")
+    return docs.withColumn(both, count(F.col(text))).withColumns({into[0]: F.col(both)["n_words"], into[1]: F.col(both)["n_tokens"]}).drop(both)

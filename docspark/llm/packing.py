@@ -23,8 +23,8 @@ from pyspark.sql import Window as W
 from docspark.llm import scratch
 
 DIMENSIONS, BITS = 4, 10
-#: Documents of one range of the curve (their light rows only), and the most ranges.
-RANGE_ROWS, MOST_RANGES = 50_000, 20_000
+#: Documents of one range of the curve (their light rows only).
+RANGE_ROWS = 50_000
 END_ID = 1
 #: Characters on which the two libraries' pre-tokenizers rest on the same old Unicode classes.
 _PLAIN = r"[\x00-\x1B\x20-\x7E\xA0-ɏ‐-‧‰-⁞]*"
@@ -145,12 +145,12 @@ def pack(docs: DataFrame, length: int, json_path: str, ranks_path: str | None =
     spark = docs.sparkSession
     tokens = scratch.written(tokenized(docs, json_path, ranks_path, pattern, key, text).withColumn("row", F.monotonically_increasing_id()), "tokens", "zstd")
     light = tokens.select("row", "doc", "curve", "doc_tokens")
-    ranges = max(1, min(MOST_RANGES, math.ceil(light.count() / RANGE_ROWS)))
+    ranges = max(1, math.ceil(light.count() / RANGE_ROWS))
     # Ranges are cut by the composite order, then kept with their number: nothing is cut twice.
     cut = light.repartitionByRange(ranges, "curve", "doc", "row").withColumn("range", F.spark_partition_id())
     cut = scratch.written(cut, "curve")
     sums = cut.groupBy("range").agg(F.sum("doc_tokens").alias("n"))
-    before = sums.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))  # a row for each range, MOST_RANGES at most
+    before = sums.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))  # a row for each range
     within = F.sum("doc_tokens").over(W.partitionBy("range").orderBy("curve", "doc", "row")) - F.col("doc_tokens")
     at = cut.withColumn("within", within).join(F.broadcast(before), "range").select("row", (F.col("within") + F.col("before")).alias("at"))
     placed = tokens.join(at, "row")

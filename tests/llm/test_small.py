@@ -12,6 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brute import brute_components, brute_removed, greedy, shingles
+
 from docspark.llm import chat, decontaminate, fingerprints, graph, language, neardup, packing, quality, sharding, suffix, wordpiece, words
 from docspark.llm.queries import public_vocabulary
 
@@ -39,6 +41,16 @@ def test_template_round_trip(spark):
             assert not any(c in piece.split("\n", 1)[1].removesuffix("<|im_end|>\n") for c in chat.CONTROL)
 
 
+def test_a_wrong_mask_is_noticed(spark):
+    turns = spark.createDataFrame([([("user", "one two"), ("assistant", "three\nfour </s>")],)], chat.TURNS.join(["turns ", ""]))
+    out = turns.select(chat.render(F.col("turns")).alias("o")).select("o.formatted", "o.mask")
+    assert out.select(chat.masked_text(F.col("formatted"), F.col("mask")).alias("t")).first().t == "three\nfour </s>"
+    for change in (lambda m: m.withField("before", m["before"] + 1), lambda m: m.withField("text", m["text"] - 1), lambda m: m.withField("before", m["before"] + 1).withField("after", m["after"] - 1)):
+        wrong = out.withColumn("mask", F.transform("mask", change))
+        with pytest.raises(Exception, match="mask does not fit"):
+            wrong.select(chat.masked_text(F.col("formatted"), F.col("mask"))).collect()
+
+
 def test_layouts(spark):
     import json
 
@@ -101,8 +113,10 @@ def test_shards_of_odd_rows(odd, none):
     assert sharding.shard_documents(none, 5).count() == 0
 
 
-def test_slots_over_blocks_and_a_hot_key(spark, monkeypatch):
+@pytest.mark.parametrize("bounds", [4096, 4])
+def test_slots_over_blocks_and_a_hot_key(spark, monkeypatch, bounds):
     monkeypatch.setattr(sharding, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(sharding, "MOST_BOUNDS", bounds)
     df = spark.range(300).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
     got = sharding.shard_documents(df, 4).orderBy("shard", "slot").collect()
     for s in range(4):
@@ -154,16 +168,6 @@ def test_hilbert_neighbours():
 # ---- token counts -------------------------------------------------------------------------
 
 
-def greedy(word, pieces):
-    n = i = 0
-    longest = max(map(len, pieces))
-    while i < len(word):
-        k = next((k for k in range(min(longest, len(word) - i), 0, -1) if word[i : i + k] in pieces), 0)
-        n += 1 if k else len(word[i].encode())
-        i += k or 1
-    return n
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="abcé", min_size=1, max_size=6), min_size=1, max_size=12), st.lists(st.text(alphabet="abcéx漢", max_size=15), max_size=6))
 def test_automaton_is_greedy_longest_match(pieces, texts):
@@ -188,11 +192,6 @@ def test_counts_of_odd_rows(odd, none):
 # ---- words and near duplicates -------------------------------------------------------------
 
 
-def shingles(text, width):
-    w = [bytes(x) for x in (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split()]
-    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="aAbB é\t\n\x0b\x1c\xa0", max_size=30), max_size=8), st.integers(1, 4))
 def test_sets_have_the_sizes_of_word_shingles(texts, width):
@@ -217,23 +216,6 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def brute_components(texts, width, percent):
-    sets = [shingles(t, width) for t in texts]
-    parent = list(range(len(texts)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= percent * len(a | b):
-                parent[max(find(i), find(j))] = min(find(i), find(j))
-    return [find(i) for i in range(len(texts))]
-
-
 def test_near_duplicates_by_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     base = [f"w{rng.randrange(400)}" for _ in range(60)]
@@ -247,7 +229,7 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
         w = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 30))]
         texts += [" ".join(w), " ".join(w[:-1] + ["end"]), " ".join(w).upper()]
     rng.shuffle(texts)
-    monkeypatch.setattr(neardup, "TILE", 40)
+    monkeypatch.setattr(neardup, "TILE", 2500)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for width, percent in ((2, 80), (5, 80), (1, 90)):
         got = {r.id: r for r in neardup.near_duplicates(docs, width=width, percent=percent).collect()}
@@ -380,20 +362,7 @@ def test_contamination(spark, odd, none):
 # ---- repeated strings ---------------------------------------------------------------------------
 
 
-def brute_removed(texts, width=200):
-    raw = [(t or "").encode() for t in texts]
-    n = Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
-    out = []
-    for b in raw:
-        gone = np.zeros(len(b), bool)
-        for i in range(len(b) - width + 1):
-            if n[b[i : i + width]] > 1:
-                gone[i : i + width] = True
-        out.append(bytes(x for x, g in zip(b, gone) if not g))
-    return out
-
-
-def test_repeats_by_brute_force(spark):
+def test_repeats_by_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     word = lambda k: " ".join("".join(rng.choices("abcdefghé", k=rng.randrange(2, 9))) for _ in range(k))
     passage, line = word(120), word(20)
@@ -402,18 +371,21 @@ def test_repeats_by_brute_force(spark):
     texts += [word(5) + line + word(40) for _ in range(10)] + [passage, passage, "a" * 450, "ab" * 300, "x" * 199, "x" * 200, "", None]
     texts += [texts[3] + " and " + texts[3], texts[40][:150] + "Z" + texts[40][151:]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for most in (20_000, 2):
-        suffix_most, suffix.MOST_STRINGS = suffix.MOST_STRINGS, most
+    for most, room in ((20_000, 8 << 20), (2, 8 << 20), (20_000, 24)):
+        monkeypatch.setattr(suffix, "MOST_STRINGS", most)
+        monkeypatch.setattr(suffix, "MOST_BROADCAST", room)
         got = {r.doc_id: bytes(r["kept"]) for r in suffix.remove_repeats(docs).collect()}
-        suffix.MOST_STRINGS = suffix_most
         assert [got[i] for i in range(len(texts))] == brute_removed(texts)
 
 
 def test_repeats_of_odd_rows(odd, none):
-    got = suffix.remove_repeats(odd.drop("kept", "spans", "found"), as_text=True)
+    got = suffix.remove_repeats(odd, as_text=True)
+    assert got.columns == [c for c in odd.columns if c not in ("spans", "kept")] + ["spans", "kept"] and {r.found for r in got.collect()} == {"clash"}
+    named = suffix.remove_repeats(odd, into=("gone", "rest")).first()
+    assert named.kept == named.spans == "clash" and isinstance(named.rest, bytes | bytearray)
     by = {r.doc_id: r for r in got.collect()}
     assert got.count() == odd.count() and by[5].kept == "" and by[3].kept == by[4].kept == "" and by[8].kept == by[8].text
-    assert suffix.remove_repeats(none.drop("kept", "spans", "found")).count() == 0
+    assert suffix.remove_repeats(none).count() == 0
 
 
 @settings(max_examples=100, deadline=None)

@@ -113,7 +113,9 @@ _PUNCTUATION = "’‘“”—–…•₹€™"
 _LOW_PUNCTUATION = "–—‘’‚“”„…•€₹™"
 _SYMBOLS = "£©®°±½¼¾·»«¥¢§¶´¨¯¸¡¿²³¹µªº"
 _LETTERS = "éèëêáàâãåäæóòôöõøñíìïîúùüûçÿýÀÉÇÑÄÖÜÅÆØß"
-REPAIRS: dict[str, str] = {misread(c): c for c in _PUNCTUATION + _SYMBOLS + _LETTERS} | {misread(c, "latin-1"): c for c in _LOW_PUNCTUATION} | {"Â ": " ", "ï¿½": ""}
+REPAIRS: dict[str, str] = {misread(c): c for c in _PUNCTUATION + _SYMBOLS + _LETTERS} | {misread(c, "latin-1"): c for c in _LOW_PUNCTUATION} | {misread("\u201b", "latin-1"): "\u2018"}
+# Forms that have lost a byte, a misread no-break space and a misread replacement character.
+REPAIRS |= {"â€?": "’", "â€": "”", "Â\u00a0": " ", "Â ": " ", "ï¿½": ""}
 _CERTAIN = sorted(REPAIRS, key=lambda k: (-len(k), k))
 # What an emoji leaves behind, and an "â" that stands alone for an apostrophe or a dash.
 _LEFT_OVER = r"ðŸ[^\sA-Za-z0-9]{0,4}"

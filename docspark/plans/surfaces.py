@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import dates, entities, urls
 from docspark.functions import text as X
-from docspark.operators import analytics, crawl, dense, grounding, lexical, records, shown
-from docspark.plans.corpus import _CLEAN, _HOST, _TRIM
-from docspark.plans.retrieval import _BM25, QUERY, _t, corpus
+from docspark.kb import Store
+from docspark.operators import analytics, chunking, crawl, dense, grounding, lexical, records, retrieve, shown
+from docspark.plans.corpus import _CHUNKS, _CLEAN, _HOST, _SCORED, _TRIM
+from docspark.plans.retrieval import _BM25, _HITS, QUERY, _hits, _t, corpus
+from docspark.plans.retrieval import SQL as RETRIEVAL_SQL
 from docspark.plans.upkeep import _shared
-from docspark.settings import LENGTH_BUDGETS
+from docspark.settings import DEFAULT, LENGTH_BUDGETS
 from docspark.sources import html, jsonl, runs
 from docspark.sources.versions import Versions
 
@@ -273,6 +277,64 @@ def related_documents(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", F.col("position").cast("long").alias("position"), "title", "url")
 
 
+def enriched(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose date, author or category is missing and stands in the address or the text."""
+    n = F.col("doc_id")
+    day = F.date_format(F.date_add(F.lit("2020-01-01"), (n % 900).cast("int")), "yyyy-MM-dd")
+    url = F.concat(F.lit("https://x.org/"), F.when(n % 3 == 0, "isro-news/").otherwise("misc/"), F.when(n % 2 == 0, day).otherwise(F.replace(day, F.lit("-"), F.lit(""))), F.lit("-title"))
+    rows = _docs(spark, sf).select("doc_id", url.alias("url"), F.when(n % 5 == 0, "1999-09-09").alias("date"), F.when(n % 4 == 0, F.lit(" ")).otherwise(F.lit("Own Name")).alias("author"), F.lit("").alias("category"), F.concat(F.lit("Report\nBy Jane Smith\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return jsonl.enrich(rows).select("doc_id", "date", "author", "category")
+
+
+def pdf_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose text is that of their pages, and the pages of their chunks."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    page = lambda k, t: F.struct(F.lit(k).alias("page_number"), t.alias("text"))
+    pages = F.array(page(1, F.substring("text", F.lit(1), half)), page(2, F.substring("text", half + 1, F.length("text"))))
+    rows = _docs(spark, sf).select(F.col("doc_id").alias("document_id"), F.lit(" ").alias("text"), pages.alias("pdf_pages"))
+    whole = jsonl.with_pdf_pages(rows).select("document_id", F.md5("text").alias("text"))
+    pieces = chunking.chunk_documents(rows).groupBy("document_id").agg(F.count_if(F.col("chunk_id").startswith(F.concat(F.col("document_id"), F.lit("_p"), F.col("page_number"), F.lit("_c")))).alias("named"), F.count(F.lit(1)).alias("n"))
+    return whole.join(pieces, "document_id", "left").select("document_id", "text", (F.coalesce("named", F.lit(0)) == F.coalesce("n", F.lit(0))).alias("named"))
+
+
+def linked_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Markers as links to their sources' addresses, where these are safe."""
+    text = F.concat(F.col("source"), F.lit(" [Source 1] and [2], [3](https://z.org) [[1]](https://x.org) [source 9]."))
+    links = F.array(F.concat(F.lit("https://x.org/"), F.col("doc_id")), F.when(F.col("doc_id") % 2 == 0, F.lit("HTTP://y.org")).otherwise(F.lit("javascript:x")))
+    return _docs(spark, sf).select("doc_id", X.linkify(text, links).alias("linked"))
+
+
+def layout_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Broken text repaired in place, and addresses."""
+    bad = F.concat(F.lit("â€œIt  isâ€\x9d â€” "), F.col("source"), F.lit("\n\n\n  Itâ€?s weâre"))
+    return _docs(spark, sf).select("doc_id", X.repaired(bad).alias("text"), X.is_broken(bad).alias("was"), X.is_broken(F.col("source")).alias("is"), urls.clean_url(F.concat(F.lit(" https://x.org/Ã©/"), F.col("source"), F.lit("\n"))).alias("url"))
+
+
+def evidence_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits that can support a citation."""
+    got = retrieve.evidence_filter(_hits(spark, sf))
+    return got.select(F.col("id").alias("doc_id"), F.col("position").cast("long").alias("position"))
+
+
+def index_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents by a lexical index that was written and read back."""
+    at = f"{_shared(spark, 'index')}/lexical"
+    lexical.LexicalIndex.build(_docs(spark, sf), "doc_id", "text").save(at)
+    got = lexical.LexicalIndex.load(spark, at).search(QUERY, 15)
+    return got.select(F.col("id").alias("doc_id"), F.round("bm25_score", 6).alias("bm25_score"), "lexical_score", F.col("rank").cast("long").alias("rank"))
+
+
+def store_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """A store filled in two updates, the second with late rows and a removal: what its tables hold."""
+    store = Store(spark, f"{_shared(spark, 'store')}/kb", replace(DEFAULT, embedding_dim=16))
+    docs = corpus(spark, sf).drop("id").where(X.blank_to_null(F.col("text")).isNotNull()).withColumn("updated_at", F.lit("2024-02-01"))
+    store.update(docs.where("document_id % 3 > 0"))
+    late = docs.where("document_id % 3 = 1").withColumns({"text": F.lit("late"), "updated_at": F.lit("2024-01-01")})
+    store.update(docs.where("document_id % 3 = 0").unionByName(late), docs.where("document_id % 50 = 7").select("document_id"))
+    n = lambda name: store.versions.table(name).agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"))
+    return n("documents").unionByName(n("chunks")).unionByName(n("vectors"))
+
+
 def length_modes(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(LENGTH_BUDGETS.items()), "mode string, tokens long")
 
@@ -282,6 +344,7 @@ QUERIES = {
     for f in (
         jsonl_round_trip, generated_ids, csv_round_trip, versions_round_trip, run_history, escapes, truncated, plausible_names, author_match, dates_in_text, weekly_runs, garbage_lines, record_cleaning, source_union, source_order, weak_urls,
         derived_columns, previews, chunks_by_source, log_top_categories, resolved_links, fetch_headers, robots_allowed, sitemap_pages, embedding_cache, metadata_filters, filtered_bm25, context_blocks, answer_sections, shown_cards, related_documents, length_modes,
+        enriched, pdf_documents, linked_answers, layout_repair, evidence_kept, index_round_trip, store_updates,
     )
 }
 _MARKED = "'<a href=''x''>*&_#|`' || coalesce(text, '')"
@@ -343,5 +406,17 @@ md5({_TRIM.format("lead || '.' || chr(10) || '## Key Points' || chr(10) || '- on
     "shown_cards": f"""WITH p AS (SELECT doc_id, lang, md5({_SNIP.format(_TRIM.format('text'), 320)}) AS p FROM documents)
 SELECT doc_id, '1 b ' || lang || ' # ' || p || ';2 a ' || lang || ' https://x.org/a ' || p AS cards FROM p""",
     "related_documents": "SELECT doc_id, 0::BIGINT AS position, 'a' AS title, 'https://x.org/a' AS url FROM documents UNION ALL SELECT doc_id, 1, 'b', 'ftp://x.org/b' FROM documents",
+    "enriched": """WITH d AS (SELECT doc_id, strftime(DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') AS day FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '1999-09-09' ELSE day END AS date, CASE WHEN doc_id % 4 = 0 THEN 'Jane Smith' ELSE 'Own Name' END AS author, CASE WHEN doc_id % 3 = 0 THEN 'Space Policy' ELSE '' END AS category FROM d""",
+    "pdf_documents": f"""WITH d AS (SELECT doc_id, text, length(text) // 2 AS h FROM documents)
+SELECT doc_id AS document_id, md5({_TRIM.format("substr(text, 1, h) || chr(10) || chr(10) || substr(text, h + 1)")}) AS text, true AS named FROM d""",
+    "linked_answers": """SELECT doc_id, source || ' [[1]](https://x.org/' || doc_id || ') and ' || CASE WHEN doc_id % 2 = 0 THEN '[[2]](HTTP://y.org)' ELSE '[2]' END || ', [3](https://z.org) [[1]](https://x.org) [source 9].' AS linked FROM documents""",
+    "layout_repair": """SELECT doc_id, '“It  is” — ' || source || chr(10) || chr(10) || chr(10) || '  It’s we’re' AS text, true AS was, false AS is, 'https://x.org/é/' || source AS url FROM documents""",
+    "evidence_kept": _HITS + """, k AS (SELECT *, CASE WHEN NOT low AND NOT (score <> 0 AND score < 0.35 AND NOT lexical_verified) THEN 1 ELSE 0 END AS keep FROM hits)
+SELECT id AS doc_id, position FROM k WHERE keep = (SELECT max(keep) FROM k)""",
+    "index_round_trip": RETRIEVAL_SQL["bm25_topk"],
+    "store_updates": f"""WITH {_CHUNKS.strip().replace("FROM documents)", f"FROM documents WHERE {_TRIM.format('text')} <> '' AND doc_id % 50 <> 7)", 1)}
+{_SCORED}, k AS (SELECT count(DISTINCT chunk_hash) AS n FROM q WHERE quality >= 0.5)
+SELECT 'documents' AS table, count(*) AS n FROM documents WHERE {_TRIM.format('text')} <> '' AND doc_id % 50 <> 7 UNION ALL SELECT 'chunks', n FROM k UNION ALL SELECT 'vectors', n FROM k""",
     "length_modes": "SELECT * FROM (VALUES ('short', 600::BIGINT), ('normal', 1300), ('detailed', 2600)) v(mode, tokens)",
 }

@@ -16,6 +16,7 @@ def test_whitespace(spark):
 
 def test_repair_of_misread_text():
     assert text.repair("Itâ€™s cafÃ© Â£5 â€” ok") == "It’s café £5 — ok"
+    assert text.repair("Itâ€?s â€œquotedâ€ aÂ b, \u00e2\u0080\u009bx") == "It’s “quoted” a b, ‘x"
     assert text.repair("weâre here â not there") == "we’re here – not there"
     for fine in ("Alcântara Grâce château", "plain", "naïve é"):
         assert text.repair(fine) == fine

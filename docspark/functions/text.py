@@ -50,6 +50,11 @@ def truncate(c: Column, most: int = 300) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(head, r" [^ ]*$", ""), F.lit("…")))
 
 
+def capped(c: Column, most: int = 12_000, notice: str = "\n\n… (cut here: the whole is longer)") -> Column:
+    """At most ``most`` characters; where something is cut a notice says so, within the limit."""
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, max(0, most - len(notice))), F.lit(notice[:most])))
+
+
 def snippet(c: Column, most: int = 280) -> Column:
     text = strip(F.coalesce(c, F.lit("")))
     return F.when(F.length(text) <= most, text).otherwise(F.concat(strip(F.substring(text, 1, most)), F.lit("…")))

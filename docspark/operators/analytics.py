@@ -62,6 +62,19 @@ def top_categories(log: DataFrame, most: int = 6) -> DataFrame:
     return counts(known, "category", most=most)
 
 
+def explorer_filter(source: str | None = None, category: str | None = None, author: str | None = None, tag: str | None = None, year: str | None = None, kind: str | None = None) -> Column:
+    """Filters over ``records.derived`` documents: source, category, year and kind equal, author and tag contained, case apart."""
+    holds = lambda v: lambda x: F.lower(x).contains(v)
+    out = F.lit(True)
+    for name, value in (("doc_source", source), ("category", category), ("doc_year", year), ("doc_kind", kind)):
+        if value:
+            out = out & (F.lower(F.coalesce(F.col(name), F.lit(""))) == value.lower())
+    for name, value in (("doc_authors", author), ("doc_tags", tag)):
+        if value:
+            out = out & F.array_contains(F.transform(name, holds(value.lower())), True)
+    return out
+
+
 def explore(df: DataFrame, text: str | None = None, where: Column | None = None, order: str = "document_id", page: int = 1, size: int = 100) -> DataFrame:
     """One page of documents whose title or text contains a phrase (as it is, case apart)."""
     out = df if where is None else df.where(where)

@@ -159,6 +159,20 @@ def derived_columns(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", "doc_source", "source_display", "doc_year", F.array_join("doc_tags", ",").alias("tags"), F.array_join("doc_authors", ",").alias("authors"), "doc_kind")
 
 
+def explorer_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """One page of documents by source, author, tag, year and kind."""
+    docs = _docs(spark, sf).select(
+        F.col("doc_id").alias("document_id"), F.lit("t").alias("title"), "text", "source", F.array(F.concat(F.lit("Tag "), F.col("lang"))).alias("tags"), F.when(F.col("doc_id") % 3 > 0, "Jane Doe").otherwise("Ann Lee").alias("author"),
+        F.concat(2000 + F.col("doc_id") % 4, F.lit("-01-02")).alias("date"), F.when(F.col("doc_id") % 2 == 0, "https://x.org/blogs/a").otherwise("https://x.org/a").alias("url"),
+    )
+    where = analytics.explorer_filter(author="jane", tag="EN", year="2002", kind="blog")
+    return analytics.explore(records.derived(docs), None, where, size=30).select(F.col("document_id").alias("doc_id"), "doc_kind", "doc_year")
+
+
+def capped_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", F.md5(X.capped(F.col("text"), 1000, " (cut)")).alias("text"))
+
+
 def previews(spark: SparkSession, sf: str) -> DataFrame:
     rows = _t(spark, sf, "labels").select(F.col("doc_id").alias("document_id"), "quality")
     got = records.previews(rows, _docs(spark, sf).select(F.col("doc_id").alias("document_id"), "text"))
@@ -344,7 +358,7 @@ QUERIES = {
     for f in (
         jsonl_round_trip, generated_ids, csv_round_trip, versions_round_trip, run_history, escapes, truncated, plausible_names, author_match, dates_in_text, weekly_runs, garbage_lines, record_cleaning, source_union, source_order, weak_urls,
         derived_columns, previews, chunks_by_source, log_top_categories, resolved_links, fetch_headers, robots_allowed, sitemap_pages, embedding_cache, metadata_filters, filtered_bm25, context_blocks, answer_sections, shown_cards, related_documents, length_modes,
-        enriched, pdf_documents, linked_answers, layout_repair, evidence_kept, index_round_trip, store_updates,
+        enriched, explorer_filtered, capped_texts, pdf_documents, linked_answers, layout_repair, evidence_kept, index_round_trip, store_updates,
     )
 }
 _MARKED = "'<a href=''x''>*&_#|`' || coalesce(text, '')"
@@ -406,6 +420,8 @@ md5({_TRIM.format("lead || '.' || chr(10) || '## Key Points' || chr(10) || '- on
     "shown_cards": f"""WITH p AS (SELECT doc_id, lang, md5({_SNIP.format(_TRIM.format('text'), 320)}) AS p FROM documents)
 SELECT doc_id, '1 b ' || lang || ' # ' || p || ';2 a ' || lang || ' https://x.org/a ' || p AS cards FROM p""",
     "related_documents": "SELECT doc_id, 0::BIGINT AS position, 'a' AS title, 'https://x.org/a' AS url FROM documents UNION ALL SELECT doc_id, 1, 'b', 'ftp://x.org/b' FROM documents",
+    "explorer_filtered": "SELECT doc_id, 'Blog' AS doc_kind, '2002' AS doc_year FROM documents WHERE doc_id % 3 > 0 AND lang = 'en' AND doc_id % 4 = 2 ORDER BY doc_id LIMIT 30",
+    "capped_texts": "SELECT doc_id, md5(CASE WHEN length(text) <= 1000 THEN text ELSE substr(text, 1, 994) || ' (cut)' END) AS text FROM documents",
     "enriched": """WITH d AS (SELECT doc_id, strftime(DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') AS day FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '1999-09-09' ELSE day END AS date, CASE WHEN doc_id % 4 = 0 THEN 'Jane Smith' ELSE 'Own Name' END AS author, CASE WHEN doc_id % 3 = 0 THEN 'Space Policy' ELSE '' END AS category FROM d""",
     "pdf_documents": f"""WITH d AS (SELECT doc_id, text, length(text) // 2 AS h FROM documents)

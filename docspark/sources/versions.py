@@ -6,12 +6,15 @@ one JSON manifest; ``root/current`` names the active one and is replaced by one
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.settings import DEFAULT
 
@@ -61,7 +64,7 @@ class Versions:
         now = datetime.now(timezone.utc)
         version = f"{now:%Y%m%dT%H%M%S}{now.microsecond // 1000:03d}Z-{uuid.uuid4().hex[:8]}"
         counts = {name: n for name, n in before.get("counts", {}).items() if name in at}
-        manifest = {"schema": 1, "version": version, "built_at": f"{now:%Y-%m-%dT%H:%M:%SZ}", "counts": counts, "tables": sorted(at), "at": at, **(extra or {})}
+        manifest = {"schema": 1, "version": version, "built_at": f"{now:%Y-%m-%dT%H:%M:%SZ}", "counts": counts, "hashes": {name: h for name, h in before.get("hashes", {}).items() if name in at}, "tables": sorted(at), "at": at, **(extra or {})}
         return self._filled(manifest, tables)
 
     def complete(self, version: str, tables: dict[str, DataFrame]) -> dict[str, Any]:
@@ -73,8 +76,13 @@ class Versions:
         for name, df in tables.items():
             path = f"{self.root}/versions/{version}/{name}"
             df.write.parquet(path)
-            manifest["counts"][name], manifest["at"][name] = self.spark.read.parquet(path).count(), version
+            back = self.spark.read.parquet(path)
+            own = [F.col(f"`{f.name}`") for f in back.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
+            # one pass: the rows' number, and a value that doesn't hang on their order
+            row = back.agg(F.count(F.lit(1)).alias("n"), F.sum((F.xxhash64(*own) % 1_000_000_007) if own else F.lit(0)).alias("h")).first()
+            manifest["counts"][name], manifest["hashes"][name], manifest["at"][name] = row.n, f"{row.h or 0:x}", version
         manifest["tables"] = sorted(manifest["at"])
+        manifest["index_hash"] = hashlib.sha256(":".join(f"{t}={manifest['hashes'].get(t, '')}" for t in manifest["tables"]).encode()).hexdigest()[:24]
         self._write(json.dumps(manifest), "manifests", version)
         return manifest
 

@@ -66,6 +66,9 @@ def test_versions_keep_tables_and_prune(spark, tmp_path):
         v.publish({"a": spark.range(i)})
     assert len(v.list()) == 5 and v.table("a").count() == 8 and v.table("b").count() == 5
     assert v.manifest()["counts"] == {"a": 8, "b": 5} and first not in v.list()
+    now = v.manifest()
+    assert v.publish({"a": spark.range(8).repartition(3)})["index_hash"] == now["index_hash"] != v.manifest(v.list()[-1])["index_hash"]
+    v.rollback(now["version"])
     v.rollback()
     assert v.table("a").count() == 7 and v.table("b").count() == 5
     assert retained(["3", "1", "2"], "1", 1) == (["3", "1"], ["2"])

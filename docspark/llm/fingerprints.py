@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.llm import scratch
-from docspark.llm.sharding import block_of
+from docspark.llm.sharding import with_blocks
 
 #: Samples of a fingerprint: PARTS rows of a term with PART samples each.
 PARTS, PART = 4, 8
@@ -132,16 +132,18 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.crc32(F.encode("text", "utf-8")))
-    rows = rows.withColumn("block", block_of(rows, "id", "tie", BLOCK_ROWS))
+    rows = with_blocks(rows, "id", "tie", BLOCK_ROWS, "block")
     order = W.partitionBy("block").orderBy(F.asc_nulls_first("id"), "tie")
 
     # The first text of each block stands in the block before as the last one's neighbour.
-    heads = rows.groupBy("block").agg(F.min_by(F.struct("id", "tie", "text"), F.struct(F.coalesce("id", F.lit(-(1 << 63)).cast("long")).alias("i"), "tie")).alias("head"))
-    turn = W.orderBy("block")  # a row for each block
-    ahead = heads.select("block", F.coalesce(F.lead("head.text").over(turn), F.first("head.text").over(turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("ahead"))
-    ahead = scratch.written(ahead, "heads")
+    least = F.struct(F.coalesce("id", F.lit(-(1 << 63)).cast("long")).alias("i"), "tie")
+    heads = scratch.written(rows.groupBy("block").agg(F.min_by("text", least).alias("text")), "heads")
+    turn = W.orderBy("block")  # over the numbers of the blocks alone
+    following = heads.select("block", F.coalesce(F.lead("block").over(turn), F.first("block").over(turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
+    following = scratch.written(following, "blocks")
+    ahead = following.join(heads.select(F.col("block").alias("after"), F.col("text").alias("ahead")), "after").select("block", "ahead")
     placed = rows.select("block", "id", "tie", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next"))
-    held = ahead.agg(F.sum(F.octet_length("ahead"))).first()[0] or 0
+    held = heads.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     placed = placed.join(F.broadcast(ahead) if held <= MOST_BROADCAST_BYTES else ahead, "block", "left").withColumn("next", F.coalesce("next", "ahead"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
@@ -151,7 +153,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     got = fingerprint_pairs(made.withColumn("edited_sha256", F.sha2("edited", 256)), keys, "text", "edited")
     got = scratch.written(got, "fingerprints")
 
-    first = got.where("rn = 1").select("block", "a")
-    after = first.select("block", F.coalesce(F.lead("a").over(turn), F.first("a").over(turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("ahead"))
+    first = got.where("rn = 1").select(F.col("block").alias("after"), F.col("a").alias("ahead"))
+    after = following.join(first, "after").select("block", "ahead")
     near = got.withColumn("next", F.lead("a").over(W.partitionBy("block").orderBy("rn"))).join(after, "block", "left").withColumn("next", F.coalesce("next", "ahead"))
     return near.select(F.col("id").alias(key), "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next")).alias("near_next"))

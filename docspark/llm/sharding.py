@@ -16,8 +16,10 @@ from docspark.llm import scratch
 MULTIPLIER = 2862933555777941757
 #: Jumps that are followed for more shards than this; the expected number is ln(shards).
 MOST_JUMPS = 160
-#: Rows of one slot block, and the most blocks whose bounds the driver holds.
-BLOCK_ROWS, MOST_BLOCKS = 500_000, 4096
+#: Rows of one slot block, and the bounds of blocks that stand in one expression; more are a second level of bounds.
+BLOCK_ROWS, MOST_BOUNDS = 500_000, 4096
+#: Bytes of a table of blocks that is broadcast at most; a larger one is joined by a shuffle.
+MOST_BROADCAST = 32 << 20
 
 
 def jump_state(key: Column, shards: int) -> Column:
@@ -64,18 +66,21 @@ def place(df: DataFrame, key: str, shards: int, into: str = "shard", grown: str
     return df.drop("__jump")
 
 
-def block_of(df: DataFrame, key: str, tie: str, rows: int, most: int = MOST_BLOCKS) -> Column:
-    """A block number that follows the order of ``key`` (bigint, nulls first), about ``rows`` rows each.
+def with_blocks(df: DataFrame, key: str, tie: str, rows: int, into: str) -> DataFrame:
+    """Add a block number that follows the order of ``key`` (bigint, nulls first), about ``rows`` rows each however many rows there are.
 
-    Bounds are quantiles of the key, ``most`` at most. A key so frequent that it is several
-    quantiles has blocks of its own, by ranges of ``tie``, an unsigned 32-bit value.
+    Bounds are quantiles of the key. The first MOST_BOUNDS stand in the plan; where more
+    blocks are needed, each of theirs has quantiles of its own in a table. A key so frequent
+    that it is several quantiles has blocks of its own, by ranges of ``tie``, an unsigned
+    32-bit value; only rows equal in both stay together.
     """
     key_of = F.coalesce(F.col(key), F.lit(-(1 << 63)).cast("long"))
-    blocks = max(1, min(most, df.count() // rows + 1))
+    blocks = max(1, df.count() // rows + 1)
+    outer = min(MOST_BOUNDS, blocks)
     bounds: list[int] = []
-    if blocks > 1:
-        cuts = [i / blocks for i in range(1, blocks)]
-        bounds = df.select(F.percentile_approx(key_of, cuts, 100 * blocks)).first()[0] or []
+    if outer > 1:
+        cuts = [i / outer for i in range(1, outer)]
+        bounds = df.select(F.percentile_approx(key_of, cuts, 100 * outer)).first()[0] or []
     hot = sorted({b for a, b in zip(bounds, bounds[1:]) if a == b})
     bounds = sorted(set(bounds))
 
@@ -86,26 +91,33 @@ def block_of(df: DataFrame, key: str, tie: str, rows: int, most: int = MOST_BLOC
         mid = (lo + hi) // 2
         return F.when(key_of <= bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    block = search(0, len(bounds)) * 65
+    df = df.withColumn(into, search(0, len(bounds)))
+    inner = -(-blocks // outer)
+    if inner > 1:
+        quantiles = F.percentile_approx(key_of, [i / inner for i in range(1, inner)], 100 * inner)
+        levels = df.groupBy(into).agg(quantiles.alias("__cuts"))  # inner numbers for each outer block
+        levels = F.broadcast(levels) if 8 * inner * (len(bounds) + 1) <= MOST_BROADCAST else levels
+        df = df.join(levels, into).withColumn(into, F.col(into) * inner + F.size(F.filter("__cuts", lambda c: c < key_of))).drop("__cuts")
     if hot:
-        block = block + F.when(key_of.isin(hot), F.shiftright(F.col(tie), 26) + 1).otherwise(0)
-    return block
+        bits = min(32, (blocks - 1).bit_length())  # a hot key may hold nearly all rows
+        part = F.shiftright(F.col(tie), 32 - bits) + 1
+        df = df.withColumn(into, F.col(into) * ((1 << bits) + 1) + F.when(key_of.isin(hot), part).otherwise(0))
+    return df
 
 
 def number_slots(df: DataFrame, shard: str, key: str, tie: str, into: str = "slot") -> DataFrame:
     """Number the rows of each shard without gaps from 0, in the order of ``key``, ``tie``.
 
     No task gets a whole shard: rows fall into blocks by ranges of the key, each block is
-    numbered alone, and the counts of the blocks (at most MOST_BLOCKS * 65 rows a shard)
-    give its first number. A key so frequent that it fills a block is split by ranges of
-    ``tie``, an unsigned 32-bit value. ``df`` is read twice and should be a written table.
+    numbered alone, and the counts of the blocks, a row for each shard and block, give its
+    first number. ``df`` is read several times and should be a written table.
     """
-    df = df.withColumn("__block", block_of(df, key, tie, BLOCK_ROWS))
-    counts = df.groupBy(shard, "__block").count()
+    df = with_blocks(df, key, tie, BLOCK_ROWS, "__block")
+    counts = scratch.written(df.groupBy(shard, "__block").count(), "counts")
     before = counts.select(shard, "__block", (F.sum("count").over(W.partitionBy(shard).orderBy("__block")) - F.col("count")).alias("__before"))
     own = F.row_number().over(W.partitionBy(shard, "__block").orderBy(key, tie)) - 1
-    # at most 24 * blocks rows for 24 shards; a bound that the block limit sets
-    return df.withColumn("__own", own.cast("long")).join(F.broadcast(before), [shard, "__block"]).withColumn(into, F.col("__own") + F.col("__before")).drop("__own", "__before", "__block")
+    before = F.broadcast(before) if 24 * counts.count() <= MOST_BROADCAST else before
+    return df.withColumn("__own", own.cast("long")).join(before, [shard, "__block"]).withColumn(into, F.col("__own") + F.col("__before")).drop("__own", "__before", "__block")
 
 
 def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,6 +22,8 @@ SHINGLE = 3
 #: Bytes of a table that is broadcast at most; a larger one is joined by a shuffle.
 MOST_BROADCAST = 16 << 20
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words before A-Z are lowered.
+_RAW_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -30,6 +32,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, _BREAK), "")
 
 
+def n_words(text: Column) -> Column:
+    """How many words there are; case doesn't move a word's ends."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), _RAW_BREAK), "")).cast("long")
+
+
+def _low(text: Column) -> Column:
+    """All letters in lower case, whatever stands beside them: of the two small sigmas, which hang on that, always the same."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+
+
+def alike(text: Column) -> Column:
+    """Words with all letters in lower case, at the same places as ``words``.
+
+    Texts of equal ``words`` have equal ones here too, and this is far cheaper than lowering A-Z
+    alone; so they find candidates, which are then confirmed on ``words``.
+    """
+    return F.array_remove(F.split(_low(F.coalesce(text, F.lit(""))), _BREAK), "")
+
+
 def shingles(own: Column, width: int) -> Column:
     """Hashes of the runs of ``width`` words, by place; none in a text of fewer words."""
     hashed = F.transform(own, lambda w, i: F.xxhash64(w, *[F.get(own, i + k) for k in range(1, width)]))
@@ -51,11 +72,11 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str, item_id: str, item
     bench = scratch.written(bench.withColumn("width", F.least(F.size("own"), F.lit(SHINGLE), F.lit(span))), "benchmark")
     sums = bench.agg(F.sum(F.octet_length(F.array_join("own", " ")) + 16 * F.size("own")).alias("bytes"), F.sum(F.size("own")).alias("words"), F.sort_array(F.collect_set("width")).alias("widths")).first()
     n, widths = sums.words or 0, sums.widths  # widths: at most SHINGLE numbers
-    by_width = lambda own, width: F.coalesce(*[F.when(width == w, shingles(own, w)) for w in widths], F.array().cast("array<bigint>"))
-    bench = bench.withColumn("tokens", by_width(F.col("own"), F.col("width")))
+    low = F.transform("own", _low)
+    bench = bench.withColumn("tokens", F.coalesce(*[F.when(F.col("width") == w, shingles(low, w)) for w in widths], F.array().cast("array<bigint>")))
     vocabulary = bench.select(F.explode("tokens").alias("token")).distinct()
 
-    said = docs.select(_key(F.col(text)).alias("key"), words(F.col(text)).alias("own"))
+    said = docs.select(_key(F.col(text)).alias("key"), alike(F.col(text)).alias("own"))
     # one list for all widths (nearly always the one): the places of the k-th begin behind all words of those before
     every = F.flatten(F.array(*[F.concat(shingles(F.col("own"), w), F.array_repeat(F.lit(None).cast("bigint"), F.least(F.size("own"), F.lit(w - 1)))) for w in widths])) if len(widths) > 1 else shingles(F.col("own"), widths[0]) if widths else F.array().cast("array<bigint>")
     rows = said.select("key", F.size("own").alias("n_words"), F.posexplode(every).alias("at", "token"))
@@ -114,8 +135,8 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     key, hit, ids = (scratch.fresh(docs, c) for c in ("__key", "__hit", "__items"))
     size = found.agg(F.sum(64 + 24 * F.size("items"))).first()[0] or 0
     hits = found.select(F.col("key").alias(key), F.col("n_hit").alias(hit), F.col("items").alias(ids))
-    n_words, n_hit, of, flag = into
-    out = docs.withColumns({key: _key(F.col(text)), n_words: F.size(words(F.col(text))).cast("long")})
+    size_of, n_hit, of, flag = into
+    out = docs.withColumns({key: _key(F.col(text)), size_of: n_words(F.col(text))})
     out = out.join(_side(hits, size), key, "left").drop(key)
     out = out.withColumns({n_hit: F.coalesce(hit, F.lit(0).cast("long")), of: F.coalesce(ids, F.array().cast("array<string>"))}).drop(hit, ids)
-    return out.withColumn(flag, (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words)))
+    return out.withColumn(flag, (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(size_of)))

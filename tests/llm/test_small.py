@@ -342,6 +342,14 @@ def test_ngrams_of_windows(monkeypatch):
 # ---- decontamination --------------------------------------------------------------------------
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet="aA z'Z\u212a\u0130\u03a3\u03c3\u03c2\u0391É漢-_9\x00\x7f", max_size=25), min_size=1, max_size=5))
+def test_words_keep_their_places_in_lower_case(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(decontaminate.words(F.col("t")).alias("w"), decontaminate.alike(F.col("t")).alias("a"), decontaminate.n_words(F.col("t")).alias("n"), F.transform(decontaminate.words(F.col("t")), decontaminate._low).alias("l")).collect():
+        assert len(r.w) == len(r.a) == r.n and r.a == r.l
+
+
 def test_contamination(spark, odd, none):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     items = spark.createDataFrame([(1, item, "c"), (2, "Short item", "c"), (3, "", "c"), (4, None, "c"), (1, item, "c")], "item_id long, text string, n_words string")

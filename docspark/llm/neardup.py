@@ -295,7 +295,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     of_parts = parts.join(nodes.select("node", "least"), "node")
     heads = of_parts.groupBy("component").agg(F.min("least").alias("head"))
     linked = of_parts.join(heads, "component").select("node", "head")
-    head = nodes.select("node", "least").join(linked, "node", "left").select("node", F.coalesce("head", "least").alias("head"))
+    # a table of its own, so that the join's hot nodes (copies) can be split
+    head = scratch.written(nodes.select("node", "least").join(linked, "node", "left").select("node", F.coalesce("head", "least").alias("head")), "heads")
     found = rows.select("id", "tie", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(head, "node", "left")
     kept = (F.col("n") == 0) | (F.col("id").eqNullSafe(F.col("head.id")) & F.col("tie").eqNullSafe(F.col("head.tie")))
     return found.select("id", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head.id")).otherwise(F.col("id")).alias("component_id"), kept.alias("kept"))

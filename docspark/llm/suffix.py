@@ -325,12 +325,13 @@ def covered(docs: DataFrame, text: str) -> DataFrame:
     some = pieces.where("total = 1").join(bits, ["core", "piece"]).select("key", F.col("at").alias("start"), "windows", "bits")
 
     whole = again.where("not twice").join(totals.where("total > 1").select("minimizer", "run"), ["minimizer", "run"], "left_semi")
-    both = whole.select("key", "start", "windows", F.lit(None).cast("long").alias("bits")).unionByName(some)
+    # written before texts are grouped, so that the join's hot keys can be split
+    whole = scratch.written(whole.select("key", "start", "windows"), "whole", "zstd")
+    both = whole.withColumn("bits", F.lit(None).cast("long")).unionByName(some)
     found = both.groupBy("key").agg(F.collect_set(F.struct("start", "windows", "bits")).alias("found"))
     of_copies = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("windows"), F.lit(None).cast("long").alias("bits")))
     out = scratch.written(found.unionByName(many.select("key", of_copies.alias("found"))), "covered", "zstd")
-    del seen, groups, again, totals, wanted, pieces, each, open_rows
-    scratch.tidy(docs.sparkSession)
+    scratch.tidy(docs.sparkSession, again, totals, wanted, pieces, each, open_rows, whole)
     return out
 
 

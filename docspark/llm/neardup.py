@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rest = F.col("k") - F.when((F.col("third") == F.col("low")) | (F.col("third") == F.col("top")), 2).otherwise(3)
     placed = scratch.written(_placed(members.where(rest >= 2).select("band", "at", "node"), parts), "placed")
     split = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
-    open_rows = scratch.written(placed.join(split, "band", "left_semi"), "open")
+    split = scratch.written(split, "split")
+    open_rows = scratch.written(placed.join(F.broadcast(split) if 8 * split.count() <= MOST_BROADCAST else split, "band", "left_semi"), "open")
     if not open_rows.isEmpty():
         sets = exact.sets(open_rows.select("node").distinct())
         full = scratch.written(tiles(open_rows.join(side, "node").join(sets, "node"), threshold, percent), "links")

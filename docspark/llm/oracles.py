@@ -54,3 +54,44 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, ''
 h AS (SELECT DISTINCT t, list_transform(string_split(hex(encode(t)), ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT)) AS x FROM d WHERE t <> ''),
 crc AS (SELECT t, xor(list_reduce(flatten(list_transform(range(1, len(x), 2), lambda i: [x[i + 1], x[i]])), lambda c, x: {_NIBBLE}, 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM h)
 SELECT doc_id, size, coalesce(crc, 0) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, crc) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM d LEFT JOIN crc USING (t)"""
+
+_TERMS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+sizes AS (SELECT r, doc_id, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+stats AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM sizes),
+b AS (SELECT row_number() OVER () AS q, item_id, list_distinct({_TERMS}) AS t FROM benchmark),
+asked AS (SELECT q, item_id, unnest(t) AS term FROM b),
+post AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM post, stats GROUP BY term, n_docs),
+scored AS (
+  SELECT q, item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM post JOIN w USING (term) JOIN asked USING (term) JOIN sizes USING (r), stats GROUP BY q, item_id, r, doc_id),
+best AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 10"""
+
+_NEAREST = "{a} AS MATERIALIZED (SELECT r, p, any_value(v.x) AS x, min({{'d': list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'k': k}}) AS m FROM v JOIN {c} c USING (p) GROUP BY r, p)"
+_MEANS = """{new} AS MATERIALIZED (
+  SELECT p, c.k, coalesce(g.x, c.x) AS x FROM {c} c LEFT JOIN (
+    SELECT p, k, list(y ORDER BY i) AS x FROM (SELECT p, m.k AS k, i, CAST(floor(sum(x[i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS y FROM (SELECT p, m, x, unnest(range(1, len(x) + 1)) AS i FROM {a}) GROUP BY p, m.k, i) GROUP BY p, k) g USING (p, k))"""
+_ROUNDS = ",\n".join(f"{_NEAREST.format(a=f'a{j}', c=f'c{j}')},\n{_MEANS.format(new=f'c{j + 1}', c=f'c{j}', a=f'a{j}')}" for j in range(4))
+OP12 = f"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT r, vec_id, p, q[p * len(q) // 4 + 1:(p + 1) * len(q) // 4] AS x FROM e, (SELECT unnest(range(4)) AS p)),
+c0 AS (SELECT p, k, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM v) WHERE k < 256),
+{_ROUNDS},
+{_NEAREST.format(a="a4", c="c4")},
+found AS (SELECT r, string_agg(lower(lpad(to_hex(m.k), 2, '0')), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a4 GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM found JOIN e USING (r), books"""
+
+OP13 = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+fit AS (SELECT r, x FROM e WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+links AS (SELECT a.r AS u, b.r AS v FROM fit a JOIN fit b ON a.r <> b.r WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT r AS u, r AS v FROM e UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+least AS (SELECT u AS r, min(vec_id) AS component_id FROM reach JOIN e ON e.r = reach.v GROUP BY u),
+n AS (SELECT u AS r, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN least USING (r) LEFT JOIN n USING (r)"""

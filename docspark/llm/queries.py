@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, decontaminate, fingerprints, language, neardup, oracles, packing, quality, sharding, suffix, wordpiece
+from docspark.llm import chat, codes, decontaminate, fingerprints, gridjoin, language, neardup, oracles, packing, quality, ranking, sharding, suffix, wordpiece
 from docspark.llm.scratch import table
 
 
@@ -107,6 +107,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    out = ranking.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings, by codebooks that are fitted to all of them."""
+    out = codes.compress(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with a cosine of 0.9 or more."""
+    return gridjoin.near_vectors(table(spark, sf_dir, "embeddings"), 0.9).select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
@@ -134,4 +151,4 @@ FROM d LEFT JOIN word USING (r) LEFT JOIN item USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": oracles.OP1, "op4_jump_sharding": oracles.OP4, "op5_minhash_neardup": oracles.OP5, "op8_decontamination": _OP8_SQL, "op9_suffix_dedup": oracles.OP9}
+    return {"op1_chat_formatting": oracles.OP1, "op4_jump_sharding": oracles.OP4, "op5_minhash_neardup": oracles.OP5, "op8_decontamination": _OP8_SQL, "op9_suffix_dedup": oracles.OP9, "op11_ranked_search": oracles.OP11, "op12_vector_codes": oracles.OP12, "op13_embedding_neardup": oracles.OP13}

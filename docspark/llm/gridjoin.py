@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm import scratch
-from docspark.llm.codes import usable, usual_length
+from docspark.llm.codes import MOST_BROADCAST, usable, usual_length
 from docspark.llm.graph import components, forest
 
 #: Principal axes of the boxes, and the components that they are taken from (the first ones of longer vectors).
@@ -288,8 +288,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     sums = found.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     parts = components(found.where("v is not null").select("u", "v"))
     of_parts = parts.join(nodes.select("node", "least"), "node")
-    heads = of_parts.groupBy("component").agg(F.min("least").alias("head"))
-    linked = of_parts.join(heads, "component").select("node", "head")
+    heads = scratch.written(of_parts.groupBy("component").agg(F.min("least").alias("head")), "components")
+    linked = of_parts.join(F.broadcast(heads) if 32 * heads.count() <= MOST_BROADCAST else heads, "component").select("node", "head")
     per_node = nodes.select("node", "h1", "h2", "weight", "least").join(sums, "node", "left").join(linked, "node", "left")
     n = F.coalesce("links", F.lit(0).cast("long")) + F.col("weight") - 1
     # a table of its own, so that the join's hot names (copies) can be split

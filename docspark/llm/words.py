@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 #: Bytes that are hashed at a time; a chunk ends between words, so a longer word makes a longer chunk.
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C55
+#: Steps of the chain in which a word's hash is made, eight bytes each.
+CHAIN = 32
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -65,6 +67,33 @@ def slices(texts: pa.Array, most: int = 2 * CHUNK) -> Iterator[pa.Array]:
         at = end
 
 
+def _spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the spans ``data[first:last]``: eight bytes at a time are mixed into a chain, so there is no sum that equal parts could cancel in.
+
+    Beyond CHAIN times eight bytes the rest enters as a sum of values that are mixed with their place.
+    """
+    acc = mix((last - first).astype(np.uint64) + np.uint64(BASE))
+    lanes = -(-(last - first) // 8)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.arange(8)
+
+    def values(at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        raw = padded[at[:, None] + eight].view("<u8").ravel()
+        short = np.minimum(end - at, 8).astype(np.uint64)
+        return mix(raw & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * short)))
+
+    for j in range(min(CHAIN, int(lanes.max(initial=0)))):
+        own = np.flatnonzero(lanes > j)
+        acc[own] = mix(acc[own] * np.uint64(BASE) + values(first[own] + 8 * j, last[own]))
+    long = np.flatnonzero(lanes > CHAIN)
+    if len(long):
+        many = lanes[long] - CHAIN
+        place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        v = mix(values(np.repeat(first[long], many) + 8 * (CHAIN + place), np.repeat(last[long], many)) + mix(place.astype(np.uint64)))
+        acc[long] = mix(acc[long] * np.uint64(BASE) + np.add.reduceat(v, np.cumsum(many) - many))
+    return acc
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, A-Z in lower case, and the first of each text."""
     data, starts = buffer(texts)
@@ -91,11 +120,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         after[:-1] = inside[1:]
         after &= ~edge[at + 1 : end + 1]
         first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        up, down = powers(len(part) + 1)
-        sums = np.empty(len(part) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((_FOLD[part].astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-        hashes.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+        hashes.append(_spans(_FOLD[part], first, last))
         places.append(first + at)
         at = end
     if not hashes:

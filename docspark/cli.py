@@ -46,7 +46,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         q.add_argument("--length", default="normal", choices=["short", "normal", "detailed"])
     sub.add_parser("status")
     sub.add_parser("runs", help="the latest updates")
-    sub.add_parser("dedupe", help="keep the richest document of each address and publish")
+    sub.add_parser("dedupe", help="keep the richest document of each address and publish").add_argument("--dry-run", action="store_true", help="only count the others")
     for name, what in (("package", "copy the current version to a folder"), ("install", "take over a packaged version"), ("refresh", "take it over if it is newer")):
         sub.add_parser(name, help=what).add_argument("folder")
     back = sub.add_parser("rollback")
@@ -61,7 +61,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         out = logged(store, a.root, lambda: store.update(docs.withColumn("updated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))))
         code = int(not out["published"] and out["reason"] != "no changes")
     elif a.do == "dedupe":
-        out = logged(store, a.root, store.dedupe)
+        out = store.dedupe(dry_run=True) if a.dry_run else logged(store, a.root, store.dedupe)
     elif a.do == "runs":
         out = [r.asDict() for r in runs.history(store.spark, a.root).collect()]
     elif a.do in ("package", "install"):

@@ -4,16 +4,44 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.functions.text import blank_to_null, search_text
 from docspark.operators import chunking, dense, merge, validate
 from docspark.operators.answer import KnowledgeBase
-from docspark.operators.lexical import LexicalIndex
+from docspark.operators.segments import Segments
 from docspark.settings import DEFAULT, Settings
 from docspark.sources.versions import Versions
 
 
+def _column(docs: DataFrame, name: str) -> Column:
+    return F.col(name) if name in docs.columns else F.lit(None).cast("string")
+
+
+def _identity(docs: DataFrame, key: str) -> Column:
+    """The address of a document, the canonical one first; without any its own key."""
+    known = [blank_to_null(_column(docs, c)) for c in ("canonical_url", "url", "original_url")]
+    return merge.identity(F.coalesce(*known), F.col(key))
+
+
+def _richness(docs: DataFrame) -> Column:
+    col = lambda c: _column(docs, c)
+    tags = F.size(F.coalesce(F.col("tags"), F.array())) if dict(docs.dtypes).get("tags", "").startswith("array") else F.lit(0)
+    is_html = ~F.lower(F.coalesce(col("source_type"), F.lit(""))).eqNullSafe("pdf")
+    return merge.richness(col("author"), col("date"), col("section"), tags, is_html, F.length(F.coalesce("text", F.lit(""))), col("updated_at"))
+
+
+def _chunk_changes(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks (``id, text``) whose indexed text is new or another, and ids that are gone, told by their hashes."""
+    header = lambda df: F.coalesce(_column(df, "meta_header"), F.lit(""))
+    light = lambda df: df.select("id", F.xxhash64("chunk_hash", header(df)).alias("h"))
+    both = light(new).withColumnRenamed("h", "new").join(light(old).withColumnRenamed("h", "old"), "id", "full_outer")
+    changed = both.where(F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("old"))).select("id")
+    added = new.join(changed, "id", "left_semi").select("id", search_text(header(new), F.col("text")).alias("text"))
+    return added, both.where("new is null").select("id")
+
+
 class Store:
     """Documents, chunks, postings and vectors of a root folder, one version at a time."""
 
@@ -23,67 +51,91 @@ class Store:
     def update(self, delta: DataFrame, removed: DataFrame | None = None, key: str = "document_id", order: str = "updated_at") -> dict[str, Any]:
         """Merge documents into the current version and publish the result.
 
-        Only documents that the delta changes are chunked again, and only texts that have no
-        vector yet are embedded; the weights of the lexical index hang on all documents, so it
-        is built anew. Nothing is published if the delta would take all documents away, if
-        nothing changed, or if the new tables have errors: they are checked before they become
-        current, so the old version (or none) stays active then.
+        Rows that come late change nothing and count as nothing. Of the documents of one
+        address the richest stays, whether they come in one delta or meet here; the others are
+        counted as ``url_duplicates_collapsed``. Only documents that the delta changes are
+        chunked again, only texts that have no vector yet are embedded, and the lexical index
+        gets one segment more, of the chunks that are new, changed or gone. Nothing is published
+        if the delta would take all documents away, if nothing changed, or if the new tables
+        have errors: they are checked before they become current, so the old version (or none)
+        stays active then.
         """
         known = self.versions.current() is not None
         old = self.versions.table("documents") if known else delta.limit(0)
         gone = removed if removed is not None else delta.limit(0).select(key)
-        counts = merge.delta_counts(old, delta, key, gone).first().asDict()
+        fresh = merge.effective(old, delta, key, order)
+        counts = merge.delta_counts(old, fresh, key, gone).first().asDict()
         if not counts["changed"]:
             return {"published": False, "reason": "no changes", **counts}
         if merge.would_empty(old.count(), counts["total"]):
             return {"published": False, "reason": "the delta would remove every document", **counts}
-        docs = merge.upsert(old, delta, key, order, gone)
-        touched = delta.select(key).unionByName(gone.select(key)).distinct()
-        fresh = chunking.chunk_documents(docs.join(touched, key, "left_semi"), self.settings)
-        pieces = fresh
+        staged = self.versions.stage({"merged": merge.replaced(old, fresh, key, gone)})["version"]
+        docs = self.versions.table("merged", staged)
+        touched = fresh.select(key).unionByName(gone.select(key)).distinct()
+        by, rich = _identity(docs, key), _richness(docs)
+        self.versions.complete(staged, {"dropped": merge.collapse_touched(docs, touched, key, by, rich)})
+        return self._finish(staged, docs, touched, key, known, counts)
+
+    def _finish(self, staged: str, docs: DataFrame, touched: DataFrame, key: str, known: bool, counts: dict[str, Any]) -> dict[str, Any]:
+        """From merged documents and what of them is dropped to a checked and indexed version."""
+        dropped = self.versions.table("dropped", staged)
+        touched = touched.unionByName(dropped).distinct()
+        self.versions.complete(staged, {"documents": docs.join(dropped, key, "left_anti")})
+        counts = {**counts, "url_duplicates_collapsed": dropped.count()}
+        counts["total"] -= counts["url_duplicates_collapsed"]
+        docs = self.versions.table("documents", staged)
+        pieces = chunking.chunk_documents(docs.join(touched, key, "left_semi"), self.settings)
         if known:
             kept = self.versions.table("pieces").join(touched, key, "left_anti")
-            pieces = kept.unionByName(fresh, allowMissingColumns=True)
+            pieces = kept.unionByName(pieces, allowMissingColumns=True)
+        self.versions.complete(staged, {"pieces": pieces})
+        pieces = self.versions.table("pieces", staged)
         chunks = chunking.first_of_each(pieces, ["chunk_hash"], [F.col(key), F.col("chunk_index")]).withColumn("id", F.col("chunk_id"))
-        staged = self.versions.stage({"documents": docs, "pieces": pieces, "chunks": chunks})["version"]
-        report = self.validate(staged)
-        failed = [r.asDict() for r in report.where("severity = 'error' and n > 0").collect()]  # a row a check
+        self.versions.complete(staged, {"chunks": chunks})
+        self.versions.forget(staged, ["merged", "dropped"])
+        return self._checked(staged, known, counts)
+
+    def _checked(self, staged: str, known: bool, counts: dict[str, Any]) -> dict[str, Any]:
+        """Publish a staged version if its checks pass: index what changed of its chunks, embed what has no vector."""
+        failed = [r.asDict() for r in self.validate(staged).where("severity = 'error' and n > 0").collect()]  # a row a check
         if failed:
             self.versions.discard(staged)
             return {"published": False, "reason": "validation failed", "checks": failed, **counts}
         chunks = self.versions.table("chunks", staged)
+        before = Segments(self.versions)
+        added, removed = _chunk_changes(self.versions.table("chunks") if known and before.seqs else chunks.limit(0), chunks)
+        before.add(staged, added, removed)
+        Segments(self.versions, staged).merge(staged)
         cache = self.versions.table("vectors") if known else None
         kb = KnowledgeBase.build(chunks, self.settings.embedding_dim, cache=cache, settings=self.settings)
-        index = kb.index.by_term()
-        self.versions.complete(staged, {"postings": index.postings, "terms": index.terms, "stats": index.stats, "vectors": kb.vectors})
+        self.versions.complete(staged, {"vectors": kb.vectors})
         self.versions.activate(staged)
         return {"published": True, "version": staged, **counts}
 
-    def dedupe(self) -> dict[str, Any]:
-        """Publish the current documents with only the richest of each address."""
+    def dedupe(self, dry_run: bool = False) -> dict[str, Any]:
+        """Publish the current documents with only the richest of each address; a dry run only counts the others."""
         docs = self.versions.table("documents")
-        col = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
-        tags = F.size(F.coalesce(F.col("tags"), F.array())) if "tags" in docs.columns else F.lit(0)
-        is_html = ~F.lower(F.coalesce(col("source_type"), F.lit(""))).eqNullSafe("pdf")
-        rich = merge.richness(col("author"), col("date"), col("section"), tags, is_html, F.length(F.coalesce("text", F.lit(""))), col("updated_at"))
         numbered = docs.withColumn("__at", F.xxhash64("document_id"))
-        kept = merge.collapse(numbered, merge.identity(col("url"), F.col("document_id")), rich, "__at")
+        kept = merge.collapse(numbered, _identity(docs, "document_id"), _richness(docs), "__at")
         gone = docs.join(kept.select("document_id"), "document_id", "left_anti").select("document_id")
+        if dry_run:
+            return {"published": False, "reason": "dry run", "removed": gone.count()}
         return self.update(docs.limit(0), gone)
 
     def append(self, chunks: DataFrame) -> dict[str, Any]:
-        """Add chunks (with ``chunk_id, chunk_hash, document_id, text``) that aren't there yet; nothing else changes but the index."""
+        """Add chunks (with ``chunk_id, chunk_hash, document_id, text``) that aren't there yet, under the checks of an update.
+
+        Only they are tokenized and embedded: they are one segment more of the lexical index.
+        """
         known = self.versions.table("chunks")
         fresh = chunking.first_of_each(dense.cache_misses(chunks, known.select("chunk_hash")), ["chunk_hash"], [F.col("chunk_id")]).withColumn("id", F.col("chunk_id"))
-        whole = known.unionByName(fresh, allowMissingColumns=True)
         added = fresh.count()
         if not added:
             return {"published": False, "reason": "no changes", "added": 0}
-        kb = KnowledgeBase.build(whole, self.settings.embedding_dim, cache=self.versions.table("vectors"), settings=self.settings)
-        index = kb.index.by_term()
+        whole = known.unionByName(fresh, allowMissingColumns=True)
         pieces = self.versions.table("pieces").unionByName(fresh.drop("id"), allowMissingColumns=True)
-        made = self.versions.publish({"chunks": whole, "pieces": pieces, "postings": index.postings, "terms": index.terms, "stats": index.stats, "vectors": kb.vectors})
-        return {"published": True, "version": made["version"], "added": added}
+        staged = self.versions.stage({"chunks": whole, "pieces": pieces})["version"]
+        return self._checked(staged, True, {"added": added})
 
     def validate(self, version: str | None = None) -> DataFrame:
         """The checks of the current (or a given) version."""
@@ -97,7 +149,7 @@ class Store:
     def open(self) -> KnowledgeBase:
         """The current version, looked up anew: a publish elsewhere shows at the next call."""
         t = self.versions.table
-        return KnowledgeBase(t("chunks"), LexicalIndex(t("postings"), t("terms"), t("stats")), t("vectors"), self.settings.embedding_dim, settings=self.settings, version=self.versions.current() or "")
+        return KnowledgeBase(t("chunks"), Segments(self.versions), t("vectors"), self.settings.embedding_dim, settings=self.settings, version=self.versions.current() or "")
 
     def status(self) -> dict[str, Any]:
         return {"ready": self.versions.current() is not None, "manifest": self.versions.manifest(), "versions": self.versions.list()}

@@ -36,8 +36,8 @@ class LexicalIndex:
         return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
     def by_term(self) -> LexicalIndex:
-        """The index with its postings laid out by term, so that a query on the written table reads few files."""
-        return LexicalIndex(self.postings.repartitionByRange("term").sortWithinPartitions("term"), self.terms, self.stats)
+        """The index with its postings laid out by term and id, so that a query on the written table reads few files and a frequent term fills several."""
+        return LexicalIndex(self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), self.terms, self.stats)
 
     def save(self, path: str) -> None:
         """Write the tables, the postings by term."""

@@ -29,12 +29,23 @@ def collapse(docs: DataFrame, by: Column, rich: Column, order: str) -> DataFrame
     return best.select("__best.*", (F.col("__n") - 1).alias("collapsed"))
 
 
-def upsert(existing: DataFrame, delta: DataFrame, key: str, order: str, removed: DataFrame | None = None) -> DataFrame:
-    """``existing`` with the delta's rows in place of those with their key, and without the removed keys.
+def collapse_touched(docs: DataFrame, touched: DataFrame, key: str, by: Column, rich: Column) -> DataFrame:
+    """Keys of ``docs`` that give way to a richer document of their identity.
 
-    Of a repeated key the row that is last in ``order`` counts. A row of the delta that comes
-    before the existing one in ``order`` is late and changes nothing; of equals the delta's counts.
-    Nulls come first.
+    Only identities of the ``touched`` keys are looked at: the others were collapsed before.
+    Equals are told apart by a hash of the key.
+    """
+    rows = docs.select(key, by.alias("__by"), F.struct(rich.alias("r"), F.xxhash64(key).alias("h"), F.col(key).alias("k")).alias("__rich"))
+    own = rows.join(touched.select(key).distinct(), key, "left_semi").select("__by").distinct()
+    rows = rows.join(own, "__by", "left_semi")
+    best = rows.groupBy("__by").agg(F.max("__rich")["k"].alias("__best"))
+    return rows.join(best, "__by").where(~F.col(key).eqNullSafe(F.col("__best"))).select(key)
+
+
+def effective(existing: DataFrame, delta: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows of a delta that count: of a repeated key the last in ``order``, and none that comes before the existing row of its key.
+
+    Nulls come first; of equals the delta's row counts.
     """
     by = F.struct(F.col(order).isNotNull(), F.col(order))
     last = delta.groupBy(key).agg(F.max_by(F.struct(*[c for c in delta.columns if c != key]), by).alias("__r")).select(key, "__r.*")
@@ -42,12 +53,27 @@ def upsert(existing: DataFrame, delta: DataFrame, key: str, order: str, removed:
         # of the existing rows only keys and order travel
         old = existing.select(key, F.struct(F.col(order).isNotNull(), F.col(order)).alias("__old"))
         last = last.join(old, key, "left").where(F.col("__old").isNull() | (by >= F.col("__old"))).drop("__old")
-    merged = existing.join(last.select(key), key, "left_anti").unionByName(last.select(*existing.columns))
+    return last
+
+
+def upsert(existing: DataFrame, delta: DataFrame, key: str, order: str, removed: DataFrame | None = None) -> DataFrame:
+    """``existing`` with the delta's effective rows in place of those with their key, and without the removed keys.
+
+    Of a repeated key the row that is last in ``order`` counts. A row of the delta that comes
+    before the existing one in ``order`` is late and changes nothing; of equals the delta's counts.
+    Nulls come first.
+    """
+    return replaced(existing, effective(existing, delta, key, order), key, removed)
+
+
+def replaced(existing: DataFrame, rows: DataFrame, key: str, removed: DataFrame | None = None) -> DataFrame:
+    """``existing`` with ``rows`` (of distinct keys) in place of those with their key, and without the removed keys."""
+    merged = existing.join(rows.select(key), key, "left_anti").unionByName(rows.select(*existing.columns))
     return merged if removed is None else merged.join(removed.select(key).distinct(), key, "left_anti")
 
 
 def delta_counts(existing: DataFrame, delta: DataFrame, key: str, removed: DataFrame) -> DataFrame:
-    """One row: ``added, updated, removed, changed, total`` of an upsert."""
+    """One row: ``added, updated, removed, changed, total`` of an upsert by a delta's effective rows."""
     keys = existing.select(key, F.lit(1).alias("old")).join(delta.select(key).distinct().withColumn("new", F.lit(1)), key, "full_outer").join(removed.select(key).distinct().withColumn("gone", F.lit(1)), key, "left")
     n = lambda c: F.count_if(c).cast("long")
     gone = F.col("gone").isNotNull()

@@ -71,6 +71,14 @@ class Versions:
         """Write further tables into a version that isn't current yet."""
         return self._filled(self.manifest(version) or {"version": version}, tables)
 
+    def forget(self, version: str, names: list[str]) -> dict[str, Any]:
+        """Leave tables out of a version that isn't current yet; versions that have them keep them."""
+        manifest = self.manifest(version) or {"version": version}
+        for part in ("counts", "hashes", "at"):
+            for name in names:
+                manifest.get(part, {}).pop(name, None)
+        return self._filled(manifest, {})
+
     def _filled(self, manifest: dict[str, Any], tables: dict[str, DataFrame]) -> dict[str, Any]:
         version = manifest["version"]
         for name, df in tables.items():

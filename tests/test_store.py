@@ -76,12 +76,93 @@ def test_versions_keep_tables_and_prune(spark, tmp_path):
 
 def test_a_version_is_checked_before_it_is_current(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/kb", SETTINGS)
-    twins = frame(spark, doc(1, "rivers", url="https://x.org/a"), doc(2, "lakes", url="https://www.x.org/a/"))
-    out = store.update(twins)
-    assert out["reason"] == "validation failed" and out["checks"][0]["check"] == "duplicate_urls"
+    out = store.update(frame(spark, doc(1, "rivers"), (None, *doc(2, "lakes")[1:])))
+    assert out["reason"] == "validation failed" and out["checks"][0]["n"] == 1
     assert store.versions.current() is None and store.versions.list() == [] and not store.status()["ready"]
 
 
+def test_documents_of_one_address_collapse_in_the_merge(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/kb", SETTINGS)
+    long = doc(2, "lakes", url="https://www.x.org/a/")
+    out = store.update(frame(spark, doc(1, "sea", url="https://x.org/a"), (*long[:4], long[4] * 2, long[5]), doc(3, "trade")))
+    assert out["published"] and (out["added"], out["url_duplicates_collapsed"], out["total"]) == (3, 1, 2)
+    held = lambda name: {r.document_id for r in store.versions.table(name).collect()}
+    assert held("documents") == held("chunks") == held("pieces") == {"2", "3"}
+    # a richer one takes the place of a document that was there, a poorer one doesn't come in
+    rich = doc(4, "seas", at="2024-03-01", url="https://x.org/a#top")
+    out = store.update(frame(spark, (*rich[:4], rich[4] * 3, rich[5]), doc(5, "x", at="2024-03-01", url="http://x.org/a/3")))
+    assert out["url_duplicates_collapsed"] >= 1 and "4" in held("documents") and "2" not in held("documents") and held("chunks") == held("documents")
+    assert [r.document_id for r in store.open().retrieve("lakes", 3).collect() if r.lexical_verified] == []
+    assert "merged" not in store.versions.manifest()["tables"]
+    # late rows count as nothing
+    out = store.update(frame(spark, (*rich[:4], "late", "2023-01-01")))
+    assert not out["published"] and out["reason"] == "no changes" and out["updated"] == 0
+    assert store.dedupe(dry_run=True) == {"published": False, "reason": "dry run", "removed": 0}
+
+
+def test_segments_equal_an_index_built_anew(spark, tmp_path, monkeypatch):
+    from docspark.operators import lexical, segments
+
+    monkeypatch.setattr(segments, "RANGE_DOCS", 4)
+    versions = Versions(spark, f"file://{tmp_path}/kb")
+    live: dict = {}
+    words = ["alpha", "beta", "gamma", "delta", "eta", "iota", "kappa"]
+    text = lambda i, v: " ".join(words[(i * (k + v) + k) % (4 + i % 4)] for k in range(3 + (i * 7 + v) % 20)) if i % 9 else None
+
+    def step(changed, removed, v):
+        rows = [(i, text(i, v)) for i in changed]
+        live.update(rows)
+        for i in removed:
+            live.pop(i, None)
+        out = segments.update(versions, spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(i,) for i in removed], "id long"))
+        index = segments.Segments(versions)
+        anew = lexical.LexicalIndex.build(spark.createDataFrame(list(live.items()), "id long, text string"), "id", "text")
+        for q in ("alpha beta", "Kappa kappa iota", "none", "gamma eta delta beta"):
+            assert [tuple(r) for r in index.search(q, 6).collect()] == [tuple(r) for r in anew.search(q, 6).collect()], (v, q)
+        stats, n = index.table("stats").agg(F.sum("n"), F.sum("words")).first(), sum(len((t or "").split()) for t in live.values())
+        assert tuple(stats) == (len(live), n)
+        return out
+
+    step(range(60), [], 1)
+    step(range(50, 80), [3, 4, 200], 2)
+    step([1, 2, 3], [79, 78], 3)  # 3 comes back
+    out = step([], list(range(10, 30)), 4)
+    assert out["segments"] == 1 and out["merged"] == 4
+    assert step([5, 6, 90], [1], 5)["merged"] == 0
+    merged = [step([100 + k, 30 + k], [31 + k], 6 + k) for k in range(5)]
+    assert max(m["merged"] for m in merged) >= segments.MERGE and merged[-1]["segments"] < 8
+    among = spark.createDataFrame([(i,) for i in range(30, 60)], "id long")
+    got = segments.Segments(versions).search("alpha beta", 4, among).collect()
+    assert len(got) == 4 and {r.id for r in got} <= set(range(30, 60))
+
+
+def test_few_blocks_are_read(spark, tmp_path):
+    from docspark.operators import lexical, segments
+
+    rows = [(i, "common often " * (1 + i % 3) + ("rare " * 4 if i % 97 == 0 else "") + "filler " * (i % 11)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    versions = Versions(spark, f"file://{tmp_path}/kb")
+    segments.update(versions, df)
+    got = segments.Segments(versions).ask("common often rare", 10)
+    assert [tuple(r) for r in got.hits.collect()] == [tuple(r) for r in lexical.LexicalIndex.build(df, "id", "text").search("common often rare", 10).collect()]
+    assert 0 < got.read < got.blocks / 2
+
+
+def test_an_update_tokenizes_only_its_own_chunks(spark, tmp_path, monkeypatch):
+    from docspark.operators import segments
+
+    store = Store(spark, f"file://{tmp_path}/kb", SETTINGS)
+    store.update(frame(spark, *[doc(i, f"topic{i}") for i in range(12)]))
+    seen = []
+    real = segments.Segments.add
+    monkeypatch.setattr(segments.Segments, "add", lambda self, staged, rows, removed, *a: (seen.append((rows.count(), removed.count())), real(self, staged, rows, removed, *a))[1])
+    store.update(frame(spark, doc(3, "volcanoes", at="2024-02-01")), spark.createDataFrame([("4",)], "document_id string"))
+    new = store.versions.table("chunks").where("document_id = '3'").count()
+    assert seen[0][0] == new and seen[0][1] >= 1
+    assert store.open().retrieve("volcanoes", 1).first().document_id == "3"
+    assert store.open().index.search("topic4", 5).count() == 0
+
+
 def test_only_changes_are_chunked_and_embedded(spark, tmp_path, monkeypatch):
     store = Store(spark, f"file://{tmp_path}/kb", SETTINGS)
     assert store.update(frame(spark, doc(1, "rivers"), doc(2, "trade")))["published"]
@@ -92,7 +173,7 @@ def test_only_changes_are_chunked_and_embedded(spark, tmp_path, monkeypatch):
     store.versions.publish({"vectors": marked})
     late = doc(1, "a late text", at="2023-01-01")
     out = store.update(frame(spark, doc(2, "customs", at="2024-02-01"), doc(3, "space", at="2024-02-01"), late))
-    assert out["published"] and sorted(seen) == ["1", "2", "3"]
+    assert out["published"] and sorted(seen) == ["2", "3"]
     texts = {r.document_id: r.text for r in store.versions.table("chunks").collect()}
     assert set(texts) == {"1", "2", "3"} and "rivers" in texts["1"] and "customs" in texts["2"]
     norms = {r.id[0]: sum(x * x for x in r.embedding) for r in store.versions.table("vectors").collect()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.text import strip
@@ -67,6 +67,29 @@ def author_matches(author: Column, names: list[str]) -> Column:
     return out
 
 
+def name_pairs(names: DataFrame, authors: DataFrame, name_key: str, name: str, author_key: str, author: str) -> DataFrame:
+    """``name_key, author_key, exact``: all names of a table with the author fields they match, as ``author_matches`` tells for one.
+
+    Both sides are normalised once. A name meets an author by its whole normal form, or by its
+    last word (four letters or more) as one of the author's words: two equi-joins on those
+    blocks, never all pairs. Names of one normal form meet the authors as one, and author
+    fields with the same value as one too, so that copies aren't compared again. An author
+    field may be a string or an array of strings; nulls and names without words match nothing.
+    Both key columns must have different names.
+    """
+    listed = dict(authors.dtypes)[author].startswith("array")
+    fields = authors.select(F.col(author_key), (F.col(author) if listed else F.array(author)).alias("__field"))
+    own = names.select(F.col(name_key), normal_name(F.col(name)).alias("__name")).where(F.col("__name") != "")
+    forms = own.select("__name").distinct().withColumn("__last", F.element_at(F.split("__name", " "), -1))
+    values = fields.select("__field").where(F.size("__field") > 0).distinct()
+    parts = values.select("__field", F.explode("__field").alias("__one")).select("__field", normal_name(F.col("__one")).alias("__one")).where(F.col("__one") != "")
+    whole = parts.join(forms, F.col("__one") == F.col("__name")).select("__field", "__name", F.lit(True).alias("exact"))
+    words = parts.select("__field", F.explode(F.array_distinct(F.split("__one", "[ ,;&]+"))).alias("__word")).where(F.length("__word") >= 4).distinct()
+    by_last = words.join(forms, F.col("__word") == F.col("__last")).select("__field", "__name", F.lit(False).alias("exact"))
+    met = whole.unionByName(by_last).groupBy("__field", "__name").agg(F.bool_or("exact").alias("exact"))
+    return met.join(own, "__name").join(fields, "__field").select(name_key, author_key, "exact")
+
+
 def author_from_text(text: Column) -> Column:
     """An author named near the start of a text; empty if none is."""
     name = r"([A-Z][\w.'-]+(?: [A-Z][\w.'-]+){1,3})"

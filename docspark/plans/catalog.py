@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.plans import answers, corpus, retrieval, surfaces, upkeep
+from docspark.plans import answers, corpus, growth, retrieval, surfaces, upkeep
 
-_PARTS = (retrieval, corpus, upkeep, answers, surfaces)
+_PARTS = (retrieval, corpus, upkeep, answers, surfaces, growth)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ their generalised Jaccard similarity: the sum of the lesser weights over that of
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,9 +20,9 @@ from docspark.llm.sharding import with_blocks
 
 #: Samples of a fingerprint: PARTS rows of a term with PART samples each.
 PARTS, PART = 4, 8
-#: Rows of a block of neighbours (ids and hashes, no texts).
-BLOCK_ROWS = 500_000
-#: Ids and hashes of neighbours are broadcast up to so many bytes; beyond, they are joined by a shuffle.
+#: Documents of a block of neighbours (their texts are sorted together): at least and at most.
+FEWEST_ROWS, BLOCK_ROWS = 250, 4000
+#: The first texts of all blocks are broadcast up to so many bytes; beyond, they are joined by a shuffle.
 MOST_BROADCAST_BYTES = 32 << 20
 _LOW31 = (1 << 31) - 1
 
@@ -122,68 +121,45 @@ def fingerprint_pairs(rows: DataFrame, keys: list[str], first: str, second: str)
     return whole.select(*keys, F.flatten(F.col("p.a")).alias("a"), F.flatten(F.col("p.b")).alias("b"))
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """``id, h, c, next_id, next_h, half`` of light rows (``id, h, tie, n, c``): what follows each in the order of id, tie and h, the first after the last.
-
-    ``half`` is how many characters of the next text the row's edited text takes. Blocks of
-    the order are numbered alone; the first row of each block stands behind the one before.
-    """
-    rows = with_blocks(rows, "id", "tie", BLOCK_ROWS, "block")
-    order = W.partitionBy("block").orderBy(F.asc_nulls_first("id"), "tie", "h")
-    least = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie", "h"))
-    heads = scratch.written(rows.groupBy("block").agg(least.alias("head")), "heads")
-    turn = W.orderBy("block")  # over the blocks alone
-    after = heads.select("block", F.coalesce(F.lead("head").over(turn), F.first("head").over(turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
-    after = F.broadcast(after) if 64 * heads.count() <= MOST_BROADCAST_BYTES else after
-    placed = rows.select("block", "id", "h", "c", "n", F.lead(F.struct("id", "h")).over(order).alias("next")).join(after, "block")
-    held = F.coalesce("next", F.struct(F.col("after.id").alias("id"), F.col("after.h").alias("h")))
-    return placed.select("id", "h", "c", held["id"].alias("next_id"), held["h"].alias("next_h"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-
-
-def _same(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> Column:
-    return reduce(Column.__and__, [a[x].eqNullSafe(b[y]) for x, y in pairs])
-
-
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likeness of neighbours.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many of
     the next text (all, if it has fewer) in ascending order of ``key``; after the last comes
     the first. Null texts are empty; rows of one key stand in the order of their texts'
-    checksums; null keys come first. Repeated rows follow one another. A text without words
-    has a fingerprint of zeros. Other columns are ignored; an empty table gives an empty result.
-
-    The order is found on light rows, told by key and 64 bits of their text. Texts travel
-    once, to the task of their own row, and of a neighbour's only the part that is needed, so
-    tasks follow bytes and none has more than its share.
+    checksums; null keys come first. A text without words has a fingerprint of zeros. Other
+    columns are ignored; an empty table gives an empty result.
     """
-    named = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    light = named.select("id", "h", F.length("text").alias("n"), F.crc32(F.encode("text", "utf-8")).alias("tie"))
-    light = scratch.written(light.groupBy("id", "h", "tie", "n").agg(F.count(F.lit(1)).alias("c")), "rows")
-    order = scratch.written(neighbours(light), "order")
-
-    small = 48 * order.count() <= MOST_BROADCAST_BYTES
-    wanted = order.select(F.col("id").alias("own_id"), F.col("h").alias("own_h"), "c", "half", "next_id", "next_h")
-    ahead = named.join(F.broadcast(wanted) if small else wanted, _same(named, wanted, [("id", "next_id"), ("h", "next_h")]))
-    ahead = ahead.select(F.col("own_id").alias("id"), F.col("own_h").alias("h"), F.lit(None).cast("string").alias("text"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("next"), "c")
-    texts = named.select("id", "h", "text", F.lit(None).cast("string").alias("next"), F.lit(None).cast("long").alias("c"))
-    first = lambda c: F.first(c, ignorenulls=True).alias(c)
-    met = texts.unionByName(ahead).groupBy("id", "h").agg(first("text"), first("next"), first("c"))
-
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.crc32(F.encode("text", "utf-8")))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    n_rows = rows.count()
+    size = max(1, min(BLOCK_ROWS, max(FEWEST_ROWS, n_rows // (8 * cores))))
+    rows = with_blocks(rows, "id", "tie", size, "block")
+    # neighbouring blocks go together, so that tasks get equal shares; they are as many as the blocks fill
+    tasks = max(1, min(n_rows // size + 1, max(4 * cores, n_rows // BLOCK_ROWS)))
+    texts = rows.repartitionByRange(tasks, "block")
+    order = W.partitionBy("block").orderBy(F.asc_nulls_first("id"), "tie")
+
+    # The first text of each block stands in the block before as the last one's neighbour.
+    least = F.struct(F.coalesce("id", F.lit(-(1 << 63)).cast("long")).alias("i"), "tie")
+    heads = scratch.written(rows.groupBy("block").agg(F.min_by("text", least).alias("text")), "heads")
+    turn = W.orderBy("block")  # over the numbers of the blocks alone
+    following = heads.select("block", F.coalesce(F.lead("block").over(turn), F.first("block").over(turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
+    following = scratch.written(following, "blocks")
+    ahead = following.join(heads.select(F.col("block").alias("after"), F.col("text").alias("ahead")), "after").select("block", "ahead")
+    placed = texts.select("block", "id", "tie", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next"))
+    held = heads.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    placed = placed.join(F.broadcast(ahead) if held <= MOST_BROADCAST_BYTES else ahead, "block", "left").withColumn("next", F.coalesce("next", "ahead"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    # of repeated rows all but the last are followed by themselves
-    turns = F.array(F.struct("next", F.lit(1).cast("long").alias("times")), F.struct(F.substring(F.col("text"), F.lit(1), half).alias("next"), (F.col("c") - 1).alias("times")))
-    each = met.select("id", "h", n.cast("long").alias("n_chars"), "text", half.alias("half"), F.posexplode(F.filter(turns, lambda t: t["times"] > 0)).alias("again", "turn"))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("half")), F.col("turn.next"))
-    made = each.select("id", F.col("h").alias("of"), "again", F.col("turn.times").alias("times"), "n_chars", "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
-    got = fingerprint_pairs(made, ["id", "of", "again", "times", "n_chars", "edited_sha256"], "text", "edited")
-    ints = lambda c: F.col(c).cast("array<int>").alias(c)  # noqa: E731 (31 bits each)
-    got = scratch.written(got.select("id", F.col("of").alias("h"), "again", "times", "n_chars", "edited_sha256", ints("a"), ints("b")), "fingerprints")
-
-    own = got.where("again = 0").select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), F.col("a").alias("next"))
-    pairs = order.select("id", "h", "next_id", "next_h")
-    follows = pairs.join(own, _same(pairs, own, [("next_id", "of_id"), ("next_h", "of_h")])).select(F.col("id").alias("own_id"), F.col("h").alias("own_h"), "next")
-    near = got.join(follows, _same(got, follows, [("id", "own_id"), ("h", "own_h")]))
-    near = near.withColumn("next", F.when(F.col("again") == 0, F.col("next")).otherwise(F.col("a"))).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
+    made = placed.select("block", "rn", "id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    keys = ["block", "rn", "id", "n_chars", "edited_sha256"]
+    got = fingerprint_pairs(made.withColumn("edited_sha256", F.sha2("edited", 256)), keys, "text", "edited")
+    got = scratch.written(got, "fingerprints")
+
+    first = got.where("rn = 1").select(F.col("block").alias("after"), F.col("a").alias("ahead"))
+    after = following.join(first, "after").select("block", "ahead")
+    near = got.withColumn("next", F.lead("a").over(W.partitionBy("block").orderBy("rn"))).join(after, "block", "left").withColumn("next", F.coalesce("next", "ahead"))
     return near.select(F.col("id").alias(key), "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next")).alias("near_next"))

@@ -35,10 +35,11 @@ def fingerprint(kind: T.DataType) -> str:
 
 
 def relevant(kind: T.DataType, wanted: T.DataType) -> T.DataType:
-    """``kind`` without the fields that ``wanted`` hasn't."""
+    """``kind`` without the fields that ``wanted`` hasn't; names differ by more than case, as Spark's do."""
     if isinstance(kind, T.StructType) and isinstance(wanted, T.StructType):
-        known = {f.name: f.dataType for f in wanted.fields}
-        return T.StructType([T.StructField(f.name, relevant(f.dataType, known[f.name])) for f in kind.fields if f.name in known])
+        known = {f.name.lower(): f for f in wanted.fields}
+        own = [(f, known[f.name.lower()]) for f in kind.fields if f.name.lower() in known]
+        return T.StructType([T.StructField(w.name, relevant(f.dataType, w.dataType)) for f, w in own])
     if isinstance(kind, T.ArrayType) and isinstance(wanted, T.ArrayType):
         return T.ArrayType(relevant(kind.elementType, wanted.elementType))
     return kind
@@ -50,26 +51,35 @@ def n_paths(kind: T.DataType) -> int:
     return n_paths(kind.elementType) if isinstance(kind, T.ArrayType) else 0
 
 
-def json_skeleton(values: Column, wanted: T.DataType) -> Column:
-    """Skeleton of an array of variants, all read as one value, without the fields that ``wanted`` hasn't; null where there is no value."""
+def json_skeleton(values: Column, wanted: T.DataType, lenient: bool = False, listed: bool = False) -> Column:
+    """Skeleton of an array of variants, all read as one value, without the fields that ``wanted`` hasn't; null where there is no value.
+
+    If ``lenient``, what an empty list would hold is taken for granted, and so are fields that
+    no member of a list has, if members have another of the wanted fields (``listed``: the
+    values are members).
+    """
     some = F.filter(values, lambda v: v.isNotNull())
     kinds = F.transform(some, F.schema_of_variant)
     if isinstance(wanted, T.StructType):
         inner = lambda path: F.transform(some, lambda v: F.try_variant_get(v, path, "variant"))
-        fields = [F.concat(F.lit(f.name), json_skeleton(inner(f"$['{f.name}']"), f.dataType)) for f in sorted(wanted.fields, key=lambda f: f.name)]
+        ordered = sorted(wanted.fields, key=lambda f: f.name)
+        fields = [F.concat(F.lit(f.name), json_skeleton(inner(f"$['{f.name}']"), f.dataType, lenient)) for f in ordered]
+        if lenient and listed:
+            some_field = F.coalesce(*fields).isNotNull()
+            fields = [F.when(some_field, F.coalesce(c, F.lit(f.name + skeleton(f.dataType)))) for c, f in zip(fields, ordered, strict=True)]
         found, opens = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit(">")), "OBJECT<"
     elif isinstance(wanted, T.ArrayType):
         items = F.flatten(F.transform(some, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))))
-        found, opens = F.concat(F.lit("["), F.coalesce(json_skeleton(items, wanted.elementType), F.lit("")), F.lit(">")), "ARRAY<"
+        found, opens = F.concat(F.lit("["), F.coalesce(json_skeleton(items, wanted.elementType, lenient, True), F.lit(skeleton(wanted.elementType) if lenient else "")), F.lit(">")), "ARRAY<"
     else:
         nested = F.exists(kinds, lambda k: k.startswith("OBJECT<") | k.startswith("ARRAY<"))
         return F.when(F.size(some) > 0, F.when(nested, "?").otherwise(""))
     return F.when(F.size(some) > 0, F.when(F.forall(kinds, lambda k: k.startswith(opens) | (k == "VOID")), found).otherwise("?"))
 
 
-def json_fingerprint_of(record: Column, wanted: T.DataType) -> Column:
+def json_fingerprint_of(record: Column, wanted: T.DataType, lenient: bool = False) -> Column:
     """The fingerprint of one JSON text, of the paths in ``wanted`` alone."""
-    return F.substring(F.sha2(json_skeleton(F.array(F.try_parse_json(record)), wanted), 256), 1, 16)
+    return F.substring(F.sha2(json_skeleton(F.array(F.try_parse_json(record)), wanted, lenient), 256), 1, 16)
 
 
 def json_fingerprint(record: Column) -> Column:
@@ -133,12 +143,16 @@ def record_turns(record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """Turns of the JSON text in column ``record``; null where no layout has its fingerprint.
 
     Texts that are not JSON, or of an unknown layout, give null: callers see them and no
-    row is dropped. A null text inside a known layout is an empty turn text when rendered.
+    row is dropped. A null text inside a known layout is an empty turn text when rendered,
+    and so is a field that a listed message hasn't; an empty list of messages gives no turns.
+    Of layouts with equally many paths that a record has, the first of ``layouts`` counts.
     """
     chosen = F.lit(None).cast(TURNS)
-    for x in reversed(by_paths(layouts)):
+    # layouts with lists come once more, after all: with lists that are empty or lack a field
+    both = [(x, False) for x in by_paths(layouts)] + [(x, True) for x in by_paths(layouts) if "array<" in x.schema]
+    for x, lenient in reversed(both):
         turns = F.expr(f"transform(array(from_json(`{record}`, '{x.schema}')), r -> {x.turns})[0]")
-        chosen = F.when(json_fingerprint_of(F.col(record), x.kind) == x.fingerprint, turns.cast(TURNS)).otherwise(chosen)
+        chosen = F.when(json_fingerprint_of(F.col(record), x.kind, lenient) == x.fingerprint, turns.cast(TURNS)).otherwise(chosen)
     return canonical_roles(chosen)
 
 
@@ -152,7 +166,7 @@ def canonical_roles(turns: Column) -> Column:
 
 
 def table_layout(kind: T.StructType) -> Layout:
-    """The layout of a table, by the fingerprint of its schema."""
+    """The layout of a table, by the fingerprint of its schema (the case of names doesn't matter; of equally many paths the first layout counts)."""
     for x in by_paths((*TABLE_LAYOUTS, *LAYOUTS)):
         if fingerprint(relevant(kind, x.kind)) == x.fingerprint:
             return x

@@ -67,9 +67,12 @@ def _key(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, span: int) -> DataFrame:
-    """``key, n_hit, items``: for each distinct text with an occurring window, its hit words and the items' ids as strings."""
+    """``key, n_hit, items``: for each distinct text with an occurring window, its hit words and the items' ids as strings.
+
+    Items are told apart by a number, so one without an id is found too: it stands as null, last.
+    """
     bench = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("own")).where(F.size("own") > 0).distinct()
-    bench = scratch.written(bench.withColumn("width", F.least(F.size("own"), F.lit(SHINGLE), F.lit(span))), "benchmark")
+    bench = scratch.written(bench.withColumns({"width": F.least(F.size("own"), F.lit(SHINGLE), F.lit(span)), "no": F.monotonically_increasing_id()}), "benchmark")
     sums = bench.agg(F.sum(F.octet_length(F.array_join("own", " ")) + 16 * F.size("own")).alias("bytes"), F.sum(F.size("own")).alias("words"), F.sort_array(F.collect_set("width")).alias("widths")).first()
     n, widths = sums.words or 0, sums.widths  # widths: at most SHINGLE numbers
     low = F.transform("own", _low)
@@ -85,27 +88,27 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str, item_id: str, item
     counts = scratch.written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "rarity")
 
     # The rarest shingle of each window; ties by its hash, then by its place. A window with a shingle in no document is nowhere.
-    placed = bench.select("item", "own", "width", F.posexplode("tokens").alias("at", "token")).join(counts, "token", "left")
-    ordered = placed.groupBy("item", "own", "width").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("by_place"))
+    placed = bench.select("no", "own", "width", F.posexplode("tokens").alias("at", "token")).join(counts, "token", "left")
+    ordered = placed.groupBy("no", "own", "width").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("by_place"))
     rank = F.transform("by_place", lambda w: F.struct(w["n"].alias("n"), w["token"].alias("token"), w["at"].alias("at")))
     length = F.least(F.size("own"), F.lit(span))
     starts = F.sequence(F.lit(0), F.size("own") - length)
-    anchors = ordered.select("item", F.size("own").alias("item_words"), "width", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(rank, i + 1, length - F.col("width") + 1))))).alias("anchor")).where("anchor.n > 0")
-    anchors = scratch.written(anchors.select("item", "item_words", "width", "anchor.token", F.col("anchor.at").alias("item_at")), "anchors")
+    anchors = ordered.select("no", F.size("own").alias("item_words"), "width", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(rank, i + 1, length - F.col("width") + 1))))).alias("anchor")).where("anchor.n > 0")
+    anchors = scratch.written(anchors.select("no", "item_words", "width", "anchor.token", F.col("anchor.at").alias("item_at")), "anchors")
 
     met = rows.join(_side(anchors, 48 * n), "token").withColumn("diagonal", F.col("at") - F.col("item_at"))
     # A window that holds the anchor and lies inside the document: its first word in the item is in [low, high].
     length = F.least("item_words", F.lit(span))
     low = F.greatest(F.lit(0), F.col("item_at") + F.col("width") - length, -F.col("diagonal"))
     high = F.least("item_at", F.col("item_words") - length, F.col("n_words") - F.col("diagonal") - length)
-    found = scratch.written(met.where(low <= high).select("key", "item", "diagonal").distinct(), "candidates")
+    found = scratch.written(met.where(low <= high).select("key", "no", "diagonal").distinct(), "candidates")
 
     # Whole windows, word by word, in the texts that have candidates; of a text only the words beside the item travel.
     m = 64 * found.count()
     keys = found.select("key").distinct()
     texts = docs.select(_key(F.col(text)).alias("key"), F.col(text).alias("text")).join(_side(keys, m), "key", "left_semi").dropDuplicates(["key"])
     texts = texts.select("key", words(F.col("text")).alias("said"))
-    pairs = texts.join(_side(found, m), "key").join(_side(bench.select("item", "own"), sums.bytes or 0), "item")
+    pairs = texts.join(_side(found, m), "key").join(_side(bench.select("no", "item", "own"), sums.bytes or 0), "no")
     first = F.greatest(F.lit(0), -F.col("diagonal"))
     beside = F.slice("said", first + F.col("diagonal") + 1, F.size("own"))
     pairs = pairs.select("key", "item", "own", "diagonal", first.alias("first"), beside.alias("beside"))
@@ -116,7 +119,7 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str, item_id: str, item
     hits = scratch.written(hits, "hits")
     # a text has no more distinct spans of one length than words, and no more items than its result names
     spans = hits.select("key", F.explode("spans").alias("span")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("spans"))
-    named = hits.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    named = hits.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("item"))["item"]).alias("items"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     union = F.aggregate("spans", start, lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n")))
     return spans.join(named, "key").select("key", union["n"].alias("n_hit"), "items")
@@ -127,8 +130,8 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 
     A document word inside any occurrence of a window is hit; a document is contaminated if
     it has hit words and they are a twentieth of its words or more. Null and empty texts have
-    no words and are clean; items without words have no window; repeated items are one; an
-    empty benchmark leaves every document clean. Columns of ``docs`` stay, whatever ``items``
+    no words and are clean; items without words have no window; repeated items are one; items
+    without an id count as one that is null and stands last in ``items``; an empty benchmark leaves every document clean. Columns of ``docs`` stay, whatever ``items``
     has; only those that have one of the four names already are replaced.
     """
     found = scratch.written(occurrences(docs, items, text, item_id, item_text, span), "contaminated")

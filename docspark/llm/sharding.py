@@ -52,18 +52,20 @@ def place(df: DataFrame, key: str, shards: int, into: str = "shard", grown: str
 
     Integer keys are the generator's seed as they are; other types are hashed with
     xxhash64 first. A null key counts as 0 (as key 0 does), so null rows share one shard.
+    Columns that have the names ``into`` or ``grown`` already are replaced; others stay.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
     whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
     seed = F.coalesce(F.col(f"`{key}`").cast("long") if whole else F.xxhash64(F.col(f"`{key}`")), F.lit(0).cast("long"))
-    df = df.withColumn("__jump", jump_state(seed, shards))
-    done = F.when(F.col("__jump.j") < shards, F.raise_error(F.lit("jump limit reached")).cast("long")).otherwise(F.col("__jump.b"))
+    jump = scratch.fresh(df, "__jump")
+    df = df.withColumn(jump, jump_state(seed, shards))
+    done = F.when(F.col(f"{jump}.j") < shards, F.raise_error(F.lit("jump limit reached")).cast("long")).otherwise(F.col(f"{jump}.b"))
     df = df.withColumn(into, done.cast("int"))
     if grown:
         # With one more shard the key moves only if its next jump lands exactly there.
-        df = df.withColumn(grown, F.when(F.col("__jump.j") == shards, F.lit(shards)).otherwise(F.col(into)).cast("int"))
-    return df.drop("__jump")
+        df = df.withColumn(grown, F.when(F.col(f"{jump}.j") == shards, F.lit(shards)).otherwise(F.col(into)).cast("int"))
+    return df.drop(jump)
 
 
 def with_blocks(df: DataFrame, key: str, tie: str, rows: int, into: str) -> DataFrame:
@@ -110,14 +112,16 @@ def number_slots(df: DataFrame, shard: str, key: str, tie: str, into: str = "slo
 
     No task gets a whole shard: rows fall into blocks by ranges of the key, each block is
     numbered alone, and the counts of the blocks, a row for each shard and block, give its
-    first number. ``df`` is read several times and should be a written table.
+    first number. ``df`` is read several times and should be a written table. A column that
+    has the name ``into`` already is replaced; others stay.
     """
-    df = with_blocks(df, key, tie, BLOCK_ROWS, "__block")
-    counts = scratch.written(df.groupBy(shard, "__block").count(), "counts")
-    before = counts.select(shard, "__block", (F.sum("count").over(W.partitionBy(shard).orderBy("__block")) - F.col("count")).alias("__before"))
-    own = F.row_number().over(W.partitionBy(shard, "__block").orderBy(key, tie)) - 1
+    block, own, first = (scratch.fresh(df, c) for c in ("__block", "__own", "__before"))
+    df = with_blocks(df, key, tie, BLOCK_ROWS, block)
+    counts = scratch.written(df.groupBy(shard, block).agg(F.count(F.lit(1)).alias("n")), "counts")
+    before = counts.select(shard, block, (F.sum("n").over(W.partitionBy(shard).orderBy(block)) - F.col("n")).alias(first))
+    number = F.row_number().over(W.partitionBy(shard, block).orderBy(key, tie)) - 1
     before = F.broadcast(before) if 24 * counts.count() <= MOST_BROADCAST else before
-    return df.withColumn("__own", own.cast("long")).join(before, [shard, "__block"]).withColumn(into, F.col("__own") + F.col("__before")).drop("__own", "__before", "__block")
+    return df.withColumn(own, number.cast("long")).join(before, [shard, block]).withColumn(into, F.col(own) + F.col(first)).drop(own, first, block)
 
 
 def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from brute import brute_components, brute_removed, greedy, shingles
 
-from docspark.llm import chat, decontaminate, fingerprints, graph, language, neardup, packing, quality, sharding, suffix, wordpiece, words
+from docspark.llm import chat, decontaminate, fingerprints, graph, language, neardup, packing, quality, scratch, sharding, suffix, wordpiece, words
 from docspark.llm.queries import public_vocabulary
 
 # ---- chat ---------------------------------------------------------------------------------
@@ -486,7 +486,7 @@ def test_further_fields_keep_the_layout(spark):
     for k in ("messages", "pair", "most_paths"):
         assert [(t.role, t.text) for t in got[k]] == [("user", "q"), ("assistant", "a")], k
     assert [(t.role, t.text) for t in got["nulls"]] == [("user", "q"), ("assistant", None)]
-    assert all(got[k] is None for k in ("nested", "less", "empty", "parts", "list"))
+    assert all(got[k] is None for k in ("nested", "less", "parts", "list")) and got["empty"] == []
 
 
 def test_tables_of_other_layouts(spark):
@@ -518,3 +518,37 @@ def test_more_languages_than_bits_of_a_word():
     assert best.tolist() == list(range(130)) and (score > 0).all()
     few = language.Model.of([(f"l{i:03}", codes(x)) for i, x in enumerate(said[:64])])
     assert few.predict(pa.array(said[:64]))[0].tolist() == list(range(64))
+
+
+# ---- rows that the layouts and joins met badly ---------------------------------------------
+
+
+def test_empty_lists_and_missing_fields_of_messages(spark):
+    texts = ['{"messages": []}', '{"messages": [{"role": "user"}]}', '{"messages": [{"content": "x"}, {"role": "assistant", "content": null}]}', '{"conversations": []}', '{"messages": [{"x": 1}]}', '{"messages": 3}', "no json", None, '{"system": "s", "dialog": []}', '{"prompt": "p", "response": "r", "messages": []}']
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "record string").select(chat.record_turns("record").alias("t")).collect()]
+    plain = [None if t is None else [tuple(x) for x in t] for t in got]
+    assert plain == [[], [("user", None)], [(None, "x"), ("assistant", None)], [], None, None, None, None, [("system", "s")], [("user", "p"), ("assistant", "r")]]
+
+
+def test_names_of_other_case(spark):
+    df = spark.createDataFrame([(1, 0, "Human", "a"), (1, 1, "GPT", "b")], "Conv_Id long, TURN long, `From` string, VALUE string")
+    assert chat.table_layout(df.schema).name == "from_value_rows"
+    assert [tuple(t) for t in chat.conversations(df).first().turns] == [("user", "a"), ("assistant", "b")]
+
+
+def test_items_without_an_id(spark):
+    said = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, said), (2, "none of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, said), (7, said), (None, "other words"), (None, None)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (13, ["7", None], True), 2: (0, [], False)}
+
+
+def test_columns_of_a_sharded_table(spark):
+    df = spark.createDataFrame([(i, "x", "y", "z", "u") for i in range(50)], "k long, __jump string, __block string, shard string, slot string")
+    got = sharding.place(df, "k", 5)
+    assert got.columns == ["k", "__jump", "__block", "shard", "slot", "grown_shard"] and {r["__jump"] for r in got.collect()} == {"x"}
+    out = sharding.number_slots(scratch.written(got.withColumn("tie", F.lit(0)), "t"), "shard", "k", "tie")
+    assert {r["__block"] for r in out.collect()} == {"y"}
+    slots = sorted((r.shard, r.slot) for r in out.collect())
+    assert all(b == 0 or (a, b - 1) in slots for a, b in slots)

@@ -143,17 +143,55 @@ def test_pipeline_stages_by_brute_force(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:4]:
         made.append(scratch.written(stage(spark, made[-1], sf_dir), "test"))
     raw, good, single, cut, clean = (rows(x) for x in made)
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scores = {r.doc_id: r.score for r in quality.add_score(docs, model).select("doc_id", "score").collect()}
-    assert good == {d: t for d, t in raw.items() if scores[d] >= quality.THRESHOLD}
+    # stage 1 against its labels: clean text stays, junk goes, and equal texts share their fate
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    judged = {q: [d in good for d in raw if labels.get(d) == q] for q in (0, 1)}
+    assert np.mean(judged[1]) >= 0.97 and (not judged[0] or np.mean(judged[0]) <= 0.35)
+    assert all(good[d] == raw[d] for d in good)
+    fate = defaultdict(set)
+    for d, t in raw.items():
+        fate[t].add(d in good)
+    assert all(len(x) == 1 for x in fate.values())
     ids = sorted(good)
     least = brute_components([good[i] for i in ids], 5, 80)
     assert set(single) == {ids[i] for i, c in enumerate(least) if i == c} and all(single[i] == good[i] for i in single)
     ids = sorted(single)
     kept = brute_removed([single[i] for i in ids])
     assert cut == {i: k.decode("utf-8", "ignore") for i, k in zip(ids, kept)}
-    flagged = decontaminate.contamination(made[3], spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").collect()
-    assert set(cut) - set(clean) == {r.doc_id for r in flagged}
+    # stage 4 by plain windows of words
+    items = [brute_words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + 13]) for w in items if w for i in range(max(1, len(w) - 12))}
+    widths = {len(w) for w in windows}
+    for d, t in cut.items():
+        w, hit = brute_words(t), set()
+        for n in widths:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit.update(range(i, i + n))
+        assert (d in clean) == (not hit or 20 * len(hit) < len(w)), d
+    assert all(clean[d] == cut[d] for d in clean)
+    # stage 5: every id of every text once, in order, in sequences without gaps
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.public_vocabulary()["json_path"])
+    pieces = corpus_pipeline.packed(spark, made[4], sf_dir).collect()
+    ends, filled = defaultdict(int), defaultdict(int)
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+        ids = [*tok.encode(clean[r.doc_id] or "", add_special_tokens=False).ids, 1]
+        assert r.start == ends[r.doc_id] and r.doc_tokens == len(ids)
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids[r.start : r.start + r.length]
+        ends[r.doc_id] += r.length
+    assert set(ends) == set(clean) and all(ends[r.doc_id] == r.doc_tokens for r in pieces)
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled[r.sequence_id]
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 2048 and sum(n < 2048 for n in filled.values()) <= 1
+
+
+def brute_words(text):
+    import re
+
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
 def test_two_results_at_once(spark, sf_dir):

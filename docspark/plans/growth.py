@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import entities
-from docspark.operators import cells, merge, patterns, segments
+from docspark.operators import cells, counts, merge, patterns, segments
 from docspark.plans.retrieval import _BM25, QUERY, _t
 from docspark.plans.upkeep import _shared
 from docspark.sources.versions import Versions
-from docspark.streaming import keyed
+from docspark.streaming import joined, keyed
 
 THREE = "nicht zwischen policy"
 PATTERNS = ["nicht|avec", "th(e|at) [a-z]+tion", "qu(e|i)da+", "[0-9]{4}-[0-9]{2}", "license.*rights", "un.er the"]
@@ -104,7 +104,39 @@ def crawl_state_stream(spark: SparkSession, sf: str) -> DataFrame:
     return state.select(F.col("url").cast("long").alias("user_id"), "content_hash", text("first_seen"), text("last_seen"), text("last_changed"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_segments, bm25_three_words, regex_search, name_pairs, collapse_in_merge, dense_cells, crawl_state_stream)}
+def counts_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and distinct texts of each source, kept up over three deltas: all documents, French ones move to another source, long ones go."""
+    docs = _t(spark, sf, "documents").select("doc_id", "source", F.md5("text").alias("h"), "lang", F.length("text").alias("n_text"))
+    kept = counts.Kept(Versions(spark, f"{_shared(spark, 'counts')}/kb"), "counts", ["source", "h"])
+    none = docs.limit(0)
+    kept.apply(counts.images(none, docs, none.select("doc_id"), "doc_id"))
+    moved = docs.where("lang = 'fr'").withColumn("source", F.lit("french"))
+    kept.apply(counts.images(docs, moved, none.select("doc_id"), "doc_id"))
+    now = merge.replaced(docs, moved, "doc_id")
+    kept.apply(counts.images(now, none, now.where("n_text > 5000").select("doc_id"), "doc_id"))
+    return kept.counts(["source"]).select("source", "n", F.col("members").alias("texts"))
+
+
+def feedback_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as answers, errors and purchases as feedback on the event before, some of it twice: verdicts by kind, from two streams in two runs."""
+    at = _shared(spark, "joined")
+    events = _t(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    answers = events.select(F.col("event_id").cast("string").alias("request_id"), F.lit("q").alias("question"), F.col("event_type").alias("confidence"), F.col("ts").alias("at"))
+    given = events.where("event_type in ('error', 'purchase')").select((F.col("event_id") - 1).cast("string").alias("request_id"), F.when(F.col("event_type") == "error", "DOWN").otherwise("up").alias("verdict"), F.col("ts").alias("at"))
+    later = F.col("at") >= F.lit("2024-01-16").cast("timestamp")
+    # the last rows move both watermarks on, so that all answers without feedback come out
+    end = lambda schema, row: spark.createDataFrame([row], schema).withColumn("at", F.lit("2034-01-01").cast("timestamp"))
+    for part in (~later, later):
+        answers.where(part).write.mode("append").parquet(f"{at}/answers")
+        given.where(part).unionByName(given.where(part & (F.col("verdict") == "up"))).write.mode("append").parquet(f"{at}/feedback")
+        joined.follow(spark, f"{at}/answers", f"{at}/feedback", f"{at}/log", f"{at}/checkpoint")
+    end("request_id string, question string, confidence string", ("end", "end", "end")).write.mode("append").parquet(f"{at}/answers")
+    end("request_id string, verdict string", ("end", "end")).write.mode("append").parquet(f"{at}/feedback")
+    joined.follow(spark, f"{at}/answers", f"{at}/feedback", f"{at}/log", f"{at}/checkpoint")
+    return joined.verdicts(spark.read.parquet(f"{at}/log").where("question <> 'end'"))
+
+
+QUERIES = {f.__name__: f for f in (bm25_segments, bm25_three_words, regex_search, name_pairs, collapse_in_merge, dense_cells, crawl_state_stream, counts_kept, feedback_join)}
 _LEX = "SELECT id AS doc_id, round(bm25_score, 6) AS bm25_score, lexical_score, rank FROM lex"
 SQL = {
     "bm25_segments": """WITH live AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' under that under' ELSE text END AS text FROM documents WHERE source IS NULL OR source NOT IN ('src1', 'src3')),"""
@@ -133,4 +165,8 @@ ok AS (SELECT *, lag(h) OVER (PARTITION BY user_id ORDER BY n) AS before FROM al
 last AS (SELECT user_id, arg_max(h, n) AS content_hash, min(ts) AS first_seen, max(ts) FILTER (before IS NULL OR before <> h) AS last_changed FROM ok GROUP BY user_id)
 SELECT user_id, content_hash, strftime(first_seen, '%Y-%m-%d %H:%M:%S.%f') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen, strftime(last_changed, '%Y-%m-%d %H:%M:%S.%f') AS last_changed
 FROM alive JOIN last USING (user_id) GROUP BY ALL""",
+    "counts_kept": """SELECT CASE WHEN lang = 'fr' THEN 'french' ELSE source END AS source, count(*) AS n, count(DISTINCT md5(text)) + CASE WHEN count(*) > count(text) THEN 1 ELSE 0 END AS texts
+FROM documents WHERE length(text) IS NULL OR length(text) <= 5000 GROUP BY 1""",
+    "feedback_join": """WITH f AS (SELECT event_id - 1 AS request, ts AS came, CASE WHEN event_type = 'error' THEN 'down' ELSE 'up' END AS verdict FROM events WHERE event_type IN ('error', 'purchase'))
+SELECT event_type AS confidence, coalesce(verdict, 'none') AS verdict, count(*) AS n FROM events e LEFT JOIN f ON request = event_id AND came >= ts AND came <= ts + INTERVAL 1 HOUR GROUP BY ALL""",
 }

@@ -67,9 +67,8 @@ def versions_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def run_history(spark: SparkSession, sf: str) -> DataFrame:
     """A run for each day of events, and the latest of them."""
     root = _shared(spark, "runs")
-    days = _t(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy("day").collect()  # a row a day
-    for r in days:
-        runs.record(spark, root, started_at=r.day, status="ok", added=r.n)
+    days = _t(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("started_at")).agg(F.count(F.lit(1)).alias("added"))
+    runs.record_all(days.withColumn("status", F.lit("ok")), root)
     return runs.history(spark, root).select(F.col("started_at").alias("day"), "added")
 
 
@@ -256,15 +255,12 @@ def filtered_bm25(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of each language's first documents with the lines that name them, as many as fit the budget."""
-    docs = corpus(spark, sf)
+    """Blocks of twelve documents at a time, an answer's sources, with the lines that name them, as many as fit the budget."""
+    docs = corpus(spark, sf).withColumns({"answer": F.floor(F.col("id") / 12), "n": F.col("id") % 12 + 1})
     fields = {"title": F.col("title"), "category": F.when(F.col("id") % 2 == 0, F.col("language")), "source_name": F.col("source"), "url": F.col("url")}
-    from pyspark.sql import Window as W
-
-    first = docs.withColumn("n", F.row_number().over(W.partitionBy("language").orderBy("id"))).where("n <= 12")  # of an answer's few sources
-    blocks = first.withColumn("block", F.concat(grounding.source_header(fields, F.col("n")), F.lit("\n"), F.col("text")))
-    got = grounding.context_pack(blocks, ["language"], "n", "block")
-    return got.select("language", F.col("id").alias("doc_id"), F.md5("block").alias("block"))
+    blocks = docs.withColumn("block", F.concat(grounding.source_header(fields, F.col("n")), F.lit("\n"), F.col("text")))
+    got = grounding.context_pack(blocks, ["answer"], "n", "block")
+    return got.select("answer", F.col("id").alias("doc_id"), F.md5("block").alias("block"))
 
 
 def _drafts(spark: SparkSession, sf: str) -> DataFrame:
@@ -350,7 +346,11 @@ def store_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def length_modes(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(LENGTH_BUDGETS.items()), "mode string, tokens long")
+    """For each length of an answer, how many documents fit its budget whole, and the tokens that the others have beyond it."""
+    tokens = _docs(spark, sf).select(X.approx_token_count(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
+    modes = F.create_map(*[F.lit(x) for kv in LENGTH_BUDGETS.items() for x in kv])
+    each = tokens.select("tokens", F.explode(modes).alias("mode", "budget"))
+    return each.groupBy("mode").agg(F.count_if(F.col("tokens") <= F.col("budget")).alias("whole"), F.sum(F.greatest(F.lit(0).cast("long"), F.col("tokens") - F.col("budget"))).alias("beyond"))
 
 
 QUERIES = {
@@ -410,10 +410,10 @@ SELECT doc_id, text IN (SELECT text FROM known) AS cached, CASE WHEN text IN (SE
     "metadata_filters": """SELECT 'source' AS filter, count(*) FILTER (lower(source) = 'src1') AS n FROM documents UNION ALL SELECT 'category', count(*) FILTER (contains('about ' || lang, 'en')) FROM documents
 UNION ALL SELECT 'year', count(*) FILTER (doc_id % 4 = 1) FROM documents UNION ALL SELECT 'none', count(*) FROM documents""",
     "filtered_bm25": "WITH " + _BM25.format(k=10).replace("SELECT * FROM scored ORDER", "SELECT scored.* FROM scored JOIN documents ON id = doc_id AND lang = 'es' ORDER") + " SELECT id AS doc_id, round(bm25_score, 6) AS bm25_score, rank FROM lex",
-    "context_blocks": f"""WITH f AS (SELECT lang AS language, doc_id, source, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents),
-b AS (SELECT language, doc_id, n, concat_ws(' | ', '[Source ' || n || '] ' || coalesce({_TITLE}, 'Untitled'), 'category: ' || CASE WHEN doc_id % 2 = 0 THEN language ELSE '—' END, 'source: ' || source, 'url: ' || 'https://' || source || '.example.org/' || language || '/doc-' || doc_id) || chr(10) || text AS block FROM f WHERE n <= 12),
-w AS (SELECT *, coalesce(sum(length(block)) OVER (PARTITION BY language ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
-SELECT language, doc_id, md5(CASE WHEN length(block) > 12000 THEN substr(block, 1, 12000) || '…' ELSE block END) AS block FROM w WHERE n = 1 OR (before < 12000 AND before + length(block) <= 12000)""",
+    "context_blocks": f"""WITH f AS (SELECT lang AS language, doc_id, source, text, doc_id // 12 AS answer, doc_id % 12 + 1 AS n FROM documents),
+b AS (SELECT answer, doc_id, n, concat_ws(' | ', '[Source ' || n || '] ' || coalesce({_TITLE}, 'Untitled'), 'category: ' || CASE WHEN doc_id % 2 = 0 THEN language ELSE '—' END, 'source: ' || source, 'url: ' || 'https://' || source || '.example.org/' || language || '/doc-' || doc_id) || chr(10) || text AS block FROM f),
+w AS (SELECT *, coalesce(sum(length(block)) OVER (PARTITION BY answer ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY answer ORDER BY n) AS k FROM b)
+SELECT answer, doc_id, md5(CASE WHEN length(block) > 12000 THEN substr(block, 1, 12000) || '…' ELSE block END) AS block FROM w WHERE k = 1 OR (before < 12000 AND before + length(block) <= 12000)""",
     "answer_sections": rf"""WITH d AS (SELECT doc_id, {_LEAD} AS lead FROM documents)
 SELECT doc_id, true AS answer, '- a' AS sources, CASE WHEN doc_id % 2 = 0 THEN 'b' ELSE '' END AS references, 'one [source 1];two;three [ 2 ];four' AS points,
 md5({_TRIM.format("lead || '.' || chr(10) || '## Key Points' || chr(10) || '- one ' || chr(10) || chr(10) || '* two' || chr(10) || '3) three ' || chr(10) || 'no point' || chr(10) || '1. four' || chr(10) || '• five' || chr(10) || '**Sources:**' || chr(10) || '- a' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'References' || chr(10) || 'b' ELSE '' END")}) AS plain FROM d""",
@@ -434,5 +434,6 @@ SELECT id AS doc_id, position FROM k WHERE keep = (SELECT max(keep) FROM k)""",
     "store_updates": f"""WITH {_CHUNKS.strip().replace("FROM documents)", f"FROM documents WHERE {_TRIM.format('text')} <> '' AND doc_id % 50 <> 7)", 1)}
 {_SCORED}, k AS (SELECT count(DISTINCT chunk_hash) AS n FROM q WHERE quality >= 0.5)
 SELECT 'documents' AS table, count(*) AS n FROM documents WHERE {_TRIM.format('text')} <> '' AND doc_id % 50 <> 7 UNION ALL SELECT 'chunks', n FROM k UNION ALL SELECT 'vectors', n FROM k""",
-    "length_modes": "SELECT * FROM (VALUES ('short', 600::BIGINT), ('normal', 1300), ('detailed', 2600)) v(mode, tokens)",
+    "length_modes": """WITH t AS (SELECT CAST(floor(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) * 1.33::DOUBLE) AS BIGINT) AS tokens FROM documents)
+SELECT mode, count(*) FILTER (tokens <= budget) AS whole, CAST(sum(greatest(0, tokens - budget)) AS BIGINT) AS beyond FROM t, (VALUES ('short', 600), ('normal', 1300), ('detailed', 2600)) m(mode, budget) GROUP BY mode""",
 }

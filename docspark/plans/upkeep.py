@@ -131,12 +131,11 @@ def orphan_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def version_retention(spark: SparkSession, sf: str) -> DataFrame:
-    """Which of a list of versions (here: days with events, 31 at most) stay: the newest five and the active one."""
-    from docspark.sources.versions import retained
+    """Which of a table of versions (here: the days and hours with events) stay: the newest five and the active one."""
+    from docspark.sources.versions import retention
 
-    days = [r.version for r in _t(spark, sf, "events").select(F.date_format("ts", "yyyyMMdd").alias("version")).distinct().collect()]
-    stay, gone = retained(days, "20240103", 5)
-    return spark.createDataFrame([(v, True) for v in stay] + [(v, False) for v in gone], "version string, kept boolean")
+    versions = _t(spark, sf, "events").select(F.date_format("ts", "yyyyMMdd'T'HH").alias("version")).distinct()
+    return retention(versions, "20240103T07", 5)
 
 
 # ---- streams -----------------------------------------------------------------------------
@@ -254,7 +253,7 @@ SELECT * FROM (VALUES
  ('warning', 'duplicate_texts', (SELECT count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1))), ('error', 'duplicate_ids', 0),
  ('error', 'orphan_chunks', (SELECT count(*) FROM documents WHERE doc_id % 60 = 0))) v(severity, "check", n)""",
     "orphan_chunks": "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, doc_id + 1000000 AS document_id FROM documents WHERE doc_id % 60 = 0",
-    "version_retention": "SELECT version, row_number() OVER (ORDER BY version DESC) <= 5 OR version = '20240103' AS kept FROM (SELECT DISTINCT strftime(ts, '%Y%m%d') AS version FROM events)",
+    "version_retention": "SELECT version, row_number() OVER (ORDER BY version DESC) <= 5 OR version = '20240103T07' AS kept FROM (SELECT DISTINCT strftime(ts, '%Y%m%dT%H') AS version FROM events)",
     "window_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
     "window_sliding": """SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS s FROM events) GROUP BY 1""",
     "window_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.sources.versions import Versions
 
@@ -29,6 +30,16 @@ def record(spark: SparkSession, root: str, **fields: Any) -> str:
     return run_id
 
 
+def record_all(rows: DataFrame, root: str) -> None:
+    """Append a table of runs to the log; columns of RUN that ``rows`` hasn't are null, and a run without an id gets one of its other fields."""
+    kinds = T.StructType.fromDDL(RUN)
+    unknown = set(rows.columns) - set(kinds.names)
+    if unknown:
+        raise ValueError(f"unknown fields of a run: {sorted(unknown)}")
+    own = rows if "run_id" in rows.columns else rows.withColumn("run_id", F.substring(F.sha2(F.to_json(F.struct(*rows.columns)), 256), 1, 12))
+    own.select(*[(F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields]).write.mode("append").parquet(f"{root.rstrip('/')}/runs")
+
+
 def history(spark: SparkSession, root: str, most: int = 12) -> DataFrame:
     """The latest runs, the newest first."""
     return spark.read.schema(RUN).parquet(f"{root.rstrip('/')}/runs").orderBy(F.desc("started_at"), "run_id").limit(most)

@@ -26,6 +26,13 @@ def retained(versions: list[str], current: str | None, keep: int = DEFAULT.snaps
     return stay, [v for v in newest if v not in stay]
 
 
+def retention(versions: DataFrame, current: str | None, keep: int = DEFAULT.snapshots_kept) -> DataFrame:
+    """``version, kept``: the same for a table of versions (``version``), of which only the newest ``keep`` are sorted out."""
+    newest = versions.select("version").orderBy(F.desc("version")).limit(keep).select("version", F.lit(True).alias("newest"))
+    stays = F.coalesce("newest", F.lit(False)) | F.col("version").eqNullSafe(F.lit(current))
+    return versions.select("version").join(F.broadcast(newest), "version", "left").select("version", stays.alias("kept"))
+
+
 class Versions:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

@@ -18,6 +18,15 @@ contributions""".split()
 # Capitalised words of a question that are no names.
 NO_NAMES = "what which who where when why how does is are was were has have india indian".split()
 
+# Topics that pages state where an author should be.
+TOPICS = (
+    "ai", "artificial intelligence", "geopolitics", "governance", "technology", "policy", "public policy", "economy", "economics", "security", "defence", "defense", "strategy", "science", "health", "education", "climate", "energy",
+    "trade", "data", "digital", "cyber", "cybersecurity", "china", "india", "indo-pacific", "staff", "admin", "blog", "blogs", "article", "articles", "publication", "publications", "newsletter", "newsletters", "report", "reports",
+    "commentary", "research", "opinion", "analysis", "home", "uncategorized", "issue brief", "discussion document", "high-tech geopolitics", "podcast", "video", "event", "course", "news", "media", "all content", "advanced technology",
+)
+# Parts of the names of organisations.
+ORGANISATIONS = ("institution", "institute", "foundation", " org", "team", "editor", "editorial", "admin", "staff", "programme", "program")
+
 
 def person_names(query: str, no_names: tuple[str, ...] = ()) -> list[str]:
     """Candidate names in a query: runs of two or more capitalised words, and single long ones that aren't stop words.
@@ -100,8 +109,17 @@ def author_from_text(text: Column) -> Column:
 
 
 def plausible_person(name: Column, not_names: Column | None = None) -> Column:
-    """Whether a name can be a person's: 2 to 40 characters with a letter, five words at most; one word must be capitalised and alphabetic."""
+    """Whether a name can be a person's: 2 to 40 characters with a letter, five words at most, no topic and no organisation.
+
+    One word must be capitalised and alphabetic; of several one must begin with a capital.
+    ``not_names`` are further names, in lower case, that are none.
+    """
     n = strip(name)
+    low = F.lower(n)
     words = F.size(F.split(n, r"\s+"))
-    ok = F.length(n).between(2, 40) & n.rlike(r"\p{L}") & (words <= 5) & ((words > 1) | n.rlike(r"^\p{Lu}\p{L}*$"))
-    return ok & ~F.array_contains(not_names, F.lower(n)) if not_names is not None else ok
+    ok = F.length(n).between(2, 40) & n.rlike(r"\p{L}") & (words <= 5)
+    ok &= F.when(words > 1, n.rlike(r"(?:^|\s)\p{Lu}")).otherwise(n.rlike(r"^\p{Lu}\p{L}*$"))
+    ok &= ~low.isin(*TOPICS)
+    for hint in ORGANISATIONS:
+        ok &= ~low.contains(hint)
+    return ok & ~F.array_contains(not_names, low) if not_names is not None else ok

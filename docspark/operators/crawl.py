@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from docspark.functions.urls import canonical, should_follow, should_keep
 from docspark.settings import DEFAULT, Settings
 from docspark.sources import html
+from docspark.sources.shared import durable
 
 #: Outcomes that count as seen: a page that failed or was forbidden may still exist.
 SEEN = ("ok", "not_modified", "error", "robots")
@@ -62,23 +64,22 @@ def fetch_plan(state: DataFrame, urls: DataFrame) -> DataFrame:
     return urls.join(state.select("url", "etag", "last_modified"), "url", "left").select("url", F.create_map(F.lit("If-None-Match"), F.col("etag"), F.lit("If-Modified-Since"), F.col("last_modified")).alias("headers")).withColumn("headers", F.map_filter("headers", lambda k, v: v.isNotNull()))
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+def frontier(edges: DataFrame | Callable[[DataFrame], DataFrame], seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
     """``url, depth`` of pages within ``depth`` links of the seeds, each at its least depth; ``most`` caps a crawl.
 
-    Each level is one join with the edges and one anti-join with what is known; levels are
-    written out by checkpoints, so the plan doesn't grow with the depth.
+    ``edges``: ``src, dst``, or a function that gives those of a level's pages (``url``), so
+    that only pages that are reached are looked into. Each level is one join with the edges
+    and one anti-join with what is known, and a written table, so the plan doesn't grow with
+    the depth.
     """
-    spark = edges.sparkSession
-    durable = spark.conf.get("spark.checkpoint.dir", None) is not None
-    keep = (lambda df: df.checkpoint()) if durable else (lambda df: df.cache())
-    known = keep(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    level = known
+    of = edges if callable(edges) else lambda level: level.select(F.col("url").alias("src")).join(edges, "src")
+    known = level = durable(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "level")
     for d in range(1, depth + 1):
-        level = level.select(F.col("url").alias("src")).join(edges, "src").select(F.col("dst").alias("url")).distinct().join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
-        level = keep(level)
+        found = of(level.select("url")).select(F.col("dst").alias("url")).distinct().join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
+        level = durable(found, "level")
         if level.isEmpty():
             break
-        known = keep(known.unionByName(level))
+        known = known.unionByName(level)
     return known.orderBy("depth", "url").limit(most) if most is not None else known
 
 
@@ -120,7 +121,10 @@ def run(fetches: DataFrame, state: DataFrame, seeds: DataFrame, hosts: list[str]
     """
     at = fetches.withColumn("url", canonical(F.col("url"))).dropDuplicates(["url"])
     pages = at.where("status = 'ok'")
-    edges = html.links(pages).where(should_follow(F.col("dst"), hosts, list(exclude)))
+
+    def edges(level: DataFrame) -> DataFrame:  # links of the level's pages alone
+        return html.links(pages.join(level, "url", "left_semi")).where(should_follow(F.col("dst"), hosts, list(exclude)))
+
     starts = seeds.select(canonical(F.col("url")).alias("url")).distinct()
     reached = frontier(edges, starts, settings.crawl_max_depth, settings.crawl_max_pages)
     capped = reached.count() >= settings.crawl_max_pages

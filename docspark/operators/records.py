@@ -101,19 +101,43 @@ def source_display(source: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(source)), F.initcap(F.replace(source, F.lit("_"), F.lit(" "))))
 
 
-def derived(docs: DataFrame) -> DataFrame:
+def not_people(docs: DataFrame) -> DataFrame:
+    """One row, ``names``: the authors of some documents, in lower case, that are a category, tag or kind of any of them.
+
+    Authors and terms meet in a join of distinct values, so only what both have comes together.
+    """
+    rows = _derived(docs, None)
+    low = lambda c: F.lower(X.strip(c)).alias("term")
+    parts = [rows.select(low(F.explode("doc_tags"))), rows.select(low(F.col("doc_kind")))]
+    parts += [rows.select(low(F.col(c))) for c in ("category", "section") if c in docs.columns]
+    terms = parts[0]
+    for p in parts[1:]:
+        terms = terms.unionByName(p)
+    authors = rows.select(F.lower(F.explode("doc_authors")).alias("term")).distinct()
+    return authors.join(terms.distinct(), "term", "left_semi").agg(F.collect_set("term").alias("names"))
+
+
+def derived(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Columns for analytics: ``doc_source, source_display, doc_year, doc_tags, doc_authors`` and ``doc_kind`` of ``docs``.
 
     Authors are the plausible ones of the list, else the single author; of names that differ
-    in case alone the first stays.
+    in case alone the first stays. With ``terms`` (the row of ``not_people``) names that are
+    topics of the corpus are no authors.
     """
+    if terms is None:
+        return _derived(docs, None)
+    own = terms.select(F.col("names").alias("__no_names"))
+    return _derived(docs.crossJoin(F.broadcast(own)), F.col("__no_names")).drop("__no_names")  # one row
+
+
+def _derived(docs: DataFrame, no_names: Column | None) -> DataFrame:
     have = set(docs.columns)
     col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     some = lambda c: F.filter(F.transform(c, X.strip), lambda x: x != "")
     tags = some(F.coalesce(F.col("tags"), F.array())) if "tags" in have else F.array().cast("array<string>")
     single = some(F.array(F.coalesce(col("author"), F.lit(""))))
     names = F.when(F.size(some(F.coalesce(F.col("authors"), F.array()))) > 0, some(F.col("authors"))).otherwise(single) if "authors" in have else single
-    people = F.filter(names, lambda x: plausible_person(x))
+    people = F.filter(names, lambda x: plausible_person(x, no_names))
     lows = F.transform(people, F.lower)
     people = F.filter(people, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
     of = source_of(col("source"), col("source_type"))

@@ -209,6 +209,22 @@ _NOISE = "[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{80}-\\x{9F}\\x{0250}-
 _TITLE = "substr(split_part(text, chr(10), 1), 1, 80)"
 _HEADER = f"concat_ws(chr(10), CASE WHEN {_TRIM.format(_TITLE)} <> '' AND lower({_TRIM.format(_TITLE)}) <> 'untitled' THEN 'Title: ' || {_TRIM.format(_TITLE)} END, CASE WHEN doc_id % 3 = 0 THEN 'Category: ' || lang END, 'Source: ' || source)"
 
+# Pages by patterns: block tags are line breaks, other tags nothing; text stands in the article or, if that says little, anywhere outside the page's frame.
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '</?(?:p|div|h1|br|ul|li|article)(?: [^>]*)?>', chr(10), 'g'), '<!--.*?-->|<[^>]*>', '', 'gs'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g')"
+_ENTITIES = r"regexp_replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&middot;', '·'), '&amp;?', '&', 'g')"
+_PLAIN = r"trim(regexp_replace({0}, '\n{{3,}}', chr(10) || chr(10), 'g'), E' \n\t\r')"
+
+
+def _plain(html: str) -> str:
+    return _PLAIN.format(_ENTITIES.format(_BARE.format(html)))
+
+
+_HTML_EXTRACT = rf"""WITH p AS (SELECT page_id, html, regexp_extract(html, '<article>(.*?)(?:</article>|$)', 1, 's') AS body,
+  regexp_replace(html, '<(nav|footer|title|style|script)>.*?</(nav|footer|title|style|script)>', '', 'gs') AS rest FROM pages),
+t AS (SELECT *, {_plain("body")} AS inside, {_plain("rest")} AS everything FROM p)
+SELECT page_id, {_plain("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+  CAST(len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS BIGINT) AS links, CAST(length(CASE WHEN length(inside) >= 40 THEN inside ELSE everything END) AS BIGINT) AS chars FROM t"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -262,6 +278,7 @@ CASE WHEN pdf OR regexp_matches(u, '/pdf') THEN 'PDF' WHEN regexp_matches(u, '/b
     "sentence_split": """SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '([.!?])\\s+', E'\\\\1\\n', 'g'), '\\n+'), lambda s: trim(s, E' \\t\\n\\r') <> '')) AS BIGINT) AS sentences FROM documents""",
     "line_dedupe": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 p AS (SELECT doc_id, line, pos, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l) SELECT doc_id, count(*) AS lines FROM p WHERE line IS DISTINCT FROM before GROUP BY doc_id""",
+    "html_extract": _HTML_EXTRACT,
     "html_title": f"""SELECT page_id, coalesce(nullif(replace({_TRIM.format("regexp_extract(html, '<h1>([^<]*)', 1)")}, '&amp;', '&'), ''), nullif(replace({_TRIM.format("regexp_extract(html, '<title>([^<]*)', 1)")}, '&amp;', '&'), ''), url) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""",
     "by_source": "SELECT source, count(*) AS n FROM documents GROUP BY source",
     "composition": "SELECT source, lang, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from docspark.functions import entities
 from docspark.operators import cells, counts, merge, patterns, segments
 from docspark.plans.retrieval import _BM25, QUERY, _t
-from docspark.plans.upkeep import _shared
+from docspark.sources.shared import durable
+from docspark.sources.shared import folder as _shared
 from docspark.sources.versions import Versions
 from docspark.streaming import joined, keyed
 
@@ -74,8 +75,9 @@ def collapse_in_merge(spark: SparkSession, sf: str) -> DataFrame:
     now = docs.limit(0)
     for delta in (docs, longer.unionByName(late)):
         fresh = merge.effective(now, delta, "doc_id", "updated_at")
-        merged = merge.replaced(now, fresh, "doc_id")
-        now = merged.join(merge.collapse_touched(merged, fresh, "doc_id", merge.identity(F.col("url"), F.col("doc_id")), rich), "doc_id", "left_anti")
+        fresh = durable(fresh, "fresh")
+        merged = durable(merge.replaced(now, fresh, "doc_id"), "merged")
+        now = durable(merged.join(merge.collapse_touched(merged, fresh, "doc_id", merge.identity(F.col("url"), F.col("doc_id")), rich), "doc_id", "left_anti"), "now")
     return now.select("doc_id", F.md5("text").alias("h"), "updated_at")
 
 

@@ -14,9 +14,9 @@ from docspark.operators import analytics, chunking, crawl, dense, grounding, lex
 from docspark.plans.corpus import _CHUNKS, _CLEAN, _HOST, _SCORED, _TRIM
 from docspark.plans.retrieval import _BM25, _HITS, QUERY, _hits, _t, corpus
 from docspark.plans.retrieval import SQL as RETRIEVAL_SQL
-from docspark.plans.upkeep import _shared
 from docspark.settings import DEFAULT, LENGTH_BUDGETS
 from docspark.sources import html, jsonl, runs
+from docspark.sources.shared import folder as _shared
 from docspark.sources.versions import Versions
 
 
@@ -149,12 +149,12 @@ def weak_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def derived_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """Analytics columns of documents with authors, tags and dates made from their fields."""
+    """Analytics columns of documents with authors, tags and dates made from their fields; a language, which is a tag too, is no author."""
     docs = _docs(spark, sf).select(
         "doc_id", F.when(F.col("doc_id") % 4 > 0, F.initcap("source")).alias("source"), F.lit("PDF").alias("source_type"), F.array(F.lit(" a "), F.lit(""), F.col("lang")).alias("tags"),
-        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("Jane Doe"), F.lit("jane doe"), F.lit("3"))).alias("authors"), F.lit("Ann Lee").alias("author"), F.concat(F.lit(" "), 2000 + F.col("doc_id") % 25, F.lit("-01-02")).alias("date"), F.lit("https://x.org/a").alias("url"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("Jane Doe"), F.lit("jane doe"), F.lit("3"), F.initcap("lang"))).alias("authors"), F.lit("Ann Lee").alias("author"), F.concat(F.lit(" "), 2000 + F.col("doc_id") % 25, F.lit("-01-02")).alias("date"), F.lit("https://x.org/a").alias("url"),
     )
-    got = records.derived(docs)
+    got = records.derived(docs, records.not_people(docs))
     return got.select("doc_id", "doc_source", "source_display", "doc_year", F.array_join("doc_tags", ",").alias("tags"), F.array_join("doc_authors", ",").alias("authors"), "doc_kind")
 
 
@@ -382,7 +382,8 @@ CASE doc_id % 3 WHEN 0 THEN 'HTTPS://x.org/a' ELSE '#' END AS href FROM document
     "truncated": f"""SELECT doc_id, md5(CASE WHEN length(text) <= 300 THEN text ELSE regexp_replace(substr(text, 1, 300), ' [^ ]*$', '') || '…' END) AS short,
 md5({_SNIP.format(_TRIM.format("coalesce(text, '')"), 280)}) AS snippet FROM documents""",
     "plausible_names": f"""WITH n AS (SELECT doc_id, {_TRIM.format("array_to_string(string_split(text, ' ')[1:2], ' ')")} AS n FROM documents)
-SELECT doc_id, coalesce(length(n) BETWEEN 2 AND 40 AND regexp_matches(n, '\\p{{L}}') AND len(regexp_split_to_array(n, '\\s+')) <= 5 AND (len(regexp_split_to_array(n, '\\s+')) > 1 OR regexp_matches(n, '^\\p{{Lu}}\\p{{L}}*$')), false) AS plausible FROM n""",
+SELECT doc_id, coalesce(length(n) BETWEEN 2 AND 40 AND regexp_matches(n, '\\p{{L}}') AND len(regexp_split_to_array(n, '\\s+')) <= 5 AND CASE WHEN len(regexp_split_to_array(n, '\\s+')) > 1 THEN regexp_matches(n, '(?:^|\\s)\\p{{Lu}}') ELSE regexp_matches(n, '^\\p{{Lu}}\\p{{L}}*$') END
+AND lower(n) NOT IN {entities.TOPICS} AND NOT regexp_matches(lower(n), '{"|".join(entities.ORGANISATIONS)}'), false) AS plausible FROM n""",
     "author_match": "SELECT n_nationkey, n_name IN ('KENYA', 'BRAZIL', 'PERU') AS matches FROM nation",
     "dates_in_text": """SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN '' WHEN o_orderkey % 6 = 4 THEN strftime(o_orderdate, '%Y-%m-01') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS found FROM orders""",
     "weekly_runs": """WITH w AS (SELECT event_id, ts, date_trunc('week', ts) + INTERVAL 18 HOUR AS r FROM events) SELECT event_id, strftime(CASE WHEN r > ts THEN r ELSE r + INTERVAL 7 DAY END, '%Y-%m-%d %H:%M') AS next FROM w""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,21 +9,10 @@ from docspark.functions import urls
 from docspark.operators import chunking, crawl, dense, merge, validate
 from docspark.plans.corpus import SQL as CORPUS_SQL
 from docspark.plans.retrieval import _t, corpus
+from docspark.sources.shared import folder as _shared
 from docspark.streaming import state
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder that executors see too; a local one only for a local session."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp()}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def collapse_by_url(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of one address: the richest stays, the first of equals."""
     none = F.lit(None).cast("string")

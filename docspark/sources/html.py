@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -12,7 +11,9 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docspark.functions import jsonld
 from docspark.functions import text as X
 from docspark.functions.dates import parse_date
 from docspark.functions.urls import canonical, content_hash, is_internal, url_hash
@@ -90,70 +91,70 @@ class _Page(HTMLParser):
                 return out
         return ""
 
-    def facts(self) -> dict[str, Any]:
-        """What the page's JSON-LD says; trailing commas are forgiven."""
-        found: dict[str, Any] = {}
-        queue: list[Any] = []
-        for raw in self.ld:
-            for attempt in (raw, re.sub(r",\s*([}\]])", r"\1", raw)):
-                try:
-                    queue.append(json.loads(attempt))
-                    break
-                except ValueError:
-                    continue
-        while queue:
-            x = queue.pop(0)
-            if isinstance(x, list):
-                queue.extend(x)
-            elif isinstance(x, dict):
-                queue.extend(x.get("@graph") or [])
-                if x.get("@type") == "BreadcrumbList":
-                    items = x.get("itemListElement") or []
-                    found.setdefault("breadcrumbs", [str(i.get("name") or (i.get("item") or {}).get("name") or "") if isinstance(i, dict) else "" for i in items])
-                for key in ("author", "datePublished", "dateModified", "keywords", "articleSection", "headline", "description"):
-                    if x.get(key):
-                        found.setdefault(key, x[key])
-        return found
-
-
-def _names(v: Any) -> list[str]:
-    if isinstance(v, str):
-        return [s.strip() for s in v.split(",") if s.strip()]
-    if isinstance(v, dict):
-        return _names(v.get("name") or "")
-    return [n for x in v or [] for n in _names(x)] if isinstance(v, list) else []
-
-
-def parse_page(html: str | None, url: str | None) -> dict[str, Any]:
+
+#: What the parser gives of a page; the rest is SQL.
+_RAW = "title string, h1 string, lang string, text string, canonical_url string, links array<string>, meta map<string,string>, ld array<string>, crumbs array<string>"
+
+
+def read_page(html: str | None, url: str | None) -> dict[str, Any]:
+    """The parts of a page as they stand in its markup: texts, links, meta tags and JSON-LD scripts."""
     page = _Page()
     try:
         page.feed(html or "")
         page.close()
     except Exception:  # the parser gives up on some broken markup; what was read so far counts
         pass
-    ld, m = page.facts(), page.meta
-    first = lambda *v: next((str(x).strip() for x in v if x and str(x).strip()), "")
     links = list(dict.fromkeys(urljoin(url or "", h).split("#")[0] for h in page.links if not h.lower().startswith(("mailto:", "tel:", "javascript:", "#"))))
-    section = ld.get("articleSection")
-    return {
-        "title": first(m.get("og:title"), page.h1, page.title, ld.get("headline"), url), "h1": page.h1.strip(), "lang": page.lang, "text": page.body(),
-        "author": first(", ".join(_names(ld.get("author"))), m.get("author"), m.get("article:author")), "date": first(ld.get("datePublished"), m.get("article:published_time"), m.get("date"))[:10],
-        "updated_date": first(ld.get("dateModified"), m.get("article:modified_time"))[:10], "section": first(", ".join(_names(section)), m.get("article:section")), "description": first(m.get("description"), m.get("og:description"), ld.get("description")),
-        "tags": list(dict.fromkeys([*_names(ld.get("keywords")), *_names(m.get("keywords")), *_names(m.get("article:tag"))]))[:20], "breadcrumbs": [b for b in dict.fromkeys(ld.get("breadcrumbs") or page.crumbs) if b][:8],
-        "canonical_url": page.canonical, "links": links, "pdf_urls": [u for u in links if u.lower().split("?")[0].endswith(".pdf")],
-    }
+    return {"title": page.title, "h1": page.h1.strip(), "lang": page.lang, "text": page.body(), "canonical_url": page.canonical, "links": links, "meta": page.meta, "ld": page.ld, "crumbs": page.crumbs}
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``pages`` with a struct ``page`` of what each holds."""
+    """``pages`` with a struct ``page`` of what each holds.
+
+    Python reads the markup; what meta tags and JSON-LD say is put together by SQL functions.
+    """
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf(PAGE)
+    names = [f.name for f in T.StructType.fromDDL(_RAW).fields]
+
+    @pandas_udf(_RAW)
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for urls, texts in batches:
-            yield pd.DataFrame([parse_page(h, u) for h, u in zip(texts, urls)], columns=[f.strip().split(" ")[0] for f in PAGE.split(", ")])
-
-    return pages.withColumn("page", read(F.col(url), F.col(html)))
+            yield pd.DataFrame([read_page(h, u) for h, u in zip(texts, urls)], columns=names)
+
+    raw, facts = scratch_names(pages, "__raw", "__ld")
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    first = lambda *cs: F.coalesce(*[some(c) for c in cs], F.lit(""))
+    r = lambda f: F.col(f"{raw}.{f}")
+    meta = lambda name: F.try_element_at(r("meta"), F.lit(name))
+    said = lambda name: jsonld.field(F.col(facts), name)
+    told = lambda name: jsonld.text(said(name))
+    listed = lambda name: F.array_join(jsonld.names(said(name)), ", ")
+    tags = F.concat(jsonld.names(said("keywords")), jsonld.split_names(meta("keywords")), jsonld.split_names(meta("article:tag")))
+    crumbs = jsonld.breadcrumbs(F.col(facts))
+    crumbs = F.when(F.size(crumbs) > 0, crumbs).otherwise(r("crumbs"))
+    day = lambda *cs: F.substring(first(*cs), 1, 10)
+    page = {
+        "title": first(meta("og:title"), r("h1"), r("title"), told("headline"), F.col(url)), "h1": r("h1"), "lang": r("lang"), "text": r("text"),
+        "author": first(listed("author"), meta("author"), meta("article:author")), "date": day(told("datePublished"), meta("article:published_time"), meta("date")),
+        "updated_date": day(told("dateModified"), meta("article:modified_time")), "section": first(listed("articleSection"), meta("article:section")), "description": first(meta("description"), meta("og:description"), told("description")),
+        "tags": F.slice(F.array_distinct(tags), 1, 20), "breadcrumbs": F.slice(F.filter(F.array_distinct(crumbs), lambda b: b != ""), 1, 8),
+        "canonical_url": r("canonical_url"), "links": r("links"), "pdf_urls": F.filter(r("links"), lambda u: F.lower(F.substring_index(u, "?", 1)).endswith(".pdf")),
+    }
+    parts = pages.withColumn(raw, read(F.col(url), F.col(html)))
+    parts = parts.withColumn(facts, jsonld.objects(r("ld")))
+    whole = F.struct(*[c.alias(name) for name, c in page.items()]).cast("struct<" + PAGE.replace(" ", ":").replace(",:", ",") + ">")
+    return parts.withColumn("page", whole).drop(raw, facts)
+
+
+def scratch_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, or longer ones where ``df`` has columns of them."""
+    out = []
+    for name in names:
+        while name.lower() in (c.lower() for c in df.columns):
+            name += "_"
+        out.append(name)
+    return out
 
 
 def documents(pages: DataFrame, source: str = "website", least: int = 200) -> DataFrame:

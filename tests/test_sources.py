@@ -1,7 +1,10 @@
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from docspark.functions import jsonld
 from docspark.sources import html, jsonl
 from docspark.sources.versions import Versions
 from docspark.streaming import state
@@ -24,12 +27,67 @@ PAGE = """<html lang="en"><head><title>Site</title><meta property="og:title" con
 <body><nav><a href="/home">Home</a></nav><article><h1>Heading</h1><p>First &amp; foremost, a paragraph of text that is long enough.</p><a href="/f.pdf?x=1">file</a><a href="mailto:a@b.c">m</a></article><footer>foot</footer></body></html>"""
 
 
-def test_page():
-    got = html.parse_page(PAGE, "https://x.org/p")
+def test_page(spark):
+    rows = [("https://x.org/p", PAGE), (None, None), ("u", "<p>unclosed")]
+    got, none, unclosed = [r.page for r in html.extract(spark.createDataFrame(rows, "url string, html string")).collect()]
     assert (got["title"], got["author"], got["date"], got["lang"]) == ("The Title", "Jane Smith", "2024-03-01", "en")
     assert got["tags"] == ["b", "c", "a"] and got["pdf_urls"] == ["https://x.org/f.pdf?x=1"]
     assert "First & foremost" in got["text"] and "foot" not in got["text"] and "Home" not in got["text"]
-    assert html.parse_page(None, None)["text"] == "" and html.parse_page("<p>unclosed", "u")["text"] == "unclosed"
+    assert none["text"] == "" and unclosed["text"] == "unclosed" and none["links"] == [] and none["breadcrumbs"] == []
+
+
+def plain_facts(scripts):
+    """What JSON-LD says, by a walk over Python's objects."""
+    found, queue = {}, []
+    for raw in scripts:
+        for attempt in (raw, re.sub(r",\s*([}\]])", r"\1", raw)):
+            try:
+                queue.append(json.loads(attempt))
+                break
+            except ValueError:
+                pass
+    while queue:
+        x = queue.pop(0)
+        if isinstance(x, list):
+            queue += x
+        elif isinstance(x, dict):
+            queue += x.get("@graph") if isinstance(x.get("@graph"), list) else []
+            if x.get("@type") == "BreadcrumbList":
+                items = x.get("itemListElement") or []
+                found.setdefault("breadcrumbs", [str(i.get("name") or (i.get("item") or {}).get("name") or "") if isinstance(i, dict) else "" for i in items])
+            for key in ("author", "datePublished", "keywords", "articleSection", "headline"):
+                if x.get(key):
+                    found.setdefault(key, x[key])
+    return found
+
+
+def plain_names(v):
+    if isinstance(v, str):
+        return [s.strip() for s in v.split(",") if s.strip()]
+    if isinstance(v, dict):
+        return plain_names(v.get("name") or "")
+    return [n for x in v for n in plain_names(x)] if isinstance(v, list) else []
+
+
+def test_json_ld_by_a_plain_walk(spark):
+    pages = [
+        ['{"author": "A B, C D", "headline": "one"}', '{"author": "later", "datePublished": "2024-01-02"}'],
+        ['[{"author": [{"name": "A"}, "B", {"name": ""}, ["C", {"name": "D"}]]}, {"headline": ""}, {"headline": "two"}]'],
+        ['{"@graph": [{"@graph": [{"headline": "deep"}]}, {"headline": "higher"}], "keywords": ["x, y", "z"]}'],
+        ['{"@type": "BreadcrumbList", "itemListElement": [{"name": "a"}, {"item": {"name": "b"}}, {"position": 3}, "s"]}', '{"@type": "BreadcrumbList", "itemListElement": [{"name": "no"}]}'],
+        ["no json", "{broken", '{"headline": "fine", }', "[1, 2,]", "null", '"text"'],
+        ['{"author": {"name": ["P", "Q"]}, "articleSection": ["s", "t"], "datePublished": 20240102, "headline": 0}'],
+        ['{"author": null, "keywords": [], "headline": false}', '{"keywords": {}, "author": {"name": "Z"}}'],
+        [],
+    ]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, ld array<string>").withColumn("o", jsonld.objects("ld"))
+    of = lambda k: jsonld.field(F.col("o"), k)
+    got = df.select("i", jsonld.breadcrumbs(F.col("o")).alias("breadcrumbs"), *[jsonld.names(of(k)).alias(k) for k in ("author", "keywords", "articleSection")], *[jsonld.text(of(k)).alias(k) for k in ("headline", "datePublished")])
+    for r in got.collect():
+        want = plain_facts(pages[r.i])
+        assert r.breadcrumbs == want.get("breadcrumbs"), r.i
+        assert all(r[k] == plain_names(want.get(k)) for k in ("author", "keywords", "articleSection")), r.i
+        assert all(r[k] == (str(want[k]) if k in want else None) for k in ("headline", "datePublished")), r.i
 
 
 def test_documents_of_pages(spark):

@@ -108,12 +108,12 @@ def not_people(docs: DataFrame) -> DataFrame:
     """
     rows = _derived(docs, None)
     low = lambda c: F.lower(X.strip(c)).alias("term")
-    parts = [rows.select(low(F.explode("doc_tags"))), rows.select(low(F.col("doc_kind")))]
+    parts = [rows.select(F.explode(F.transform("doc_tags", lambda t: F.lower(X.strip(t)))).alias("term")), rows.select(low(F.col("doc_kind")))]
     parts += [rows.select(low(F.col(c))) for c in ("category", "section") if c in docs.columns]
     terms = parts[0]
     for p in parts[1:]:
         terms = terms.unionByName(p)
-    authors = rows.select(F.lower(F.explode("doc_authors")).alias("term")).distinct()
+    authors = rows.select(F.explode(F.transform("doc_authors", lambda a: F.lower(a))).alias("term")).distinct()
     return authors.join(terms.distinct(), "term", "left_semi").agg(F.collect_set("term").alias("names"))
 
 

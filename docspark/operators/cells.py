@@ -75,8 +75,12 @@ class CellIndex:
         n = rows.count()
         if not n:
             return cls(rows, vectors.sparkSession.createDataFrame([], "cell int, ids binary, codes binary"), np.empty((0, 0)), np.empty((0, 0, 0)))
-        model = KMeans(k=min(n, cells or max(1, min(4096, round(math.sqrt(n) / 2)))), maxIter=10, seed=SEED, featuresCol="x").fit(rows.select(array_to_vector("v").alias("x")))
-        centres = np.array(model.clusterCenters())
+        k = min(n, cells or max(2, min(4096, round(math.sqrt(n) / 2))))
+        if k > 1:
+            model = KMeans(k=k, maxIter=10, seed=SEED, featuresCol="x").fit(rows.select(array_to_vector("v").alias("x")))
+            centres = np.array(model.clusterCenters())
+        else:  # one cell around the least id's vector: any centre serves
+            centres = np.array([rows.orderBy("id").select("v").first()["v"]])
         length = centres.shape[1]
         parts = next(p for p in (PARTS, PARTS // 2, PARTS // 4, 1) if length % p == 0)
         sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(SAMPLE, (1 << 21) // length))).select("v").collect()])

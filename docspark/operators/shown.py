@@ -15,14 +15,10 @@ POINT = r"^(?:[-*•]|\d+[.)])\s+(.*\S)"
 SECTIONS = ("answer", "details", "sources", "references")
 
 
-def _closed(text: Column) -> Column:
-    for gap, by in grounding.GAPS:
-        text = F.regexp_replace(text, gap, by)
-    return X.strip(text)
-
-
 def without_references(answer: Column) -> Column:
-    return _closed(F.regexp_replace(answer, REFERENCE, ""))
+    """An answer without its references and the gaps that they leave; other space before a stop is the text's own and stays."""
+    text = F.regexp_replace(answer, rf"(?:[ \t]?{REFERENCE})+(?=[.,;:])", "")
+    return X.strip(F.regexp_replace(F.regexp_replace(text, REFERENCE, ""), *grounding.GAPS[0]))
 
 
 def section_of(heading: Column) -> Column:

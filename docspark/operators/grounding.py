@@ -33,7 +33,8 @@ def merge_documents(hits: DataFrame, group: list[str], key: str, position: str,
     each = rows.groupBy(*group, key, "__h", "__n").agg(F.min(F.struct("__p", "__t")).alias("__m")).select(*group, key, "__h", "__n", "__m.*")
     w = W.partitionBy(*group, key).orderBy("__p", "__t", "__h").rowsBetween(W.unboundedPreceding, -1)
     taken = F.coalesce(F.sum(F.when(F.col("__n") > 0, F.col("__n") + 2)).over(w), F.lit(0))
-    shown = F.when((F.col("__n") > 0) & (F.col("__taken") < cap), F.struct("__p", "__t", "__h"))
+    # a text that begins at the cap or one behind still has its line ends, which stand before it, below the cap
+    shown = F.when((F.col("__n") > 0) & (F.col("__taken") < cap + 2), F.struct("__p", "__t", "__h"))
     both = each.withColumn("__taken", taken).groupBy(*group, key).agg(F.min("__p").alias(position), F.array_sort(F.collect_list(shown)).alias("__all"))
     return both.select(*group, key, position, F.substring(F.array_join(F.transform("__all", lambda x: x["__t"]), "\n\n"), 1, cap).alias(text))
 

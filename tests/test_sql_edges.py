@@ -23,3 +23,10 @@ def test_answer_sections_keep_space_that_no_reference_left(spark, tmp_path):
     texts = ["That*** atly.###", "one two [three] four", "Aiè.", "a, b ; c .", "x" * 30]
     got, want = rows(spark, tmp_path, "answer_sections", "documents", [(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
     assert got == want
+
+
+def test_merged_text_ends_in_the_line_ends_before_the_cap(spark, tmp_path):
+    # two texts of 3,998 characters with what is between them: the third begins at 4,000
+    texts = {0: "a" * 2830, 1: "b" * 1166, 2: "c" * 99, 8: "d" * 3999, 9: "e", 16: "f" * 4000, 17: "g", 24: "h" * 3998, 25: "i"}
+    got, want = rows(spark, tmp_path, "doc_text_merge", "documents", [(i, t, "de", "s") for i, t in texts.items()], DOCS)
+    assert got == want

@@ -244,9 +244,10 @@ def whitespace_normalized(text: str) -> str:
     return re.sub("\n{3,}", "\n\n", text).strip()
 
 
-def without_garbage(text: str) -> str:
-    """``clean_lines`` of one text: what is kept."""
-    return whitespace_normalized("\n".join(x for x in repair(text).split("\n") if not x.strip() or quality(x) >= 0.5))
+def without_garbage(text: str, least: float = 0.5) -> str:
+    """``clean_lines`` of one text: what is kept; with ``least`` 0 all lines are."""
+    text = repair(text)
+    return whitespace_normalized(text if least <= 0 else "\n".join(x for x in text.split("\n") if not x.strip() or quality(x) >= least))
 
 
 def clean_lines(c: Column) -> Column:

@@ -105,11 +105,11 @@ def units_of(text: str) -> list[str]:
 
 def packed(text: Column, settings: Settings = DEFAULT) -> Column:
     """Pieces of a text with their quality: lines cleaned, sentences split and packed."""
-    size, overlap, least = settings.chunk_size, settings.chunk_overlap, settings.chunk_min
+    size, overlap, least, lines = settings.chunk_size, settings.chunk_overlap, settings.chunk_min, settings.line_quality_min
 
     @pandas_udf("array<struct<text: string, quality: double>>")
     def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda t: [{"text": p, "quality": T.quality(p)} for p in pack(units_of(T.without_garbage(t)), size, overlap, least)] if isinstance(t, str) else [])
+        return rows.map(lambda t: [{"text": p, "quality": T.quality(p)} for p in pack(units_of(T.without_garbage(t, lines)), size, overlap, least)] if isinstance(t, str) else [])
 
     return run(text)
 

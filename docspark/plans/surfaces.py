@@ -11,10 +11,10 @@ from docspark.functions import dates, entities, urls
 from docspark.functions import text as X
 from docspark.kb import Store
 from docspark.operators import analytics, chunking, crawl, dense, grounding, lexical, records, retrieve, shown
-from docspark.plans.corpus import _CHUNKS, _CLEAN, _HOST, _SCORED, _TRIM
+from docspark.plans.corpus import _CHUNKS, _CLEAN, _HOST, _SCORED, _TRIM, ALL_LINES
 from docspark.plans.retrieval import _BM25, _HITS, QUERY, _hits, _t, corpus
 from docspark.plans.retrieval import SQL as RETRIEVAL_SQL
-from docspark.settings import DEFAULT, LENGTH_BUDGETS
+from docspark.settings import LENGTH_BUDGETS
 from docspark.sources import html, jsonl, runs
 from docspark.sources.shared import folder as _shared
 from docspark.sources.versions import Versions
@@ -336,7 +336,7 @@ def index_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def store_updates(spark: SparkSession, sf: str) -> DataFrame:
     """A store filled in two updates, the second with late rows and a removal: what its tables hold."""
-    store = Store(spark, f"{_shared(spark, 'store')}/kb", replace(DEFAULT, embedding_dim=16))
+    store = Store(spark, f"{_shared(spark, 'store')}/kb", replace(ALL_LINES, embedding_dim=16))
     docs = corpus(spark, sf).drop("id").where(X.blank_to_null(F.col("text")).isNotNull()).withColumn("updated_at", F.lit("2024-02-01"))
     store.update(docs.where("document_id % 3 > 0"))
     late = docs.where("document_id % 3 = 1").withColumns({"text": F.lit("late"), "updated_at": F.lit("2024-01-01")})

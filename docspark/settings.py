@@ -23,6 +23,7 @@ class Settings:
     chunk_min: int = 200
     min_evidence_chars: int = 200
     quality_min: float = 0.5
+    line_quality_min: float = 0.5
     max_context_chars: int = 12_000
     merge_cap: int = 4000
     embedding_dim: int = 384

@@ -1,6 +1,7 @@
 """Queries against their SQL on texts that part the two easily."""
 
 import duckdb
+import pytest
 
 from docspark.plans import catalog
 
@@ -25,6 +26,20 @@ def test_answer_sections_keep_space_that_no_reference_left(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["chunk_dedupe", "chunk_documents"])
+def test_chunks_keep_every_line(spark, tmp_path, name):
+    texts = [f"{LONG}\nLa la éçèê.\n{LONG}", f"{LONG}\nStüä.", LONG]
+    got, want = rows(spark, tmp_path, name, "documents", [(i, t, "fr", "s") for i, t in enumerate(texts)], DOCS)
+    assert got == want and len(got) >= 3
+
+
+def test_chunk_stats_keep_every_line(spark, tmp_path):
+    # 195 characters in a line, and a short one of accented letters that makes a chunk of them
+    texts = [f"{LONG[:194]}.\nÄöüß äöüß.", LONG]
+    got, want = rows(spark, tmp_path, "chunk_stats", "documents", [(i, t, "de", "commit_kb") for i, t in enumerate(texts)], DOCS)
+    assert got == want and got[0].startswith("(2, 2,")
+
+
 def test_merged_text_ends_in_the_line_ends_before_the_cap(spark, tmp_path):
     # two texts of 3,998 characters with what is between them: the third begins at 4,000
     texts = {0: "a" * 2830, 1: "b" * 1166, 2: "c" * 99, 8: "d" * 3999, 9: "e", 16: "f" * 4000, 17: "g", 24: "h" * 3998, 25: "i"}

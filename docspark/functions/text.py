@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 
+#: Characters of Unicode's White_Space.
+_SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at the ends; what is between them isn't looked at."""
+    return F.btrim(c, F.lit(_SPACE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -209,7 +214,6 @@ def quality_score(c: Column) -> Column:
 
 
 _NOISE_PY = re.compile(NOISE)
-_SUSPECT_PY = re.compile(_SUSPECT)
 
 
 def garbage(tok: str) -> bool:
@@ -230,11 +234,15 @@ def quality(text: str) -> float:
     """``quality_score`` of one text."""
     if not text.strip():
         return 1.0
-    bad = sum(len(t) for t in _SUSPECT_PY.findall(text) if garbage(t))
     noise = len(_NOISE_PY.findall(text))
+    if not noise and text.isascii():
+        return 1.0
+    tokens = text.split()
+    # without noise only tokens with two characters beyond ASCII can be garbage
+    bad = sum(len(t) for t in tokens if (noise or not t.isascii() and len(t) - len(t.encode("ascii", "ignore")) > 1) and garbage(t))
     if not bad and not noise:
         return 1.0
-    share = 1 - bad / max(1, sum(map(len, text.split())))
+    share = 1 - bad / max(1, sum(map(len, tokens)))
     return max(0.0, min(share, 1 - min(1.0, noise * 4 / max(1, len(text)))))
 
 

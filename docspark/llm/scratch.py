@@ -16,10 +16,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docspark.sources.shared import bound_batches
 from docspark.sources.tables import read_table
 
-BATCH_BYTES = 4 << 20
-
 #: Written tables, each with a weak reference to what their plans read.
 _made: dict[str, Any] = {}
 _own: list[str] = []
@@ -38,14 +37,6 @@ def root(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Let no Arrow batch hold more than BATCH_BYTES: ten thousand rows may be long texts."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = (spark.conf.get(name) or "").rstrip("bB")
-    if not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
-        spark.conf.set(name, BATCH_BYTES)
-
-
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the result has no lineage."""
     spark = df.sparkSession

@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from docspark.functions import text as T
 from docspark.functions.urls import content_hash
 from docspark.settings import DEFAULT, Settings
+from docspark.sources.shared import bound_batches
 
 
 def sentences(c: Column) -> Column:
@@ -121,11 +122,12 @@ def chunk_documents(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     pieces, so a dropped piece leaves a gap. Documents with pages are chunked page by page.
     ``ord`` is the position in document order and decides which of equal chunks stays.
     """
+    bound_batches(docs.sparkSession)
     paged = "pdf_pages" in docs.columns
     body = F.struct(F.lit(None).cast("int").alias("page_number"), F.col("text").alias("text"))
     units = F.when(F.size("pdf_pages") > 0, F.col("pdf_pages")).otherwise(F.array(body)) if paged else F.array(body)
     rows = docs.withColumn("__unit", F.explode(units)).withColumns({"page_number": F.col("__unit.page_number"), "__text": T.clean_text(F.coalesce(F.col("__unit.text"), F.lit("")))})
-    rows = rows.where(F.col("__text") != "").withColumn("__pieces", packed(F.col("__text"), settings))
+    rows = rows.withColumn("__pieces", packed(F.col("__text"), settings))
     kept = [c for c in docs.columns if c not in ("text", "pdf_pages")]
     pieces = rows.select(*kept, "page_number", F.posexplode("__pieces").alias("chunk_index", "__p")).select(*kept, "page_number", "chunk_index", "__p.text", "__p.quality")
     pieces = pieces.where(F.col("quality") >= settings.quality_min)

@@ -3,8 +3,8 @@
 A segment holds what one update added and took away:
 
 * ``postings``: for each term and range of documents one row, the block of their entries, with
-  the greatest tf and the least length in it; laid out by term and range, so that a term's
-  blocks fill as many tasks and files as they need;
+  the greatest tf and the least length in it; a file holds whole ranges by term, so that a
+  term's blocks fill as many tasks and files as they need;
 * ``docs``: the terms of each document, so that a later removal knows what to take back;
 * ``gone``: ids that are dead in all older segments;
 * ``terms``, ``stats``, ``hist``: what the update adds to document frequencies, to the number
@@ -38,9 +38,11 @@ from docspark.sources.versions import Versions
 TABLES = ("postings", "docs", "gone", "terms", "stats", "hist")
 #: Documents of a range, about; a block has at most so many entries.
 RANGE_DOCS = 32
+#: Words of the documents whose postings one task makes, about.
+TASK_WORDS = 2 << 20
 #: Segments of like size (each at most FACTOR times all newer ones together) that are merged.
 MERGE, FACTOR = 4, 4
-#: Ranges that are broadcast at most (bytes, 24 for each); more are joined by a shuffle.
+#: Ranges, or dead documents, that are broadcast at most (bytes, 24 for each); more are joined by a shuffle.
 MOST_BROADCAST = 8 << 20
 
 
@@ -97,14 +99,17 @@ class Segments:
         gone = removed.select(F.col(key).alias("id")).unionByName(rows.select(F.col(key).alias("id"))).distinct()
         self._write(staged, seq, {"docs": docs, "gone": gone})
         docs, gone = self._own(staged, seq, "docs"), self._own(staged, seq, "gone")
-        entries = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        # texts, not their words, go to the tasks of their ranges: all that follows stays there
+        placed = self._placed(rows.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), docs)
+        words = placed.select("range", "id", whitespace_tokens(F.col("text")).alias("tokens"))
+        entries = words.select("range", "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("range", "term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         added = docs.select("id", "dl", "terms", F.lit(1).cast("long").alias("sign"))
         if self.seqs:
             dead = self.alive(self.table("docs").join(gone, "id", "left_semi")).select("id", "dl", "terms", F.lit(-1).cast("long").alias("sign"))
             added = added.unionByName(dead)
         terms = _sums(added.select(F.explode("terms").alias("term"), F.col("sign").alias("df")), "term", "df")
         stats = added.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).alias("words"))
-        self._write(staged, seq, {"postings": self._blocks(entries, docs.count()), "terms": terms, "stats": stats})
+        self._write(staged, seq, {"postings": self._blocks(entries), "terms": terms, "stats": stats})
         self._write(staged, seq, {"hist": self._moves(self._own(staged, seq, "terms"))})
         return seq
 
@@ -118,11 +123,18 @@ class Segments:
         steps = F.array(F.struct(F.col("old").alias("df"), F.lit(-1).cast("long").alias("terms")), F.struct((F.col("old") + F.col("change")).alias("df"), F.lit(1).cast("long").alias("terms")))
         return _sums(moved.select(F.inline(steps)).where("df > 0"), "df", "terms")
 
-    def _blocks(self, entries: DataFrame, documents: int) -> DataFrame:
-        ranges = max(1, documents // RANGE_DOCS)
-        placed = entries.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)))
+    def _placed(self, rows: DataFrame, docs: DataFrame) -> DataFrame:
+        """``rows`` with the range of their document, dealt out by it to tasks of about TASK_WORDS."""
+        n, words = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        ranges = max(1, n // RANGE_DOCS)
+        tasks = max(min(ranges, self.spark.sparkContext.defaultParallelism), words // TASK_WORDS + 1)
+        return rows.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges))).repartition(tasks, "range")
+
+    @staticmethod
+    def _blocks(placed: DataFrame) -> DataFrame:
+        """Blocks of entries that were dealt out by range: nothing moves any more."""
         made = placed.groupBy("term", "range").agg(F.collect_list(F.struct("id", "tf", "dl")).alias("entries"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
-        return made.repartitionByRange("term", "range").sortWithinPartitions("term", "range")
+        return made.sortWithinPartitions("term", "range")
 
     def merge(self, staged: str) -> list[int]:
         """In a staged version, merge the newest segments into one if enough of them are of like size; gives the merged ones.
@@ -145,8 +157,12 @@ class Segments:
         docs = self.alive(self.table("docs", run)).select("id", "dl", "terms")
         gone = self.table("gone", run).select("id").distinct() if run[0] != self.seqs[0] else self.table("gone", run).select("id").limit(0)
         self._write(staged, seq, {"docs": docs, "gone": gone, "terms": _sums(self.table("terms", run), "term", "df"), "hist": _sums(self.table("hist", run), "df", "terms"), "stats": self.table("stats", run).agg(F.sum("n").alias("n"), F.sum("words").alias("words"))})
-        live = self.alive(entries).select("term", "id", "tf", "dl")
-        self._write(staged, seq, {"postings": self._blocks(live, self._own(staged, seq, "docs").count())})
+        # dead documents are few and light: entries don't move to meet them
+        light = self.table("docs", run).select("seq", "id")
+        dead = light.join(self.alive(light), ["seq", "id"], "left_anti")
+        small = 24 * dead.count() <= MOST_BROADCAST
+        live = entries.join(F.broadcast(dead) if small else dead, ["seq", "id"], "left_anti").select("term", "id", "tf", "dl")
+        self._write(staged, seq, {"postings": self._blocks(self._placed(live, self._own(staged, seq, "docs")))})
         self.versions.forget(staged, [_name(s, t) for s in run for t in TABLES])
         return run
 

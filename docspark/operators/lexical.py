@@ -20,6 +20,8 @@ class LexicalIndex:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    #: ``n, avgdl``, where the tables aren't read from files.
+    sizes: DataFrame | None = None
 
     @classmethod
     def build(cls, rows: DataFrame, key: str, text: str) -> LexicalIndex:
@@ -28,22 +30,32 @@ class LexicalIndex:
         postings = lengths.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
         terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         sizes = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
+        return cls(postings, terms, cls._stats(terms, sizes), sizes)
+
+    @classmethod
+    def _stats(cls, terms: DataFrame, sizes: DataFrame) -> DataFrame:
         mean = terms.crossJoin(F.broadcast(sizes)).agg(F.avg(cls.weight()).alias("mean_idf"))
-        return cls(postings, terms, sizes.crossJoin(F.broadcast(mean)))
+        return sizes.crossJoin(F.broadcast(mean))
 
     @staticmethod
     def weight() -> Column:
         return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
     def by_term(self) -> LexicalIndex:
-        """The index with its postings laid out by term and id, so that a query on the written table reads few files and a frequent term fills several."""
-        return LexicalIndex(self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), self.terms, self.stats)
+        """The index with the postings of each task in the order of their terms: a query on the written table reads a few pages of each file, and a frequent term fills several files."""
+        return LexicalIndex(self.postings.sortWithinPartitions("term", "id"), self.terms, self.stats, self.sizes)
 
     def save(self, path: str) -> None:
-        """Write the tables, the postings by term."""
+        """Write the tables, the postings by term. Frequencies and their mean are counted on what is written, so texts are read once for postings and once for lengths."""
+        read = self.postings.sparkSession.read
         self.by_term().postings.write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        terms = self.terms if self.sizes is None else read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        terms.write.mode("overwrite").parquet(f"{path}/terms")
+        if self.sizes is None:
+            self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+            return
+        sizes = self.sizes.sparkSession.createDataFrame(self.sizes.collect(), self.sizes.schema)  # one row
+        self._stats(read.parquet(f"{path}/terms"), sizes).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def load(cls, spark, path: str) -> LexicalIndex:

@@ -22,8 +22,6 @@ from docspark.llm.sharding import with_blocks
 PARTS, PART = 4, 8
 #: Documents of a block of neighbours (their texts are sorted together): at least and at most.
 FEWEST_ROWS, BLOCK_ROWS = 250, 4000
-#: The first texts of all blocks are broadcast up to so many bytes; beyond, they are joined by a shuffle.
-MOST_BROADCAST_BYTES = 32 << 20
 _LOW31 = (1 << 31) - 1
 
 
@@ -136,21 +134,18 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     n_rows = rows.count()
     size = max(1, min(BLOCK_ROWS, max(FEWEST_ROWS, n_rows // (8 * cores))))
     rows = with_blocks(rows, "id", "tie", size, "block")
-    # neighbouring blocks go together, so that tasks get equal shares; they are as many as the blocks fill
-    tasks = max(1, min(n_rows // size + 1, max(4 * cores, n_rows // BLOCK_ROWS)))
-    texts = rows.repartitionByRange(tasks, "block")
-    order = W.partitionBy("block").orderBy(F.asc_nulls_first("id"), "tie")
-
-    # The first text of each block stands in the block before as the last one's neighbour.
+    # The first text of each block stands behind the block before as the last one's neighbour.
     least = F.struct(F.coalesce("id", F.lit(-(1 << 63)).cast("long")).alias("i"), "tie")
     heads = scratch.written(rows.groupBy("block").agg(F.min_by("text", least).alias("text")), "heads")
     turn = W.orderBy("block")  # over the numbers of the blocks alone
     following = heads.select("block", F.coalesce(F.lead("block").over(turn), F.first("block").over(turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
     following = scratch.written(following, "blocks")
-    ahead = following.join(heads.select(F.col("block").alias("after"), F.col("text").alias("ahead")), "after").select("block", "ahead")
-    placed = texts.select("block", "id", "tie", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next"))
-    held = heads.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    placed = placed.join(F.broadcast(ahead) if held <= MOST_BROADCAST_BYTES else ahead, "block", "left").withColumn("next", F.coalesce("next", "ahead"))
+    ahead = following.join(heads.select(F.col("block").alias("after"), "text"), "after")
+    whole = rows.select("block", "id", "tie", "text", F.lit(False).alias("last")).unionByName(ahead.select("block", "text", F.lit(True).alias("last")), allowMissingColumns=True)
+    # neighbouring blocks go together, so that tasks get equal shares; they are as many as the blocks fill
+    tasks = max(1, min(n_rows // size + 1, max(4 * cores, n_rows // BLOCK_ROWS)))
+    order = W.partitionBy("block").orderBy("last", F.asc_nulls_first("id"), "tie")
+    placed = whole.repartitionByRange(tasks, "block").select("block", "id", "text", "last", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next")).where(~F.col("last"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))

@@ -30,8 +30,8 @@ def first_of(*cs: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """CRLF to LF, at most one blank line, single spaces, no white space at the ends."""
-    c = F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), "\n{3,}", "\n\n")
-    return strip(F.regexp_replace(c, "[ \t]+", " "))
+    c = F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n{3,}", "\n\n")
+    return strip(F.regexp_replace(c, "[ \t]{2,}|\t", " "))  # a single space stays as it is
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -134,6 +134,8 @@ _LONE_DASH = r"(?:(?<=\s)|^)â(?=\s|$)|â[�─-▟]+"
 _LONE = f"{_LONE_APOSTROPHE}|{_LONE_DASH}"
 _BROKEN = re.compile("|".join(map(re.escape, _CERTAIN)) + "|ðŸ|�")
 _ANY_REPAIR = re.compile("|".join(map(re.escape, _CERTAIN)))
+#: What all of them begin with: a text without any isn't broken.
+_LEADS = re.compile("[" + re.escape("".join(sorted({k[0] for k in _CERTAIN} | set("ð�â")))) + "]")
 
 
 def is_broken(c: Column) -> Column:
@@ -144,7 +146,9 @@ def is_broken(c: Column) -> Column:
 
 def broken(text: str) -> bool:
     """``is_broken`` of one text."""
-    return bool(_BROKEN.search(text) or re.search(_LONE, text))
+    if text.isascii() or not _LEADS.search(text):
+        return False
+    return bool(_BROKEN.search(text) or "â" in text and re.search(_LONE, text))
 
 
 def repair(text: str) -> str:
@@ -230,6 +234,12 @@ def garbage(tok: str) -> bool:
     return odd and any(ch.isalpha() for ch in tok)
 
 
+def _odd_share(tok: str) -> bool:
+    """Whether a token has enough characters beyond ASCII to be garbage without noise: four, or two in five."""
+    foreign = len(tok) - len(tok.encode("ascii", "ignore"))
+    return foreign >= 4 or foreign > 1 and foreign >= len(tok) * 0.4
+
+
 def quality(text: str) -> float:
     """``quality_score`` of one text."""
     if not text.strip():
@@ -238,18 +248,25 @@ def quality(text: str) -> float:
     if not noise and text.isascii():
         return 1.0
     tokens = text.split()
-    # without noise only tokens with two characters beyond ASCII can be garbage
-    bad = sum(len(t) for t in tokens if (noise or not t.isascii() and len(t) - len(t.encode("ascii", "ignore")) > 1) and garbage(t))
+    bad = sum(len(t) for t in tokens if (noise or not t.isascii()) and (noise and _NOISE_PY.search(t) or _odd_share(t)) and garbage(t))
     if not bad and not noise:
         return 1.0
     share = 1 - bad / max(1, sum(map(len, tokens)))
     return max(0.0, min(share, 1 - min(1.0, noise * 4 / max(1, len(text)))))
 
 
+def shortened(text: str, run: str, to: str) -> str:
+    """``text`` with ``to`` for ``run`` until there is none."""
+    while run in text:
+        text = text.replace(run, to)
+    return text
+
+
 def whitespace_normalized(text: str) -> str:
     """``normalize_whitespace`` of one text."""
-    text = re.sub(r" *\n *", "\n", re.sub("[ \t\xa0]+", " ", re.sub("\r\n?", "\n", text)))
-    return re.sub("\n{3,}", "\n\n", text).strip()
+    text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\t", " ").replace("\xa0", " ")
+    text = shortened(text, "  ", " ").replace(" \n", "\n").replace("\n ", "\n")
+    return shortened(text, "\n\n\n", "\n\n").strip()
 
 
 def without_garbage(text: str, least: float = 0.5) -> str:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,14 +24,14 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, T.strip), lambda s: s != "")
 
 
-def _sums(parts: list[str]) -> np.ndarray:
+def _sums(parts: list[str]) -> list[int]:
     """Where each part begins if one character stands behind each."""
-    return np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)])
+    return list(accumulate((len(p) + 1 for p in parts), initial=0))
 
 
-def _reach(sums: np.ndarray, begin: int, room: int) -> int:
+def _reach(sums: list[int], begin: int, room: int) -> int:
     """The end of the longest run of parts from ``begin`` that takes ``room`` at most."""
-    return int(np.searchsorted(sums, sums[begin] + room, "right")) - 1
+    return bisect_right(sums, sums[begin] + room) - 1
 
 
 def by_words(sentence: str, size: int) -> list[str]:
@@ -73,14 +74,14 @@ def pack(units: list[str], size: int = DEFAULT.chunk_size, overlap: int = DEFAUL
         give(len(chunk), chunk)
 
     def tail(a: int, b: int) -> int:
-        return max(a, int(np.searchsorted(sums, sums[b] - overlap, "left")))
+        return max(a, bisect_left(sums, sums[b] - overlap))
 
     begin = end = 0
     limit = size  # the sum that the chunk's end may reach
     for stop, full in [*cuts, (len(parts), [])]:
         must = begin == end  # the next unit goes in whatever its length
         while end < stop:
-            end = min(stop, max(end + must, int(np.searchsorted(sums, limit, "right")) - 1))
+            end = min(stop, max(end + must, bisect_right(sums, limit) - 1))
             must = False
             if end < stop:
                 give_range(begin, end)
@@ -99,9 +100,14 @@ def pack(units: list[str], size: int = DEFAULT.chunk_size, overlap: int = DEFAUL
     return out
 
 
+#: The last character of a unit, and the white space behind it; its first class is what a scan looks for.
+_UNIT_END = re.compile(r"([.!?\n])(?:(?<=\n)|\s+)")
+
+
 def units_of(text: str) -> list[str]:
     """``sentences`` of one text."""
-    return [s for s in (u.strip() for u in re.split(r"\n+|(?<=[.!?])\s+", re.sub("[ \t]+", " ", text))) if s]
+    parts = _UNIT_END.split(T.shortened(text.replace("\t", " "), "  ", " "))
+    return [s for s in (*(u.strip() for u in map(str.__add__, parts[::2], parts[1::2])), parts[-1].strip()) if s]
 
 
 def packed(text: Column, settings: Settings = DEFAULT) -> Column:
@@ -129,7 +135,8 @@ def chunk_documents(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     rows = docs.withColumn("__unit", F.explode(units)).withColumns({"page_number": F.col("__unit.page_number"), "__text": T.clean_text(F.coalesce(F.col("__unit.text"), F.lit("")))})
     rows = rows.withColumn("__pieces", packed(F.col("__text"), settings))
     kept = [c for c in docs.columns if c not in ("text", "pdf_pages")]
-    pieces = rows.select(*kept, "page_number", F.posexplode("__pieces").alias("chunk_index", "__p")).select(*kept, "page_number", "chunk_index", "__p.text", "__p.quality")
+    # without "outer" Spark asks first whether there are pieces, and packs each text twice; rows without any have no quality
+    pieces = rows.select(*kept, "page_number", F.posexplode_outer("__pieces").alias("chunk_index", "__p")).select(*kept, "page_number", "chunk_index", "__p.text", "__p.quality")
     pieces = pieces.where(F.col("quality") >= settings.quality_min)
     page = F.when(F.col("page_number").isNotNull(), F.concat(F.lit("_p"), F.col("page_number").cast("string"))).otherwise(F.lit(""))
     pieces = pieces.withColumn("chunk_id", F.concat(F.col("document_id").cast("string"), page, F.lit("_c"), F.col("chunk_index").cast("string")))

@@ -14,6 +14,9 @@ from docspark.operators.segments import Segments
 from docspark.settings import DEFAULT, Settings
 from docspark.sources.versions import Versions
 
+#: Documents that one task chunks, about.
+TASK_DOCS = 4096
+
 
 def _column(docs: DataFrame, name: str) -> Column:
     return F.col(name) if name in docs.columns else F.lit(None).cast("string")
@@ -84,7 +87,9 @@ class Store:
         counts = {**counts, "url_duplicates_collapsed": dropped.count()}
         counts["total"] -= counts["url_duplicates_collapsed"]
         docs = self.versions.table("documents", staged)
-        pieces = chunking.chunk_documents(docs.join(touched, key, "left_semi"), self.settings)
+        # after a join Spark sizes tasks by bytes, beside kept pieces down to one; chunking is worth a core for each few documents
+        tasks = max(self.spark.sparkContext.defaultParallelism, counts["changed"] // TASK_DOCS + 1)
+        pieces = chunking.chunk_documents(docs.join(touched, key, "left_semi").repartition(tasks, key), self.settings)
         if known:
             kept = self.versions.table("pieces").join(touched, key, "left_anti")
             pieces = kept.unionByName(pieces, allowMissingColumns=True)

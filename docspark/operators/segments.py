@@ -23,16 +23,21 @@ reaches it; all other blocks' entries aren't read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docspark.functions.text import whitespace_tokens
 from docspark.operators.lexical import FLOOR, K1, B
+from docspark.sources.shared import bound_batches
 from docspark.sources.versions import Versions
 
 TABLES = ("postings", "docs", "gone", "terms", "stats", "hist")
@@ -58,6 +63,41 @@ def _sums(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.groupBy(by).agg(F.sum(value).alias(value)).where(F.col(value) != 0)
 
 
+def _blocks_of(rows: pa.Table) -> pa.RecordBatch:
+    """The blocks of whole ranges, from the tokens (``range, id, tokens``) of their documents."""
+    rows = rows.combine_chunks()
+    ranges, dl = rows["range"].to_numpy(), pc.list_value_length(rows["tokens"]).to_numpy().astype(np.int32)
+    words = pc.list_flatten(rows["tokens"]).combine_chunks().dictionary_encode()
+    at = pc.list_parent_indices(rows["tokens"]).to_numpy()
+    # entries by term, then by row, and so by range
+    keys, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(dl) + at, return_counts=True)
+    code, row = np.divmod(keys, len(dl))
+    tf = tf.astype(np.int32)
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(ranges[row]) != 0)]))
+    entries = pa.StructArray.from_arrays([rows["id"].take(pa.array(row)).combine_chunks(), pa.array(tf), pa.array(dl[row])], ["id", "tf", "dl"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype(np.int32)), entries)
+    most, least = np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl[row], starts)
+    return pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[starts])), pa.array(ranges[row[starts]]), lists, pa.array(most), pa.array(least)], ["term", "range", "entries", "most_tf", "least_dl"])
+
+
+def _blocks_by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's documents, which come in the order of their ranges: the last range of a batch waits for the next one."""
+    waiting: list[pa.Table] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        last = int(np.searchsorted(rows["range"].to_numpy(), rows["range"][-1].as_py())) if len(rows) else 0
+        if len(rows) and (last or waiting and waiting[-1]["range"][-1] != rows["range"][0]):
+            whole = pa.concat_tables([*waiting, rows.slice(0, last)])
+            waiting = []
+            if pc.sum(pc.list_value_length(whole["tokens"])).as_py():
+                yield _blocks_of(whole)
+        waiting.append(rows.slice(last))
+    if waiting:
+        whole = pa.concat_tables(waiting)
+        if pc.sum(pc.list_value_length(whole["tokens"])).as_py():
+            yield _blocks_of(whole)
+
+
 @dataclass(frozen=True)
 class Answer:
     """Ranked hits, and how many of the question's blocks were read for them."""
@@ -101,15 +141,13 @@ class Segments:
         docs, gone = self._own(staged, seq, "docs"), self._own(staged, seq, "gone")
         # texts, not their words, go to the tasks of their ranges: all that follows stays there
         placed = self._placed(rows.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), docs)
-        words = placed.select("range", "id", whitespace_tokens(F.col("text")).alias("tokens"))
-        entries = words.select("range", "id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("range", "term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         added = docs.select("id", "dl", "terms", F.lit(1).cast("long").alias("sign"))
         if self.seqs:
             dead = self.alive(self.table("docs").join(gone, "id", "left_semi")).select("id", "dl", "terms", F.lit(-1).cast("long").alias("sign"))
             added = added.unionByName(dead)
         terms = _sums(added.select(F.explode("terms").alias("term"), F.col("sign").alias("df")), "term", "df")
         stats = added.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).alias("words"))
-        self._write(staged, seq, {"postings": self._blocks(entries), "terms": terms, "stats": stats})
+        self._write(staged, seq, {"postings": self._text_blocks(placed), "terms": terms, "stats": stats})
         self._write(staged, seq, {"hist": self._moves(self._own(staged, seq, "terms"))})
         return seq
 
@@ -130,6 +168,15 @@ class Segments:
         tasks = max(min(ranges, self.spark.sparkContext.defaultParallelism), words // TASK_WORDS + 1)
         return rows.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges))).repartition(tasks, "range")
 
+    @staticmethod
+    def _text_blocks(placed: DataFrame) -> DataFrame:
+        """Blocks of texts that were dealt out by range. A batch holds a few ranges, whose entries are counted and grouped at once."""
+        bound_batches(placed.sparkSession)
+        key = placed.schema["id"].dataType.simpleString()
+        words = placed.sortWithinPartitions("range").select("range", "id", whitespace_tokens(F.col("text")).alias("tokens"))
+        made = words.mapInArrow(_blocks_by_range, f"term string, range bigint, entries array<struct<id: {key}, tf: int, dl: int>>, most_tf int, least_dl int")
+        return made.sortWithinPartitions("term", "range")
+
     @staticmethod
     def _blocks(placed: DataFrame) -> DataFrame:
         """Blocks of entries that were dealt out by range: nothing moves any more."""

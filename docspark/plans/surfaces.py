@@ -273,7 +273,8 @@ def _drafts(spark: SparkSession, sf: str) -> DataFrame:
 
 def answer_sections(spark: SparkSession, sf: str) -> DataFrame:
     got = _drafts(spark, sf).withColumn("s", shown.sections(F.col("answer")))
-    return got.select("doc_id", (F.col("s.answer") == F.concat("lead", F.lit(" [Source 2]."))).alias("answer"), F.col("s.sources").alias("sources"), F.col("s.references").alias("references"), F.array_join(shown.points(F.col("s.details"), 4), ";").alias("points"), F.md5(shown.without_references(F.col("answer"))).alias("plain"))
+    # a section has no white space at its ends, also where the text has none or begins with a mark
+    return got.select("doc_id", (F.col("s.answer") == X.strip(F.concat("lead", F.lit(" [Source 2].")))).alias("answer"), F.col("s.sources").alias("sources"), F.col("s.references").alias("references"), F.array_join(shown.points(F.col("s.details"), 4), ";").alias("points"), F.md5(shown.without_references(F.col("answer"))).alias("plain"))
 
 
 def shown_cards(spark: SparkSession, sf: str) -> DataFrame:

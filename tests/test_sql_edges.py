@@ -51,3 +51,9 @@ def test_html_titles_as_they_stand(spark, tmp_path):
     pages = ["<html lang=\"de\"><title>T</title><h1> Und &amp; so &quot;x </h1>", "<h1>cut &amp", "<h1> </h1><title>A &lt; b", "<p>none", "<h1>one<b>two</b></h1>"]
     got, want = rows(spark, tmp_path, "html_title", "pages", [(i, f"https://x.org/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
     assert got == want
+
+
+def test_answer_sections_of_texts_that_are_empty_or_begin_with_a_gap(spark, tmp_path):
+    texts = ["", " ", "\n", "# Heading of it", "* one [two] three", "\n\nText below. "]
+    got, want = rows(spark, tmp_path, "answer_sections", "documents", [(i, t, "en", "s") for i, t in enumerate(texts)], DOCS)
+    assert got == want

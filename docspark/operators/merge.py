@@ -56,6 +56,15 @@ def effective(existing: DataFrame, delta: DataFrame, key: str, order: str) -> Da
     return last
 
 
+def effective_keys(existing: DataFrame, delta: DataFrame, key: str, order: str) -> DataFrame:
+    """The keys of the rows of a delta that count; only keys and order travel."""
+    by = F.struct(F.col(order).isNotNull(), F.col(order))
+    last = delta.groupBy(key).agg(F.max(by).alias("__new"))
+    if order in existing.columns:
+        last = last.join(existing.select(key, by.alias("__old")), key, "left").where(F.col("__old").isNull() | (F.col("__new") >= F.col("__old")))
+    return last.select(key)
+
+
 def upsert(existing: DataFrame, delta: DataFrame, key: str, order: str, removed: DataFrame | None = None) -> DataFrame:
     """``existing`` with the delta's effective rows in place of those with their key, and without the removed keys.
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions.text import whitespace_tokens
 from docspark.operators.lexical import FLOOR, K1, B
-from docspark.sources.shared import bound_batches
+from docspark.sources.shared import bound_batches, hinted
 from docspark.sources.versions import Versions
 
 TABLES = ("postings", "docs", "gone", "terms", "stats", "hist")
@@ -135,15 +135,17 @@ class Segments:
         """
         seq = (self.seqs[-1] if self.seqs else 0) + 1
         tokens = rows.select(F.col(key).alias("id"), whitespace_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-        docs = tokens.select("id", F.size("tokens").alias("dl"), F.array_distinct("tokens").alias("terms"))
-        gone = removed.select(F.col(key).alias("id")).unionByName(rows.select(F.col(key).alias("id"))).distinct()
-        self._write(staged, seq, {"docs": docs, "gone": gone})
-        docs, gone = self._own(staged, seq, "docs"), self._own(staged, seq, "gone")
+        self._write(staged, seq, {"docs": tokens.select("id", F.size("tokens").alias("dl"), F.array_distinct("tokens").alias("terms"))})
+        docs = self._own(staged, seq, "docs")
+        self._write(staged, seq, {"gone": removed.select(F.col(key).alias("id")).unionByName(docs.select("id")).distinct()})
+        gone = self._own(staged, seq, "gone")
         # texts, not their words, go to the tasks of their ranges: all that follows stays there
         placed = self._placed(rows.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), docs)
         added = docs.select("id", "dl", "terms", F.lit(1).cast("long").alias("sign"))
         if self.seqs:
-            dead = self.alive(self.table("docs").join(gone, "id", "left_semi")).select("id", "dl", "terms", F.lit(-1).cast("long").alias("sign"))
+            # who dies is told by ids alone: terms don't move to meet them where they are few
+            dying = self.alive(self.table("docs").select("seq", "id").join(gone, "id", "left_semi"))
+            dead = self.table("docs").join(hinted(dying, dying.count()), ["seq", "id"], "left_semi").select("id", "dl", "terms", F.lit(-1).cast("long").alias("sign"))
             added = added.unionByName(dead)
         terms = _sums(added.select(F.explode("terms").alias("term"), F.col("sign").alias("df")), "term", "df")
         stats = added.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("sign") * F.col("dl")), F.lit(0)).alias("words"))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+#: Keys that are broadcast at most (bytes, 24 for each); more are joined by a shuffle.
+MOST_KEYS = 32 << 20
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -28,6 +33,23 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of each query go when it ends: else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def hinted(keys: DataFrame, n: int) -> DataFrame:
+    """``keys`` to join with: ``n`` of them are broadcast if they are few."""
+    return F.broadcast(keys) if 24 * n <= MOST_KEYS else keys
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a written table, which a lost executor doesn't take with it."""
     at = folder(df.sparkSession, name)

@@ -78,19 +78,32 @@ class Versions:
         """Write further tables into a version that isn't current yet."""
         return self._filled(self.manifest(version) or {"version": version}, tables)
 
-    def forget(self, version: str, names: list[str]) -> dict[str, Any]:
-        """Leave tables out of a version that isn't current yet; versions that have them keep them."""
+    def forget(self, version: str, names: list[str], delete: bool = False) -> dict[str, Any]:
+        """Leave tables out of a version that isn't current yet; versions that have them keep them. Its own go when it is pruned, or at once."""
         manifest = self.manifest(version) or {"version": version}
+        own = [name for name in names if manifest.get("at", {}).get(name) == version]
         for part in ("counts", "hashes", "at"):
             for name in names:
                 manifest.get(part, {}).pop(name, None)
+        out = self._filled(manifest, {})
+        for name in own if delete and version != self.current() else ():
+            self._fs().delete(self._path("versions", version, name), True)
+        return out
+
+    def rename(self, version: str, name: str, to: str) -> dict[str, Any]:
+        """Give a table of a version that isn't current yet another name, in place of the table that has it."""
+        manifest = self.manifest(version) or {"version": version}
+        if not self._fs().rename(self._path("versions", version, name), self._path("versions", version, to)):
+            raise OSError(f"{name} of {version} can't be renamed")
+        for part in ("counts", "hashes", "at"):
+            manifest[part][to] = manifest[part].pop(name)
         return self._filled(manifest, {})
 
     def _filled(self, manifest: dict[str, Any], tables: dict[str, DataFrame]) -> dict[str, Any]:
         version = manifest["version"]
         for name, df in tables.items():
             path = f"{self.root}/versions/{version}/{name}"
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
             back = self.spark.read.parquet(path)
             own = [F.col(f"`{f.name}`") for f in back.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
             # one pass: the rows' number, and a value that doesn't hang on their order
